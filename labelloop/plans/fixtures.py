@@ -98,3 +98,34 @@ knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim
 SQL_CORPUS = """fx_corpus AS (
   SELECT d.doc_id AS id, d.text, CAST(l.quality AS INTEGER) AS label
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_scored: fx_anno scored by the centroid head ->
+    (id, gold, anno, embedding, logits, pred, conf, loss, valid, matched)."""
+    from labelloop.operators.score import add_scores, centroid_head, score
+    anno = noisy_annotation(spark, sf_dir)
+    head = centroid_head(anno, NUM_CLASSES, label_col="anno")
+    return add_scores(score(anno, head), label_col="anno")
+
+
+def view2(col: str = "embedding") -> F.Column:
+    """fx_view2: a second view of a vector, element i = 0.9 v[i] + 0.1 v[d-1-i]."""
+    return F.zip_with(F.col(col), F.reverse(F.col(col)), lambda a, b: a * 0.9 + b * 0.1)
+
+
+SQL_SCORED = SQL_ANNO + """,
+fx_long AS (SELECT id, anno, UNNEST(range(0, len(v))) AS pos, UNNEST(v) AS x FROM fx_anno),
+fx_centroid AS (SELECT anno AS cls, pos, avg(x) AS m FROM fx_long WHERE anno >= 0 GROUP BY anno, pos),
+fx_logit AS (SELECT l.id, c.cls, sum(l.x * c.m) AS z FROM fx_long l JOIN fx_centroid c ON l.pos = c.pos
+             GROUP BY l.id, c.cls),
+fx_mx AS (SELECT id, max(z) AS conf, ln(sum(exp(z))) AS lse, list(z ORDER BY cls) AS logits
+          FROM fx_logit GROUP BY id),
+fx_am AS (SELECT g.id, min(g.cls) AS pred FROM fx_logit g JOIN fx_mx ON g.id = fx_mx.id AND g.z = fx_mx.conf
+          GROUP BY g.id),
+fx_scored AS (
+  SELECT a.id, a.gold, a.anno, a.v, fx_mx.logits, CAST(fx_am.pred AS INTEGER) AS pred, fx_mx.conf,
+         CASE WHEN a.anno >= 0 THEN fx_mx.lse - g.z END AS loss,
+         a.anno >= 0 AS valid, a.anno >= 0 AND fx_am.pred = a.anno AS matched
+  FROM fx_anno a JOIN fx_mx ON a.id = fx_mx.id JOIN fx_am ON a.id = fx_am.id
+  LEFT JOIN fx_logit g ON g.id = a.id AND g.cls = a.anno)"""
