@@ -128,3 +128,33 @@ def need_annotation(rows: DataFrame, trusted: DataFrame, id_col: str = "id") ->
 def batch_number(id_col: str = "id", size: int = ANNOTATOR_BATCH) -> Column:
     """Batch of ``size`` consecutive dense ids."""
     return F.floor(F.col(id_col) / F.lit(size)).cast("bigint")
+
+
+# The six answer shapes the parser must handle (plain word,
+# capitalised with one dot, two dots, leading space, empty, unknown word).
+STUB_ANSWERS = ("positive", "Negative.", "POSITIVE..", " negative", "", "neutral")
+
+
+def length_stub_annotator(batch: Sequence[Sequence[dict]]) -> list[str]:
+    """Deterministic test annotator: picks one of ``STUB_ANSWERS`` by the length
+    of the query sentence (the second-to-last message) modulo 6."""
+    return [STUB_ANSWERS[len(msgs[-2]["content"]) % len(STUB_ANSWERS)] for msgs in batch]
+
+
+class FlakyAnnotator:
+    """Wraps an annotator so that its first ``failures`` calls raise (X2 tests)."""
+
+    def __init__(self, inner: Annotator, failures: int = 1):
+        self.inner, self.failures, self.calls = inner, failures, 0
+
+    def __call__(self, batch):
+        self.calls += 1
+        if self.calls <= self.failures:
+            raise RuntimeError("rate limited")
+        return self.inner(batch)
+
+
+def completion_json(raw_col: str = "raw") -> Column:
+    """Wrap an answer in the chat-completion response shape (for P15)."""
+    msg = F.struct(F.struct(F.col(raw_col).alias("content")).alias("message"))
+    return F.to_json(F.struct(F.array(msg).alias("choices")))
