@@ -163,3 +163,45 @@ def attention_mask(ids, max_length: int) -> Column:
     """1 for the real positions of ``truncate_pad``, 0 for padding."""
     n = F.least(F.size(_c(ids)) + 2, F.lit(max_length))
     return F.slice(F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length))), 1, max_length)
+
+
+# ---------------------------------------------------------------------------
+# Vectorised form of normalise() + word_pieces() for the corpus jobs (T1, T2):
+# the same semantics on Arrow arrays, executed by Arrow's C++ kernels inside
+# mapInArrow, one pass per batch.
+
+def arrow_pieces(values, lower: bool = False):
+    """Arrow string array -> ListArray of word pieces (F15-F19 semantics)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    x = pc.replace_substring_regex(values, WS_RE2, " ")
+    x = pc.utf8_trim(x, " ")
+    x = pc.replace_substring(pc.replace_substring(x, "``", '"'), "''", '"')
+    x = strip_accents_arrow(x)
+    if lower:
+        x = pc.utf8_lower(x)
+    words = pc.split_pattern(x, " ")
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    offsets = np.asarray(words.offsets)
+    flat = words.flatten()
+    keep = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
+    row_of = np.repeat(np.arange(len(words)), np.diff(offsets))
+    flat = flat.filter(pa.array(keep))
+    row_of = row_of[keep]
+    marked = pc.binary_join_element_wise(WORD_MARK, flat, "")
+    n = len(marked)
+    split = np.asarray(pc.match_substring_regex(marked, DIGIT_COMMA).to_numpy(zero_copy_only=False), dtype=bool)
+    stripped = pc.replace_substring_regex(marked, ",$", "")
+    src = pa.concat_arrays([marked, stripped, pa.array([","], pa.string())])
+    reps = 1 + split.astype(np.int64)
+    base = np.repeat(np.arange(n), reps)
+    first = np.ones(len(base), dtype=bool)
+    first[1:] = base[1:] != base[:-1]
+    take = np.where(split[base] & first, n + base, np.where(split[base], 2 * n, base))
+    pieces = src.take(pa.array(take))
+    per_row = np.bincount(np.repeat(row_of, reps), minlength=len(words))
+    new_offsets = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(new_offsets), pieces)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloop.functions.text import (CLS_ID, PAD_ID, SEP_ID, SPECIAL_TOKENS, UNK_ID, WORD_MARK,
-                                      normalise, word_pieces)
+                                      arrow_pieces, normalise, word_pieces)
 
 MAX_BROADCAST_VOCAB = 5_000_000
 
@@ -38,10 +38,9 @@ def build_vocab(texts: DataFrame, text_col: str = "text", max_size: int | None =
     ``max_size - S`` pieces are kept (a top-k: partial per partition, bounded
     merge); without it every piece is kept and ids come from ``zipWithIndex``
     over the globally sorted counts."""
-    counts = (pieces(texts.select(text_col), text_col, lower=lower)
-              .select(F.explode("pieces").alias("token"))
+    counts = (piece_counts(texts.select(text_col), text_col, lower=lower)
               .filter(~F.col("token").isin(*specials))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
+              .groupBy("token").agg(F.sum("n").alias("count")))
     spark = texts.sparkSession
     n_special = len(specials)
     order = [F.col("count").desc(), F.col("token").asc()]
@@ -59,6 +58,21 @@ def build_vocab(texts: DataFrame, text_col: str = "text", max_size: int | None =
     return special.unionByName(ranked.select("token", "token_id", "count"))
 
 
+def piece_counts(texts: DataFrame, text_col: str = "text", lower: bool = False) -> DataFrame:
+    """(token, n): piece counts of every batch, computed by Arrow kernels
+    (``value_counts``) - a map-side combine before the shuffle."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            flat = arrow_pieces(b.column(0), lower=lower).flatten()
+            if len(flat) == 0:
+                continue
+            vc = pc.value_counts(flat)
+            yield pa.RecordBatch.from_arrays([vc.field("values"), vc.field("counts")], names=["token", "n"])
+    return texts.select(text_col).mapInArrow(run, "token string, n bigint")
+
+
 def vocab_size(vocab: DataFrame) -> DataFrame:
     """T4."""
     return vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
@@ -88,7 +102,7 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", max_length:
     piece count of the whole text before truncation."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(_vocab_array(vocab))
-    p = pieces(df.select(id_col, text_col), text_col, lower=lower).select(id_col, "pieces")
+    p = df.select(id_col, text_col)
     m = max_length
 
     def run(batches):
@@ -96,7 +110,7 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", max_length:
         for b in batches:
             if b.num_rows == 0:
                 continue
-            toks = b.column(1)
+            toks = arrow_pieces(b.column(1), lower=lower)
             lens = np.diff(np.asarray(toks.offsets))
             ids = _lookup(toks, v, UNK_ID)
             flat = ids.flatten().to_numpy(zero_copy_only=False)
