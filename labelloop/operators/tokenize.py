@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloop.session import ensure_parallelism
 from labelloop.functions.text import (CLS_ID, PAD_ID, SEP_ID, SPECIAL_TOKENS, UNK_ID, WORD_MARK,
                                       arrow_pieces, normalise, word_pieces)
 
@@ -70,7 +71,7 @@ def piece_counts(texts: DataFrame, text_col: str = "text", lower: bool = False)
                 continue
             vc = pc.value_counts(flat)
             yield pa.RecordBatch.from_arrays([vc.field("values"), vc.field("counts")], names=["token", "n"])
-    return texts.select(text_col).mapInArrow(run, "token string, n bigint")
+    return ensure_parallelism(texts.select(text_col)).mapInArrow(run, "token string, n bigint")
 
 
 def vocab_size(vocab: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", max_length:
     piece count of the whole text before truncation."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(_vocab_array(vocab))
-    p = df.select(id_col, text_col)
+    p = ensure_parallelism(df.select(id_col, text_col))
     m = max_length
 
     def run(batches):

@@ -70,3 +70,14 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     checkpoint_root(spark)
     return df.checkpoint(eager=True)
+
+
+def ensure_parallelism(df, factor: int = 1):
+    """Spread a scan that yields fewer partitions than the cluster has cores
+    (one large row group, a single small file) over all cores before per-row
+    heavy work. A scan that is already wide is returned untouched, so at scale
+    this adds no shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
