@@ -100,7 +100,9 @@ def _topk_block(queries: DataFrame, bc, k: int, query_id: str, query_vec: str,
                 continue
             qid = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             q = _normalise(_list_matrix(b.column(1), mat.shape[1]))
-            sim = q @ mat.T
+            # fixed-order reduction: bitwise the same whatever the batch shape,
+            # so results do not depend on partitioning (BLAS gemm does)
+            sim = np.einsum("ij,kj->ik", q, mat, optimize=False)
             if exclude_self:
                 sim[qid[:, None] == ids[None, :]] = np.nan
             per_group = []

@@ -68,7 +68,7 @@ def score(df: DataFrame, head: LinearHead, vec_col: str = "embedding",
             if batch.num_rows == 0:
                 continue
             x = _list_matrix(batch.column(vec_idx), w.shape[1])
-            z = x @ w.T + b
+            z = np.einsum("ij,kj->ik", x, w, optimize=False) + b   # batch-shape independent
             offsets = pa.array(np.arange(0, (batch.num_rows + 1) * c, c, dtype=np.int32))
             logits = pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))
             yield pa.RecordBatch.from_arrays(list(batch.columns) + [logits],
