@@ -38,14 +38,20 @@ def noisy_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("id", F.col("label").alias("gold"), anno.cast("int").alias("anno"), "embedding")
 
 
-def demo_pool(spark: SparkSession, sf_dir: str, per_class: int = DEMOS_PER_CLASS) -> DataFrame:
+def demo_pool(spark: SparkSession, sf_dir: str, per_class: int = DEMOS_PER_CLASS, base: DataFrame | None = None,
+              ) -> DataFrame:
     """Bounded demonstration pool (demo_id, anno, embedding): per class the rows
-    nearest to the class mean."""
+    of ``base`` (default: all vectors) nearest to the class mean."""
     from labelloop.operators.retrieve import class_prototypes
-    protos = class_prototypes(vectors(spark, sf_dir), per_class)
+    protos = class_prototypes(base if base is not None else vectors(spark, sf_dir), per_class)
     return protos.select(F.col("id").alias("demo_id"), F.col("label").alias("anno"), "embedding")
 
 
+def text_demo_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pool for the labelling rounds: drawn from the rows that have a text."""
+    return demo_pool(spark, sf_dir, base=text_vectors(spark, sf_dir).select("id", "label", "embedding"))
+
+
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_corpus: documents left join labels -> (id, text, label = quality)."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -80,8 +86,13 @@ SQL_ANNO = """fx_anno AS (
          CAST(embedding AS DOUBLE[]) AS v
   FROM embeddings)"""
 
-# pool: per class the 10 rows nearest (L2) to the class mean, ties by id
-SQL_POOL = SQL_VECTORS + """,
+SQL_VECTORS_TEXT = ("e AS (SELECT vec_id AS id, CAST(label AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS v "
+                    "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")
+
+
+def sql_pool(base: str) -> str:
+    """Pool: per class the 10 rows of ``e`` nearest (L2) to the class mean, ties by id."""
+    return base + """,
 e_long AS (SELECT id, label, UNNEST(range(0, len(v))) AS pos, UNNEST(v) AS x FROM e),
 e_mean AS (SELECT label, pos, avg(x) AS m FROM e_long GROUP BY label, pos),
 e_dist AS (SELECT l.id, l.label, sqrt(sum((l.x - m.m) * (l.x - m.m))) AS dist
@@ -90,11 +101,19 @@ pool AS (SELECT p.id AS demo_id, p.label AS anno, e.v
          FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY dist, id) AS rn FROM e_dist) p
          JOIN e ON e.id = p.id WHERE p.rn <= 10)"""
 
-SQL_KNN = SQL_POOL + """,
+
+def sql_knn(base: str) -> str:
+    """Top-10 pool rows per row of ``e`` by cosine, ties by demo id."""
+    return sql_pool(base) + """,
 sims AS (SELECT e.id, pool.demo_id, pool.anno, list_cosine_similarity(e.v, pool.v) AS sim FROM e, pool),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, demo_id) AS rank FROM sims)
         WHERE rank <= 10)"""
 
+
+SQL_POOL = sql_pool(SQL_VECTORS)
+SQL_KNN = sql_knn(SQL_VECTORS)
+SQL_KNN_TEXT = sql_knn(SQL_VECTORS_TEXT)
+
 SQL_CORPUS = """fx_corpus AS (
   SELECT d.doc_id AS id, d.text, CAST(l.quality AS INTEGER) AS label
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""

@@ -152,7 +152,7 @@ def q_remap_ids(spark, sf_dir):
 
 
 @register("q_fetch_demos", SQL_LISTS + """
-SELECT dl.id, CAST(dl.pos AS BIGINT) AS pos, dl.demo_id, d.n_chars FROM dl JOIN documents d ON d.doc_id = dl.demo_id""")
+SELECT dl.id, CAST(dl.pos AS BIGINT) AS pos, dl.demo_id, d.n_chars FROM dl LEFT JOIN documents d ON d.doc_id = dl.demo_id""")
 def q_fetch_demos(spark, sf_dir):
     """Demo rows fetched by the ordered id lists (text length shown)."""
     lists = _lists(spark, sf_dir)

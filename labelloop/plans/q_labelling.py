@@ -36,18 +36,21 @@ def _corpus(spark, sf_dir):
     return fx.text_vectors(spark, sf_dir)
 
 
+def _pool(spark, sf_dir):
+    return fx.text_demo_pool(spark, sf_dir)
+
+
 def _pool_text(spark, sf_dir):
-    pool = fx.demo_pool(spark, sf_dir).select("demo_id")
-    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.join(pool.withColumnRenamed("demo_id", "id"), "id")
+    pool = _pool(spark, sf_dir).select(F.col("demo_id").alias("id"))
+    return _corpus(spark, sf_dir).select("id", "text").join(pool, "id")
 
 
 def _initial(spark, sf_dir, annotator=majority_answer_annotator):
-    return initial_round(_corpus(spark, sf_dir), fx.demo_pool(spark, sf_dir), _pool_text(spark, sf_dir),
+    return initial_round(_corpus(spark, sf_dir), _pool(spark, sf_dir), _pool_text(spark, sf_dir),
                          TASK, annotator)
 
 
-SQL_MSGS = "WITH " + fx.SQL_KNN + f""",
+SQL_MSGS = "WITH " + fx.SQL_KNN_TEXT + f""",
 dm AS (SELECT knn.id, knn.rank, d.text AS dtext, knn.anno FROM knn JOIN documents d ON d.doc_id = knn.demo_id),
 q AS (SELECT e.id, d.text FROM e JOIN documents d ON d.doc_id = e.id),
 msgs AS (
@@ -64,13 +67,13 @@ SELECT id, CAST(turn AS BIGINT) AS turn, role, content FROM msgs""")
 def q_prompt_messages(spark, sf_dir):
     """few-shot prompts (33 messages for 10 demos), exploded."""
     corpus = _corpus(spark, sf_dir)
-    long = knn_topk(corpus.select("id", "embedding"), fx.demo_pool(spark, sf_dir), fx.SHOTS, pool_label="anno")
+    long = knn_topk(corpus.select("id", "embedding"), _pool(spark, sf_dir), fx.SHOTS, pool_label="anno")
     long = long.select("id", (F.col("rank") - 1).alias("pos"), "demo_id", "demo_label")
     prompts = build_prompts(corpus, long, F.broadcast(_pool_text(spark, sf_dir)), TASK)
     return exploded_messages(prompts)
 
 
-SQL_INITIAL = "WITH " + fx.SQL_KNN + """,
+SQL_INITIAL = "WITH " + fx.SQL_KNN_TEXT + """,
 cnt AS (SELECT id, anno, count(*) AS c, min(rank) AS r FROM knn GROUP BY id, anno),
 ans AS (SELECT id, anno FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, r) AS rn FROM cnt)
         WHERE rn = 1)"""
@@ -88,7 +91,7 @@ def q_annotate_retry(spark, sf_dir):
     """The round with an annotator whose first call in every task fails;
     the back-off retry answers every row."""
     corpus = _corpus(spark, sf_dir)
-    long = knn_topk(corpus.select("id", "embedding"), fx.demo_pool(spark, sf_dir), fx.SHOTS, pool_label="anno")
+    long = knn_topk(corpus.select("id", "embedding"), _pool(spark, sf_dir), fx.SHOTS, pool_label="anno")
     long = long.select("id", (F.col("rank") - 1).alias("pos"), "demo_id", "demo_label")
     prompts = build_prompts(corpus, long, F.broadcast(_pool_text(spark, sf_dir)), TASK)
     raw = annotate(prompts, FlakyAnnotator(majority_answer_annotator), retries=3, base_delay=0.01)
@@ -170,7 +173,8 @@ maj AS (SELECT id, dlab FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
         WHERE rn = 1),
 refined AS (SELECT f.id, CAST(CASE WHEN t.id IS NOT NULL THEN f.pred ELSE coalesce(maj.dlab, -1) END AS INTEGER)
                    AS label, t.id IS NOT NULL AS trusted
-            FROM fx_scored f LEFT JOIN top t ON t.id = f.id LEFT JOIN maj ON maj.id = f.id)"""
+            FROM fx_scored f LEFT JOIN top t ON t.id = f.id LEFT JOIN maj ON maj.id = f.id
+            WHERE f.id IN (SELECT doc_id FROM documents))"""
 
 
 def _feedback(spark, sf_dir):

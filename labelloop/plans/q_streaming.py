@@ -31,7 +31,7 @@ def q_stream_annotate(spark, sf_dir):
     """ST1: incremental initial round, one file per micro-batch; equals the batch result."""
     src, schema = _land(spark, sf_dir)
     out = stream_annotate(spark, src, schema, scratch_dir(spark, "stream_out"), scratch_dir(spark, "stream_ckpt"),
-                          fx.demo_pool(spark, sf_dir), _pool_text(spark, sf_dir), TASK)
+                          fx.text_demo_pool(spark, sf_dir), _pool_text(spark, sf_dir), TASK)
     return out.select("id", "label")
 
 

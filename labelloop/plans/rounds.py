@@ -78,12 +78,13 @@ def refinery_round(corpus: DataFrame, fb: Feedback, task: TaskSpec,
     by the feedback lists (J3) and answered with the demos' pseudo-labels (J4).
     Returns (id, raw, error, label) for every corpus row."""
     need = need_annotation(corpus.select(id_col, "text"), fb.trusted, id_col)
-    long = fb.demos.select(id_col, F.posexplode("demo_ids").alias("pos", "demo_id"))
+    long = (fb.demos.join(need.select(id_col), id_col, "left_semi")
+            .select(id_col, F.posexplode("demo_ids").alias("pos", "demo_id")))
     long = long.join(fb.pseudo.select(F.col(id_col).alias("demo_id"), F.col("pred").alias("demo_label")),
                      "demo_id", "left")
     prompts = build_prompts(need, long, corpus.select(id_col, "text"), task, id_col=id_col)
     asked = parse_labels(annotate(prompts, annotator, id_col=id_col), task.words)
-    kept = (fb.trusted.join(fb.pseudo, id_col)
+    kept = (corpus.select(id_col).join(fb.trusted, id_col).join(fb.pseudo, id_col)
             .select(id_col, F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("error"),
                     F.col("pred").cast("int").alias("label")))
     return asked.unionByName(kept)
@@ -95,6 +96,9 @@ def write_labels(labels: DataFrame, path: str, text_export: str | None = None) -
     part files in order)."""
     labels.select("id", "label").write.mode("overwrite").parquet(path)
     if text_export:
-        (labels.select("id", F.col("label").cast("string").alias("value"))
+        # read the written table back: the annotator behind ``labels`` must not
+        # run a second time for the export
+        written = labels.sparkSession.read.parquet(path)
+        (written.select("id", F.col("label").cast("string").alias("value"))
          .repartitionByRange("id").sortWithinPartitions("id").select("value")
          .write.mode("overwrite").text(text_export))
