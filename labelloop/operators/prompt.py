@@ -66,8 +66,10 @@ def _msg(role: str, content) -> Column:
 def messages(task: TaskSpec, text, demo_texts, demo_answers) -> Column:
     """1 system message, 3 per demonstration (text, question, answer), then
     the text and the question: 33 messages for 10 demonstrations."""
+    dt = F.col(demo_texts) if isinstance(demo_texts, str) else demo_texts
+    da = F.col(demo_answers) if isinstance(demo_answers, str) else demo_answers
     demos = F.flatten(F.transform(
-        F.arrays_zip(F.col(demo_texts).alias("t"), F.col(demo_answers).alias("a")),
+        F.arrays_zip(dt.alias("t"), da.alias("a")),
         lambda d: F.array(_msg("user", sentence(task, d["t"])), _msg("user", task.question),
                           _msg("assistant", d["a"]))))
     head = F.array(_msg("system", task.system))
@@ -75,6 +77,14 @@ def messages(task: TaskSpec, text, demo_texts, demo_answers) -> Column:
     return F.concat(head, demos, tail)
 
 
+def prompts_from_wide(wide: DataFrame, task: TaskSpec, *, id_col: str = "id", text_col: str = "text",
+                      texts: str = "demo_texts", labels: str = "demo_labels") -> DataFrame:
+    """(id, messages) straight from the wide retrieval rows that already carry
+    the demos' texts and labels: a projection, no join and no shuffle."""
+    answers = F.transform(F.col(labels), lambda lab: label_word(lab, task.words))
+    return wide.select(id_col, messages(task, F.col(text_col), F.col(texts), answers).alias("messages"))
+
+
 def build_prompts(rows: DataFrame, demos_long: DataFrame, corpus_text: DataFrame, task: TaskSpec, *,
                   id_col: str = "id", text_col: str = "text", answer_label: str = "demo_label") -> DataFrame:
     """(id, messages) from the query rows, their demonstrations in long form

@@ -68,32 +68,39 @@ def _topk_rows(sim: np.ndarray, k: int) -> np.ndarray:
 
 
 def _pool_arrays(pool: DataFrame, pool_id: str, pool_vec: str, pool_group: str | None,
-                 pool_label: str | None):
+                 pool_label: str | None, pool_text: str | None = None):
     cols = [F.col(pool_id).cast("bigint").alias("pid"), F.col(pool_vec).alias("pvec")]
     cols.append((F.col(pool_group).cast("bigint") if pool_group else F.lit(0).cast("bigint")).alias("pgrp"))
     cols.append((F.col(pool_label).cast("bigint") if pool_label else F.lit(0).cast("bigint")).alias("plab"))
+    cols.append((F.col(pool_text).cast("string") if pool_text else F.lit(None).cast("string")).alias("ptxt"))
     tbl = pool.select(*cols).orderBy("pgrp", "pid").toArrow()
     ids = tbl.column("pid").to_numpy()
     grps = tbl.column("pgrp").to_numpy()
     labs = tbl.column("plab").to_numpy()
+    texts = tbl.column("ptxt").combine_chunks() if pool_text else None
     mat = _normalise(_list_matrix(tbl.column("pvec")))
-    return ids, grps, labs, mat
+    return ids, grps, labs, mat, texts
 
 
-def _out_schema(query_id: str, with_group: bool, group_name: str, wide: bool) -> str:
+def _out_schema(query_id: str, with_group: bool, group_name: str, wide: bool,
+                keep_schema: str = "", with_text: bool = False) -> str:
     if wide:
-        return (f"{query_id} bigint, demo_ids array<bigint>, demo_labels array<bigint>, "
-                f"sims array<double>")
+        return (f"{query_id} bigint, {keep_schema}demo_ids array<bigint>, demo_labels array<bigint>, "
+                f"sims array<double>" + (", demo_texts array<string>" if with_text else ""))
     g = f"{group_name} bigint, " if with_group else ""
     return f"{query_id} bigint, {g}rank int, demo_id bigint, demo_label bigint, sim double"
 
 
 def _topk_block(queries: DataFrame, bc, k: int, query_id: str, query_vec: str,
-                exclude_self: bool, with_group: bool, group_name: str, wide: bool) -> DataFrame:
-    schema = _out_schema(query_id, with_group, group_name, wide)
+                exclude_self: bool, with_group: bool, group_name: str, wide: bool,
+                keep: tuple = ()) -> DataFrame:
+    kept = queries.select(*keep).schema if keep else None
+    keep_schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.fields) if keep else ""
+    with_text = bc.value[4] is not None
+    schema = _out_schema(query_id, with_group, group_name, wide, keep_schema, with_text)
 
     def run(batches):
-        ids, grps, labs, mat = bc.value
+        ids, grps, labs, mat, texts = bc.value
         groups = [(g, np.nonzero(grps == g)[0]) for g in np.unique(grps)]
         for b in batches:
             if b.num_rows == 0:
@@ -119,23 +126,27 @@ def _topk_block(queries: DataFrame, bc, k: int, query_id: str, query_vec: str,
                 counts = valid.sum(axis=1)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 flat_idx = gidx[valid]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(qid),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[flat_idx])),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(labs[flat_idx])),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(gsim[valid])),
-                ], names=[query_id, "demo_ids", "demo_labels", "sims"])
+                offs = pa.array(offsets)
+                arrays = [pa.array(qid)] + [b.column(2 + i) for i in range(len(keep))] + [
+                    pa.ListArray.from_arrays(offs, pa.array(ids[flat_idx])),
+                    pa.ListArray.from_arrays(offs, pa.array(labs[flat_idx])),
+                    pa.ListArray.from_arrays(offs, pa.array(gsim[valid]))]
+                names = [query_id, *keep, "demo_ids", "demo_labels", "sims"]
+                if texts is not None:
+                    arrays.append(pa.ListArray.from_arrays(offs, texts.take(pa.array(flat_idx))))
+                    names.append("demo_texts")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
                 continue
             out = {n: [] for n in ("q", "g", "r", "d", "l", "s")}
             for g, top, sel in per_group:
                 kk = top.shape[1]
-                keep = ~np.isnan(sel).ravel()
-                out["q"].append(np.repeat(qid, kk)[keep])
-                out["g"].append(np.full(int(keep.sum()), g, dtype=np.int64))
-                out["r"].append(np.tile(np.arange(1, kk + 1, dtype=np.int32), len(qid))[keep])
-                out["d"].append(ids[top.ravel()][keep])
-                out["l"].append(labs[top.ravel()][keep])
-                out["s"].append(sel.ravel()[keep])
+                ok = ~np.isnan(sel).ravel()
+                out["q"].append(np.repeat(qid, kk)[ok])
+                out["g"].append(np.full(int(ok.sum()), g, dtype=np.int64))
+                out["r"].append(np.tile(np.arange(1, kk + 1, dtype=np.int32), len(qid))[ok])
+                out["d"].append(ids[top.ravel()][ok])
+                out["l"].append(labs[top.ravel()][ok])
+                out["s"].append(sel.ravel()[ok])
             cat = {n: np.concatenate(v) for n, v in out.items()}
             arrays = [pa.array(cat["q"])] + ([pa.array(cat["g"])] if with_group else []) + [
                 pa.array(cat["r"]), pa.array(cat["d"]), pa.array(cat["l"]), pa.array(cat["s"])]
@@ -143,14 +154,15 @@ def _topk_block(queries: DataFrame, bc, k: int, query_id: str, query_vec: str,
                 "rank", "demo_id", "demo_label", "sim"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    q = queries.select(F.col(query_id).cast("bigint").alias(query_id), F.col(query_vec))
+    q = queries.select(F.col(query_id).cast("bigint").alias(query_id), F.col(query_vec), *keep)
     return q.mapInArrow(run, schema)
 
 
 def knn_topk(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "id",
              query_vec: str = "embedding", pool_id: str = "demo_id", pool_vec: str = "embedding",
              pool_group: str | None = None, pool_label: str | None = None,
-             exclude_self: bool = False, wide: bool = False,
+             exclude_self: bool = False, wide: bool = False, keep: tuple = (),
+             pool_text: str | None = None,
              max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Top-k pool rows per query row by cosine similarity.
 
@@ -163,19 +175,27 @@ def knn_topk(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "id
     Wide form (``wide=True``): one row per query with ordered arrays
     ``demo_ids, demo_labels, sims`` (groups concatenated in group order); it is
     produced in the same task as the query row, so later per-query work (voting,
-    prompt assembly) needs no shuffle.
+    prompt assembly) needs no shuffle. In wide form ``keep`` query columns pass
+    through, and ``pool_text`` adds the demos' texts (``demo_texts``) from the
+    same broadcast (its size counts against the budget).
     """
     spark = queries.sparkSession
-    stats = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pool_vec)).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
+    text_len = F.sum(F.length(pool_text)) if pool_text else F.lit(0)
+    stats = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pool_vec)).alias("d"),
+                     text_len.alias("t")).first()
+    n, d, t = int(stats["n"]), int(stats["d"] or 0), int(stats["t"] or 0)
     with_group = pool_group is not None
     group_name = pool_group or "grp"
+    if (keep or pool_text) and not wide:
+        raise ValueError("keep / pool_text need the wide form")
     if n == 0:
         return spark.createDataFrame([], _out_schema(query_id, with_group, group_name, wide))
     row_bytes = 8 * (d + 3)
-    if n * row_bytes <= max_broadcast_bytes:
-        bc = spark.sparkContext.broadcast(_pool_arrays(pool, pool_id, pool_vec, pool_group, pool_label))
-        return _topk_block(queries, bc, k, query_id, query_vec, exclude_self, with_group, group_name, wide)
+    if n * row_bytes + 4 * t <= max_broadcast_bytes:
+        bc = spark.sparkContext.broadcast(_pool_arrays(pool, pool_id, pool_vec, pool_group, pool_label, pool_text))
+        return _topk_block(queries, bc, k, query_id, query_vec, exclude_self, with_group, group_name, wide, keep)
+    if keep or pool_text:
+        raise ValueError("pool over the broadcast budget: use the long form and join texts by id")
 
     # Pool over budget: exact merge of per-chunk top-k lists.
     n_chunks = int(np.ceil(n * row_bytes / max_broadcast_bytes))

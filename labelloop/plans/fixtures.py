@@ -44,12 +44,13 @@ def demo_pool(spark: SparkSession, sf_dir: str, per_class: int = DEMOS_PER_CLASS
     of ``base`` (default: all vectors) nearest to the class mean."""
     from labelloop.operators.retrieve import class_prototypes
     protos = class_prototypes(base if base is not None else vectors(spark, sf_dir), per_class)
-    return protos.select(F.col("id").alias("demo_id"), F.col("label").alias("anno"), "embedding")
+    extra = ["text"] if "text" in protos.columns else []
+    return protos.select(F.col("id").alias("demo_id"), F.col("label").alias("anno"), "embedding", *extra)
 
 
 def text_demo_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pool for the labelling rounds: drawn from the rows that have a text."""
-    return demo_pool(spark, sf_dir, base=text_vectors(spark, sf_dir).select("id", "label", "embedding"))
+    return demo_pool(spark, sf_dir, base=text_vectors(spark, sf_dir))
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from labelloop.plans import fixtures as fx
 from labelloop.plans.q_demos import SQL_LISTS
 from labelloop.plans.registry import register
 from labelloop.plans.rounds import (emit_feedback, initial_round, read_feedback, refinery_round,
-                                    write_feedback, write_labels)
+                                    round_prompts, write_feedback, write_labels)
 from labelloop.session import scratch_dir
 
 TASK = generic_task(fx.NUM_CLASSES)
@@ -40,14 +40,8 @@ def _pool(spark, sf_dir):
     return fx.text_demo_pool(spark, sf_dir)
 
 
-def _pool_text(spark, sf_dir):
-    pool = _pool(spark, sf_dir).select(F.col("demo_id").alias("id"))
-    return _corpus(spark, sf_dir).select("id", "text").join(pool, "id")
-
-
 def _initial(spark, sf_dir, annotator=majority_answer_annotator):
-    return initial_round(_corpus(spark, sf_dir), _pool(spark, sf_dir), _pool_text(spark, sf_dir),
-                         TASK, annotator)
+    return initial_round(_corpus(spark, sf_dir), _pool(spark, sf_dir), TASK, annotator)
 
 
 SQL_MSGS = "WITH " + fx.SQL_KNN_TEXT + f""",
@@ -66,11 +60,7 @@ msgs AS (
 SELECT id, CAST(turn AS BIGINT) AS turn, role, content FROM msgs""")
 def q_prompt_messages(spark, sf_dir):
     """few-shot prompts (33 messages for 10 demos), exploded."""
-    corpus = _corpus(spark, sf_dir)
-    long = knn_topk(corpus.select("id", "embedding"), _pool(spark, sf_dir), fx.SHOTS, pool_label="anno")
-    long = long.select("id", (F.col("rank") - 1).alias("pos"), "demo_id", "demo_label")
-    prompts = build_prompts(corpus, long, F.broadcast(_pool_text(spark, sf_dir)), TASK)
-    return exploded_messages(prompts)
+    return exploded_messages(round_prompts(_corpus(spark, sf_dir), _pool(spark, sf_dir), TASK))
 
 
 SQL_INITIAL = "WITH " + fx.SQL_KNN_TEXT + """,
@@ -90,10 +80,7 @@ def q_initial_round(spark, sf_dir):
 def q_annotate_retry(spark, sf_dir):
     """The round with an annotator whose first call in every task fails;
     the back-off retry answers every row."""
-    corpus = _corpus(spark, sf_dir)
-    long = knn_topk(corpus.select("id", "embedding"), _pool(spark, sf_dir), fx.SHOTS, pool_label="anno")
-    long = long.select("id", (F.col("rank") - 1).alias("pos"), "demo_id", "demo_label")
-    prompts = build_prompts(corpus, long, F.broadcast(_pool_text(spark, sf_dir)), TASK)
+    prompts = round_prompts(_corpus(spark, sf_dir), _pool(spark, sf_dir), TASK)
     raw = annotate(prompts, FlakyAnnotator(majority_answer_annotator), retries=3, base_delay=0.01)
     return raw.select("id", parse_answer(F.col("raw"), TASK.words).alias("label"), "error")
 

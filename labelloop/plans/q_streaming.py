@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelloop.operators.demos import fixed_clusters
 from labelloop.plans import fixtures as fx
-from labelloop.plans.q_labelling import SQL_INITIAL, SQL_REFINE, TASK, _corpus, _pool_text
+from labelloop.plans.q_labelling import SQL_INITIAL, SQL_REFINE, TASK, _corpus
 from labelloop.plans.registry import register
 from labelloop.plans.rounds import emit_feedback, read_feedback, write_feedback
 from labelloop.session import scratch_dir
@@ -31,7 +31,7 @@ def q_stream_annotate(spark, sf_dir):
     """ST1: incremental initial round, one file per micro-batch; equals the batch result."""
     src, schema = _land(spark, sf_dir)
     out = stream_annotate(spark, src, schema, scratch_dir(spark, "stream_out"), scratch_dir(spark, "stream_ckpt"),
-                          fx.text_demo_pool(spark, sf_dir), _pool_text(spark, sf_dir), TASK)
+                          fx.text_demo_pool(spark, sf_dir), TASK)
     return out.select("id", "label")
 
 

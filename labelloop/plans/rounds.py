@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from labelloop.operators.annotate import (Annotator, annotate, majority_answer_annotator,
                                           need_annotation, parse_labels)
 from labelloop.operators.demos import demo_lists, kmeans_clusters, representatives
-from labelloop.operators.prompt import TaskSpec, build_prompts
+from labelloop.operators.prompt import TaskSpec, build_prompts, prompts_from_wide
 from labelloop.operators.retrieve import knn_topk
 from labelloop.operators.select import top_fraction
 
@@ -19,19 +19,38 @@ DEFAULT_SHOTS = 10
 DEFAULT_DEMOS = 100
 
 
-def initial_round(corpus: DataFrame, pool: DataFrame, pool_text: DataFrame, task: TaskSpec,
+def round_prompts(corpus: DataFrame, pool: DataFrame, task: TaskSpec, *, shots: int = DEFAULT_SHOTS,
+                  exclude_self: bool = False, id_col: str = "id") -> DataFrame:
+    """(id, messages) of the initial round. pool: (demo_id, anno, embedding, text).
+
+    Normal case: the pool (vectors and texts) fits the broadcast budget, so
+    retrieval emits each row's demo texts and labels in the same task and the
+    prompt is a projection - no shuffle after the corpus scan. A pool over the
+    budget takes the relational path (long-form retrieval, texts joined by id,
+    lists regrouped per row)."""
+    try:
+        wide = knn_topk(corpus.select(id_col, "embedding", "text"), pool, shots, query_id=id_col,
+                        pool_label="anno", exclude_self=exclude_self, wide=True, keep=("text",),
+                        pool_text="text")
+        return prompts_from_wide(wide, task, id_col=id_col)
+    except ValueError as e:
+        if "broadcast budget" not in str(e):
+            raise
+    long = knn_topk(corpus.select(id_col, "embedding"), pool, shots, query_id=id_col,
+                    pool_label="anno", exclude_self=exclude_self)
+    long = long.select(id_col, (F.col("rank") - 1).alias("pos"), "demo_id", "demo_label")
+    return build_prompts(corpus, long, pool.select(F.col("demo_id").alias(id_col), "text"), task, id_col=id_col)
+
+
+def initial_round(corpus: DataFrame, pool: DataFrame, task: TaskSpec,
                   annotator: Annotator = majority_answer_annotator, *, shots: int = DEFAULT_SHOTS,
                   exclude_self: bool = False, id_col: str = "id") -> DataFrame:
     """L1: retrieve the ``shots`` most similar demonstrations from the pool for
     every corpus row, build the few-shot prompt, annotate, parse.
 
-    corpus: (id, text, embedding); pool: (demo_id, anno, embedding) - small,
-    broadcast after a size check; pool_text: (id, text) of the pool rows.
-    Returns (id, raw, error, label)."""
-    long = knn_topk(corpus.select(id_col, "embedding"), pool, shots, query_id=id_col,
-                    pool_label="anno", exclude_self=exclude_self)
-    long = long.select(id_col, (F.col("rank") - 1).alias("pos"), "demo_id", "demo_label")
-    prompts = build_prompts(corpus, long, F.broadcast(pool_text), task, id_col=id_col)
+    corpus: (id, text, embedding); pool: (demo_id, anno, embedding, text), small
+    by design and broadcast after a size check. Returns (id, raw, error, label)."""
+    prompts = round_prompts(corpus, pool, task, shots=shots, exclude_self=exclude_self, id_col=id_col)
     return parse_labels(annotate(prompts, annotator, id_col=id_col), task.words)
 
 

@@ -28,11 +28,11 @@ def _run(stream: DataFrame, handle, out_dir: str, checkpoint: str) -> None:
 
 
 def stream_annotate(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint: str,
-                    pool: DataFrame, pool_text: DataFrame, task: TaskSpec,
+                    pool: DataFrame, task: TaskSpec,
                     annotator=majority_answer_annotator, max_files_per_trigger: int = 1) -> DataFrame:
     """ST1: (id, text, embedding) files -> labels, one folder per micro-batch."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
-    _run(stream, lambda df: initial_round(df, pool, pool_text, task, annotator).select("id", "raw", "label"),
+    _run(stream, lambda df: initial_round(df, pool, task, annotator).select("id", "raw", "label"),
          out_dir, checkpoint)
     return spark.read.parquet(out_dir)
 
