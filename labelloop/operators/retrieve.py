@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
@@ -275,3 +276,53 @@ def collect_ordered(long: DataFrame, key: str, pos: str, value: str, out: str) -
             .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
                  .alias("_s"))
             .select(key, F.transform("_s", lambda s: s["v"]).alias(out)))
+
+
+def bounded_demo_table(demo_lists: DataFrame, corpus: DataFrame, cols: tuple, *, list_col: str = "demo_ids",
+                       corpus_id: str = "id", max_rows: int = 1_000_000) -> DataFrame | None:
+    """The rows of ``corpus`` that appear in any demo list, or None when there are
+    more than ``max_rows`` distinct demos. Demo lists point into a small set of
+    representatives, so this is tiny; resolving it once avoids joining every
+    list entry on a handful of very hot keys."""
+    ids = demo_lists.select(F.explode(list_col).alias(corpus_id)).distinct()
+    if ids.limit(max_rows + 1).count() > max_rows:
+        return None
+    return corpus.join(F.broadcast(ids), corpus_id).select(corpus_id, *cols)
+
+
+def attach_demo_columns(rows: DataFrame, demo_table: DataFrame, cols: tuple, *, list_col: str = "demo_ids",
+                        corpus_id: str = "id", max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """J3/J4 without a shuffle: for every row, the ``cols`` of its listed demos
+    as arrays in list order (``demo_<col>s``), looked up in a broadcast copy of the
+    bounded demo table inside ``mapInArrow``. Unknown ids give NULL entries."""
+    spark = rows.sparkSession
+    tbl = demo_table.select(F.col(corpus_id).cast("bigint").alias("_id"), *cols).orderBy("_id").toArrow()
+    size = sum(c.nbytes for c in tbl.columns)
+    if size > max_broadcast_bytes:
+        raise ValueError("demo table over the broadcast budget")
+    bc = spark.sparkContext.broadcast(tbl)
+    out_fields = [f for f in demo_table.select(*cols).schema.fields]
+    schema = T.StructType(list(rows.schema.fields) + [
+        T.StructField(f"demo_{f.name}s", T.ArrayType(f.dataType)) for f in out_fields])
+    list_idx = rows.columns.index(list_col)
+
+    def run(batches):
+        t = bc.value
+        keys = t.column("_id").to_numpy()
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            lists = b.column(list_idx)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            pos = np.searchsorted(keys, flat)
+            pos_c = np.minimum(pos, max(len(keys) - 1, 0))
+            found = (len(keys) > 0) & (keys[pos_c] == flat) if len(keys) else np.zeros(len(flat), bool)
+            take = pa.array(pos_c, mask=~found) if len(keys) else pa.nulls(len(flat), pa.int64())
+            extra = []
+            for c in cols:
+                vals = t.column(c).combine_chunks().take(take) if len(keys) else pa.nulls(len(flat))
+                extra.append(pa.ListArray.from_arrays(lists.offsets, vals))
+            yield pa.RecordBatch.from_arrays(list(b.columns) + extra,
+                                             names=list(b.schema.names) + [f"demo_{c}s" for c in cols])
+
+    return rows.mapInArrow(run, schema)

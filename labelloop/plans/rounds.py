@@ -12,7 +12,7 @@ from labelloop.operators.annotate import (Annotator, annotate, majority_answer_a
                                           need_annotation, parse_labels)
 from labelloop.operators.demos import demo_lists, kmeans_clusters, representatives
 from labelloop.operators.prompt import TaskSpec, build_prompts, prompts_from_wide
-from labelloop.operators.retrieve import knn_topk
+from labelloop.operators.retrieve import attach_demo_columns, bounded_demo_table, knn_topk
 from labelloop.operators.select import top_fraction
 
 DEFAULT_SHOTS = 10
@@ -97,11 +97,21 @@ def refinery_round(corpus: DataFrame, fb: Feedback, task: TaskSpec,
     by the feedback lists (J3) and answered with the demos' pseudo-labels (J4).
     Returns (id, raw, error, label) for every corpus row."""
     need = need_annotation(corpus.select(id_col, "text"), fb.trusted, id_col)
-    long = (fb.demos.join(need.select(id_col), id_col, "left_semi")
-            .select(id_col, F.posexplode("demo_ids").alias("pos", "demo_id")))
-    long = long.join(fb.pseudo.select(F.col(id_col).alias("demo_id"), F.col("pred").alias("demo_label")),
-                     "demo_id", "left")
-    prompts = build_prompts(need, long, corpus.select(id_col, "text"), task, id_col=id_col)
+    rows = need.join(fb.demos, id_col, "left").withColumn(
+        "demo_ids", F.coalesce("demo_ids", F.array().cast("array<bigint>")))
+    # demo lists point into a few representatives: resolve their text and
+    # pseudo-label once (bounded, broadcast) instead of joining hot keys
+    side = fb.pseudo.select(id_col, F.col("pred").cast("bigint").alias("label")).join(
+        corpus.select(id_col, "text"), id_col, "left")
+    demo_table = bounded_demo_table(rows, side, ("text", "label"), corpus_id=id_col)
+    if demo_table is not None:
+        wide = attach_demo_columns(rows, demo_table, ("text", "label"), corpus_id=id_col)
+        prompts = prompts_from_wide(wide, task, id_col=id_col)
+    else:
+        long = rows.select(id_col, F.posexplode("demo_ids").alias("pos", "demo_id"))
+        long = long.join(fb.pseudo.select(F.col(id_col).alias("demo_id"), F.col("pred").alias("demo_label")),
+                         "demo_id", "left")
+        prompts = build_prompts(need, long, corpus.select(id_col, "text"), task, id_col=id_col)
     asked = parse_labels(annotate(prompts, annotator, id_col=id_col), task.words)
     kept = (corpus.select(id_col).join(fb.trusted, id_col).join(fb.pseudo, id_col)
             .select(id_col, F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("error"),

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloop.operators.annotate import annotate, majority_answer_annotator, parse_labels
-from labelloop.operators.prompt import TaskSpec, build_prompts
+from labelloop.operators.prompt import TaskSpec, prompts_from_wide
+from labelloop.operators.retrieve import attach_demo_columns, bounded_demo_table
 from labelloop.plans.rounds import Feedback, initial_round
 
 
@@ -47,16 +48,21 @@ def stream_refine(spark: SparkSession, source_dir: str, schema, out_dir: str, ch
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir)
               .join(trusted, "id", "left")
-              .join(fb.pseudo.select("id", F.col("pred").alias("pseudo")), "id", "left"))
-    long = fb.demos.select("id", F.posexplode("demo_ids").alias("pos", "demo_id")) \
-                   .join(fb.pseudo.select(F.col("id").alias("demo_id"), F.col("pred").alias("demo_label")),
-                         "demo_id", "left")
+              .join(fb.pseudo.select("id", F.col("pred").alias("pseudo")), "id", "left")
+              .join(fb.demos, "id", "left"))
+    # the demos all lists point to: bounded, resolved once, broadcast to every batch
+    side = fb.pseudo.select("id", F.col("pred").cast("bigint").alias("label")).join(corpus_text, "id", "left")
+    demo_table = bounded_demo_table(fb.demos, side, ("text", "label"))
+    if demo_table is None:
+        raise ValueError("demo set too large for the streaming refinery")
+    demo_table = demo_table.cache()
 
     def handle(df: DataFrame) -> DataFrame:
         kept = df.filter(F.col("trusted").isNotNull()).select(
             "id", F.lit(None).cast("string").alias("raw"), F.col("pseudo").cast("int").alias("label"))
-        need = df.filter(F.col("trusted").isNull()).select("id", "text")
-        prompts = build_prompts(need, long.join(need.select("id"), "id"), corpus_text, task)
+        need = df.filter(F.col("trusted").isNull()).select(
+            "id", "text", F.coalesce("demo_ids", F.array().cast("array<bigint>")).alias("demo_ids"))
+        prompts = prompts_from_wide(attach_demo_columns(need, demo_table, ("text", "label")), task)
         asked = parse_labels(annotate(prompts, annotator), task.words).select("id", "raw", "label")
         return asked.unionByName(kept)
 
