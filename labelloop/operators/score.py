@@ -107,3 +107,11 @@ def mean_loss(df: DataFrame, loss: str = "loss", where=None) -> DataFrame:
     """A5: mean cross-entropy over a subset; NULL when the subset is empty."""
     d = df if where is None else df.filter(where)
     return d.agg(F.avg(loss).alias("mean_loss"))
+
+
+def assert_unique(df: DataFrame, key: str) -> DataFrame:
+    """Keyed output must not repeat a key (one aggregate; raises otherwise)."""
+    dup = df.groupBy(key).count().filter("count > 1").limit(1).collect()
+    if dup:
+        raise ValueError(f"duplicate {key} {dup[0][key]}")
+    return df

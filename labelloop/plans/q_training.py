@@ -216,3 +216,28 @@ def q_self_train(spark, sf_dir):
     head = fit_head(softlabel_rows(base, fx.NUM_CLASSES, epoch=EPOCH), fx.NUM_CLASSES, max_iter=50)
     scored = add_scores(score(base.select("id", "label", "embedding"), head), label_col="label")
     return scored.select("id", "pred", "label")
+
+
+@register("q_scatter", "WITH " + fx.SQL_SCORED + """
+SELECT id, pred, round(conf, 6) AS conf FROM fx_scored""")
+def q_scatter(spark, sf_dir):
+    """Per-batch scores land in a table keyed by id (no positional scatter);
+    a duplicate id is an error."""
+    from labelloop.operators.score import assert_unique
+    s = fx.scored(spark, sf_dir)
+    return assert_unique(s, "id").select("id", "pred", F.round("conf", 6).alias("conf"))
+
+
+@register("q_gather_mask", SQL_BASE + f""",
+mb AS (SELECT id, CAST(floor({sql_u('id', 1000 + EPOCH)} * ceil((SELECT count(*) FROM tr) / {BATCH}.0)) AS BIGINT) AS batch
+       FROM tr)
+SELECT mb.id, mb.batch, tr.valid AND tr.chosen AS clean, tr.valid AND NOT tr.chosen AS unchosen
+FROM mb JOIN tr ON tr.id = mb.id""")
+def q_gather_mask(spark, sf_dir):
+    """The chosen mask gathered onto every mini-batch row (equi join on id)."""
+    base = training_base(spark, sf_dir)
+    n = base.count()
+    batches = base.select("id", minibatch_bucket("id", EPOCH, n).alias("batch"))
+    mask = base.select("id", (F.col("valid") & F.col("chosen")).alias("clean"),
+                       (F.col("valid") & ~F.col("chosen")).alias("unchosen"))
+    return batches.join(mask, "id")
