@@ -260,12 +260,19 @@ def fetch_demos(demo_lists: DataFrame, corpus: DataFrame, *, list_col: str = "de
                 id_col: str = "id", corpus_id: str = "id", cols=("text",)) -> DataFrame:
     """Expand an ordered demo-id list and fetch each demo's columns, order kept.
 
-    Returns long form ``(id, pos, demo_id, *cols)``; ``pos`` is 0-based. The corpus
-    side is joined on its key (shuffle join, AQE splits hot demo ids; a demo that
-    appears in every list is exactly the skew case the skew-join handles).
-    """
-    long = demo_lists.select(F.col(id_col).alias("id"),
-                             F.posexplode(list_col).alias("pos", "demo_id"))
+    Returns long form ``(id, pos, demo_id, *cols)``; ``pos`` is 0-based. Demo lists
+    point into a few representatives, so the distinct demos are resolved once
+    into a bounded table and looked up in ``mapInArrow`` (no join on hot keys).
+    Over the bound it falls back to an equi join (AQE splits skewed partitions)."""
+    lists = demo_lists.select(F.col(id_col).alias("id"), F.col(list_col).alias("demo_ids"))
+    table = bounded_demo_table(lists, corpus.withColumnRenamed(corpus_id, "id") if corpus_id != "id" else corpus,
+                               tuple(cols))
+    if table is not None:
+        wide = attach_demo_columns(lists, table, tuple(cols))
+        z = F.arrays_zip(F.col("demo_ids").alias("demo_id"), *[F.col(f"demo_{c}s").alias(c) for c in cols])
+        return wide.select("id", F.posexplode(z).alias("pos", "_z")).select(
+            "id", "pos", "_z.demo_id", *[F.col(f"_z.{c}").alias(c) for c in cols])
+    long = lists.select("id", F.posexplode("demo_ids").alias("pos", "demo_id"))
     side = corpus.select(F.col(corpus_id).alias("demo_id"), *cols)
     return long.join(side, "demo_id", "left").select("id", "pos", "demo_id", *cols)
 
@@ -283,11 +290,16 @@ def bounded_demo_table(demo_lists: DataFrame, corpus: DataFrame, cols: tuple, *,
     """The rows of ``corpus`` that appear in any demo list, or None when there are
     more than ``max_rows`` distinct demos. Demo lists point into a small set of
     representatives, so this is tiny; resolving it once avoids joining every
-    list entry on a handful of very hot keys."""
-    ids = demo_lists.select(F.explode(list_col).alias(corpus_id)).distinct()
-    if ids.limit(max_rows + 1).count() > max_rows:
+    list entry on a handful of very hot keys. The distinct ids are collected
+    under a ``limit`` guard (one pass over the lists, bounded driver memory)."""
+    spark = demo_lists.sparkSession
+    ids = (demo_lists.select(F.explode(list_col).alias(corpus_id)).distinct()
+           .limit(max_rows + 1).toArrow())
+    if ids.num_rows > max_rows:
         return None
-    return corpus.join(F.broadcast(ids), corpus_id).select(corpus_id, *cols)
+    keys = spark.createDataFrame(ids.to_pandas()) if ids.num_rows else \
+        spark.createDataFrame([], f"{corpus_id} bigint")
+    return corpus.join(F.broadcast(keys), corpus_id).select(corpus_id, *cols)
 
 
 def attach_demo_columns(rows: DataFrame, demo_table: DataFrame, cols: tuple, *, list_col: str = "demo_ids",

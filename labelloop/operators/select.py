@@ -149,23 +149,27 @@ def split_clean(df: DataFrame, chosen: str = "chosen", valid: str = "valid") ->
 # Exact per-group top-n by (value desc, id asc) without a window per group
 
 def _kth_largest(df: DataFrame, group: str, val: str, need: dict, buckets: int = 1024,
-                 max_rounds: int = 200) -> dict:
-    """For each group g with need[g] = k >= 1, find the k-th largest value v*
-    and the number of rows strictly above it. Histogram refinement: every round
-    is one ``groupBy(group, bucket)`` with count/min/max over the rows still in
-    play; the bucket holding the k-th row becomes the new interval."""
+                 max_rounds: int = 200, ranges: dict | None = None) -> dict:
+    """For each group g with need[g] = k >= 1, find the k-th largest value v*,
+    the number of rows strictly above it and the number equal to it.
+    Histogram refinement: every round is one ``groupBy(group, bucket)`` with
+    count/min/max over the rows still in play; the bucket holding the k-th row
+    becomes the new interval. ``ranges`` (g -> (lo, hi, n)) saves the first pass."""
     spark = df.sparkSession
-    rng = df.groupBy(group).agg(F.min(val).alias("lo"), F.max(val).alias("hi")).collect()
-    state = {r[group]: {"lo": r["lo"], "hi": r["hi"], "k": need[r[group]], "above": 0}
-             for r in rng if need.get(r[group], 0) > 0}
+    if ranges is None:
+        rng = df.groupBy(group).agg(F.min(val).alias("lo"), F.max(val).alias("hi"),
+                                    F.count(F.lit(1)).alias("n")).collect()
+        ranges = {r[group]: (r["lo"], r["hi"], r["n"]) for r in rng}
+    state = {g: {"lo": lo, "hi": hi, "n": n, "k": need[g], "above": 0}
+             for g, (lo, hi, n) in ranges.items() if need.get(g, 0) > 0}
     done = {}
     for _ in range(max_rounds):
-        for g in [g for g, s in state.items() if s["lo"] == s["hi"]]:
-            s = state.pop(g)
-            done[g] = (s["lo"], s["above"])
+        for g in [g for g, st in state.items() if st["lo"] == st["hi"]]:
+            st = state.pop(g)
+            done[g] = (st["lo"], st["above"], st["n"])
         if not state:
             break
-        params = spark.createDataFrame([(g, float(s["lo"]), float(s["hi"])) for g, s in state.items()],
+        params = spark.createDataFrame([(g, float(st["lo"]), float(st["hi"])) for g, st in state.items()],
                                        f"{group} {dict(df.dtypes)[group]}, _lo double, _hi double")
         v = F.col(val).cast("double")
         bucket = F.least(F.lit(buckets - 1),
@@ -178,13 +182,13 @@ def _kth_largest(df: DataFrame, group: str, val: str, need: dict, buckets: int =
         per = {}
         for r in hist:
             per.setdefault(r[group], []).append((r["b"], r["n"], r["mn"], r["mx"]))
-        for g, s in state.items():
+        for g, st in state.items():
             cum = 0
             for b, n, mn, mx in sorted(per.get(g, [])):
-                if cum + n >= s["k"]:
-                    s["k"] -= cum
-                    s["above"] += cum
-                    s["lo"], s["hi"] = mn, mx
+                if cum + n >= st["k"]:
+                    st["k"] -= cum
+                    st["above"] += cum
+                    st["lo"], st["hi"], st["n"] = mn, mx, n
                     break
                 cum += n
     else:
@@ -193,22 +197,26 @@ def _kth_largest(df: DataFrame, group: str, val: str, need: dict, buckets: int =
 
 
 def top_per_group(df: DataFrame, group: str, val: str, id_col: str, need: dict,
-                  buckets: int = 1024) -> DataFrame:
+                  buckets: int = 1024, ranges: dict | None = None) -> DataFrame:
     """Rows ranked 1..need[g] within each group by (val desc, id asc), exact."""
     spark = df.sparkSession
-    cut = _kth_largest(df, group, val, need, buckets)
-    # ties at the cut value: the smallest ids win -> k-th largest of -id
-    tie_need = {g: need[g] - above for g, (_, above) in cut.items()}
-    ties = df.join(F.broadcast(spark.createDataFrame(
-        [(g, float(v)) for g, (v, _) in cut.items()] or [(None, 0.0)],
-        f"{group} {dict(df.dtypes)[group]}, _v double")), group) \
-        .filter(F.col(val).cast("double") == F.col("_v")) \
-        .select(group, (-F.col(id_col)).alias("_nid"))
-    id_cut = _kth_largest(ties, group, "_nid", tie_need, buckets)
-    rows = [(g, float(cut[g][0]), int(-id_cut[g][0])) for g in cut]
+    cut = _kth_largest(df, group, val, need, buckets, ranges=ranges)
+    gtype = dict(df.dtypes)[group]
+    # rows tied at the cut value: when all of them are needed no id cut is
+    # required; otherwise the smallest ids win -> k-th largest of -id
+    tie_need = {g: need[g] - above for g, (_, above, n_eq) in cut.items() if need[g] - above < n_eq}
+    id_cut = {}
+    if tie_need:
+        ties = df.join(F.broadcast(spark.createDataFrame(
+            [(g, float(cut[g][0])) for g in tie_need], f"{group} {gtype}, _v double")), group) \
+            .filter(F.col(val).cast("double") == F.col("_v")) \
+            .select(group, (-F.col(id_col)).alias("_nid"))
+        id_cut = {g: int(-v) for g, (v, _, _) in _kth_largest(ties, group, "_nid", tie_need, buckets).items()}
+    big = (1 << 63) - 1
+    rows = [(g, float(cut[g][0]), id_cut.get(g, big)) for g in cut]
     if not rows:
         return df.limit(0)
-    th = spark.createDataFrame(rows, f"{group} {dict(df.dtypes)[group]}, _v double, _id bigint")
+    th = spark.createDataFrame(rows, f"{group} {gtype}, _v double, _id bigint")
     v = F.col(val).cast("double")
     return (df.join(F.broadcast(th), group)
             .filter((v > F.col("_v")) | ((v == F.col("_v")) & (F.col(id_col) <= F.col("_id"))))
@@ -222,10 +230,12 @@ def top_fraction(scored: DataFrame, rho: float = 0.2, cls: str = "pred", conf: s
     whose cut is 0 are skipped. Returns the selected rows."""
     m = scored.filter(F.col(where)).select(id_col, cls, conf)
     m = m.persist(StorageLevel.MEMORY_AND_DISK)
-    counts = {r[cls]: int(r["n"]) for r in m.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()}
-    need = {g: int(n * rho) for g, n in counts.items()}
+    stats = m.groupBy(cls).agg(F.count(F.lit(1)).alias("n"), F.min(conf).alias("lo"),
+                               F.max(conf).alias("hi")).collect()          # one row per class
+    ranges = {r[cls]: (r["lo"], r["hi"], int(r["n"])) for r in stats}
+    need = {g: int(n * rho) for g, (_, _, n) in ranges.items()}
     need = {g: k for g, k in need.items() if k > 0}
-    return top_per_group(m, cls, conf, id_col, need, buckets)
+    return top_per_group(m, cls, conf, id_col, need, buckets, ranges=ranges)
 
 
 def top_fraction_window(scored: DataFrame, rho: float = 0.2, cls: str = "pred", conf: str = "conf",

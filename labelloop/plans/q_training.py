@@ -212,8 +212,11 @@ def q_nan_safe_mean(spark, sf_dir):
 def q_self_train(spark, sf_dir):
     """One self-training round - soft-label rows -> LogisticRegression ->
     new head -> predictions for every row (iterative fit: rows-only check)."""
-    base = training_base(spark, sf_dir)
-    head = fit_head(softlabel_rows(base, fx.NUM_CLASSES, epoch=EPOCH), fx.NUM_CLASSES, max_iter=50)
+    from pyspark import StorageLevel
+    base = training_base(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = softlabel_rows(base, fx.NUM_CLASSES, epoch=EPOCH).persist(StorageLevel.MEMORY_AND_DISK)
+    head = fit_head(rows, fx.NUM_CLASSES, max_iter=50)
+    rows.unpersist()
     scored = add_scores(score(base.select("id", "label", "embedding"), head), label_col="label")
     return scored.select("id", "pred", "label")
 
