@@ -30,6 +30,11 @@ def kmeans_clusters(rows: DataFrame, k: int, *, cls: str = "pred", vec: str = "e
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    from labelloop.session import cut_lineage
+    # one reliable checkpoint of the (small) trusted rows: every per-class fit
+    # reads it instead of re-running the scoring lineage, and a lost executor
+    # does not send the fits back to the scan
+    rows = cut_lineage(rows)
     classes = [r[0] for r in rows.select(cls).distinct().collect()]   # <= number of classes
     out = None
     for c in sorted(classes):
