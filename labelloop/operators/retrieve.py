@@ -25,7 +25,9 @@ DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def _list_matrix(arr: pa.Array, dim: int | None = None) -> np.ndarray:
-    """Arrow list<float|double> column -> dense float64 matrix (rows x d)."""
+    """Arrow list<float|double> column -> dense float64 matrix (rows x d).
+    A NULL vector or one of another length becomes a row of NaN (it then has no
+    neighbours and NaN scores) instead of failing the task."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     n = len(arr)
@@ -33,11 +35,20 @@ def _list_matrix(arr: pa.Array, dim: int | None = None) -> np.ndarray:
         return np.zeros((0, dim or 0))
     offsets = np.asarray(arr.offsets)
     lens = np.diff(offsets)
-    d = int(lens[0]) if dim is None else dim
-    if not np.all(lens == d):
-        raise ValueError("all vectors must have the same length")
-    flat = np.asarray(arr.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    return flat.reshape(n, d)
+    valid = np.asarray(arr.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
+    if dim is None:
+        good = lens[valid]
+        dim = int(np.bincount(good).argmax()) if len(good) else 0
+    values = np.asarray(arr.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+    ok = valid & (lens == dim)
+    if ok.all() and offsets[0] == 0 and len(values) == n * dim:
+        return values.reshape(n, dim)
+    out = np.full((n, dim), np.nan)
+    rows = np.nonzero(ok)[0]
+    if len(rows):
+        idx = offsets[rows][:, None] + np.arange(dim)[None, :]
+        out[rows] = values[idx]
+    return out
 
 
 def _normalise(m: np.ndarray) -> np.ndarray:

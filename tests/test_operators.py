@@ -242,3 +242,17 @@ def test_unknown_learning_setting_raises(spark):
     df = spark.createDataFrame([(1, "train")], "id int, split string")
     with pytest.raises(ValueError):
         evaluation_target(df, "tranductive")       # quirk 1: the README typo
+
+
+def test_knn_tolerates_null_and_ragged_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 5.0]), (4, [0.0, 1.0])]
+    q = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    pool = spark.createDataFrame([(10, [1.0, 0.1]), (11, [0.0, 1.0])], "demo_id bigint, embedding array<double>")
+    out = {r["id"]: r["demo_ids"] for r in knn_topk(q, pool, 1, wide=True).collect()}
+    assert out == {1: [10], 2: [], 3: [], 4: [11]}
+
+
+def test_rampup_weight():
+    from labelloop.operators.train import rampup_weight
+    assert [rampup_weight(e) for e in (0, 4, 10, 50)] == [0.0, 0.4, 1.0, 1.0]
+    assert rampup_weight(3, 0) == 1.0
