@@ -170,7 +170,30 @@ def _topk_block(queries: DataFrame, bc, k: int, query_id: str, query_vec: str,
     return q.mapInArrow(run, schema)
 
 
-def knn_topk(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "id",
+class PreparedPool:
+    """A pool collected and broadcast once (size checked), for callers that
+    retrieve against the same pool many times - every micro-batch of a stream.
+    ``release()`` frees the broadcast."""
+
+    def __init__(self, pool: DataFrame, *, pool_id: str = "demo_id", pool_vec: str = "embedding",
+                 pool_group: str | None = None, pool_label: str | None = None, pool_text: str | None = None,
+                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES):
+        text_len = F.sum(F.length(pool_text)) if pool_text else F.lit(0)
+        st = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pool_vec)).alias("d"),
+                      text_len.alias("t")).first()
+        n, d, t = int(st["n"]), int(st["d"] or 0), int(st["t"] or 0)
+        if n * 8 * (d + 3) + 4 * t > max_broadcast_bytes:
+            raise ValueError("pool over the broadcast budget")
+        self.with_group = pool_group is not None
+        self.group_name = pool_group or "grp"
+        self.bc = pool.sparkSession.sparkContext.broadcast(
+            _pool_arrays(pool, pool_id, pool_vec, pool_group, pool_label, pool_text))
+
+    def release(self) -> None:
+        self.bc.destroy()
+
+
+def knn_topk(queries: DataFrame, pool, k: int, *, query_id: str = "id",
              query_vec: str = "embedding", pool_id: str = "demo_id", pool_vec: str = "embedding",
              pool_group: str | None = None, pool_label: str | None = None,
              exclude_self: bool = False, wide: bool = False, keep: tuple = (),
@@ -192,6 +215,11 @@ def knn_topk(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "id
     same broadcast (its size counts against the budget).
     """
     spark = queries.sparkSession
+    if isinstance(pool, PreparedPool):
+        if not wide and keep:
+            raise ValueError("keep needs the wide form")
+        return _topk_block(queries, pool.bc, k, query_id, query_vec, exclude_self, pool.with_group,
+                           pool.group_name, wide, keep)
     text_len = F.sum(F.length(pool_text)) if pool_text else F.lit(0)
     stats = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pool_vec)).alias("d"),
                      text_len.alias("t")).first()
@@ -313,18 +341,31 @@ def bounded_demo_table(demo_lists: DataFrame, corpus: DataFrame, cols: tuple, *,
     return corpus.join(F.broadcast(keys), corpus_id).select(corpus_id, *cols)
 
 
-def attach_demo_columns(rows: DataFrame, demo_table: DataFrame, cols: tuple, *, list_col: str = "demo_ids",
+class PreparedDemoTable:
+    """A bounded demo table collected and broadcast once (size checked)."""
+
+    def __init__(self, demo_table: DataFrame, cols: tuple, *, corpus_id: str = "id",
+                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES):
+        tbl = demo_table.select(F.col(corpus_id).cast("bigint").alias("_id"), *cols).orderBy("_id").toArrow()
+        if sum(c.nbytes for c in tbl.columns) > max_broadcast_bytes:
+            raise ValueError("demo table over the broadcast budget")
+        self.cols = tuple(cols)
+        self.fields = list(demo_table.select(*cols).schema.fields)
+        self.bc = demo_table.sparkSession.sparkContext.broadcast(tbl)
+
+    def release(self) -> None:
+        self.bc.destroy()
+
+
+def attach_demo_columns(rows: DataFrame, demo_table, cols: tuple, *, list_col: str = "demo_ids",
                         corpus_id: str = "id", max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """J3/J4 without a shuffle: for every row, the ``cols`` of its listed demos
     as arrays in list order (``demo_<col>s``), looked up in a broadcast copy of the
     bounded demo table inside ``mapInArrow``. Unknown ids give NULL entries."""
-    spark = rows.sparkSession
-    tbl = demo_table.select(F.col(corpus_id).cast("bigint").alias("_id"), *cols).orderBy("_id").toArrow()
-    size = sum(c.nbytes for c in tbl.columns)
-    if size > max_broadcast_bytes:
-        raise ValueError("demo table over the broadcast budget")
-    bc = spark.sparkContext.broadcast(tbl)
-    out_fields = [f for f in demo_table.select(*cols).schema.fields]
+    prepared = demo_table if isinstance(demo_table, PreparedDemoTable) else \
+        PreparedDemoTable(demo_table, cols, corpus_id=corpus_id, max_broadcast_bytes=max_broadcast_bytes)
+    bc = prepared.bc
+    out_fields = prepared.fields
     schema = T.StructType(list(rows.schema.fields) + [
         T.StructField(f"demo_{f.name}s", T.ArrayType(f.dataType)) for f in out_fields])
     list_idx = rows.columns.index(list_col)

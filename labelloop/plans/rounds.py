@@ -28,6 +28,11 @@ def round_prompts(corpus: DataFrame, pool: DataFrame, task: TaskSpec, *, shots:
     prompt is a projection - no shuffle after the corpus scan. A pool over the
     budget takes the relational path (long-form retrieval, texts joined by id,
     lists regrouped per row)."""
+    from labelloop.operators.retrieve import PreparedPool
+    if isinstance(pool, PreparedPool):
+        wide = knn_topk(corpus.select(id_col, "embedding", "text"), pool, shots, query_id=id_col,
+                        exclude_self=exclude_self, wide=True, keep=("text",))
+        return prompts_from_wide(wide, task, id_col=id_col)
     try:
         wide = knn_topk(corpus.select(id_col, "embedding", "text"), pool, shots, query_id=id_col,
                         pool_label="anno", exclude_self=exclude_self, wide=True, keep=("text",),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from labelloop.operators.annotate import annotate, majority_answer_annotator, parse_labels
 from labelloop.operators.prompt import TaskSpec, prompts_from_wide
-from labelloop.operators.retrieve import attach_demo_columns, bounded_demo_table
+from labelloop.operators.retrieve import (PreparedDemoTable, PreparedPool, attach_demo_columns,
+                                         bounded_demo_table)
 from labelloop.plans.rounds import Feedback, initial_round
 
 
@@ -31,10 +32,16 @@ def _run(stream: DataFrame, handle, out_dir: str, checkpoint: str) -> None:
 def stream_annotate(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint: str,
                     pool: DataFrame, task: TaskSpec,
                     annotator=majority_answer_annotator, max_files_per_trigger: int = 1) -> DataFrame:
-    """ST1: (id, text, embedding) files -> labels, one folder per micro-batch."""
+    """ST1: (id, text, embedding) files -> labels, one folder per micro-batch.
+    The pool (vectors, labels, texts) is collected and broadcast once for the
+    whole stream, not once per micro-batch."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
-    _run(stream, lambda df: initial_round(df, pool, task, annotator).select("id", "raw", "label"),
-         out_dir, checkpoint)
+    prepared = PreparedPool(pool, pool_label="anno", pool_text="text")
+    try:
+        _run(stream, lambda df: initial_round(df, prepared, task, annotator).select("id", "raw", "label"),
+             out_dir, checkpoint)
+    finally:
+        prepared.release()
     return spark.read.parquet(out_dir)
 
 
@@ -55,7 +62,7 @@ def stream_refine(spark: SparkSession, source_dir: str, schema, out_dir: str, ch
     demo_table = bounded_demo_table(fb.demos, side, ("text", "label"))
     if demo_table is None:
         raise ValueError("demo set too large for the streaming refinery")
-    demo_table = demo_table.cache()
+    demo_table = PreparedDemoTable(demo_table, ("text", "label"))     # broadcast once for all batches
 
     def handle(df: DataFrame) -> DataFrame:
         kept = df.filter(F.col("trusted").isNotNull()).select(
@@ -66,5 +73,8 @@ def stream_refine(spark: SparkSession, source_dir: str, schema, out_dir: str, ch
         asked = parse_labels(annotate(prompts, annotator), task.words).select("id", "raw", "label")
         return asked.unionByName(kept)
 
-    _run(stream, handle, out_dir, checkpoint)
+    try:
+        _run(stream, handle, out_dir, checkpoint)
+    finally:
+        demo_table.release()
     return spark.read.parquet(out_dir)
