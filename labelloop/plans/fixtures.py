@@ -61,6 +61,11 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labs, "id", "left")
 
 
+def documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of every document, for jobs that need no label."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_text_vec: documents joined to embeddings on doc_id = vec_id
     -> (id, text, label, embedding)."""

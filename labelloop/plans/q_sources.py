@@ -146,7 +146,7 @@ SELECT a.id, CAST(least(len(p.pieces), 126) + 2 AS BIGINT) AS n_real, CAST(6 AS
 FROM aug a JOIN pc p ON p.id = a.id""")
 def q_collate(spark, sf_dir):
     """P10: batch columns with paraphrase inputs (6 fields) for the augmented split."""
-    vocab = TK.build_vocab(fx.text_corpus(spark, sf_dir), max_size=VOCAB_SIZE)
+    vocab = TK.build_vocab(fx.documents_text(spark, sf_dir), max_size=VOCAB_SIZE)
     aug = augment(para_table(spark, sf_dir))
     a = TK.encode(aug, vocab, "text")
     b = TK.encode(aug.select("id", F.col("text_bt").alias("text")), vocab, "text", prefix="")
@@ -201,7 +201,7 @@ def q_feature_cache(spark, sf_dir):
     """Encoded features cached by (mode, tokenizer, max_len, task); the
     second call reads the stage table instead of re-encoding."""
     root = scratch_dir(spark, "features")
-    corpus = fx.text_corpus(spark, sf_dir)
+    corpus = fx.documents_text(spark, sf_dir)
     key = {"mode": "train", "tokenizer": "wordpiece", "max_len": 128, "task": "corpus"}
 
     def build():
@@ -217,7 +217,7 @@ SELECT token_id, token FROM vocab""")
 def q_vocab_sink(spark, sf_dir):
     """Vocabulary written one token per line in id order."""
     path = scratch_dir(spark, "vocab")
-    write_vocab(TK.build_vocab(fx.text_corpus(spark, sf_dir), max_size=VOCAB_SIZE), path)
+    write_vocab(TK.build_vocab(fx.documents_text(spark, sf_dir), max_size=VOCAB_SIZE), path)
     return read_vocab(spark, path).select("token_id", "token")
 
 
@@ -226,7 +226,7 @@ SELECT token, token_id FROM vocab""")
 def q_vocab_scan(spark, sf_dir):
     """Vocabulary file read back: stripped line -> id = line number."""
     path = scratch_dir(spark, "vocab")
-    write_vocab(TK.build_vocab(fx.text_corpus(spark, sf_dir), max_size=VOCAB_SIZE), path)
+    write_vocab(TK.build_vocab(fx.documents_text(spark, sf_dir), max_size=VOCAB_SIZE), path)
     return read_vocab(spark, path)
 
 
@@ -308,7 +308,7 @@ per AS (SELECT id, CAST(sum(mask) AS BIGINT) AS n_real FROM enc GROUP BY id)
 SELECT id, n_real FROM per ORDER BY id LIMIT 2""")
 def q_preview(spark, sf_dir):
     """O1: preview of the first two encoded features (top-2 by id)."""
-    corpus = fx.text_corpus(spark, sf_dir)
+    corpus = fx.documents_text(spark, sf_dir)
     enc = TK.encode(corpus, TK.build_vocab(corpus, max_size=VOCAB_SIZE), max_length=128)
     return enc.select("id", F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
                       .alias("n_real")).orderBy("id").limit(2)

@@ -45,7 +45,8 @@ lid AS (SELECT lp.id, lp.pos, lp.token, coalesce(v.token_id, 1) AS token_id FROM
 
 
 def corpus(spark, sf_dir):
-    return fx.text_corpus(spark, sf_dir)
+    """Text jobs need (id, text) only: read documents without the label join."""
+    return fx.documents_text(spark, sf_dir)
 
 
 def vocab_of(spark, sf_dir):
