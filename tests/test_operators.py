@@ -256,3 +256,23 @@ def test_rampup_weight():
     from labelloop.operators.train import rampup_weight
     assert [rampup_weight(e) for e in (0, 4, 10, 50)] == [0.0, 0.4, 1.0, 1.0]
     assert rampup_weight(3, 0) == 1.0
+
+
+def test_selection_independent_of_partitioning(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 4)), float(np.round(rng.normal(), 2)), bool(rng.random() < 0.8))
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, pred int, conf double, matched boolean")
+    a = sorted(r[0] for r in S.top_fraction(df.repartition(1)).select("id").collect())
+    b = sorted(r[0] for r in S.top_fraction(df.repartition(13)).select("id").collect())
+    assert a == b and len(a) > 0
+
+
+def test_gmm_recovers_known_components(spark):
+    rng = np.random.default_rng(9)
+    xs = np.concatenate([rng.normal(0.2, 0.03, 3000), rng.normal(0.8, 0.03, 1000)])
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    mix = S.fit_gmm(df)
+    lo, hi = sorted(mix.means)
+    assert abs(lo - 0.2) < 0.01 and abs(hi - 0.8) < 0.01
+    assert abs(mix.weights[mix.clean_component] - 0.75) < 0.01
