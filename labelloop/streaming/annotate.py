@@ -19,13 +19,16 @@ from labelloop.operators.retrieve import (PreparedDemoTable, PreparedPool, attac
 from labelloop.plans.rounds import Feedback, initial_round
 
 
-def _run(stream: DataFrame, handle, out_dir: str, checkpoint: str) -> None:
+def _run(stream: DataFrame, handle, out_dir: str, checkpoint: str, processing_time: str | None = None) -> None:
     def batch(df: DataFrame, batch_id: int) -> None:
         handle(df).withColumn("batch_id", F.lit(batch_id)) \
                   .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    # availableNow: drain what has arrived and stop (batch-like runs, tests);
+    # processing_time (e.g. "1 minute"): keep labelling files as they land
+    w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
+    q = w.start()
     q.awaitTermination()
 
 

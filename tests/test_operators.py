@@ -276,3 +276,16 @@ def test_gmm_recovers_known_components(spark):
     lo, hi = sorted(mix.means)
     assert abs(lo - 0.2) < 0.01 and abs(hi - 0.8) < 0.01
     assert abs(mix.weights[mix.clean_component] - 0.75) < 0.01
+
+
+def test_paraphraser_callable_batches_of_32(spark):
+    from labelloop.operators.augment import augment
+    sizes = []
+
+    def upper(batch):
+        sizes.append(len(batch))
+        return [t.upper() for t in batch]
+    rows = [(i, f"text {i}", None if i % 3 else f"kept {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "id bigint, text string, text_bt string").coalesce(1)
+    out = {r["id"]: r["text_bt"] for r in augment(df, paraphraser=upper).collect()}
+    assert out[0] == "kept 0" and out[1] == "TEXT 1" and len(out) == 100
