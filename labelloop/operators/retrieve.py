@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,6 +221,20 @@ def knn_topk(queries: DataFrame, pool, k: int, *, query_id: str = "id",
             raise ValueError("keep needs the wide form")
         return _topk_block(queries, pool.bc, k, query_id, query_vec, exclude_self, pool.with_group,
                            pool.group_name, wide, keep)
+    # the pool is read twice (size check, then collect): evaluate it once
+    pool = pool.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _knn_from_pool(queries, pool, k, query_id=query_id, query_vec=query_vec, pool_id=pool_id,
+                              pool_vec=pool_vec, pool_group=pool_group, pool_label=pool_label,
+                              exclude_self=exclude_self, wide=wide, keep=keep, pool_text=pool_text,
+                              max_broadcast_bytes=max_broadcast_bytes)
+    finally:
+        pool.unpersist()
+
+
+def _knn_from_pool(queries: DataFrame, pool: DataFrame, k: int, *, query_id, query_vec, pool_id, pool_vec,
+                   pool_group, pool_label, exclude_self, wide, keep, pool_text, max_broadcast_bytes) -> DataFrame:
+    spark = queries.sparkSession
     text_len = F.sum(F.length(pool_text)) if pool_text else F.lit(0)
     stats = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pool_vec)).alias("d"),
                      text_len.alias("t")).first()
@@ -281,12 +296,17 @@ def class_prototypes(df: DataFrame, per_class: int, *, id_col: str = "id", label
     from labelloop.functions.vectors import as_double, l2_distance
 
     lab = df.filter(F.col(label_col).isNotNull() & (F.col(label_col) >= 0))
-    means = (lab.groupBy(label_col)
-             .agg(Summarizer.mean(array_to_vector(as_double(vec_col))).alias("_m"))
-             .select(label_col, vector_to_array("_m").alias("_mean")))
-    n_classes = means.count()
-    if n_classes > max_classes:
-        raise ValueError(f"{n_classes} classes exceed the broadcast bound {max_classes}")
+    # one pass for the class means, collected under a bound (classes x d)
+    rows = (lab.groupBy(label_col)
+            .agg(Summarizer.mean(array_to_vector(as_double(vec_col))).alias("_m"))
+            .select(label_col, vector_to_array("_m").alias("_mean"))
+            .limit(max_classes + 1).collect())
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes: over the broadcast bound")
+    spark = df.sparkSession
+    ltype = dict(df.dtypes)[label_col]
+    means = spark.createDataFrame([(r[label_col], list(r["_mean"])) for r in rows],
+                                  f"{label_col} {ltype}, _mean array<double>")
     scored = lab.join(F.broadcast(means), label_col).withColumn(
         "dist", l2_distance(as_double(vec_col), F.col("_mean")))
     w = Window.partitionBy(label_col).orderBy(F.col("dist").asc(), F.col(id_col).asc())
