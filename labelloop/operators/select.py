@@ -228,8 +228,10 @@ def top_fraction(scored: DataFrame, rho: float = 0.2, cls: str = "pred", conf: s
     """Among rows with ``where`` (matched), per predicted class keep the
     ``int(n_j * rho)`` most confident rows (raw max logit, ties by id). Classes
     whose cut is 0 are skipped. Returns the selected rows."""
-    m = scored.filter(F.col(where)).select(id_col, cls, conf)
-    m = m.persist(StorageLevel.MEMORY_AND_DISK)
+    from labelloop.session import cut_lineage
+    # the matched rows are read by every histogram round and by the final
+    # filter: one reliable checkpoint (no cache left pinned, survives executor loss)
+    m = cut_lineage(scored.filter(F.col(where)).select(id_col, cls, conf))
     stats = m.groupBy(cls).agg(F.count(F.lit(1)).alias("n"), F.min(conf).alias("lo"),
                                F.max(conf).alias("hi")).collect()          # one row per class
     ranges = {r[cls]: (r["lo"], r["hi"], int(r["n"])) for r in stats}
