@@ -39,6 +39,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -81,3 +82,25 @@ def ensure_parallelism(df, factor: int = 1):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+_SHIPPED: set = set()
+_ZIP: list = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``labelloop`` importable in the Python workers (functions shipped to
+    executors are pickled by module reference): zip the package once per
+    process and ``addPyFile`` it once per SparkContext."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    if not _ZIP:
+        import shutil
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        out = tempfile.mkdtemp(prefix="labelloop-pkg-")
+        _ZIP.append(shutil.make_archive(os.path.join(out, "labelloop"), "zip",
+                                        root_dir=os.path.dirname(pkg_dir), base_dir="labelloop"))
+    sc.addPyFile(_ZIP[0])
+    _SHIPPED.add(key)
