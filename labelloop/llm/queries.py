@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from labelloop.llm.bpe import bpe_decode, bpe_encode, token_counts
 from labelloop.llm.common import table
+from labelloop.llm.simhash import simhash_dedup
 from labelloop.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable] = {}
@@ -19,3 +24,20 @@ def query(fn):
 @query
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op5_simhash_dedup(spark, sf_dir):
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    x = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return x.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 512)
