@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloop.llm.bpe import bpe_decode, bpe_encode, token_counts
 from labelloop.llm.common import table
+from labelloop.llm.quality_rules import QUALITY_SQL, quality_rules
 from labelloop.llm.simhash import simhash_dedup
 from labelloop.llm.suffix_dedup import suffix_dedup
 
@@ -41,3 +42,11 @@ def op3_byte_bpe(spark, sf_dir):
 @query
 def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 512)
+
+
+@query
+def op10_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+ORACLES["op10_quality_rules"] = QUALITY_SQL
