@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloop.llm.bpe import bpe_decode, bpe_encode, token_counts
 from labelloop.llm.common import table
+from labelloop.llm.decontaminate import DECONTAMINATE_SQL, decontaminate
 from labelloop.llm.quality_rules import QUALITY_SQL, quality_rules
 from labelloop.llm.simhash import simhash_dedup
 from labelloop.llm.suffix_dedup import suffix_dedup
@@ -50,3 +51,11 @@ def op10_quality_rules(spark, sf_dir):
 
 
 ORACLES["op10_quality_rules"] = QUALITY_SQL
+
+
+@query
+def op9_decontamination(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op9_decontamination"] = DECONTAMINATE_SQL
