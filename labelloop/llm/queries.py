@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelloop.llm.bpe import bpe_decode, bpe_encode, token_counts
 from labelloop.llm.common import table
 from labelloop.llm.decontaminate import DECONTAMINATE_SQL, decontaminate
+from labelloop.llm.kneser_ney import quality_scores
 from labelloop.llm.quality_rules import QUALITY_SQL, quality_rules
 from labelloop.llm.simhash import simhash_dedup
 from labelloop.llm.suffix_dedup import suffix_dedup
@@ -59,3 +60,8 @@ def op9_decontamination(spark, sf_dir):
 
 
 ORACLES["op9_decontamination"] = DECONTAMINATE_SQL
+
+
+@query
+def op2_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
