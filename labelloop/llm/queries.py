@@ -14,6 +14,7 @@ from labelloop.llm.kneser_ney import quality_scores
 from labelloop.llm.quality_rules import QUALITY_SQL, quality_rules
 from labelloop.llm.simhash import simhash_dedup
 from labelloop.llm.suffix_dedup import suffix_dedup
+from labelloop.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +66,8 @@ ORACLES["op9_decontamination"] = DECONTAMINATE_SQL
 @query
 def op2_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
