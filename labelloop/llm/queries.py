@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelloop.llm.bpe import bpe_decode, bpe_encode, token_counts
 from labelloop.llm.common import table
 from labelloop.llm.decontaminate import DECONTAMINATE_SQL, decontaminate
+from labelloop.llm.html_extract import extract_main_text
 from labelloop.llm.kneser_ney import quality_scores
 from labelloop.llm.quality_rules import QUALITY_SQL, quality_rules
 from labelloop.llm.simhash import simhash_dedup
@@ -71,3 +72,8 @@ def op2_quality_classifier(spark, sf_dir):
 @query
 def op8_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_html_extraction(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages"))
