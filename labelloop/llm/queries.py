@@ -12,6 +12,7 @@ from labelloop.llm.common import table
 from labelloop.llm.decontaminate import DECONTAMINATE_SQL, decontaminate
 from labelloop.llm.html_extract import extract_main_text
 from labelloop.llm.kneser_ney import quality_scores
+from labelloop.llm.language_id import identify_languages
 from labelloop.llm.quality_rules import QUALITY_SQL, quality_rules
 from labelloop.llm.simhash import simhash_dedup
 from labelloop.llm.suffix_dedup import suffix_dedup
@@ -77,3 +78,8 @@ def op8_toxicity(spark, sf_dir):
 @query
 def op7_html_extraction(spark, sf_dir):
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_language_id(spark, sf_dir):
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
