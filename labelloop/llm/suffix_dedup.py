@@ -32,6 +32,7 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -261,21 +262,27 @@ def _settle(entries: DataFrame, leave_open: bool, length: int) -> DataFrame:
             .groupBy("chunk").applyInArrow(_by_document(length), "doc_id long, th long, spans binary, open binary"))
 
 
+def cut(text: bytes, *spans: bytes | None) -> tuple[bytes, int]:
+    """What is left of ``text``, and the number of maximal runs removed."""
+    found = [np.frombuffer(x, np.uint32).reshape(2, -1) for x in spans if x is not None]
+    if not found:
+        return text, 0
+    runs = _spans(*np.concatenate(found, axis=1).astype(np.int64))
+    at, kept = 0, []
+    for start, stop in runs.T.tolist():
+        kept.append(text[at:start])
+        at = stop
+    return b"".join([*kept, text[at:]]), runs.shape[1]
+
+
 def _remover(batches):
     for batch in batches:
         for block in blocks(batch):
-            data, offsets = text_bytes(block)
-            raw, out = data.tobytes(), []
-            for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                found = [np.frombuffer(x.as_py(), np.uint32).reshape(2, -1) for x in (block.column("spans1")[i], block.column("spans2")[i]) if x.is_valid]
-                both = np.concatenate(found, axis=1).astype(np.int64) if found else np.zeros((2, 0), np.int64)
-                spans = _spans(*both) if both.shape[1] else both
-                at, kept = 0, []
-                for x, y in spans.T.tolist():
-                    kept.append(raw[a + at:a + x])
-                    at = y
-                kept = b"".join([*kept, raw[a + at:b]])
-                out.append((block.column("doc_id")[i].as_py(), int(b - a), int(b - a) - len(kept), spans.shape[1], hashlib.sha256(kept).hexdigest(), kept))
+            out = []
+            for i, text, *spans in zip(*(block.column(c).to_pylist() for c in ("doc_id", "text", "spans1", "spans2")), strict=True):
+                raw = text.encode()
+                kept, n = cut(raw, *spans)
+                out.append((i, len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
             yield _as_batch(out, [x.split()[0] for x in _REMOVED.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()])
 
 
@@ -308,3 +315,16 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = duplicate_spans(docs, length)
     return (docs.withColumn("th", F.xxhash64("text")).join(spans, ["doc_id", "th"], "left")
             .select("doc_id", "text", "spans1", "spans2").mapInArrow(_remover, _REMOVED))
+
+
+def _cut_text(text: pd.Series, spans1: pd.Series, spans2: pd.Series) -> pd.Series:
+    return pd.Series([t if a is None and b is None else cut(t.encode(), a, b)[0].decode(errors="ignore") for t, a, b in zip(text, spans1, spans2, strict=True)])
+
+
+def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``df`` with the shortened texts, all other columns as they are. Bytes of a character that
+    was cut through go too; a null text stays null."""
+    spans = duplicate_spans(documents(df, id_col, text_col), length).withColumnsRenamed({"doc_id": "__id", "th": "__th", "spans1": "__s1", "spans2": "__s2"})
+    x = df.join(spans, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__th")), "left")
+    shorter = F.when(F.col("__s1").isNull() & F.col("__s2").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_cut_text, "string")(F.col(text_col).cast("string"), "__s1", "__s2"))
+    return x.withColumn(text_col, shorter).select(*df.columns)
