@@ -253,8 +253,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         "doc_id", "text", "lang", F.when(F.col("trusted_id").isNull(), 0).when(part == 0, 2).otherwise(1).alias("trusted"))
     model = kneser_ney(rows.filter("trusted = 1").select("text"), order)
     scored = log_probabilities(rows.withColumn("uid", F.xxhash64("text")), model, order, shard_rows)
-    scored = scored.withColumn("bin", F.round(F.col("log_prob") / F.col("n_bytes") * -1000).cast("long")).withColumn(
-        "size", F.when(F.col("n_bytes") > 0, F.least(F.floor(F.log(F.col("n_bytes").cast("double")) / math.log(4)), F.lit(6))).cast("int"))
+    scored = scored.withColumn("bin", F.round(F.try_divide("log_prob", "n_bytes") * -1000).cast("long")).withColumn(
+        "size", F.when(F.col("n_bytes") > 0, F.least(F.floor(F.log(F.greatest("n_bytes", F.lit(1)).cast("double")) / math.log(4)), F.lit(6))).cast("int"))
     scored = stored(scored, "scores")
     held = scored.filter("trusted = 2 and n_bytes > 0")
     x = scored
@@ -263,6 +263,6 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         on = [F.col(k) == F.col(f"{name}_{k}") for k in keys] or F.lit(True)
         x = x.join(F.broadcast(table), on, "left")
     long = F.when(F.col("n_bytes") >= LONG, F.coalesce("c", "d"))
-    x = x.select("doc_id", "lang", "n_bytes", "log_prob", F.exp(-F.col("log_prob") / F.col("n_bytes")).alias("perplexity"),
+    x = x.select("doc_id", "lang", "n_bytes", "log_prob", F.exp(-F.try_divide("log_prob", "n_bytes")).alias("perplexity"),
                  F.exp(F.coalesce("a", "b", long) / 1000 + math.log1p(SLACK)).alias("threshold"))
     return x.withColumn("kept", F.when(F.col("n_bytes") == 0, False).otherwise(F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))
