@@ -2,10 +2,11 @@
 
 Texts become lower-cased runs of letters and digits. A mask keeps five of the words it spans and
 ignores the others; every position of every mask is hashed on both sides, and equal hashes join.
-A hit fixes an alignment, and the ``WINDOW`` words of the item around it (the whole item if it is
-shorter) are compared with the text word by word: ``MATCH_PERCENT`` of them must agree, so some
-words of a copied passage may be replaced. The masks leave a hit for every way to replace three
-words of a window of 15.
+A hit fixes an alignment, and the windows of ``WINDOW`` words of the item around it (the whole item
+if it is shorter) are compared with the text word by word: in one of them ``MATCH_PERCENT`` must
+agree, so some words of a copied passage may be replaced. The masks leave a hit for every way to replace
+three words of a window of 15; of shorter items, only some ways to replace one word of 5 to 7 and
+three ways of 45 to replace two of 10 leave none.
 
 The benchmark's hashes are broadcast up to ``MAX_BROADCAST_SEEDS``; beyond that the same hits come
 from a shuffled join, and the texts join once more for the comparison. A popular item is only a
@@ -52,14 +53,14 @@ def _span(mask: Column) -> Column:
 
 
 def _agrees() -> Column:
-    """Whether the window of the item around the hit agrees with the text on the same alignment."""
+    """Whether a window of the item around the hit agrees with the text on the same alignment."""
     size = F.least(F.col("item_n"), F.lit(WINDOW))
-    middle = F.col("item_pos") - F.floor((size - _span(F.col("mask"))) / 2).cast("int")
-    start = F.greatest(F.lit(1), F.least(middle, F.col("item_n") - size + 1))
-    there = start + F.col("pos") - F.col("item_pos")
-    cut = F.greatest(F.lit(0), 1 - there)
-    same = F.zip_with(F.slice("item_h", start + cut, size - cut), F.slice("h", there + cut, size - cut), lambda a, b: F.when(a == b, 1).otherwise(0))
-    return 100 * F.aggregate(same, F.lit(0), lambda s, v: s + v) >= MATCH_PERCENT * size
+    first = F.greatest(F.lit(1), F.col("item_pos") + _span(F.col("mask")) - size)
+    last = F.least(F.col("item_pos"), F.col("item_n") - size + 1)
+    shift = F.col("pos") - F.col("item_pos") - 1
+    same = F.transform(F.sequence(first, last + size - 1), lambda i: F.when(F.get("item_h", i - 1) == F.get("h", i + shift), 1).otherwise(0))
+    enough = lambda s: lambda k: 100 * F.aggregate(F.slice(s, k, size), F.lit(0), lambda x, y: x + y) >= MATCH_PERCENT * size
+    return F.exists(F.array(same), lambda s: F.exists(F.sequence(F.lit(1), last - first + 1), enough(s)))
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, max_broadcast_seeds: int = MAX_BROADCAST_SEEDS) -> DataFrame:
@@ -107,9 +108,9 @@ dk AS ({_sql_keys("d")}),
 bk AS ({_sql_keys("(SELECT * FROM b WHERE len(w) >= 5)")}),
 hit AS (SELECT dk.id AS doc_id, bk.id AS item_id, dk.w AS dw, bk.w AS bw, dk.p AS dp, bk.p AS bp, bk.span,
   least(len(bk.w), {WINDOW}) AS size FROM dk JOIN bk ON dk.mask = bk.mask AND dk.key = bk.key),
-placed AS (SELECT *, greatest(1, least(bp - CAST(floor((size - span) / 2.0) AS BIGINT), len(bw) - size + 1)) AS s FROM hit),
-agree AS (SELECT doc_id, item_id FROM placed
-  WHERE 100 * len(list_filter(range(s, s + size), lambda i: i + dp - bp >= 1 AND i + dp - bp <= len(dw) AND bw[i] = dw[i + dp - bp])) >= {MATCH_PERCENT} * size),
+agree AS (SELECT doc_id, item_id FROM hit
+  WHERE len(list_filter(range(greatest(1, bp + span - size), least(bp, len(bw) - size + 1) + 1), lambda s:
+    100 * len(list_filter(range(s, s + size), lambda i: i + dp - bp >= 1 AND i + dp - bp <= len(dw) AND bw[i] = dw[i + dp - bp])) >= {MATCH_PERCENT} * size)) > 0),
 pair AS (SELECT doc_id, item_id, count(*) AS n FROM agree GROUP BY 1, 2),
 found AS (SELECT doc_id, count(*) AS n_items, CAST(sum(n) AS BIGINT) AS n_hits FROM pair GROUP BY 1)
 SELECT d.id AS doc_id, found.n_items IS NOT NULL AS contaminated, coalesce(found.n_items, 0) AS n_items, coalesce(found.n_hits, 0) AS n_hits

@@ -47,3 +47,66 @@ def simhash_components(rows, bits=2):
                 x, y = sorted((find(i), find(j)))
                 parent[y] = x
     return [(i, f"{f:016x}", None if i is None else find(i)) for i, f in prints]
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney over bytes, from dictionaries of strings."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        top = {}
+        for t in texts:
+            b = bytes(order - 1) + t.encode()
+            for i in range(order - 1, len(b)):
+                g = b[i - order + 1:i + 1]
+                top[g] = top.get(g, 0) + 1
+        self.counts = {order: top}
+        for n in range(order - 1, 0, -1):
+            c = {}
+            for g in self.counts[n + 1]:
+                c[g[1:]] = c.get(g[1:], 0) + 1
+            self.counts[n] = c
+        self.discounts, self.contexts = {}, {}
+        for n, c in self.counts.items():
+            m = [0] + [sum(v == k for v in c.values()) for k in range(1, 5)]
+            y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0.5
+            self.discounts[n] = [0] + [min(max(k - (k + 1) * y * m[k + 1] / m[k], 0.05), k - 0.05) if m[k] else 0.5 * k for k in range(1, 4)]
+            for g, v in c.items():
+                self.contexts.setdefault((n, g[:-1]), []).append(v)
+
+    def p(self, gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / 256
+        seen = self.contexts.get((n, gram[:-1]))
+        if not seen:
+            return self.p(gram[1:])
+        d = self.discounts[n]
+        own = self.counts[n].get(gram, 0)
+        weight = sum(d[min(v, 3)] for v in seen) / sum(seen)
+        return max(own - d[min(own, 3)], 0) / sum(seen) + weight * self.p(gram[1:])
+
+    def log_prob(self, text):
+        import math
+        b = bytes(self.order - 1) + text.encode()
+        return sum(math.log(self.p(b[i - self.order + 1:i + 1])) for i in range(self.order - 1, len(b)))
+
+
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def contaminated(text, items, window=15, percent=80):
+    """Whether an aligned window of an item agrees with the text in enough words."""
+    w = words(text)
+    for item in items:
+        v = words(item)
+        size = min(window, len(v))
+        if len(v) < 5:
+            continue
+        for s in range(len(v) - size + 1):
+            for at in range(-size + 1, len(w)):
+                same = sum(0 <= at + k < len(w) and v[s + k] == w[at + k] for k in range(size))
+                if 100 * same >= percent * size:
+                    return True
+    return False
