@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloop.llm.bpe import bpe_decode, bpe_encode
-from labelloop.llm.common import stored, table
+from labelloop.llm.common import stored, table, unused
 from labelloop.llm.decontaminate import decontaminate
 from labelloop.llm.kneser_ney import quality_scores
 from labelloop.llm.simhash import simhash_dedup
@@ -25,8 +25,9 @@ ORACLE_SQL = None
 
 
 def _matched(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    keys = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), how)
+    key = unused(docs, "matched_id")
+    keys = ids.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), how)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest id of each near-duplicate group."""
     first = simhash_dedup(docs).filter("component_id is null or component_id = doc_id")
     kept = _matched(docs, first, "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
         return kept
-    again = F.col("doc_id") == F.col("__id")
-    return kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
+    return _matched(kept, repeated, "left_anti").union(_matched(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,14 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the table has such a column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with at most ``limit`` text bytes (one row at least)."""
     n = batch.num_rows

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloop.llm.common import blocks, documents, mixed, stored, text_bytes, total_bytes
+from labelloop.llm.common import blocks, documents, mixed, stored, text_bytes, total_bytes, unused
 
 LENGTH, SAMPLE = 50, 20
 BUCKET = 1 << 20
@@ -324,7 +324,10 @@ def _cut_text(text: pd.Series, spans1: pd.Series, spans2: pd.Series) -> pd.Serie
 def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``df`` with the shortened texts, all other columns as they are. Bytes of a character that
     was cut through go too; a null text stays null."""
-    spans = duplicate_spans(documents(df, id_col, text_col), length).withColumnsRenamed({"doc_id": "__id", "th": "__th", "spans1": "__s1", "spans2": "__s2"})
-    x = df.join(spans, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__th")), "left")
-    shorter = F.when(F.col("__s1").isNull() & F.col("__s2").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_cut_text, "string")(F.col(text_col).cast("string"), "__s1", "__s2"))
+    key, th, one, two = (unused(df, n) for n in ("span_id", "span_th", "span_1", "span_2"))
+    spans = duplicate_spans(documents(df, id_col, text_col), length).select(
+        F.col("doc_id").alias(key), F.col("th").alias(th), F.col("spans1").alias(one), F.col("spans2").alias(two))
+    text = F.col(text_col).cast("string")
+    x = df.join(spans, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(th)), "left")
+    shorter = F.when(F.col(one).isNull() & F.col(two).isNull(), F.col(text_col)).otherwise(F.pandas_udf(_cut_text, "string")(text, one, two))
     return x.withColumn(text_col, shorter).select(*df.columns)
