@@ -2,14 +2,13 @@
 
 Vocabulary build is a word count with partial aggregation (hot pieces such as
 "▁the" are combined map-side, so the shuffle carries one row per piece and
-partition). The vocabulary is capped at ``max_size`` entries like any
-sentence-piece model; every other piece maps to [UNK], which is the exact
-tokenizer semantics, not a sample.
-
-Encoding looks ids up with Arrow's vectorised ``index_in`` against the
-broadcast vocabulary (size checked), inside ``mapInArrow``: no shuffle, no
-per-token Python. ``token_ids_join`` is the relational form (explode + join +
-regroup) for a vocabulary over the broadcast budget.
+partition). Every piece of the corpus is kept; ids follow the global order of
+the counts and are numbered by partition offsets.
+
+Encoding and decoding are joins on the piece or the id, for any vocabulary
+size: the vocabulary side is small rows, a frequent piece is dealt over
+``SALT`` parts by its text, and Spark broadcasts the vocabulary by itself when
+its measured size allows it.
 """
 
 from __future__ import annotations
@@ -21,10 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloop.session import ensure_parallelism
+from labelloop.sources.tables import numbered
 from labelloop.functions.text import (CLS_ID, PAD_ID, SEP_ID, SPECIAL_TOKENS, UNK_ID, WORD_MARK,
                                       arrow_pieces, normalise, word_pieces)
 
-MAX_BROADCAST_VOCAB = 5_000_000
+SALT = 8
 
 
 def pieces(df: DataFrame, text_col: str = "text", out: str = "pieces", lower: bool = False) -> DataFrame:
@@ -32,31 +32,17 @@ def pieces(df: DataFrame, text_col: str = "text", out: str = "pieces", lower: bo
     return df.withColumn(out, word_pieces(normalise(F.col(text_col), lower=lower)))
 
 
-def build_vocab(texts: DataFrame, text_col: str = "text", max_size: int | None = 32_000,
-                lower: bool = False, specials=SPECIAL_TOKENS) -> DataFrame:
-    """(token, token_id, count). Special tokens take ids 0..S-1, then pieces
-    by count descending, token ascending. With ``max_size`` the most frequent
-    ``max_size - S`` pieces are kept (a top-k: partial per partition, bounded
-    merge); without it every piece is kept and ids come from ``zipWithIndex``
-    over the globally sorted counts."""
+def build_vocab(texts: DataFrame, text_col: str = "text", lower: bool = False, specials=SPECIAL_TOKENS) -> DataFrame:
+    """(token, token_id, count). Special tokens take ids 0..S-1, then every
+    piece by count descending, token ascending. The result reads a written
+    table: the corpus is counted once however often it is used."""
     counts = (piece_counts(texts.select(text_col), text_col, lower=lower)
               .filter(~F.col("token").isin(*specials))
               .groupBy("token").agg(F.sum("n").alias("count")))
-    spark = texts.sparkSession
-    n_special = len(specials)
-    order = [F.col("count").desc(), F.col("token").asc()]
-    if max_size is not None:
-        top = counts.orderBy(*order).limit(max_size - n_special)
-        ranked = top.withColumn("token_id", (F.row_number().over(Window.orderBy(*order)) - 1 + n_special)
-                                .cast("int"))
-    else:
-        sorted_rdd = counts.orderBy(*order).rdd.zipWithIndex()
-        ranked = spark.createDataFrame(
-            sorted_rdd.map(lambda r: (r[0]["token"], int(r[1]) + n_special, int(r[0]["count"]))),
-            "token string, token_id int, count bigint")
-    special = spark.createDataFrame([(t, i, 0) for i, t in enumerate(specials)],
-                                    "token string, token_id int, count bigint")
-    return special.unionByName(ranked.select("token", "token_id", "count"))
+    ranked = numbered(counts.orderBy(F.col("count").desc(), F.col("token").asc()), "token_id", len(specials), "vocab")
+    special = texts.sparkSession.createDataFrame([(t, i, 0) for i, t in enumerate(specials)],
+                                                 "token string, token_id int, count bigint")
+    return special.unionByName(ranked.select("token", F.col("token_id").cast("int").alias("token_id"), "count"))
 
 
 def piece_counts(texts: DataFrame, text_col: str = "text", lower: bool = False) -> DataFrame:
@@ -79,115 +65,69 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
-def _vocab_array(vocab: DataFrame) -> pa.Array:
-    n = vocab.count()
-    if n > MAX_BROADCAST_VOCAB:
-        raise ValueError("vocabulary too large to broadcast; use token_ids_join")
-    tbl = vocab.select("token", "token_id").orderBy("token_id").toArrow()
-    ids = tbl.column("token_id").to_numpy()
-    if not np.array_equal(ids, np.arange(len(ids))):
-        raise ValueError("token ids must be dense 0..V-1")
-    return tbl.column("token").combine_chunks()
-
-
-def _lookup(tokens: pa.ListArray, vocab: pa.Array, unk: int) -> pa.ListArray:
-    flat = tokens.flatten()
-    ids = pc.fill_null(pc.index_in(flat, value_set=vocab), unk).cast(pa.int32())
-    return pa.ListArray.from_arrays(tokens.offsets, ids)
+def _salted_join(long: DataFrame, vocab: DataFrame, on: str, spread: str) -> DataFrame:
+    """Left join of the vocabulary on ``on``; rows of one key are dealt over
+    ``SALT`` parts by ``spread``, the vocabulary is repeated as often."""
+    v = vocab.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return long.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(v, [on, "__salt"], "left").drop("__salt")
 
 
 def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", max_length: int = 128,
            lower: bool = False, id_col: str = "id", prefix: str = "") -> DataFrame:
     """Normalise -> pieces -> ids (UNK default) -> [CLS] ids [SEP] -> truncate /
     pad to ``max_length`` with an attention mask. Also returns ``n_tokens``, the
-    piece count of the whole text before truncation."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(_vocab_array(vocab))
-    p = ensure_parallelism(df.select(id_col, text_col))
+    piece count of the whole text before truncation. Whole texts are cut into
+    pieces; those that truncation drops need no id and do not travel."""
     m = max_length
 
     def run(batches):
-        v = bc.value
         for b in batches:
             if b.num_rows == 0:
                 continue
             toks = arrow_pieces(b.column(1), lower=lower)
-            lens = np.diff(np.asarray(toks.offsets))
-            ids = _lookup(toks, v, UNK_ID)
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            starts = np.asarray(toks.offsets)[:-1]
-            n = b.num_rows
+            offs = np.asarray(toks.offsets)
+            lens = np.diff(offs)
             keep = np.minimum(lens, m - 2)
-            col = np.arange(m)[None, :]
-            body = (col >= 1) & (col <= keep[:, None])
-            out = np.full((n, m), PAD_ID, dtype=np.int32)
-            out[:, 0] = CLS_ID
-            src = (starts[:, None] + col - 1)[body]
-            out[body] = flat[src]
-            out[np.arange(n), keep + 1] = SEP_ID
-            mask = (col < (keep + 2)[:, None]).astype(np.int32)
-            offs = pa.array(np.arange(0, (b.num_rows + 1) * m, m, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(offs, pa.array(out.ravel())),
-                 pa.ListArray.from_arrays(offs, pa.array(mask.ravel())), pa.array(lens.astype(np.int64))],
-                names=[id_col, f"{prefix}input_ids", f"{prefix}attention_mask", f"{prefix}n_tokens"])
-
-    schema = (f"{id_col} bigint, {prefix}input_ids array<int>, {prefix}attention_mask array<int>, "
-              f"{prefix}n_tokens bigint")
-    return p.mapInArrow(run, schema)
-
-
-def token_ids_join(tokens: DataFrame, vocab: DataFrame, id_col: str = "id", tokens_col: str = "pieces",
-                   broadcast_vocab: bool | None = None) -> DataFrame:
-    """J11 relational form: ``posexplode`` -> left join vocabulary -> UNK default
-    -> regroup in position order. Broadcasts the vocabulary when it is within
-    budget; otherwise a shuffle join (AQE splits partitions of hot pieces)."""
-    if broadcast_vocab is None:
-        broadcast_vocab = vocab.count() <= MAX_BROADCAST_VOCAB
-    v = vocab.select("token", "token_id")
-    v = F.broadcast(v) if broadcast_vocab else v
+            at = np.repeat(offs[:-1] - (np.cumsum(keep) - keep), keep) + np.arange(keep.sum())
+            cut = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)),
+                                           toks.flatten().take(pa.array(at - offs[0])))
+            yield pa.RecordBatch.from_arrays([b.column(0), cut, pa.array(lens.astype(np.int64))],
+                                             names=[id_col, "pieces", "n"])
+
+    p = ensure_parallelism(df.select(id_col, text_col)).mapInArrow(run, f"{id_col} bigint, pieces array<string>, n bigint")
+    # a text without pieces keeps one row with a NULL token
+    long = p.select(id_col, "n", F.posexplode_outer("pieces").alias("pos", "token"))
+    ids = (_salted_join(long, vocab.select("token", "token_id"), "token", id_col)
+           .groupBy(id_col).agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.when(
+               F.col("token").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))))).alias("x")))
+    body = F.concat(F.array(F.lit(CLS_ID)), F.col("x.token_id"), F.array(F.lit(SEP_ID)))
+    pad = F.array_repeat(F.lit(PAD_ID), m - 2 - F.size("x"))
+    mask = F.concat(F.array_repeat(F.lit(1), F.size("x") + 2), F.array_repeat(F.lit(0), m - 2 - F.size("x")))
+    return ids.select(id_col, F.concat(body, pad).alias(f"{prefix}input_ids"), mask.alias(f"{prefix}attention_mask"),
+                      F.col("n").alias(f"{prefix}n_tokens"))
+
+
+def token_ids_join(tokens: DataFrame, vocab: DataFrame, id_col: str = "id", tokens_col: str = "pieces") -> DataFrame:
+    """``posexplode`` -> left join vocabulary -> UNK default."""
     long = tokens.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
-    j = long.join(v, "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID)))
-    return j.select(id_col, "pos", "token", "token_id")
+    j = _salted_join(long, vocab.select("token", "token_id"), "token", id_col)
+    return j.select(id_col, "pos", "token", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))
 
 
-def _bounded(vocab: DataFrame) -> DataFrame:
-    if vocab.count() > MAX_BROADCAST_VOCAB:
-        return vocab
-    return F.broadcast(vocab)
-
-
-def id_to_token(ids_long: DataFrame, vocab: DataFrame, id_col: str = "token_id") -> DataFrame:
-    """Id -> token (equi join, broadcast when the vocabulary is within budget;
-    unknown ids give NULL)."""
-    return ids_long.join(_bounded(vocab.select(F.col("token_id").alias(id_col), "token")), id_col, "left")
+def id_to_token(ids_long: DataFrame, vocab: DataFrame, id_col: str = "token_id", spread: str = "id") -> DataFrame:
+    """Id -> token (unknown ids give NULL)."""
+    return _salted_join(ids_long, vocab.select(F.col("token_id").alias(id_col), "token"), id_col, spread)
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "id", ids_col: str = "input_ids",
            skip_special: bool = True) -> DataFrame:
-    """Ids -> pieces -> text (F20), special ids dropped. Arrow ``take`` on the
-    broadcast vocabulary and ``binary_join`` per row: no shuffle."""
-    spark = encoded.sparkSession
-    bc = spark.sparkContext.broadcast(_vocab_array(vocab))
+    """Ids -> pieces -> text (F20), special ids dropped."""
     first = len(SPECIAL_TOKENS) if skip_special else 0
-
-    def run(batches):
-        v = bc.value
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            lists = b.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            keep = flat >= first
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
-            counts = np.bincount(row[keep], minlength=b.num_rows)
-            offs = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            toks = pc.take(v, pa.array(flat[keep]))
-            joined = pc.binary_join(pa.ListArray.from_arrays(offs, toks), "")
-            yield pa.RecordBatch.from_arrays([b.column(0), joined], names=[id_col, "_raw"])
-
-    raw = encoded.select(id_col, ids_col).mapInArrow(run, f"{id_col} bigint, _raw string")
-    return raw.select(id_col, F.trim(F.replace("_raw", F.lit(WORD_MARK), F.lit(" "))).alias("text"))
+    kept = F.filter(ids_col, lambda i: i >= first)
+    long = encoded.select(id_col, F.posexplode_outer(kept).alias("pos", "token_id"))
+    text = (id_to_token(long, vocab, spread=id_col).groupBy(id_col)
+            .agg(F.sort_array(F.collect_set(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("x")))
+    return text.select(id_col, F.trim(F.replace(F.array_join("x.token", ""), F.lit(WORD_MARK), F.lit(" "))).alias("text"))
 
 
 def vocab_merge(base: DataFrame, added: DataFrame) -> DataFrame:
@@ -198,11 +138,13 @@ def vocab_merge(base: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def vocab_gaps(vocab: DataFrame) -> DataFrame:
-    """Ids that do not follow their predecessor (the save-time warning).
-    The vocabulary is bounded, so one ordered window is fine here."""
-    w = Window.orderBy("token_id")
-    prev = F.lag("token_id").over(w)
-    return (vocab.select("token", "token_id")
-            .withColumn("expected", F.coalesce(prev + 1, F.lit(0)))
-            .filter(F.col("token_id") != F.col("expected")))
-
+    """Ids that do not follow their predecessor (the save-time warning). The
+    predecessor of an id is the largest id below it: windows run inside ranges of
+    ids, and the largest id before each range comes from one row per range."""
+    x = vocab.select("token", "token_id").withColumn("__range", F.shiftright("token_id", 16))
+    last = x.groupBy("__range").agg(F.max("token_id").alias("__last"))
+    before = last.select(F.col("__range").alias("__r"), F.lag("__last").over(Window.orderBy("__range")).alias("__before"))  # one row for 65,536 ids
+    prev = F.lag("token_id").over(Window.partitionBy("__range").orderBy("token_id"))
+    x = x.withColumn("__prev", prev).join(before, F.col("__range") == F.col("__r"))
+    return (x.withColumn("expected", F.coalesce(F.coalesce("__prev", "__before") + 1, F.lit(0)))
+            .filter(F.col("token_id") != F.col("expected")).select("token", "token_id", "expected"))

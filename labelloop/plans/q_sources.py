@@ -13,7 +13,7 @@ from labelloop.operators.metrics import eval_report
 from labelloop.operators.score import centroid_head, score
 from labelloop.plans import fixtures as fx
 from labelloop.plans.q_labelling import SQL_INITIAL, TASK
-from labelloop.plans.q_text import SQL_ENC, VOCAB_SIZE, W_VOCAB
+from labelloop.plans.q_text import SQL_ENC, W_VOCAB
 from labelloop.plans.q_training import sql_u
 from labelloop.plans.registry import register
 from labelloop.session import scratch_dir
@@ -146,7 +146,7 @@ SELECT a.id, CAST(least(len(p.pieces), 126) + 2 AS BIGINT) AS n_real, CAST(6 AS
 FROM aug a JOIN pc p ON p.id = a.id""")
 def q_collate(spark, sf_dir):
     """P10: batch columns with paraphrase inputs (6 fields) for the augmented split."""
-    vocab = TK.build_vocab(fx.documents_text(spark, sf_dir), max_size=VOCAB_SIZE)
+    vocab = TK.build_vocab(fx.documents_text(spark, sf_dir))
     aug = augment(para_table(spark, sf_dir))
     a = TK.encode(aug, vocab, "text")
     b = TK.encode(aug.select("id", F.col("text_bt").alias("text")), vocab, "text", prefix="")
@@ -205,7 +205,7 @@ def q_feature_cache(spark, sf_dir):
     key = {"mode": "train", "tokenizer": "wordpiece", "max_len": 128, "task": "corpus"}
 
     def build():
-        return TK.encode(corpus, TK.build_vocab(corpus, max_size=VOCAB_SIZE), max_length=128)
+        return TK.encode(corpus, TK.build_vocab(corpus), max_length=128)
     cached(spark, root, key, build)
     feats = cached(spark, root, key, build)
     return feats.select("id", F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("ids_sum"),
@@ -217,7 +217,7 @@ SELECT token_id, token FROM vocab""")
 def q_vocab_sink(spark, sf_dir):
     """Vocabulary written one token per line in id order."""
     path = scratch_dir(spark, "vocab")
-    write_vocab(TK.build_vocab(fx.documents_text(spark, sf_dir), max_size=VOCAB_SIZE), path)
+    write_vocab(TK.build_vocab(fx.documents_text(spark, sf_dir)), path)
     return read_vocab(spark, path).select("token_id", "token")
 
 
@@ -226,7 +226,7 @@ SELECT token, token_id FROM vocab""")
 def q_vocab_scan(spark, sf_dir):
     """Vocabulary file read back: stripped line -> id = line number."""
     path = scratch_dir(spark, "vocab")
-    write_vocab(TK.build_vocab(fx.documents_text(spark, sf_dir), max_size=VOCAB_SIZE), path)
+    write_vocab(TK.build_vocab(fx.documents_text(spark, sf_dir)), path)
     return read_vocab(spark, path)
 
 
@@ -309,7 +309,7 @@ SELECT id, n_real FROM per ORDER BY id LIMIT 2""")
 def q_preview(spark, sf_dir):
     """O1: preview of the first two encoded features (top-2 by id)."""
     corpus = fx.documents_text(spark, sf_dir)
-    enc = TK.encode(corpus, TK.build_vocab(corpus, max_size=VOCAB_SIZE), max_length=128)
+    enc = TK.encode(corpus, TK.build_vocab(corpus), max_length=128)
     return enc.select("id", F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
                       .alias("n_real")).orderBy("id").limit(2)
 

@@ -10,7 +10,6 @@ from labelloop.operators import tokenize as TK
 from labelloop.plans import fixtures as fx
 from labelloop.plans.registry import register
 
-VOCAB_SIZE = 32_000
 MAX_LEN = 128
 SENTENCE_TEMPLATE = "Given a movie review: '{}'"
 
@@ -35,7 +34,7 @@ SQL_VOCAB = f"""cnt AS (SELECT token, count(*) AS count FROM (SELECT UNNEST(piec
 ranked AS (SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) - 1 + {len(TX.SPECIAL_TOKENS)} AS INTEGER)
                   AS token_id, count FROM cnt),
 vocab AS (SELECT col0 AS token, CAST(col1 AS INTEGER) AS token_id, col2 AS count FROM (VALUES {_SPECIALS_SQL})
-          UNION ALL SELECT * FROM ranked WHERE token_id < {VOCAB_SIZE})"""
+          UNION ALL SELECT * FROM ranked)"""
 
 W_DOCS = "WITH " + fx.SQL_CORPUS + ",\n" + sql_norm("fx_corpus") + ",\n" + SQL_PIECES
 W_VOCAB = W_DOCS + ",\n" + SQL_VOCAB
@@ -50,7 +49,7 @@ def corpus(spark, sf_dir):
 
 
 def vocab_of(spark, sf_dir):
-    return TK.build_vocab(corpus(spark, sf_dir), max_size=VOCAB_SIZE)
+    return TK.build_vocab(corpus(spark, sf_dir))
 
 
 @register("q_clean_text", "WITH " + fx.SQL_CORPUS + """
@@ -206,15 +205,13 @@ merged AS (SELECT token, token_id FROM added
 
 
 def merged_vocab(spark, sf_dir):
-    from pyspark.sql import Window
+    from labelloop.sources.tables import numbered
     base = vocab_of(spark, sf_dir)
-    n = base.count()
     bench = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     cnt = (TK.pieces(bench).select(F.explode("pieces").alias("token"))
            .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    added = cnt.withColumn("token_id", (F.row_number().over(
-        Window.orderBy(F.col("count").desc(), F.col("token"))) - 1 + F.lit(n)).cast("int"))
-    return TK.vocab_merge(base, added)
+    added = numbered(cnt.orderBy(F.col("count").desc(), "token"), "token_id", base.count(), "added-vocab")
+    return TK.vocab_merge(base, added.withColumn("token_id", F.col("token_id").cast("int")))
 
 
 @register("q_vocab_merge", SQL_MERGE + """
@@ -236,7 +233,7 @@ def q_vocab_gaps(spark, sf_dir):
 
 # F22-F24 on sequence pairs: consecutive turns of a conversation
 SQL_PAIRS = W_VOCAB + """,
-cv AS (SELECT conv_id, turn, text, conv_id * 100000 + turn AS id FROM conversations),
+cv AS (SELECT conv_id, turn, text, [conv_id, turn] AS id FROM conversations),
 cnorm AS (SELECT id, strip_accents(replace(replace(trim(regexp_replace(text, '""" + TX.WS_RE2 + """', ' ', 'g')),
           '``', '"'), '''''', '"')) AS t FROM cv),
 cpc AS (SELECT id, flatten(list_transform(
@@ -251,7 +248,7 @@ pairs AS (SELECT a.conv_id, a.turn, ia.n AS na, ib.n AS nb
 
 def _pairs(spark, sf_dir):
     conv = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    p = TK.pieces(conv.withColumn("id", F.col("conv_id") * 100000 + F.col("turn")))
+    p = TK.pieces(conv.withColumn("id", F.struct("conv_id", "turn")))
     enc = TK.token_ids_join(p.select("id", "pieces"), vocab_of(spark, sf_dir))
     from labelloop.operators.retrieve import collect_ordered
     ids = collect_ordered(enc, "id", "pos", "token_id", "ids")

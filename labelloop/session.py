@@ -46,12 +46,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the deployment sets it to shared storage. Only when it is unset
-    (local tests, the bench) do we pick a private folder, and we record it in the
+    On a cluster the deployment sets it to shared storage; a machine-local folder
+    would lose data there, so an unset value raises. Only on a local master
+    (tests, the bench) do we pick a private folder, and we record it in the
     session so every later call agrees.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="labelloop-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     sc = spark.sparkContext
@@ -73,6 +77,14 @@ def cut_lineage(df, spark: SparkSession | None = None):
     return df.checkpoint(eager=True)
 
 
+def stored(df, name: str):
+    """Write ``df`` to the shared scratch folder and read it back: every later use
+    reads the table instead of running the plan again."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_parallelism(df, factor: int = 1):
     """Spread a scan that yields fewer partitions than the cluster has cores
     (one large row group, a single small file) over all cores before per-row

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelloop.functions.labels import cast_label
+from labelloop.session import stored
 
 RAGGED_SCHEMA = "c0 string, c1 string, c2 string"
 SPLITS = ("train", "train_chat", "dev", "test")
@@ -22,26 +22,51 @@ def read_labelled_csv(spark: SparkSession, path: str, split: str = "train") -> t
     """Header-less CSV whose arity decides the meaning: 1 column = text,
     2 = (label, text), 3 = (label, text, paraphrase) - the paraphrase is kept only
     for the augmented split. Quoted newlines allowed. Returns (rows, rejects);
-    a row is rejected when its label does not parse as an integer."""
-    raw = (spark.read.schema(RAGGED_SCHEMA).option("multiLine", True).option("escape", '"')
-           .option("mode", "PERMISSIVE").csv(path))
-    one = F.col("c1").isNull() & F.col("c2").isNull()
+    a row is rejected when its label does not parse as an integer.
+
+    An empty field is an empty string. The reader gives NULL for empty and for
+    absent fields alike; it keeps the record text of a row with absent fields, and
+    a record of two fields whose second is empty ends with the separator."""
+    raw = (spark.read.schema(RAGGED_SCHEMA + ", record string").option("multiLine", True).option("escape", '"')
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "record").csv(path))
+    full = F.col("record").isNull()
+    two = F.col("c1").isNotNull() | F.rtrim(F.regexp_replace("record", "[\\r\\n]+$", "")).endswith(",")
+    text = [F.coalesce(F.col(c), F.lit("")) for c in ("c0", "c1", "c2")]
     rows = raw.select(
-        F.when(one, F.lit(None)).otherwise(F.col("c0")).alias("label_text"),
-        F.when(one, F.col("c0")).otherwise(F.col("c1")).alias("text"),
-        (F.col("c2") if split == AUGMENTED else F.lit(None).cast("string")).alias("text_bt"))
+        F.when(full | two, F.col("c0")).alias("label_text"),        # an empty label is no label
+        F.when(full | two, text[1]).otherwise(text[0]).alias("text"),
+        (F.when(full, text[2]) if split == AUGMENTED else F.lit(None).cast("string")).alias("text_bt"))
     rows = rows.withColumn("label", cast_label(F.col("label_text")))
     bad = F.col("label_text").isNotNull() & F.col("label").isNull()
     return rows.filter(~bad).drop("label_text"), rows.filter(bad)
 
 
+def numbered(df: DataFrame, id_col: str = "id", start: int = 0, name: str = "numbered") -> DataFrame:
+    """Dense ids ``start``, ``start + 1``, ... in partition order (sort before for
+    a global order): the rows are written once with partition and position, the
+    sizes of the partitions (one number each) become offsets, and the id is
+    offset plus position. No global window and no row-at-a-time Python."""
+    pos = "__pos"
+    x = stored(df.withColumn(pos, F.monotonically_increasing_id()), name)
+    part = F.shiftrightunsigned(pos, 33)
+    sizes = sorted((r["p"], r["n"]) for r in x.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    return _offset(df, x, pos, part, sizes, id_col, start)
+
+
+def _offset(df, x, pos, part, sizes, id_col, start):
+    at, rows = start, []
+    for p, n in sizes:
+        rows.append((p, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(rows, "__part bigint, __at bigint")
+    local = F.col(pos).bitwiseAND(F.lit((1 << 33) - 1))
+    return (x.join(F.broadcast(offsets), part == F.col("__part"))
+            .select((F.col("__at") + local).alias(id_col), *df.columns))
+
+
 def assign_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Position id in scan order, assigned once at ingest with
-    ``zipWithIndex`` (a distributed count per partition, no global window)."""
-    spark = df.sparkSession
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(id_col, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],))
-    return spark.createDataFrame(rdd, schema).select(id_col, *df.columns)
+    """Position id in scan order, assigned once at ingest."""
+    return numbered(df, id_col)
 
 
 def write_split_table(df: DataFrame, path: str) -> None:
@@ -91,20 +116,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """One token per line (stripped); id = line number."""
-    lines = spark.read.text(path).select(F.trim(F.col("value")).alias("token"))
-    return assign_ids(lines, "token_id").select("token", F.col("token_id").cast("int"))
+    """One token per line (stripped); id = line number over all part files
+    in name order. A scan task reads pieces of files, so lines are counted for
+    each (file, piece) and the counts become offsets."""
+    pos, key = "__pos", ["__file", "__start"]
+    lines = stored(spark.read.text(path).select(
+        F.trim("value").alias("token"), F.col("_metadata.file_name").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias(pos)), "vocab-lines")
+    pieces = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first")).collect()
+    at, rows = 0, []
+    for r in sorted(pieces, key=lambda r: (r["__file"], r["__start"])):      # one row a piece of a file
+        rows.append((r["__file"], r["__start"], at - r["first"]))
+        at += r["n"]
+    shift = spark.createDataFrame(rows, "__file string, __start bigint, __shift bigint")
+    return lines.join(F.broadcast(shift), key).select("token", (F.col(pos) + F.col("__shift")).cast("int").alias("token_id"))
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
-    """Tokens ordered by id, one per line, in one file so that line number
-    = id on re-read. A vocabulary is bounded (see ``tokenize.MAX_BROADCAST_VOCAB``),
-    so the single writer task is fine. See ``tokenize.vocab_gaps`` for the gap check."""
-    from labelloop.operators.tokenize import MAX_BROADCAST_VOCAB
-    if vocab.count() > MAX_BROADCAST_VOCAB:
-        raise ValueError("vocabulary too large for a single ordered file")
-    vocab.select("token", "token_id").orderBy("token_id").coalesce(1).select("token") \
-         .write.mode("overwrite").text(path)
+    """Tokens ordered by id, one per line, in range-partitioned part files
+    whose name order is id order. See ``tokenize.vocab_gaps`` for the gap check."""
+    vocab.select("token", "token_id").orderBy("token_id").select("token").write.mode("overwrite").text(path)
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:
