@@ -113,12 +113,10 @@ def first_position(seq) -> Column:
 
 
 def hash_unit(id_col, seed: int = 0) -> Column:
-    """Deterministic uniform number in (0, 1) from a non-negative integer key.
-
-    ``((key mod p) * 2654435761 mod p + 1) / (p + 1)`` with p = 1000003. The key is
-    reduced mod p first so the product never overflows BIGINT. Same arithmetic is
-    written in the DuckDB oracles, so "random" choices are reproducible there.
-    """
-    key = _c(id_col).cast("bigint") + F.lit(seed * 7919)
-    p = F.lit(1000003)
-    return (F.pmod(F.pmod(key, p) * F.lit(2654435761), p) + 1).cast("double") / F.lit(1000004.0)
+    """Deterministic uniform number in (0, 1) from a key and a seed.
+
+    The first 52 bits of ``md5("key:seed")``: every bit depends on the key and on
+    the seed, so draws with different seeds are independent and orders by
+    different seeds are unrelated. The DuckDB oracles have the same md5."""
+    digest = F.md5(F.concat(_c(id_col).cast("string"), F.lit(f":{seed}")))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))

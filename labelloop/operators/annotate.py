@@ -79,7 +79,7 @@ def with_retry(fn: Annotator, retries: int = 5, base_delay: float = 1.0,
 
 def annotate(prompts: DataFrame, annotator: Annotator = majority_answer_annotator, *,
              id_col: str = "id", messages_col: str = "messages", batch_size: int = ANNOTATOR_BATCH,
-             retries: int = 0, base_delay: float = 1.0) -> DataFrame:
+             retries: int = 0, base_delay: float = 1.0, on_error: str = "raise") -> DataFrame:
     """Run ``annotator`` over the message lists, ``batch_size`` prompts
     per call, inside ``mapInPandas`` (the only place a network client may live).
 
@@ -87,7 +87,13 @@ def annotate(prompts: DataFrame, annotator: Annotator = majority_answer_annotato
     the row (J6), so no positional zip is needed. The annotator is costly and
     non-deterministic in general: write the result before reusing it
     (``labelloop.session.cut_lineage``) so a second action does not call again.
+
+    A batch that still fails after ``retries`` fails the job; with
+    ``on_error="keep"`` its rows stay apart instead: no answer, the error text,
+    and (see ``parse_labels``) no label.
     """
+    if on_error not in ("raise", "keep"):
+        raise ValueError(on_error)
     call = with_retry(annotator, retries=retries, base_delay=base_delay)
 
     def run(pdfs):
@@ -97,6 +103,8 @@ def annotate(prompts: DataFrame, annotator: Annotator = majority_answer_annotato
                 batch = [[{"role": m["role"], "content": m["content"]} for m in msgs]
                          for msgs in part[messages_col]]
                 answers, err = call(batch)
+                if err is not None and on_error == "raise":
+                    raise RuntimeError(f"annotator failed after {retries} retries: {err}")
                 yield pd.DataFrame({id_col: part[id_col].astype("int64").values,
                                     "raw": answers, "error": [err] * len(part)})
 
@@ -105,8 +113,12 @@ def annotate(prompts: DataFrame, annotator: Annotator = majority_answer_annotato
 
 def parse_labels(raw: DataFrame, words: Sequence[str], raw_col: str = "raw",
                  trim: bool = False) -> DataFrame:
-    """F13/F14 on the annotator output: adds ``label`` (-1 when not a class word)."""
-    return raw.withColumn("label", parse_answer(F.col(raw_col), words, trim=trim))
+    """F13/F14 on the annotator output: adds ``label`` (-1 when the answer is not a
+    class word, NULL when the call failed and there is no answer)."""
+    label = parse_answer(F.col(raw_col), words, trim=trim)
+    if "error" in raw.columns:
+        label = F.when(F.col("error").isNull(), label)
+    return raw.withColumn("label", label)
 
 
 def trusted_override(labels: DataFrame, trusted: DataFrame, pseudo: DataFrame,

@@ -2,10 +2,9 @@
 rows (A9), cluster means (A10), medoids (A11), per-class retrieval for every row
 (J2, W3, J9) and the concatenated per-row demo lists (A12).
 
-Clustering uses MLlib ``KMeans`` per class (distributed Lloyd with k-means||
-seeding, ``seed=0``). Classes are few (a task parameter), each fit is a
-distributed job over that class's trusted rows only. ``k`` is capped by the
-number of distinct vectors in the class (quirk 5). Everything after the fit
+Clustering is one Lloyd loop over all classes, one aggregate by (class, cluster)
+an iteration. ``k`` is capped by the number of distinct vectors in the class
+(quirk 5). Everything after it
 works on all classes at once: ``Summarizer.mean`` per (class, cluster) with
 partial aggregation, ``min_by`` for the medoid, and the broadcast per-class kNN
 of ``retrieve.knn_topk`` for the lists.
@@ -15,41 +14,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloop.functions.vectors import as_double, l2_distance
+from labelloop.functions.vectors import as_double, hash_unit, l2_distance
 from labelloop.operators.retrieve import knn_topk
+from labelloop.session import stored
 
 Clusterer = Callable[[DataFrame, int], DataFrame]
 
 
-def kmeans_clusters(rows: DataFrame, k: int, *, cls: str = "pred", vec: str = "embedding",
-                    seed: int = 0, max_iter: int = 20) -> DataFrame:
-    """Cluster id per row, K-means fitted separately inside each class."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from labelloop.session import cut_lineage
-    # one reliable checkpoint of the (small) trusted rows: every per-class fit
-    # reads it instead of re-running the scoring lineage, and a lost executor
-    # does not send the fits back to the scan
-    rows = cut_lineage(rows)
-    classes = [r[0] for r in rows.select(cls).distinct().collect()]   # <= number of classes
-    out = None
-    for c in sorted(classes):
-        part = rows.filter(F.col(cls) == c).withColumn("_v", array_to_vector(as_double(vec)))
-        distinct = part.select(vec).distinct().count()
-        kk = max(1, min(k, distinct))
-        if kk == 1:
-            assigned = part.withColumn("cluster", F.lit(0))
-        else:
-            model = KMeans(k=kk, seed=seed, maxIter=max_iter, featuresCol="_v",
-                           predictionCol="cluster").fit(part)
-            assigned = model.transform(part)
-        assigned = assigned.drop("_v").withColumn("cluster", F.col("cluster").cast("int"))
-        out = assigned if out is None else out.unionByName(assigned)
-    return out
+def kmeans_clusters(rows: DataFrame, k: int, *, cls: str = "pred", vec: str = "embedding", id_col: str = "id",
+                    seed: int = 0, max_iter: int = 20, tol: float = 1e-4, start: DataFrame | None = None) -> DataFrame:
+    """Cluster id per row, K-means inside each class, all classes in one loop.
+
+    Every iteration is one aggregate keyed by (class, cluster) over the rows,
+    which are written once. Centres are classes x k vectors. The random start
+    takes k distinct vectors of a class by a seeded hash; ``start`` (cls, cluster,
+    centroid) fixes it. A class with fewer distinct vectors has fewer clusters,
+    a centre that loses all rows is gone, no rows give no clusters."""
+    rows = stored(rows, "kmeans-rows")
+    if start is None:
+        by_hash = Window.partitionBy(cls).orderBy(hash_unit("_first", seed), "_first")
+        start = (rows.groupBy(cls, vec).agg(F.min(id_col).alias("_first"))
+                 .withColumn("cluster", F.row_number().over(by_hash) - 1).filter(F.col("cluster") < k)
+                 .select(cls, F.col("cluster").cast("int").alias("cluster"), as_double(vec).alias("centroid")))
+    schema = f"{cls} {dict(rows.dtypes)[cls]}, cluster int, centroid array<double>"
+    centres = {(r[cls], r["cluster"]): list(r["centroid"]) for r in start.collect()}      # classes x k vectors
+    spark = rows.sparkSession
+    for _ in range(max_iter):
+        table = spark.createDataFrame([(c, j, v) for (c, j), v in sorted(centres.items())], schema)
+        moved = nearest_centre(rows, table, cls=cls, vec=vec)
+        new = {(r[cls], r["cluster"]): list(r["centroid"]) for r in cluster_means(moved, cls=cls, vec=vec).collect()}
+        shift = max((sum((a - b) ** 2 for a, b in zip(v, centres[key], strict=True)) for key, v in new.items()), default=0.0)
+        same = new.keys() == centres.keys()
+        centres = new
+        if same and shift <= tol * tol:
+            break
+    table = spark.createDataFrame([(c, j, v) for (c, j), v in sorted(centres.items())], schema)
+    return nearest_centre(rows, table, cls=cls, vec=vec)
+
+
+def nearest_centre(rows: DataFrame, centres: DataFrame, *, cls: str = "pred", vec: str = "embedding") -> DataFrame:
+    """``rows`` with ``cluster``: the nearest centre (L2) of the row's class, ties to the lower cluster id."""
+    per_class = centres.groupBy(cls).agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("_c"))
+    best = F.array_min(F.transform("_c", lambda c: F.struct(l2_distance(as_double(vec), c["centroid"]).alias("d"),
+                                                            c["cluster"].alias("k"))))["k"]
+    return rows.drop("cluster").join(F.broadcast(per_class), cls).withColumn("cluster", best.cast("int")).drop("_c")
 
 
 def fixed_clusters(rows: DataFrame, k: int, *, cls: str = "pred", id_col: str = "id", **_) -> DataFrame:
@@ -87,14 +98,7 @@ def lloyd_step(assigned: DataFrame, *, cls: str = "pred", vec: str = "embedding"
     """One Lloyd iteration: reassign every row to the nearest mean of its
     class (ties to the lower cluster id), then recompute the means."""
     means = cluster_means(assigned, cls=cls, vec=vec)
-    per_class = means.groupBy(cls).agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("_c"))
-    x = as_double(vec)
-    d = assigned.join(F.broadcast(per_class), cls).withColumn(
-        "new_cluster",
-        F.array_min(F.transform("_c", lambda c: F.struct(l2_distance(x, c["centroid"]).alias("d"),
-                                                          c["cluster"].alias("k"))))["k"])
-    moved = d.select(id_col, cls, vec, F.col("new_cluster").alias("cluster"))
-    return moved
+    return nearest_centre(assigned, means, cls=cls, vec=vec).select(id_col, cls, vec, "cluster")
 
 
 def representatives(trusted: DataFrame, k: int, clusterer: Clusterer = kmeans_clusters, *,

@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelloop.session import stored
+
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
+SALT = 8
 
 
 def _list_matrix(arr: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -126,6 +129,8 @@ def _topk_block(queries: DataFrame, bc, k: int, query_id: str, query_vec: str,
             if exclude_self:
                 sim[qid[:, None] == ids[None, :]] = np.nan
             per_group = []
+            if not groups:          # no pool: empty lists, or no long rows
+                groups = [(0, np.zeros(0, np.int64))]
             for g, idx in groups:
                 sg = sim[:, idx]
                 top = _topk_rows(sg, k)
@@ -243,27 +248,26 @@ def _knn_from_pool(queries: DataFrame, pool: DataFrame, k: int, *, query_id, que
     group_name = pool_group or "grp"
     if (keep or pool_text) and not wide:
         raise ValueError("keep / pool_text need the wide form")
-    if n == 0:
-        return spark.createDataFrame([], _out_schema(query_id, with_group, group_name, wide))
     row_bytes = 8 * (d + 3)
     if n * row_bytes + 4 * t <= max_broadcast_bytes:
-        bc = spark.sparkContext.broadcast(_pool_arrays(pool, pool_id, pool_vec, pool_group, pool_label, pool_text))
-        return _topk_block(queries, bc, k, query_id, query_vec, exclude_self, with_group, group_name, wide, keep)
-    if keep or pool_text:
-        raise ValueError("pool over the broadcast budget: use the long form and join texts by id")
+        # an empty pool is a pool of no columns: every query stays, with empty lists
+        arrays = _pool_arrays(pool, pool_id, pool_vec, pool_group, pool_label, pool_text)
+        return _topk_block(queries, spark.sparkContext.broadcast(arrays), k, query_id, query_vec, exclude_self,
+                           with_group, group_name, wide, keep)
 
-    # Pool over budget: exact merge of per-chunk top-k lists.
+    # Pool over budget: exact merge of the top-k lists of blocks of the pool. Each
+    # block is broadcast, used and freed; ids and similarities travel, texts join at the end.
     n_chunks = int(np.ceil(n * row_bytes / max_broadcast_bytes))
     chunked = pool.withColumn("_chunk", F.pmod(F.xxhash64(F.col(pool_id)), F.lit(n_chunks)))
-    parts = []
+    merged = None
     for c in range(n_chunks):
-        part = chunked.filter(F.col("_chunk") == c).drop("_chunk")
-        bc = spark.sparkContext.broadcast(_pool_arrays(part, pool_id, pool_vec, pool_group, pool_label))
-        parts.append(_topk_block(queries, bc, k, query_id, query_vec, exclude_self, with_group,
-                                 group_name, False))
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+        arrays = _pool_arrays(chunked.filter(F.col("_chunk") == c).drop("_chunk"), pool_id, pool_vec, pool_group, pool_label)
+        if not len(arrays[0]):
+            continue
+        bc = spark.sparkContext.broadcast(arrays)
+        part = stored(_topk_block(queries, bc, k, query_id, query_vec, exclude_self, with_group, group_name, False), "topk-block")
+        bc.destroy()
+        merged = part if merged is None else merged.unionByName(part)
     keys = [query_id] + ([group_name] if with_group else [])
     w = Window.partitionBy(*keys).orderBy(F.col("sim").desc(), F.col("demo_id").asc())
     long = (merged.withColumn("rank", F.row_number().over(w))
@@ -272,11 +276,19 @@ def _knn_from_pool(queries: DataFrame, pool: DataFrame, k: int, *, query_id, que
     if not wide:
         return long
     order = ([group_name] if with_group else []) + ["rank"]
-    packed = (long.groupBy(query_id)
+    packed = (long.groupBy(F.col(query_id).alias("__qid"))
               .agg(F.array_sort(F.collect_list(F.struct(*order, "demo_id", "demo_label", "sim"))).alias("_l")))
-    return packed.select(query_id, F.transform("_l", lambda x: x["demo_id"]).alias("demo_ids"),
-                         F.transform("_l", lambda x: x["demo_label"]).alias("demo_labels"),
-                         F.transform("_l", lambda x: x["sim"]).alias("sims"))
+    out = queries.select(F.col(query_id).cast("bigint").alias(query_id), *keep).join(packed, F.col(query_id) == F.col("__qid"), "left")
+    lists = [F.coalesce(F.transform("_l", lambda x, f=f: x[f]), F.array().cast(f"array<{t}>")).alias(name)
+             for f, t, name in (("demo_id", "bigint", "demo_ids"), ("demo_label", "bigint", "demo_labels"), ("sim", "double", "sims"))]
+    out = out.select(query_id, *keep, *lists)
+    if pool_text is None:
+        return out
+    texts = pool.select(F.col(pool_id).cast("bigint").alias(query_id), F.col(pool_text).cast("string").alias("text"))
+    if "text" not in keep:
+        return attach_demos(out, texts, ("text",), id_col=query_id)
+    held = out.withColumnRenamed("text", "__text")
+    return attach_demos(held, texts, ("text",), id_col=query_id).withColumnRenamed("__text", "text")
 
 
 def class_prototypes(df: DataFrame, per_class: int, *, id_col: str = "id", label_col: str = "label",
@@ -319,21 +331,27 @@ def fetch_demos(demo_lists: DataFrame, corpus: DataFrame, *, list_col: str = "de
                 id_col: str = "id", corpus_id: str = "id", cols=("text",)) -> DataFrame:
     """Expand an ordered demo-id list and fetch each demo's columns, order kept.
 
-    Returns long form ``(id, pos, demo_id, *cols)``; ``pos`` is 0-based. Demo lists
-    point into a few representatives, so the distinct demos are resolved once
-    into a bounded table and looked up in ``mapInArrow`` (no join on hot keys).
-    Over the bound it falls back to an equi join (AQE splits skewed partitions)."""
-    lists = demo_lists.select(F.col(id_col).alias("id"), F.col(list_col).alias("demo_ids"))
-    table = bounded_demo_table(lists, corpus.withColumnRenamed(corpus_id, "id") if corpus_id != "id" else corpus,
-                               tuple(cols))
-    if table is not None:
-        wide = attach_demo_columns(lists, table, tuple(cols))
-        z = F.arrays_zip(F.col("demo_ids").alias("demo_id"), *[F.col(f"demo_{c}s").alias(c) for c in cols])
-        return wide.select("id", F.posexplode(z).alias("pos", "_z")).select(
-            "id", "pos", "_z.demo_id", *[F.col(f"_z.{c}").alias(c) for c in cols])
-    long = lists.select("id", F.posexplode("demo_ids").alias("pos", "demo_id"))
-    side = corpus.select(F.col(corpus_id).alias("demo_id"), *cols)
-    return long.join(side, "demo_id", "left").select("id", "pos", "demo_id", *cols)
+    Returns long form ``(id, pos, demo_id, *cols)``; ``pos`` is 0-based, unknown ids
+    give NULL. Lists point into a few representatives, so a demo id is a hot key:
+    the list entries of one demo are dealt over ``SALT`` parts by the row's id, and
+    only corpus rows that some list names are repeated as often."""
+    long = demo_lists.select(F.col(id_col).alias("id"), F.posexplode(list_col).alias("pos", "demo_id"))
+    wanted = long.select(F.col("demo_id").alias("__wanted")).distinct()
+    side = corpus.join(wanted, corpus[corpus_id] == F.col("__wanted"), "left_semi").select(
+        F.col(corpus_id).alias("demo_id"), *cols, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__salt"))
+    salted = long.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    return salted.join(side, ["demo_id", "__salt"], "left").select("id", "pos", "demo_id", *cols)
+
+
+def attach_demos(rows: DataFrame, corpus: DataFrame, cols: tuple, *, list_col: str = "demo_ids",
+                 id_col: str = "id") -> DataFrame:
+    """J3/J4, wide: ``rows`` with the ``cols`` of their listed demos as arrays in list
+    order (``demo_<col>s``). Row texts do not travel with the list entries."""
+    long = fetch_demos(rows, corpus, list_col=list_col, id_col=id_col, corpus_id=id_col, cols=cols)
+    packed = long.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("pos", *cols))).alias("__x"))
+    out = rows.join(packed, F.col(id_col) == F.col("__id"), "left")
+    types = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
+    return out.select(*rows.columns, *(F.coalesce(F.col(f"__x.{c}"), F.array().cast(f"array<{types[c]}>")).alias(f"demo_{c}s") for c in cols))
 
 
 def collect_ordered(long: DataFrame, key: str, pos: str, value: str, out: str) -> DataFrame:
@@ -342,71 +360,3 @@ def collect_ordered(long: DataFrame, key: str, pos: str, value: str, out: str) -
             .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
                  .alias("_s"))
             .select(key, F.transform("_s", lambda s: s["v"]).alias(out)))
-
-
-def bounded_demo_table(demo_lists: DataFrame, corpus: DataFrame, cols: tuple, *, list_col: str = "demo_ids",
-                       corpus_id: str = "id", max_rows: int = 1_000_000) -> DataFrame | None:
-    """The rows of ``corpus`` that appear in any demo list, or None when there are
-    more than ``max_rows`` distinct demos. Demo lists point into a small set of
-    representatives, so this is tiny; resolving it once avoids joining every
-    list entry on a handful of very hot keys. The distinct ids are collected
-    under a ``limit`` guard (one pass over the lists, bounded driver memory)."""
-    spark = demo_lists.sparkSession
-    ids = (demo_lists.select(F.explode(list_col).alias(corpus_id)).distinct()
-           .limit(max_rows + 1).toArrow())
-    if ids.num_rows > max_rows:
-        return None
-    keys = spark.createDataFrame(ids.to_pandas()) if ids.num_rows else \
-        spark.createDataFrame([], f"{corpus_id} bigint")
-    return corpus.join(F.broadcast(keys), corpus_id).select(corpus_id, *cols)
-
-
-class PreparedDemoTable:
-    """A bounded demo table collected and broadcast once (size checked)."""
-
-    def __init__(self, demo_table: DataFrame, cols: tuple, *, corpus_id: str = "id",
-                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES):
-        tbl = demo_table.select(F.col(corpus_id).cast("bigint").alias("_id"), *cols).orderBy("_id").toArrow()
-        if sum(c.nbytes for c in tbl.columns) > max_broadcast_bytes:
-            raise ValueError("demo table over the broadcast budget")
-        self.cols = tuple(cols)
-        self.fields = list(demo_table.select(*cols).schema.fields)
-        self.bc = demo_table.sparkSession.sparkContext.broadcast(tbl)
-
-    def release(self) -> None:
-        self.bc.destroy()
-
-
-def attach_demo_columns(rows: DataFrame, demo_table, cols: tuple, *, list_col: str = "demo_ids",
-                        corpus_id: str = "id", max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """J3/J4 without a shuffle: for every row, the ``cols`` of its listed demos
-    as arrays in list order (``demo_<col>s``), looked up in a broadcast copy of the
-    bounded demo table inside ``mapInArrow``. Unknown ids give NULL entries."""
-    prepared = demo_table if isinstance(demo_table, PreparedDemoTable) else \
-        PreparedDemoTable(demo_table, cols, corpus_id=corpus_id, max_broadcast_bytes=max_broadcast_bytes)
-    bc = prepared.bc
-    out_fields = prepared.fields
-    schema = T.StructType(list(rows.schema.fields) + [
-        T.StructField(f"demo_{f.name}s", T.ArrayType(f.dataType)) for f in out_fields])
-    list_idx = rows.columns.index(list_col)
-
-    def run(batches):
-        t = bc.value
-        keys = t.column("_id").to_numpy()
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            lists = b.column(list_idx)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            pos = np.searchsorted(keys, flat)
-            pos_c = np.minimum(pos, max(len(keys) - 1, 0))
-            found = (len(keys) > 0) & (keys[pos_c] == flat) if len(keys) else np.zeros(len(flat), bool)
-            take = pa.array(pos_c, mask=~found) if len(keys) else pa.nulls(len(flat), pa.int64())
-            extra = []
-            for c in cols:
-                vals = t.column(c).combine_chunks().take(take) if len(keys) else pa.nulls(len(flat))
-                extra.append(pa.ListArray.from_arrays(lists.offsets, vals))
-            yield pa.RecordBatch.from_arrays(list(b.columns) + extra,
-                                             names=list(b.schema.names) + [f"demo_{c}s" for c in cols])
-
-    return rows.mapInArrow(run, schema)

@@ -20,6 +20,7 @@ from labelloop.functions import vectors as V
 from labelloop.operators.retrieve import _list_matrix
 
 MAX_HEAD_CELLS = 50_000_000     # C x d doubles that may be broadcast (400 MB)
+ABSENT = -1e9                   # logit of a class without training rows: never the largest, probability 0
 
 
 @dataclass
@@ -35,7 +36,7 @@ class LinearHead:
 def centroid_head(df: DataFrame, num_classes: int, label_col: str = "anno",
                   vec_col: str = "embedding") -> LinearHead:
     """Head whose class weight is the mean vector of the rows labelled with that
-    class (valid labels only); absent classes get a zero row."""
+    class (valid labels only); absent classes can never win."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
@@ -43,14 +44,15 @@ def centroid_head(df: DataFrame, num_classes: int, label_col: str = "anno",
              .groupBy(label_col)
              .agg(Summarizer.mean(array_to_vector(V.as_double(vec_col))).alias("m"))
              .select(F.col(label_col).cast("int").alias("c"), vector_to_array("m").alias("m")))
-    d = df.select(F.size(vec_col).alias("d")).first()["d"]
+    d = df.agg(F.max(F.size(vec_col)).alias("d")).first()["d"] or 0
     if num_classes * d > MAX_HEAD_CELLS:
         raise ValueError("head too large to broadcast")
-    w = np.zeros((num_classes, d))
+    w, b = np.zeros((num_classes, d)), np.full(num_classes, ABSENT)
     for r in means.collect():        # at most num_classes rows
         if 0 <= r["c"] < num_classes:
             w[r["c"]] = np.asarray(r["m"], dtype=np.float64)
-    return LinearHead(w, np.zeros(num_classes))
+            b[r["c"]] = 0.0
+    return LinearHead(w, b)
 
 
 def score(df: DataFrame, head: LinearHead, vec_col: str = "embedding",

@@ -45,6 +45,8 @@ class Mixture:
 def _two_means(xs: DataFrame, x: str, max_iter: int = 20) -> tuple[float, float, bool]:
     """1-D 2-means from centres (min, max); ties go to the first centre."""
     r = xs.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if r["lo"] is None:
+        return 0.0, 0.0, True
     c0, c1 = float(r["lo"]), float(r["hi"])
     for _ in range(max_iter):
         first = F.abs(F.col(x) - F.lit(c0)) <= F.abs(F.col(x) - F.lit(c1))
@@ -80,11 +82,12 @@ def _m_step(n: int, s0, s1, sx0, sx1, sxx0, sxx1, reg: float) -> tuple:
 
 
 def fit_gmm(df: DataFrame, x: str = "x", max_iter: int = 10, tol: float = 1e-2,
-            reg_covar: float = 5e-4) -> Mixture:
+            reg_covar: float = 5e-4) -> Mixture | None:
     """EM for a 1-D two-component mixture (``max_iter=10, tol=1e-2,
     reg_covar=5e-4``). Start: 2-means hard assignment, then one M-step. Each EM
     iteration is one aggregate: E-step with the current parameters (its mean
-    log-likelihood is the convergence criterion) fused with the M-step sums."""
+    log-likelihood is the convergence criterion) fused with the M-step sums.
+    Without rows there is no mixture (None)."""
     xs = df.select(F.col(x).cast("double").alias("x")).filter(F.col("x").isNotNull())
     xs = xs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -97,7 +100,7 @@ def fit_gmm(df: DataFrame, x: str = "x", max_iter: int = 10, tol: float = 1e-2,
                    F.sum(h0 * X * X).alias("sxx0"), F.sum(h1 * X * X).alias("sxx1")).first()
         n = int(r["n"])
         if n == 0:
-            raise ValueError("no rows to fit")
+            return None
         w, m, v = _m_step(n, r["s0"], r["s1"], r["sx0"], r["sx1"], r["sxx0"], r["sxx1"], reg_covar)
         mix = Mixture(w, m, v, 0, False, -math.inf)
         prev = -math.inf
@@ -129,7 +132,7 @@ def clean_set(scaled: DataFrame, threshold: float = 0.7, x: str = "x", **fit_kw)
     """Valid rows whose clean posterior is strictly above ``threshold``.
     Adds ``prob`` and ``chosen`` to every row (NULL x -> not chosen)."""
     mix = fit_gmm(scaled, x, **fit_kw)
-    prob = clean_posterior(mix, x)
+    prob = clean_posterior(mix, x) if mix else F.lit(None).cast("double")
     return (scaled.withColumn("prob", F.when(F.col(x).isNotNull(), prob))
             .withColumn("chosen", F.coalesce(F.col("prob") > F.lit(threshold), F.lit(False))))
 
@@ -196,6 +199,38 @@ def _kth_largest(df: DataFrame, group: str, val: str, need: dict, buckets: int =
     return done
 
 
+def _kth_smallest_id(df: DataFrame, group: str, need: dict, buckets: int = 1024) -> dict:
+    """For each group g the need[g]-th smallest ``_id``, in exact integers: every
+    round counts the ids of the current interval in ``buckets`` equal parts and
+    goes on with the part that holds the wanted one."""
+    spark = df.sparkSession
+    gtype = dict(df.dtypes)[group]
+    state = {r[group]: (int(r["lo"]), int(r["hi"]), need[r[group]]) for r in
+             df.groupBy(group).agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).collect() if r[group] in need}
+    done = {}
+    wide = "cast({} as decimal(38,0))"
+    while state:
+        done.update({g: lo for g, (lo, hi, _) in state.items() if lo == hi})
+        state = {g: v for g, v in state.items() if v[0] < v[1]}
+        if not state:
+            break
+        width = {g: -(-(hi - lo + 1) // buckets) for g, (lo, hi, _) in state.items()}
+        params = spark.createDataFrame([(g, lo, hi, str(width[g])) for g, (lo, hi, _) in state.items()],
+                                       f"{group} {gtype}, _lo bigint, _hi bigint, _width string")
+        bucket = F.expr(f"cast(({wide.format('_id')} - {wide.format('_lo')}) div {wide.format('_width')} as int)")
+        hist = (df.join(F.broadcast(params), group).filter("_id between _lo and _hi")
+                .groupBy(group, bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("mn"),
+                                                       F.max("_id").alias("mx")).collect())   # <= buckets a group
+        for g in list(state):
+            left = state[g][2]
+            for b, n, mn, mx in sorted((r["b"], r["n"], r["mn"], r["mx"]) for r in hist if r[group] == g):
+                if left <= n:
+                    state[g] = (int(mn), int(mx), left)
+                    break
+                left -= n
+    return done
+
+
 def top_per_group(df: DataFrame, group: str, val: str, id_col: str, need: dict,
                   buckets: int = 1024, ranges: dict | None = None) -> DataFrame:
     """Rows ranked 1..need[g] within each group by (val desc, id asc), exact."""
@@ -210,8 +245,8 @@ def top_per_group(df: DataFrame, group: str, val: str, id_col: str, need: dict,
         ties = df.join(F.broadcast(spark.createDataFrame(
             [(g, float(cut[g][0])) for g in tie_need], f"{group} {gtype}, _v double")), group) \
             .filter(F.col(val).cast("double") == F.col("_v")) \
-            .select(group, (-F.col(id_col)).alias("_nid"))
-        id_cut = {g: int(-v) for g, (v, _, _) in _kth_largest(ties, group, "_nid", tie_need, buckets).items()}
+            .select(group, F.col(id_col).cast("bigint").alias("_id"))
+        id_cut = _kth_smallest_id(ties, group, tie_need, buckets)
     big = (1 << 63) - 1
     rows = [(g, float(cut[g][0]), id_cut.get(g, big)) for g in cut]
     if not rows:

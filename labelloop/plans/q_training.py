@@ -20,8 +20,8 @@ W = rampup_weight(EPOCH)
 
 
 def sql_u(x: str, seed: int) -> str:
-    """The shared arithmetic hash in DuckDB (see vectors.hash_unit)."""
-    return f"((((({x}) + {seed * 7919}) % 1000003) * 2654435761) % 1000003 + 1) / 1000004.0"
+    """The shared hash in DuckDB (see vectors.hash_unit)."""
+    return f"((CAST('0x' || substr(md5(CAST({x} AS VARCHAR) || ':{seed}'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 def training_base(spark, sf_dir):
@@ -84,7 +84,7 @@ rows_w AS (
 
 
 def _rows(spark, sf_dir):
-    return softlabel_rows(training_base(spark, sf_dir), fx.NUM_CLASSES, epoch=EPOCH)
+    return softlabel_rows(training_base(spark, sf_dir), fx.NUM_CLASSES, epoch=EPOCH, seed=0)
 
 
 @register("q_minibatch_buckets", f"""
@@ -214,7 +214,7 @@ def q_self_train(spark, sf_dir):
     new head -> predictions for every row (iterative fit: rows-only check)."""
     from pyspark import StorageLevel
     base = training_base(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = softlabel_rows(base, fx.NUM_CLASSES, epoch=EPOCH).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = softlabel_rows(base, fx.NUM_CLASSES, epoch=EPOCH, seed=0).persist(StorageLevel.MEMORY_AND_DISK)
     head = fit_head(rows, fx.NUM_CLASSES, max_iter=50)
     rows.unpersist()
     scored = add_scores(score(base.select("id", "label", "embedding"), head), label_col="label")

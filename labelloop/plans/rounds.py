@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from labelloop.operators.annotate import (Annotator, annotate, majority_answer_annotator,
                                           need_annotation, parse_labels)
 from labelloop.operators.demos import demo_lists, kmeans_clusters, representatives
-from labelloop.operators.prompt import TaskSpec, build_prompts, prompts_from_wide
-from labelloop.operators.retrieve import attach_demo_columns, bounded_demo_table, knn_topk
+from labelloop.operators.prompt import TaskSpec, prompts_from_wide
+from labelloop.operators.retrieve import attach_demos, knn_topk
 from labelloop.operators.select import top_fraction
+from labelloop.session import stored
 
 DEFAULT_SHOTS = 10
 DEFAULT_DEMOS = 100
@@ -23,40 +24,33 @@ def round_prompts(corpus: DataFrame, pool: DataFrame, task: TaskSpec, *, shots:
                   exclude_self: bool = False, id_col: str = "id") -> DataFrame:
     """(id, messages) of the initial round. pool: (demo_id, anno, embedding, text).
 
-    Normal case: the pool (vectors and texts) fits the broadcast budget, so
-    retrieval emits each row's demo texts and labels in the same task and the
-    prompt is a projection - no shuffle after the corpus scan. A pool over the
-    budget takes the relational path (long-form retrieval, texts joined by id,
-    lists regrouped per row)."""
+    Retrieval emits each row's demo texts and labels next to the row, and the
+    prompt is a projection. A row without a vector, or an empty pool, gives a
+    prompt without demonstrations."""
     from labelloop.operators.retrieve import PreparedPool
     if isinstance(pool, PreparedPool):
         wide = knn_topk(corpus.select(id_col, "embedding", "text"), pool, shots, query_id=id_col,
                         exclude_self=exclude_self, wide=True, keep=("text",))
-        return prompts_from_wide(wide, task, id_col=id_col)
-    try:
+    else:
         wide = knn_topk(corpus.select(id_col, "embedding", "text"), pool, shots, query_id=id_col,
                         pool_label="anno", exclude_self=exclude_self, wide=True, keep=("text",),
                         pool_text="text")
-        return prompts_from_wide(wide, task, id_col=id_col)
-    except ValueError as e:
-        if "broadcast budget" not in str(e):
-            raise
-    long = knn_topk(corpus.select(id_col, "embedding"), pool, shots, query_id=id_col,
-                    pool_label="anno", exclude_self=exclude_self)
-    long = long.select(id_col, (F.col("rank") - 1).alias("pos"), "demo_id", "demo_label")
-    return build_prompts(corpus, long, pool.select(F.col("demo_id").alias(id_col), "text"), task, id_col=id_col)
+    return prompts_from_wide(wide, task, id_col=id_col)
 
 
 def initial_round(corpus: DataFrame, pool: DataFrame, task: TaskSpec,
                   annotator: Annotator = majority_answer_annotator, *, shots: int = DEFAULT_SHOTS,
-                  exclude_self: bool = False, id_col: str = "id") -> DataFrame:
+                  exclude_self: bool = False, id_col: str = "id", retries: int = 0, base_delay: float = 1.0,
+                  on_error: str = "raise") -> DataFrame:
     """L1: retrieve the ``shots`` most similar demonstrations from the pool for
     every corpus row, build the few-shot prompt, annotate, parse.
 
     corpus: (id, text, embedding); pool: (demo_id, anno, embedding, text), small
-    by design and broadcast after a size check. Returns (id, raw, error, label)."""
+    by design. Every corpus row gets a label. Returns (id, raw, error, label);
+    ``retries``, ``base_delay`` and ``on_error`` as in ``annotate``."""
     prompts = round_prompts(corpus, pool, task, shots=shots, exclude_self=exclude_self, id_col=id_col)
-    return parse_labels(annotate(prompts, annotator, id_col=id_col), task.words)
+    return parse_labels(annotate(prompts, annotator, id_col=id_col, retries=retries, base_delay=base_delay,
+                                 on_error=on_error), task.words)
 
 
 @dataclass
@@ -72,8 +66,13 @@ def emit_feedback(scored: DataFrame, num_classes: int, *, select_demo_num: int =
     """L4 + L5: trusted set (per-class top fraction of matched rows), one demo
     list per row (per class the nearest cluster representatives, classes
     concatenated), and the pseudo-label of every row (quirk 14: rows with an
-    invalid label get them too)."""
-    top = top_fraction(scored, rho=rho)
+    invalid label get them too). Without a trusted row every demo list is empty.
+    The scored rows are written once; every step reads that table."""
+    scored = stored(scored.select(id_col, "pred", "conf", "matched", "embedding"), "scored")
+    top = stored(top_fraction(scored, rho=rho), "trusted")
+    if top.isEmpty():
+        none = scored.select(id_col, F.array().cast("array<bigint>").alias("demo_ids"))
+        return Feedback(top.select(id_col), none, scored.select(id_col, "pred"))
     trusted = top.select(id_col)
     chosen = scored.join(top.select(id_col), id_col).select(id_col, "pred", "embedding")
     reps = representatives(chosen, select_demo_num // num_classes, clusterer, cls="pred")
@@ -82,21 +81,22 @@ def emit_feedback(scored: DataFrame, num_classes: int, *, select_demo_num: int =
 
 
 def write_feedback(fb: Feedback, root: str, round_no: int) -> None:
-    """The three feedback tables, one folder per round."""
+    """The three feedback tables, one folder per round; a round written again
+    replaces itself and no other round."""
     for name, df in (("trusted", fb.trusted), ("demos", fb.demos), ("pseudo", fb.pseudo)):
-        df.withColumn("round", F.lit(round_no)).write.mode("overwrite") \
-          .partitionBy("round").parquet(f"{root}/{name}")
+        df.write.mode("overwrite").parquet(f"{root}/{name}/round={round_no}")
 
 
 def read_feedback(spark: SparkSession, root: str, round_no: int) -> Feedback:
-    """Read one round back (partition pruning on ``round``)."""
+    """Read one round back (only its folder)."""
     def rd(name):
-        return spark.read.parquet(f"{root}/{name}").filter(F.col("round") == round_no).drop("round")
+        return spark.read.parquet(f"{root}/{name}/round={round_no}")
     return Feedback(rd("trusted"), rd("demos"), rd("pseudo"))
 
 
 def refinery_round(corpus: DataFrame, fb: Feedback, task: TaskSpec,
-                   annotator: Annotator = majority_answer_annotator, *, id_col: str = "id") -> DataFrame:
+                   annotator: Annotator = majority_answer_annotator, *, id_col: str = "id", retries: int = 0,
+                   base_delay: float = 1.0, on_error: str = "raise") -> DataFrame:
     """L2: rows of the trusted set keep the small model's pseudo-label (J5); only
     the other rows are sent to the annotator (J5b), with demonstrations fetched
     by the feedback lists (J3) and answered with the demos' pseudo-labels (J4).
@@ -104,20 +104,11 @@ def refinery_round(corpus: DataFrame, fb: Feedback, task: TaskSpec,
     need = need_annotation(corpus.select(id_col, "text"), fb.trusted, id_col)
     rows = need.join(fb.demos, id_col, "left").withColumn(
         "demo_ids", F.coalesce("demo_ids", F.array().cast("array<bigint>")))
-    # demo lists point into a few representatives: resolve their text and
-    # pseudo-label once (bounded, broadcast) instead of joining hot keys
     side = fb.pseudo.select(id_col, F.col("pred").cast("bigint").alias("label")).join(
         corpus.select(id_col, "text"), id_col, "left")
-    demo_table = bounded_demo_table(rows, side, ("text", "label"), corpus_id=id_col)
-    if demo_table is not None:
-        wide = attach_demo_columns(rows, demo_table, ("text", "label"), corpus_id=id_col)
-        prompts = prompts_from_wide(wide, task, id_col=id_col)
-    else:
-        long = rows.select(id_col, F.posexplode("demo_ids").alias("pos", "demo_id"))
-        long = long.join(fb.pseudo.select(F.col(id_col).alias("demo_id"), F.col("pred").alias("demo_label")),
-                         "demo_id", "left")
-        prompts = build_prompts(need, long, corpus.select(id_col, "text"), task, id_col=id_col)
-    asked = parse_labels(annotate(prompts, annotator, id_col=id_col), task.words)
+    prompts = prompts_from_wide(attach_demos(rows, side, ("text", "label"), id_col=id_col), task, id_col=id_col)
+    asked = parse_labels(annotate(prompts, annotator, id_col=id_col, retries=retries, base_delay=base_delay,
+                                  on_error=on_error), task.words)
     kept = (corpus.select(id_col).join(fb.trusted, id_col).join(fb.pseudo, id_col)
             .select(id_col, F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("error"),
                     F.col("pred").cast("int").alias("label")))

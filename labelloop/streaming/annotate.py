@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from labelloop.operators.annotate import annotate, majority_answer_annotator, parse_labels
 from labelloop.operators.prompt import TaskSpec, prompts_from_wide
-from labelloop.operators.retrieve import (PreparedDemoTable, PreparedPool, attach_demo_columns,
-                                         bounded_demo_table)
+from labelloop.operators.retrieve import PreparedPool, attach_demos
 from labelloop.plans.rounds import Feedback, initial_round
+from labelloop.session import stored
 
 
 def _run(stream: DataFrame, handle, out_dir: str, checkpoint: str, processing_time: str | None = None) -> None:
@@ -34,14 +34,16 @@ def _run(stream: DataFrame, handle, out_dir: str, checkpoint: str, processing_ti
 
 def stream_annotate(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint: str,
                     pool: DataFrame, task: TaskSpec,
-                    annotator=majority_answer_annotator, max_files_per_trigger: int = 1) -> DataFrame:
+                    annotator=majority_answer_annotator, max_files_per_trigger: int = 1, retries: int = 0,
+                    base_delay: float = 1.0) -> DataFrame:
     """ST1: (id, text, embedding) files -> labels, one folder per micro-batch.
     The pool (vectors, labels, texts) is collected and broadcast once for the
     whole stream, not once per micro-batch."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
     prepared = PreparedPool(pool, pool_label="anno", pool_text="text")
     try:
-        _run(stream, lambda df: initial_round(df, prepared, task, annotator).select("id", "raw", "label"),
+        _run(stream, lambda df: initial_round(df, prepared, task, annotator, retries=retries,
+                                               base_delay=base_delay).select("id", "raw", "label"),
              out_dir, checkpoint)
     finally:
         prepared.release()
@@ -50,34 +52,39 @@ def stream_annotate(spark: SparkSession, source_dir: str, schema, out_dir: str,
 
 def stream_refine(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint: str,
                   fb: Feedback, corpus_text: DataFrame, task: TaskSpec,
-                  annotator=majority_answer_annotator, max_files_per_trigger: int = 1) -> DataFrame:
-    """ST2: stream-static left join of arriving rows with the feedback tables
-    (trusted flag, pseudo-label); trusted rows keep the pseudo-label, the rest
-    are annotated with the demonstrations of their feedback list."""
-    trusted = fb.trusted.select("id", F.lit(True).alias("trusted"))
+                  annotator=majority_answer_annotator, max_files_per_trigger: int = 1, retries: int = 0,
+                  base_delay: float = 1.0) -> DataFrame:
+    """ST2: arriving rows joined to the feedback tables (trusted flag,
+    pseudo-label, demo list); trusted rows keep the pseudo-label, the rest are
+    annotated with the demonstrations of their feedback list.
+
+    A batch first cuts the feedback tables down to its own ids (the id list of a
+    batch is bounded by its files, so it can be broadcast), then joins what is
+    left: its cost follows the batch, not the corpus. The batch is written once,
+    since it is read by each of those steps."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir)
-              .join(trusted, "id", "left")
-              .join(fb.pseudo.select("id", F.col("pred").alias("pseudo")), "id", "left")
-              .join(fb.demos, "id", "left"))
-    # the demos all lists point to: bounded, resolved once, broadcast to every batch
-    side = fb.pseudo.select("id", F.col("pred").cast("bigint").alias("label")).join(corpus_text, "id", "left")
-    demo_table = bounded_demo_table(fb.demos, side, ("text", "label"))
-    if demo_table is None:
-        raise ValueError("demo set too large for the streaming refinery")
-    demo_table = PreparedDemoTable(demo_table, ("text", "label"))     # broadcast once for all batches
+              .parquet(source_dir))
+    side = fb.pseudo.select("id", F.col("pred").cast("bigint").alias("label"))
+
+    def of(table: DataFrame, ids: DataFrame) -> DataFrame:
+        return table.join(ids, "id", "left_semi")
 
     def handle(df: DataFrame) -> DataFrame:
-        kept = df.filter(F.col("trusted").isNotNull()).select(
+        df = stored(df, "refine-batch")
+        ids = df.select("id").distinct()
+        rows = (df.join(of(fb.trusted.select("id", F.lit(True).alias("trusted")), ids), "id", "left")
+                .join(of(fb.pseudo.select("id", F.col("pred").alias("pseudo")), ids), "id", "left")
+                .join(of(fb.demos, ids), "id", "left"))
+        rows = stored(rows, "refine-rows")
+        kept = rows.filter(F.col("trusted").isNotNull()).select(
             "id", F.lit(None).cast("string").alias("raw"), F.col("pseudo").cast("int").alias("label"))
-        need = df.filter(F.col("trusted").isNull()).select(
+        need = rows.filter(F.col("trusted").isNull()).select(
             "id", "text", F.coalesce("demo_ids", F.array().cast("array<bigint>")).alias("demo_ids"))
-        prompts = prompts_from_wide(attach_demo_columns(need, demo_table, ("text", "label")), task)
-        asked = parse_labels(annotate(prompts, annotator), task.words).select("id", "raw", "label")
-        return asked.unionByName(kept)
+        named = need.select(F.explode("demo_ids").alias("id")).distinct()
+        demos = of(side, named).join(of(corpus_text.select("id", "text"), named), "id", "left")
+        prompts = prompts_from_wide(attach_demos(need, demos, ("text", "label")), task)
+        asked = parse_labels(annotate(prompts, annotator, retries=retries, base_delay=base_delay), task.words)
+        return asked.select("id", "raw", "label").unionByName(kept)
 
-    try:
-        _run(stream, handle, out_dir, checkpoint)
-    finally:
-        demo_table.release()
+    _run(stream, handle, out_dir, checkpoint)
     return spark.read.parquet(out_dir)
