@@ -67,10 +67,11 @@ def documents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_text_vec: documents joined to embeddings on doc_id = vec_id
-    -> (id, text, label, embedding)."""
+    """fx_text_vec: every document, with its vector where ``embeddings`` has one
+    (doc_id = vec_id) -> (id, text, label, embedding). A document without a vector
+    has no neighbours and is labelled without demonstrations."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.join(vectors(spark, sf_dir), "id")
+    return docs.join(vectors(spark, sf_dir), "id", "left")
 
 
 def split_of(id_col) -> F.Column:

@@ -12,7 +12,7 @@ from labelloop.operators.select import top_fraction
 from labelloop.plans import fixtures as fx
 from labelloop.plans.q_selection import SQL_TOP
 from labelloop.plans.registry import register
-from labelloop.plans.rounds import emit_feedback, read_feedback, write_feedback
+from labelloop.plans.rounds import Feedback, emit_feedback, read_feedback, write_feedback
 from labelloop.session import scratch_dir
 
 K = 100 // fx.NUM_CLASSES          # clusters per class (select_demo_num // C)
@@ -52,7 +52,7 @@ def _trusted_rows(spark, sf_dir):
 
 @register("q_kmeans_class")
 def q_kmeans_class(spark, sf_dir):
-    """K-means inside each predicted class over the trusted rows (MLlib,
+    """K-means inside each predicted class over the trusted rows (seeded
     seed 0, k capped by distinct vectors). Random seeding: rows-only check."""
     a = kmeans_clusters(_trusted_rows(spark, sf_dir), K, cls="pred")
     return a.select("id", "pred", "cluster")
@@ -175,6 +175,10 @@ def _feedback_roundtrip(spark, sf_dir):
     fb = emit_feedback(_scored(spark, sf_dir), fx.NUM_CLASSES, clusterer=fixed_clusters)
     root = scratch_dir(spark, "feedback")
     write_feedback(fb, root, 1)
+    # a second round must leave the first alone
+    write_feedback(Feedback(*(t.limit(0) for t in (fb.trusted, fb.demos, fb.pseudo))), root, 2)
+    if not read_feedback(spark, root, 2).pseudo.isEmpty():
+        raise ValueError("round 2 is empty")
     return read_feedback(spark, root, 1)
 
 

@@ -46,27 +46,29 @@ def _initial(spark, sf_dir, annotator=majority_answer_annotator):
 
 SQL_MSGS = "WITH " + fx.SQL_KNN_TEXT + f""",
 dm AS (SELECT knn.id, knn.rank, d.text AS dtext, knn.anno FROM knn JOIN documents d ON d.doc_id = knn.demo_id),
-q AS (SELECT e.id, d.text FROM e JOIN documents d ON d.doc_id = e.id),
+nd AS (SELECT id, count(*) AS n FROM knn GROUP BY id),
+q AS (SELECT d.doc_id AS id, d.text, coalesce(nd.n, 0) AS n FROM documents d LEFT JOIN nd ON nd.id = d.doc_id),
 msgs AS (
   SELECT id, 0 AS turn, 'system' AS role, '{_q(TASK.system)}' AS content FROM q
   UNION ALL SELECT id, 3 * (rank - 1) + 1, 'user', {sql_sentence(TASK.sentence_template, 'dtext')} FROM dm
   UNION ALL SELECT id, 3 * (rank - 1) + 2, 'user', '{_q(TASK.question)}' FROM dm
   UNION ALL SELECT id, 3 * (rank - 1) + 3, 'assistant', 'class' || CAST(anno AS VARCHAR) FROM dm
-  UNION ALL SELECT id, 31, 'user', {sql_sentence(TASK.sentence_template, 'text')} FROM q
-  UNION ALL SELECT id, 32, 'user', '{_q(TASK.question)}' FROM q)"""
+  UNION ALL SELECT id, 3 * n + 1, 'user', {sql_sentence(TASK.sentence_template, 'text')} FROM q
+  UNION ALL SELECT id, 3 * n + 2, 'user', '{_q(TASK.question)}' FROM q)"""
 
 
 @register("q_prompt_messages", SQL_MSGS + """
 SELECT id, CAST(turn AS BIGINT) AS turn, role, content FROM msgs""")
 def q_prompt_messages(spark, sf_dir):
-    """few-shot prompts (33 messages for 10 demos), exploded."""
+    """few-shot prompts (33 messages for 10 demos, 3 without any), exploded."""
     return exploded_messages(round_prompts(_corpus(spark, sf_dir), _pool(spark, sf_dir), TASK))
 
 
 SQL_INITIAL = "WITH " + fx.SQL_KNN_TEXT + """,
 cnt AS (SELECT id, anno, count(*) AS c, min(rank) AS r FROM knn GROUP BY id, anno),
 ans AS (SELECT id, anno FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, r) AS rn FROM cnt)
-        WHERE rn = 1)"""
+        WHERE rn = 1
+        UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT id FROM knn))"""
 
 
 @register("q_initial_round", SQL_INITIAL + """
@@ -76,13 +78,13 @@ def q_initial_round(spark, sf_dir):
     return _initial(spark, sf_dir).select("id", "label")
 
 
-@register("q_annotate_retry")
+@register("q_annotate_retry", SQL_INITIAL + """
+SELECT id, CAST(anno AS INTEGER) AS label, CAST(NULL AS VARCHAR) AS error FROM ans""")
 def q_annotate_retry(spark, sf_dir):
-    """The round with an annotator whose first call in every task fails;
-    the back-off retry answers every row."""
-    prompts = round_prompts(_corpus(spark, sf_dir), _pool(spark, sf_dir), TASK)
-    raw = annotate(prompts, FlakyAnnotator(majority_answer_annotator), retries=3, base_delay=0.01)
-    return raw.select("id", parse_answer(F.col("raw"), TASK.words).alias("label"), "error")
+    """The round with an annotator whose first call in every task fails; the
+    back-off retry answers every row, so it equals the initial round."""
+    return initial_round(_corpus(spark, sf_dir), _pool(spark, sf_dir), TASK, FlakyAnnotator(majority_answer_annotator),
+                         retries=3, base_delay=0.01).select("id", "label", "error")
 
 
 SQL_STUB = "WITH " + fx.SQL_CORPUS + f""",
@@ -158,10 +160,9 @@ da AS (SELECT dl.id, dl.pos, f.pred AS dlab FROM dl JOIN fx_scored f ON f.id = d
 dc AS (SELECT id, dlab, count(*) AS c, min(pos) AS p FROM da GROUP BY id, dlab),
 maj AS (SELECT id, dlab FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, p) AS rn FROM dc)
         WHERE rn = 1),
-refined AS (SELECT f.id, CAST(CASE WHEN t.id IS NOT NULL THEN f.pred ELSE coalesce(maj.dlab, -1) END AS INTEGER)
+refined AS (SELECT d.doc_id AS id, CAST(CASE WHEN t.id IS NOT NULL THEN f.pred ELSE coalesce(maj.dlab, -1) END AS INTEGER)
                    AS label, t.id IS NOT NULL AS trusted
-            FROM fx_scored f LEFT JOIN top t ON t.id = f.id LEFT JOIN maj ON maj.id = f.id
-            WHERE f.id IN (SELECT doc_id FROM documents))"""
+            FROM documents d LEFT JOIN fx_scored f ON f.id = d.doc_id LEFT JOIN top t ON t.id = f.id LEFT JOIN maj ON maj.id = f.id)"""
 
 
 def _feedback(spark, sf_dir):
@@ -197,7 +198,7 @@ def q_trusted_override(spark, sf_dir):
 
 
 @register("q_need_annotation", SQL_OVERRIDE + """
-SELECT id FROM e EXCEPT SELECT id FROM top""")
+SELECT doc_id AS id FROM documents EXCEPT SELECT id FROM top""")
 def q_need_annotation(spark, sf_dir):
     """Corpus rows outside the trusted set (the only ones sent to the annotator)."""
     fb = _feedback(spark, sf_dir)
@@ -206,7 +207,7 @@ def q_need_annotation(spark, sf_dir):
 
 SQL_ROUNDS = SQL_OVERRIDE + """,
 rounds AS (
-  SELECT 1 AS round, id, 'class' || CAST(anno AS VARCHAR) AS raw, CAST(anno AS INTEGER) AS label FROM ans
+  SELECT 1 AS round, id, CASE WHEN anno < 0 THEN '' ELSE 'class' || CAST(anno AS VARCHAR) END AS raw, CAST(anno AS INTEGER) AS label FROM ans
   UNION ALL
   SELECT 2, r.id, CASE WHEN r.trusted THEN NULL WHEN maj.dlab IS NULL THEN '' ELSE 'class' || CAST(maj.dlab AS VARCHAR) END,
          r.label FROM refined r LEFT JOIN maj ON maj.id = r.id)"""

@@ -131,11 +131,11 @@ def q_split_clean(spark, sf_dir):
 
 
 @register("q_intersect_ids", "WITH " + fx.SQL_SCORED + """
-SELECT id FROM fx_scored WHERE pred = 3 INTERSECT SELECT id FROM fx_scored WHERE matched""")
+SELECT id, pred AS cls FROM fx_scored INTERSECT SELECT id, anno FROM fx_scored WHERE valid""")
 def q_intersect_ids(spark, sf_dir):
-    """Rows predicted as class 3 that are also matched (set intersection)."""
+    """For every class, rows predicted as it that are also annotated with it (set intersection)."""
     s = fx.scored(spark, sf_dir)
-    return s.filter("pred = 3").select("id").intersect(s.filter("matched").select("id"))
+    return s.select("id", F.col("pred").alias("cls")).intersect(s.filter("valid").select("id", F.col("anno").alias("cls")))
 
 
 @register("q_except_ids", SQL_GMM + """

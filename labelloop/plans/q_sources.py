@@ -16,7 +16,7 @@ from labelloop.plans.q_labelling import SQL_INITIAL, TASK
 from labelloop.plans.q_text import SQL_ENC, W_VOCAB
 from labelloop.plans.q_training import sql_u
 from labelloop.plans.registry import register
-from labelloop.session import scratch_dir
+from labelloop.session import scratch_dir, stored
 from labelloop.sources.tables import (assign_ids, cached, examples, parse_vector, read_labelled_csv, read_split,
                                       read_vocab, write_predictions, write_split_table, write_vocab)
 
@@ -186,10 +186,10 @@ def q_parse_vector(spark, sf_dir):
 
 
 @register("q_unlabelled", """
-SELECT d.doc_id AS id, CAST(len(e.embedding) AS INTEGER) AS dims FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
+SELECT d.doc_id AS id, CAST(len(e.embedding) AS INTEGER) AS dims FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
 WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)""")
 def q_unlabelled(spark, sf_dir):
-    """Corpus rows with vectors and no label yet."""
+    """Corpus rows without a label yet, with the size of their vector (NULL: none)."""
     tv = fx.text_vectors(spark, sf_dir)
     lab = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     return tv.join(lab, "id", "left_anti").select("id", F.size("embedding").alias("dims"))
@@ -283,12 +283,20 @@ def q_eval_target(spark, sf_dir):
     return out
 
 
+def range_slice(df, start_idx, id_col="id"):
+    """Rows from ``start_idx`` on (pushed down to the scan), ids kept."""
+    return df.filter(F.col(id_col) >= start_idx)
+
+
 @register("q_range_slice", """
-SELECT vec_id AS id FROM embeddings WHERE vec_id >= 0""")
+SELECT vec_id AS id, vec_id >= (SELECT avg(vec_id) FROM embeddings) AS resumed FROM embeddings WHERE vec_id >= 0""")
 def q_range_slice(spark, sf_dir):
-    """Rows from start_idx (0, the reference default) to the end, ids kept."""
-    start_idx = 0
-    return fx.vectors(spark, sf_dir).filter(F.col("id") >= start_idx).select("id")
+    """Rows from start_idx to the end, ids kept: from 0 (the reference default)
+    and, marked ``resumed``, from the middle of the ids."""
+    v = fx.vectors(spark, sf_dir)
+    middle = v.agg(F.avg("id")).first()[0]
+    rest = range_slice(v, middle).select(F.col("id").alias("_id"))
+    return range_slice(v, 0).join(rest, F.col("id") == F.col("_id"), "left").select("id", F.col("_id").isNotNull().alias("resumed"))
 
 
 @register("q_point_lookup", """
@@ -318,11 +326,11 @@ def q_preview(spark, sf_dir):
 """ + fx.SQL_CORPUS + """
 SELECT c.id, CAST(a.anno AS INTEGER) AS round_label, c.label AS quality FROM fx_corpus c JOIN ans a ON a.id = c.id""")
 def q_merge_labels(spark, sf_dir):
-    """The round's labels merged into the training table (inner join on id)."""
+    """The round's labels merged into the training table (see ``merge_labels``)."""
     from labelloop.plans.q_labelling import _initial
-    labels = _initial(spark, sf_dir).select("id", F.col("label").alias("round_label"))
-    return fx.text_corpus(spark, sf_dir).join(labels, "id").select("id", "round_label",
-                                                                   F.col("label").alias("quality"))
+    from labelloop.plans.rounds import merge_labels
+    merged = merge_labels(fx.text_corpus(spark, sf_dir), stored(_initial(spark, sf_dir), "labels"), "round_label")
+    return merged.select("id", "round_label", F.col("label").alias("quality"))
 
 
 @register("q_outer_loop")

@@ -127,3 +127,13 @@ def write_labels(labels: DataFrame, path: str, text_export: str | None = None) -
         (written.select("id", F.col("label").cast("string").alias("value"))
          .repartitionByRange("id").sortWithinPartitions("id").select("value")
          .write.mode("overwrite").text(text_export))
+
+
+def merge_labels(table: DataFrame, labels: DataFrame, out: str = "round_label", id_col: str = "id") -> DataFrame:
+    """The labels of a round as a column of the training table. Every row must
+    have exactly one label: other counts raise instead of losing rows."""
+    n, m = table.count(), labels.count()
+    merged = table.join(labels.select(id_col, F.col("label").alias(out)), id_col)
+    if not n == m == merged.count():
+        raise ValueError(f"{n} rows, {m} labels, {merged.count()} rows with a label")
+    return merged
