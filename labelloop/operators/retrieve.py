@@ -279,7 +279,7 @@ def _knn_from_pool(queries: DataFrame, pool: DataFrame, k: int, *, query_id, que
     packed = (long.groupBy(F.col(query_id).alias("__qid"))
               .agg(F.array_sort(F.collect_list(F.struct(*order, "demo_id", "demo_label", "sim"))).alias("_l")))
     out = queries.select(F.col(query_id).cast("bigint").alias(query_id), *keep).join(packed, F.col(query_id) == F.col("__qid"), "left")
-    lists = [F.coalesce(F.transform("_l", lambda x, f=f: x[f]), F.array().cast(f"array<{t}>")).alias(name)
+    lists = [F.coalesce(F.col(f"_l.{f}"), F.array().cast(f"array<{t}>")).alias(name)
              for f, t, name in (("demo_id", "bigint", "demo_ids"), ("demo_label", "bigint", "demo_labels"), ("sim", "double", "sims"))]
     out = out.select(query_id, *keep, *lists)
     if pool_text is None:
