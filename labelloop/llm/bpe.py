@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloop.llm.common import blocks, documents, text_bytes
+from labelloop.llm.common import blocks, documents, held, text_bytes, tidied
 
 MAX_VOCABULARY_BYTES = 64 << 20
 MAX_CACHED_WORDS = 200_000
@@ -192,17 +192,6 @@ def merges_of(data: bytes) -> tuple[Merges, list[str]]:
     return Merges(strings, pairs, np.array(made)), [t["content"] for t in spec["added_tokens"]]
 
 
-_LOADED: dict = {}
-
-
-def _loaded(key, make):
-    """One copy for each worker process."""
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = make()
-    return _LOADED[key]
-
-
 def _fill(cache: dict, words: set, whole: dict, merges: Merges, value) -> None:
     """Add ``words`` to the cache: whole tokens directly, the others merged together."""
     rest = []
@@ -237,7 +226,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         return merges, whole, PreTokenizer(pattern), {}
 
     def run(batches):
-        merges, whole, cut, cache = _loaded(("encode", path, pattern), load)
+        merges, whole, cut, cache = held(("encode", path, pattern), load)
         get = cache.__getitem__
         for batch in batches:
             for block in blocks(batch):
@@ -249,7 +238,9 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 ids = [b"".join(map(get, w)) for w in words]
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                                                  ["doc_id", "n_tokens", "ids"])
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+        cache.clear()  # an idle worker keeps the merges only
+    run.holds = True
+    return docs.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids binary")
 
 
 def bpe_decode(df: DataFrame, path: str) -> DataFrame:
@@ -263,7 +254,7 @@ def bpe_decode(df: DataFrame, path: str) -> DataFrame:
         return np.frombuffer(b"".join(strings), np.uint8), sizes, np.cumsum(sizes) - sizes
 
     def run(batches):
-        letters, sizes, starts = _loaded(("decode", path), load)
+        letters, sizes, starts = held(("decode", path), load)
         for batch in batches:
             for block in blocks(batch, "ids"):
                 raw, offsets = text_bytes(block, "ids")
@@ -275,8 +266,9 @@ def bpe_decode(df: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("n_tokens"), block.column("ids"),
                                                   pa.array([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
                                                  ["doc_id", "n_tokens", "ids", "decoded"])
+    run.holds = True
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary, decoded binary")
+        tidied(run), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def token_counts(df: DataFrame, path: str, pattern: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,7 +285,7 @@ def token_counts(df: DataFrame, path: str, pattern: str, limit: int, id_col: str
         return merges, whole, PreTokenizer(pattern), split, {}
 
     def run(batches):
-        merges, whole, cut, split, cache = _loaded(("count", path, pattern), load)
+        merges, whole, cut, split, cache = held(("count", path, pattern), load)
         get = cache.__getitem__
         for batch in batches:
             for block in blocks(batch):
@@ -307,4 +299,6 @@ def token_counts(df: DataFrame, path: str, pattern: str, limit: int, id_col: str
                 n = [sum(map(get, w)) + len(p) - 1 for w, p in zip(words, parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(text_bytes(block)[1])), pa.array(n, pa.int64()), pa.array([x > limit for x in n])],
                                                  ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        cache.clear()
+    run.holds = True
+    return docs.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

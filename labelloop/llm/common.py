@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from labelloop.session import scratch_dir, ship_package
 
 # Text handled at once inside a task; a single longer document is one block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +38,12 @@ def settings(spark: SparkSession, **conf: str):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: later jobs neither repeat
-    the work nor depend on the executors that did it. Shuffle files of the finished job go."""
+    the work nor depend on the executors that did it. Shuffle files of the finished job go.
+    Rows pass to Python in small batches, since texts are long."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
+                  spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -96,5 +99,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What tasks of one operator share in a worker process; another operator's takes its place,
+    so that a reused worker does not pile them up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def tidied(run):
+    """``run`` for mapInArrow, leaving little behind in a worker process that waits for its next
+    task: what another operator held goes first, and Arrow's freed buffers go back at the end."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        if not getattr(run, "holds", False):
+            _HELD.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return wrapped
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloop.llm.common import blocks, documents, mixed, settings, stored, text_bytes
+from labelloop.llm.common import blocks, documents, held, mixed, settings, stored, text_bytes, tidied
 
 ORDER = 5
 QUANTILE, SLACK = 0.995, 0.05
@@ -93,7 +93,7 @@ def _discount(d: list[float]) -> Column:
 def kneser_ney(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """(n, code, gram, value): for ``gram`` the log probability of the last byte of an n-gram after
     the others, else the log back-off weight of a context of n - 1 bytes."""
-    counts = [stored(trusted.mapInArrow(_counter(order), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "ngrams")]
+    counts = [stored(trusted.mapInArrow(tidied(_counter(order)), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "ngrams")]
     for n in range(order - 1, 0, -1):
         suffix = F.col("code").bitwiseAND((1 << 8 * n) - 1)
         counts.insert(0, stored(counts[0].groupBy(suffix.alias("code")).agg(F.count(F.lit(1)).alias("c")), "continuations"))
@@ -121,7 +121,7 @@ class Lookup:
     """Values by 64-bit key, open addressing over numpy arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.bits = max(4, (2 * len(keys)).bit_length())
         size = 1 << self.bits
         self.keys, self.values, used = np.zeros(size, np.uint64), np.zeros(size, np.float64), np.zeros(size, bool)
         at = self._slot(keys)
@@ -172,17 +172,11 @@ class Shard:
         return out
 
 
-_SHARDS: dict = {}
-
-
 def _scorer(shared, shard: int, shards: int, order: int):
     key = uuid.uuid4().hex
 
     def run(batches):
-        if key not in _SHARDS:
-            _SHARDS.clear()
-            _SHARDS[key] = Shard(shared.value, order)
-        score = _SHARDS[key]
+        score = held(key, lambda: Shard(shared.value, order))
         for batch in batches:
             for block in blocks(batch):
                 data, offsets = text_bytes(block)
@@ -196,6 +190,7 @@ def _scorer(shared, shard: int, shards: int, order: int):
                 sums = np.append(0, np.cumsum(logs))[offsets]
                 yield pa.RecordBatch.from_arrays([block.column(c) for c in ("doc_id", "lang", "trusted", "uid")]
                                                  + [pa.array(np.diff(sums)), pa.array(np.diff(offsets))], ["doc_id", "lang", "trusted", "uid", "log_prob", "n_bytes"])
+    run.holds = True
     return run
 
 
@@ -218,7 +213,7 @@ def log_probabilities(rows: DataFrame, model: DataFrame, order: int = ORDER, sha
     for s in range(shards):
         held = model.filter((F.col("n") == 1) | (place % shards == s))
         shared = spark.sparkContext.broadcast(_arrays(held.select("n", "code", "gram", "value"), order))
-        parts.append(rows.mapInArrow(_scorer(shared, s, shards, order), schema))
+        parts.append(rows.mapInArrow(tidied(_scorer(shared, s, shards, order)), schema))
         if shards > 1:
             parts[-1] = stored(parts[-1], "shard-scores")
             shared.destroy()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloop.llm.common import documents, stored
+from labelloop.llm.common import documents, stored, tidied
 from labelloop.llm.components import SALT, components
 
 WORDS, SEED, BITS = 3, 42, 2
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([simhash(shingle_hashes(t.as_py().encode(), n_words)) for t in batch.column("text")], pa.int64())],
                 ["doc_id", "fp"])
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def _segment(which):
@@ -141,7 +141,7 @@ def simhash_links(fps: DataFrame, max_bits: int = BITS) -> DataFrame:
     if max_bits > 2:
         raise ValueError("two segments find differences of two bits at most")
     keyed = variants(fps)
-    return keyed.repartition("variant", "sub").sortWithinPartitions("variant", "sub").mapInArrow(_linker(max_bits), "u long, v long").distinct()
+    return keyed.repartition("variant", "sub").sortWithinPartitions("variant", "sub").mapInArrow(tidied(_linker(max_bits)), "u long, v long").distinct()
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, max_bits: int = BITS) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloop.llm.common import blocks, documents, mixed, stored, text_bytes, total_bytes, unused
+from labelloop.llm.common import blocks, documents, mixed, stored, text_bytes, tidied, total_bytes, unused
 
 LENGTH, SAMPLE = 50, 20
 BUCKET = 1 << 20
@@ -208,6 +208,8 @@ def _sorted_bucket(leave_open: bool):
             state = settled.astype(np.int64)
         answer = np.empty(len(doc), np.uint8)
         answer[order] = state
+        del doc, k1, k2, order, d, rank, mine, settled, state
+        pa.default_memory_pool().release_unused()
         out, at = [], 0
         s, w = get("s", np.uint32), get("w", np.uint8)
         for i, size in enumerate(sizes):
@@ -295,12 +297,12 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     k = min(SAMPLE, length)
     n = total_bytes(docs)
     rows = docs.filter(F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text"))
-    entries = rows.mapInArrow(_sampler(n // (BUCKET * 12) + 1, length, k), _ENTRIES)
+    entries = rows.mapInArrow(tidied(_sampler(n // (BUCKET * 12) + 1, length, k)), _ENTRIES)
     first = stored(_settle(entries, True, length), "suffix-ranks")
     todo = first.filter(F.col("open").isNotNull()).select("doc_id", "th", "open")
     open_bytes = int(todo.agg(F.sum(F.octet_length("open"))).first()[0] or 0)
     suffixes = (rows.join(todo.distinct(), ["doc_id", "th"])
-                .mapInArrow(_suffixes(open_bytes // (BUCKET // 2) + 1, length), _ENTRIES))
+                .mapInArrow(tidied(_suffixes(open_bytes // (BUCKET // 2) + 1, length)), _ENTRIES))
     second = stored(_settle(suffixes, False, length), "suffix-ties")
     both = first.select("doc_id", "th", F.col("spans").alias("spans1"), F.lit(None).cast("binary").alias("spans2")).union(
         second.select("doc_id", "th", F.lit(None).cast("binary"), "spans"))
@@ -314,7 +316,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = documents(df, id_col, text_col)
     spans = duplicate_spans(docs, length)
     return (docs.withColumn("th", F.xxhash64("text")).join(spans, ["doc_id", "th"], "left")
-            .select("doc_id", "text", "spans1", "spans2").mapInArrow(_remover, _REMOVED))
+            .select("doc_id", "text", "spans1", "spans2").mapInArrow(tidied(_remover), _REMOVED))
 
 
 def _cut_text(text: pd.Series, spans1: pd.Series, spans2: pd.Series) -> pd.Series:
