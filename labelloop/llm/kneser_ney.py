@@ -204,8 +204,13 @@ def _arrays(rows: DataFrame, order: int) -> dict:
 
 
 def log_probabilities(rows: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``rows`` (doc_id, text, lang, trusted, uid) scored: log_prob and n_bytes of each text."""
+    """``rows`` (doc_id, text, lang, trusted, uid) scored: log_prob and n_bytes of each text. Where
+    several shards add up, rows are told apart by a number that is written with them."""
     shards = min(256, -(-model.count() // shard_rows) or 1)
+    if shards > 1:
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        own = rows.select("row", F.col("uid").alias("own_uid"))
+        rows = rows.select("doc_id", "text", "lang", "trusted", F.col("row").alias("uid"))
     schema = "doc_id long, lang string, trusted int, uid long, log_prob double, n_bytes long"
     spark = rows.sparkSession
     place = F.when(F.col("gram"), F.shiftright("code", 8)).otherwise(F.col("code")).bitwiseAND(255)
@@ -219,7 +224,8 @@ def log_probabilities(rows: DataFrame, model: DataFrame, order: int = ORDER, sha
             shared.destroy()
     if shards == 1:
         return parts[0]
-    return reduce(DataFrame.union, parts).groupBy("doc_id", "lang", "trusted", "uid").agg(F.sum("log_prob").alias("log_prob"), F.max("n_bytes").alias("n_bytes"))
+    sums = reduce(DataFrame.union, parts).groupBy("doc_id", "lang", "trusted", "uid").agg(F.sum("log_prob").alias("log_prob"), F.max("n_bytes").alias("n_bytes"))
+    return sums.join(own, F.col("uid") == F.col("row")).select("doc_id", "lang", "trusted", F.col("own_uid").alias("uid"), "log_prob", "n_bytes")
 
 
 def _quantiles(scored: DataFrame, keys: list[str], q: float, name: str) -> DataFrame:

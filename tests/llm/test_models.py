@@ -40,6 +40,16 @@ def test_quality_scores_odd_rows(spark, odd, none):
     assert all(r["kept"] == (r["n_bytes"] > 0) for r in unlabelled)
 
 
+def test_quality_scores_of_repeated_rows_in_shards(spark, odd):
+    """Repeated rows and null ids with equal texts are scored each, whatever the number of shards."""
+    labels = spark.createDataFrame([(i * 3 + 1, 1, 0) for i in range(6, 24)], LABELS)
+    rows = odd.unionByName(odd.filter("doc_id is null")).unionByName(odd.filter("doc_id % 4 = 0"))
+    key = lambda r: (str(r["doc_id"]), r["lang"], r["n_bytes"], r["kept"], round(r["log_prob"], 3), r["threshold"] is None)
+    one = sorted(map(key, kneser_ney.quality_scores(rows, labels).collect()))
+    many = sorted(map(key, kneser_ney.quality_scores(rows, labels, shard_rows=20_000).collect()))
+    assert len(one) == rows.count() and many == one
+
+
 def test_quality_thresholds_by_language(spark):
     """Junk goes, trusted and unlabelled clean texts stay; two languages, one text unlike the other."""
     rng = random.Random(6)
