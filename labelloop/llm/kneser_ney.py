@@ -15,8 +15,10 @@ by language and by length class (powers of four).
 
 Nulls: a null text is empty; a null language is a language of its own. A class with fewer than
 ``MIN_TRUSTED`` trusted texts takes the quantile of its length over all languages; failing that,
-texts of ``LONG`` bytes and more take that of their language, then of all texts, and shorter ones
-are kept. With no trusted text at all everything is kept. Empty texts have no perplexity and are
+texts of ``LONG`` bytes and more take that of their language, then of all texts. All others take the
+mean of their length class, merged with its neighbours until there are enough texts, and a margin
+that is wider the shorter the text is and the fewer texts there are. With no trusted text at all
+everything is kept. Empty texts have no perplexity and are
 rejected. Repeated rows are scored each.
 """
 
@@ -36,6 +38,7 @@ from labelloop.llm.common import blocks, documents, held, mixed, settings, store
 ORDER = 5
 QUANTILE, SLACK = 0.995, 0.05
 MIN_TRUSTED, LONG = 50, 256
+SIZES, DEVIATIONS, BYTE_VARIANCE = 7, 4.0, 4.0
 SHARD_ROWS = 1 << 21
 MAX_BROADCAST_IDS = 4_000_000
 _FLUSH = 1 << 21
@@ -237,6 +240,25 @@ def _quantiles(scored: DataFrame, keys: list[str], q: float, name: str) -> DataF
             .select(*(F.col(k).alias(f"{name}_{k}") for k in keys), name))
 
 
+def _margins(held: DataFrame) -> list[tuple[float, float, float]]:
+    """For each length class (mean, deviation, deviation times the root of the length) of the nats a
+    byte, neighbouring classes merged until there are ``MIN_TRUSTED`` texts; [] without any text."""
+    x = -F.col("log_prob") / F.col("n_bytes")
+    rows = held.groupBy("size").agg(F.count(F.lit(1)), F.sum(x), F.sum(x * x), F.sum(1 / F.col("n_bytes"))).collect()  # SIZES at most
+    sums = {r[0]: np.array(r[1:], float) for r in rows}
+    out = []
+    for size in range(SIZES if sums else 0):
+        for reach in range(SIZES):
+            n, total, squares, inverse = sum((v for k, v in sums.items() if abs(k - size) <= reach), np.zeros(4))
+            if n >= MIN_TRUSTED:
+                break
+        left = max(squares - total * total / n, 0.0)
+        few = DEVIATIONS * math.sqrt(max(1.0, MIN_TRUSTED / n))
+        by_byte = left / inverse if n >= MIN_TRUSTED else max(left / inverse, BYTE_VARIANCE)
+        out.append((float(total / n), few * math.sqrt(left / n), few * math.sqrt(by_byte)))
+    return out
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy(F.col("doc_id").cast("long").alias("trusted_id")).agg(F.min("quality").alias("q")).filter("q = 1 and trusted_id is not null").select("trusted_id")
 
@@ -255,9 +277,14 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     model = kneser_ney(rows.filter("trusted = 1").select("text"), order)
     scored = log_probabilities(rows.withColumn("uid", F.xxhash64("text")), model, order, shard_rows)
     scored = scored.withColumn("bin", F.round(F.try_divide("log_prob", "n_bytes") * -1000).cast("long")).withColumn(
-        "size", F.when(F.col("n_bytes") > 0, F.least(F.floor(F.log(F.greatest("n_bytes", F.lit(1)).cast("double")) / math.log(4)), F.lit(6))).cast("int"))
+        "size", F.when(F.col("n_bytes") > 0, F.least(F.floor(F.log(F.greatest("n_bytes", F.lit(1)).cast("double")) / math.log(4)), F.lit(SIZES - 1))).cast("int"))
     scored = stored(scored, "scores")
     held = scored.filter("trusted = 2 and n_bytes > 0")
+    margins = _margins(held) or _margins(scored.filter("trusted = 1 and n_bytes > 0"))  # too few to hold one out
+    margin = F.lit(None).cast("double")
+    if margins:
+        mean, wide, by_byte = (F.element_at(F.array(*map(F.lit, v)), F.col("size") + 1) for v in zip(*margins, strict=True))
+        margin = mean + F.greatest(wide, by_byte / F.sqrt(F.greatest("n_bytes", F.lit(1))))
     x = scored
     for keys, name in ((["lang", "size"], "a"), (["size"], "b"), (["lang"], "c"), ([], "d")):
         table = _quantiles(held, keys, quantile, name)  # a row for each language and length class
@@ -265,5 +292,5 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         x = x.join(F.broadcast(table), on, "left")
     long = F.when(F.col("n_bytes") >= LONG, F.coalesce("c", "d"))
     x = x.select("doc_id", "lang", "n_bytes", "log_prob", F.exp(-F.try_divide("log_prob", "n_bytes")).alias("perplexity"),
-                 F.exp(F.coalesce("a", "b", long) / 1000 + math.log1p(SLACK)).alias("threshold"))
+                 F.exp(F.coalesce(F.coalesce("a", "b", long) / 1000, margin) + math.log1p(SLACK)).alias("threshold"))
     return x.withColumn("kept", F.when(F.col("n_bytes") == 0, False).otherwise(F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))

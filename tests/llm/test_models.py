@@ -65,6 +65,20 @@ def test_quality_thresholds_by_language(spark):
     assert math.isfinite(held[-1])
 
 
+@pytest.mark.parametrize("trusted", [400, 3])
+def test_quality_thresholds_of_short_texts(spark, trusted):
+    """Every text has a threshold as soon as there is trusted text, and short junk goes."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 10 if i % 20 == 0 else 60), "en") for i in range(500)]
+    junk = ["".join(chr(rng.randint(33, 64)) for _ in range(n)) for n in (40, 90, 150, 240)] * 2
+    docs = spark.createDataFrame(rows + [(1000 + i, t, ("en", "xx")[i % 2]) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in kneser_ney.quality_scores(docs, spark.createDataFrame([(i, 1, 0) for i in range(trusted)], LABELS)).collect()}
+    assert all(r["threshold"] is not None for r in got.values())
+    if trusted > 3:
+        assert not any(got[i]["kept"] for i in range(1000, 1000 + len(junk)))
+        assert sum(not got[i]["kept"] for i in range(500)) <= 5
+
+
 def toxic_docs(rng, n, start):
     rows, labels = [], []
     for i in range(start, start + n):
