@@ -19,8 +19,10 @@ leave every other suffix to be sorted.
 3. Settled suffixes become byte spans, which join the texts once.
 
 Strings are compared by two independent 64-bit hashes (128 bits). A bucket holds about
-``BUCKET`` rows; their number follows the input, so the memory of a task does not. A string that
-occurs everywhere is one row for each task and rank before it is shuffled.
+``BUCKET`` rows; their number follows the input, so the memory of a task does not. Entries are counted
+by bucket first; where a bucket is over twice the size, the strings in it with ``BUCKET / 4`` entries
+and more take another way: the smallest document of each rank by a grouped aggregate, joined back
+salted, so that no task holds all the places of a string that occurs everywhere.
 
 Nulls: a null text is empty; a row with a null id is kept as it is. Repeated ids are one document
 (neither copy is smaller), each row keeps its own text. Empty and short texts lose nothing.
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from labelloop.llm.common import blocks, documents, mixed, stored, text_bytes, tidied, total_bytes, unused
 
 LENGTH, SAMPLE = 50, 20
-BUCKET = 1 << 20
+BUCKET, SALT = 1 << 20, 8
 MULT = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -140,39 +142,87 @@ _ENTRY_NAMES = [x.split()[0] for x in _ENTRIES.split(", ")]
 _ENTRY_TYPES = [pa.int32(), pa.int64()] + [pa.binary()] * 7
 
 
-def _sampler(n_buckets: int, length: int, k: int):
+def _sampled(length: int, k: int):
+    """The segments of each block of texts: (ids, th, row, s, w, k1, k2)."""
     def run(batches):
-        seq = 0
         for batch in batches:
             for block in blocks(batch):
                 found = cover_sample(*text_bytes(block), length, k)
-                if found is None:
-                    continue
-                row, s, w, k1, k2 = found
-                rows = _entry_rows(n_buckets, seq, block.column("doc_id").to_numpy(), block.column("th").to_numpy(), row, s, w, k1, k2)
-                seq += 1
-                yield _as_batch(rows, _ENTRY_NAMES, _ENTRY_TYPES)
+                if found is not None:
+                    yield block.column("doc_id").to_numpy(), block.column("th").to_numpy(), *found
     return run
 
 
-def _suffixes(n_buckets: int, length: int):
-    """The open suffixes of each text, one entry each."""
+def _opened(length: int):
+    """The open suffixes of each block of texts, one entry each."""
     def run(batches):
-        seq = 0
         for batch in batches:
             for block in blocks(batch):
                 data, offsets = text_bytes(block)
                 if len(data) < length:
                     continue
-                seg = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64).reshape(2, -1) for x in block.column("open")]
+                seg = [np.unique(np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64).reshape(2, -1) for x in xs], axis=1), axis=1)
+                       for xs in block.column("open").to_pylist()]
                 row = np.repeat(np.arange(len(seg)), [x.shape[1] for x in seg])
                 s, w = np.concatenate(seg, axis=1)
                 row, s = np.repeat(row, w), np.repeat(s, w) + _counting(w)
                 at = s + offsets[row]
                 k1, k2 = Hashes(data, 0).of(at, at + length), Hashes(data, 1).of(at, at + length)
-                rows = _entry_rows(n_buckets, seq, block.column("doc_id").to_numpy(), block.column("th").to_numpy(), row, s, np.ones(len(s)), k1, k2)
-                seq += 1
-                yield _as_batch(rows, _ENTRY_NAMES, _ENTRY_TYPES)
+                yield block.column("doc_id").to_numpy(), block.column("th").to_numpy(), row, s, np.ones(len(s)), k1, k2
+    return run
+
+
+def _entries(entries_of, n_buckets: int, hot: np.ndarray):
+    """All entries but those of hot strings, packed by bucket."""
+    def run(batches):
+        for seq, (ids, th, *entry) in enumerate(entries_of(batches)):
+            if len(hot):
+                cold = ~np.isin(entry[3], hot)
+                entry = [x[cold] for x in entry]
+            if len(entry[0]):
+                yield _as_batch(_entry_rows(n_buckets, seq, ids, th, *entry), _ENTRY_NAMES, _ENTRY_TYPES)
+    return run
+
+
+def _bucket_sizes(entries_of, n_buckets: int):
+    def run(batches):
+        n = np.zeros(n_buckets, np.int64)
+        for *_, k1, _ in entries_of(batches):
+            n += np.bincount((k1 % np.uint64(n_buckets)).astype(np.int64), minlength=n_buckets)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+    return run
+
+
+def _string_sizes(entries_of, n_buckets: int, large: np.ndarray):
+    """How often each string of the large buckets occurs."""
+    def run(batches):
+        for *_, k1, _ in entries_of(batches):
+            k, n = np.unique(k1[np.isin(k1 % np.uint64(n_buckets), large)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["k1", "n"])
+    return run
+
+
+def hot_strings(rows: DataFrame, entries_of, n_buckets: int) -> np.ndarray:
+    """The strings with ``BUCKET / 4`` entries and more in buckets of over twice ``BUCKET``; at most
+    one for each ``BUCKET / 4`` entries."""
+    sizes = rows.mapInArrow(tidied(_bucket_sizes(entries_of, n_buckets)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    large = np.array([r["bucket"] for r in stored(sizes.filter(F.col("n") > 2 * BUCKET), "large-buckets").collect()], np.uint64)
+    if not len(large):
+        return large
+    strings = rows.mapInArrow(tidied(_string_sizes(entries_of, n_buckets, large)), "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("n"))
+    return np.array([r["k1"] for r in stored(strings.filter(F.col("n") >= max(2, BUCKET // 4)), "hot-strings").collect()], np.int64).view(np.uint64)
+
+
+_HOT = "doc_id long, th long, s long, w int, k1 long, k2 long"
+
+
+def _hot_entries(entries_of, hot: np.ndarray):
+    def run(batches):
+        for ids, th, row, s, w, k1, k2 in entries_of(batches):
+            at = np.flatnonzero(np.isin(k1, hot))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row[at]], th[row[at]], s[at].astype(np.int64), w[at].astype(np.int32), k1[at].view(np.int64), k2[at].view(np.int64))],
+                                             [x.split()[0] for x in _HOT.split(", ")])
     return run
 
 
@@ -235,33 +285,70 @@ def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.stack([start[new], stop[np.append(new[1:], True)]]).astype(np.uint32)
 
 
+_DEALT = "doc_id long, th long, spans binary, open binary"
+
+
+def _dealt(ids, ths, s, w, state, length: int) -> pa.Table:
+    """Answers by document: byte spans to remove, open segments."""
+    order = np.lexsort((s, ths, ids))
+    ids, ths, s, w, state = ids[order], ths[order], s[order], w[order], state[order]
+    new = np.append(True, (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1]))
+    cuts = np.append(np.flatnonzero(new), len(ids))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        done = np.flatnonzero(state[a:b] == 1) + a
+        left = np.flatnonzero(state[a:b] == 2) + a
+        out.append((int(ids[a]), int(ths[a]),
+                    _spans(s[done], s[done] + w[done] + length - 1).tobytes() if len(done) else None,
+                    np.stack([s[left], w[left]]).astype(np.uint32).tobytes() if len(left) else None))
+    return pa.Table.from_batches([_as_batch(out, ["doc_id", "th", "spans", "open"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])])
+
+
 def _by_document(length: int):
-    """All answers to a chunk, dealt to its documents: byte spans to remove, open segments."""
+    """All answers to a chunk, dealt to its documents."""
     def run(key, table):
         get = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
         docs, th, rows = get("docs", np.int64), get("th", np.int64), get("row", np.uint32)
         ids = np.concatenate([d[r] for d, r in zip(docs, rows, strict=True)])
         ths = np.concatenate([d[r] for d, r in zip(th, rows, strict=True)])
         s, w = np.concatenate(get("s", np.uint32)).astype(np.int64), np.concatenate(get("w", np.uint8)).astype(np.int64)
-        state = np.concatenate(get("open", np.uint8))
-        order = np.lexsort((s, ths, ids))
-        ids, ths, s, w, state = ids[order], ths[order], s[order], w[order], state[order]
-        new = np.append(True, (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1]))
-        cuts = np.append(np.flatnonzero(new), len(ids))
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            done = np.flatnonzero(state[a:b] == 1) + a
-            left = np.flatnonzero(state[a:b] == 2) + a
-            out.append((int(ids[a]), int(ths[a]),
-                        _spans(s[done], s[done] + w[done] + length - 1).tobytes() if len(done) else None,
-                        np.stack([s[left], w[left]]).astype(np.uint32).tobytes() if len(left) else None))
-        return pa.Table.from_batches([_as_batch(out, ["doc_id", "th", "spans", "open"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])])
+        return _dealt(ids, ths, s, w, np.concatenate(get("open", np.uint8)), length)
+    return run
+
+
+def _hot_by_document(length: int):
+    def run(key, table):
+        return _dealt(*(table.column(c).to_numpy() for c in ("doc_id", "th", "s", "w", "state")), length)
     return run
 
 
-def _settle(entries: DataFrame, leave_open: bool, length: int) -> DataFrame:
-    return (entries.groupBy("bucket").applyInArrow(_sorted_bucket(leave_open), _ANSWERS)
-            .groupBy("chunk").applyInArrow(_by_document(length), "doc_id long, th long, spans binary, open binary"))
+def _settle_hot(entries: DataFrame, leave_open: bool, length: int) -> DataFrame:
+    """The same answers for the entries of hot strings, without a group of a string."""
+    least = stored(entries.groupBy("k1", "k2").agg(F.min("doc_id").alias("least")), "hot-ranks")
+    state = F.when(F.col("least") < F.col("doc_id"), 1)
+    if leave_open:
+        differ = least.groupBy(F.col("k1").alias("d1")).agg((F.min("least") < F.max("least")).alias("differ"))  # a row for each hot string
+        entries = entries.join(F.broadcast(differ), F.col("k1") == F.col("d1"))
+        state = state.when(F.col("differ"), 2)
+    # a rank can be as hot as its string: entries are dealt over SALT parts, ranks repeated
+    least = least.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), "least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
+    salt = F.pmod(F.xxhash64("doc_id", "th", "s"), F.lit(SALT)).cast("int")
+    x = entries.withColumn("salt", salt).join(least, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")) & (F.col("salt") == F.col("part")))
+    x = x.select("doc_id", "th", "s", F.col("w").cast("long").alias("w"), F.coalesce(state, F.lit(0)).alias("state")).filter("state > 0").distinct()
+    parts = entries.count() // BUCKET + 1
+    return (x.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "th"), F.lit(parts))).groupBy("chunk")
+            .applyInArrow(_hot_by_document(length), _DEALT))
+
+
+def _settle(rows: DataFrame, entries_of, n_buckets: int, leave_open: bool, length: int) -> DataFrame:
+    hot = hot_strings(rows, entries_of, n_buckets)
+    out = (rows.mapInArrow(tidied(_entries(entries_of, n_buckets, hot)), _ENTRIES)
+           .groupBy("bucket").applyInArrow(_sorted_bucket(leave_open), _ANSWERS)
+           .groupBy("chunk").applyInArrow(_by_document(length), _DEALT))
+    if not len(hot):
+        return out
+    entries = stored(rows.mapInArrow(tidied(_hot_entries(entries_of, hot)), _HOT), "hot-entries")
+    return out.union(_settle_hot(entries, leave_open, length))
 
 
 def cut(text: bytes, *spans: bytes | None) -> tuple[bytes, int]:
@@ -281,9 +368,9 @@ def _remover(batches):
     for batch in batches:
         for block in blocks(batch):
             out = []
-            for i, text, *spans in zip(*(block.column(c).to_pylist() for c in ("doc_id", "text", "spans1", "spans2")), strict=True):
+            for i, text, spans in zip(*(block.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 raw = text.encode()
-                kept, n = cut(raw, *spans)
+                kept, n = cut(raw, *spans or ())
                 out.append((i, len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
             yield _as_batch(out, [x.split()[0] for x in _REMOVED.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()])
 
@@ -292,22 +379,18 @@ _REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, th, spans1, spans2): byte spans to remove of the documents that lose something;
-    ``th`` is the xxhash64 of the text, ``spans*`` two rows of unsigned 32-bit starts and ends."""
+    """(doc_id, th, spans): byte spans to remove of the documents that lose something; ``th`` is the
+    xxhash64 of the text, each of ``spans`` two rows of unsigned 32-bit starts and ends."""
     k = min(SAMPLE, length)
     n = total_bytes(docs)
     rows = docs.filter(F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text"))
-    entries = rows.mapInArrow(tidied(_sampler(n // (BUCKET * 12) + 1, length, k)), _ENTRIES)
-    first = stored(_settle(entries, True, length), "suffix-ranks")
-    todo = first.filter(F.col("open").isNotNull()).select("doc_id", "th", "open")
-    open_bytes = int(todo.agg(F.sum(F.octet_length("open"))).first()[0] or 0)
-    suffixes = (rows.join(todo.distinct(), ["doc_id", "th"])
-                .mapInArrow(tidied(_suffixes(open_bytes // (BUCKET // 2) + 1, length)), _ENTRIES))
-    second = stored(_settle(suffixes, False, length), "suffix-ties")
-    both = first.select("doc_id", "th", F.col("spans").alias("spans1"), F.lit(None).cast("binary").alias("spans2")).union(
-        second.select("doc_id", "th", F.lit(None).cast("binary"), "spans"))
-    # repeated rows of a document can meet in different chunks; equal text has equal spans
-    return both.groupBy("doc_id", "th").agg(F.max("spans1").alias("spans1"), F.max("spans2").alias("spans2"))
+    first = stored(_settle(rows, _sampled(length, k), n // (BUCKET * 12) + 1, True, length), "suffix-ranks")
+    open_bytes = int(first.agg(F.sum(F.octet_length("open"))).first()[0] or 0)
+    # repeated rows of a document can meet in different chunks, with equal answers
+    todo = first.filter(F.col("open").isNotNull()).groupBy("doc_id", "th").agg(F.collect_set("open").alias("open"))
+    second = stored(_settle(rows.join(todo, ["doc_id", "th"]), _opened(length), open_bytes // (BUCKET // 2) + 1, False, length), "suffix-ties")
+    both = first.select("doc_id", "th", "spans").union(second.select("doc_id", "th", "spans")).filter("spans is not null")
+    return both.groupBy("doc_id", "th").agg(F.collect_set("spans").alias("spans"))
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -316,20 +399,20 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = documents(df, id_col, text_col)
     spans = duplicate_spans(docs, length)
     return (docs.withColumn("th", F.xxhash64("text")).join(spans, ["doc_id", "th"], "left")
-            .select("doc_id", "text", "spans1", "spans2").mapInArrow(tidied(_remover), _REMOVED))
+            .select("doc_id", "text", "spans").mapInArrow(tidied(_remover), _REMOVED))
 
 
-def _cut_text(text: pd.Series, spans1: pd.Series, spans2: pd.Series) -> pd.Series:
-    return pd.Series([t if a is None and b is None else cut(t.encode(), a, b)[0].decode(errors="ignore") for t, a, b in zip(text, spans1, spans2, strict=True)])
+def _cut_text(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([t if a is None else cut(t.encode(), *a)[0].decode(errors="ignore") for t, a in zip(text, spans, strict=True)])
 
 
 def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``df`` with the shortened texts, all other columns as they are. Bytes of a character that
     was cut through go too; a null text stays null."""
-    key, th, one, two = (unused(df, n) for n in ("span_id", "span_th", "span_1", "span_2"))
+    key, th, found = (unused(df, n) for n in ("span_id", "span_th", "spans"))
     spans = duplicate_spans(documents(df, id_col, text_col), length).select(
-        F.col("doc_id").alias(key), F.col("th").alias(th), F.col("spans1").alias(one), F.col("spans2").alias(two))
+        F.col("doc_id").alias(key), F.col("th").alias(th), F.col("spans").alias(found))
     text = F.col(text_col).cast("string")
     x = df.join(spans, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(th)), "left")
-    shorter = F.when(F.col(one).isNull() & F.col(two).isNull(), F.col(text_col)).otherwise(F.pandas_udf(_cut_text, "string")(text, one, two))
+    shorter = F.when(F.col(found).isNull(), F.col(text_col)).otherwise(F.pandas_udf(_cut_text, "string")(text, found))
     return x.withColumn(text_col, shorter).select(*df.columns)

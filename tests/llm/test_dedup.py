@@ -29,6 +29,20 @@ def test_suffix_dedup_many_small_buckets(spark, monkeypatch):
     assert got == sorted(brute.suffix_dedup(rows), key=str)
 
 
+def test_suffix_dedup_of_a_passage_in_many_documents(spark, monkeypatch):
+    """A string that occurs everywhere is no group: no bucket holds all of its places."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 64)
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, often = word(300), word(25)
+    rows = [(i, word(rng.randint(0, 60)) + passage + word(40)) for i in range(150)] + [(500 + i, word(60) + often + word(60)) for i in range(150)]
+    rows += [rows[3], (None, passage), (700, passage[20:120])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot = suffix_dedup.hot_strings(docs.filter("doc_id is not null").selectExpr("*", "xxhash64(text) as th"), suffix_dedup._sampled(50, 20), 70)
+    assert 10 <= len(hot) < 60
+    assert table(suffix_dedup.suffix_dedup(docs), *FIELDS) == sorted(brute.suffix_dedup(rows), key=str)
+
+
 def test_without_duplicates_keeps_columns(spark, odd):
     out = suffix_dedup.without_duplicates(odd)
     assert out.columns == odd.columns
