@@ -65,18 +65,21 @@ def _agrees() -> Column:
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, max_broadcast_seeds: int = MAX_BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, n_hits): the hits that agree, for each pair that has one."""
-    texts = hashed_words(docs).select("doc_id", "h")
-    tests = hashed_words(items).select("item_id", F.col("h").alias("item_h"), F.size("h").alias("item_n"), "h").filter("item_n >= 5")
+    texts = hashed_words(docs).select("doc_id", "h", F.xxhash64("h").alias("text_key"))
+    tests = hashed_words(items).select("item_id", F.col("h").alias("item_h"), F.size("h").alias("item_n"), F.xxhash64("h").alias("item_text"), "h").filter("item_n >= 5")
     index = seeds(tests).drop("h").withColumnsRenamed({"pos": "item_pos", "mask": "item_mask", "key": "item_key"})
     held = tests.agg(F.sum("item_n")).first()[0] or 0
     on = F.col("key") == F.col("item_key")
     if held * len(MASKS) <= max_broadcast_seeds:
-        # the word hashes of the items follow in a second lookup, so that they are sent once each
-        hits = (seeds(texts).join(F.broadcast(index.select("item_key", "item_id", "item_pos")), on)
-                .join(F.broadcast(tests.select(F.col("item_id").alias("test_id"), "item_h", "item_n")), F.col("item_id").eqNullSafe(F.col("test_id"))))
+        # the word hashes of the items follow in a second lookup, so that they are sent once each;
+        # rows that share an id are told apart by their words
+        held_words = tests.select(F.col("item_id").alias("test_id"), F.col("item_text").alias("test_text"), "item_h", "item_n").dropDuplicates(["test_id", "test_text"])
+        hits = (seeds(texts).join(F.broadcast(index.select("item_key", "item_id", "item_text", "item_pos")), on)
+                .join(F.broadcast(held_words), F.col("item_id").eqNullSafe(F.col("test_id")) & (F.col("item_text") == F.col("test_text"))))
     else:
-        found = seeds(texts).select("doc_id", "pos", "mask", "key").join(index.select("item_key", "item_id", "item_pos", "item_h", "item_n"), on)
-        hits = found.withColumnRenamed("doc_id", "hit_id").join(texts, F.col("hit_id").eqNullSafe(F.col("doc_id")))
+        found = seeds(texts).select("doc_id", "text_key", "pos", "mask", "key").join(index.select("item_key", "item_id", "item_pos", "item_h", "item_n"), on)
+        found = found.withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_text"})
+        hits = found.join(texts.dropDuplicates(["doc_id", "text_key"]), F.col("hit_id").eqNullSafe(F.col("doc_id")) & (F.col("hit_text") == F.col("text_key")))
     return hits.filter(_agrees()).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"))
 
 

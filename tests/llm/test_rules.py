@@ -95,6 +95,18 @@ def test_decontamination_as_sql_both_ways(spark, cases):
         assert table(d.decontaminate(*frames(spark, unique, items), max_broadcast_seeds=most), *columns) == want
 
 
+def test_decontamination_of_repeated_ids_both_ways(spark, cases):
+    """Rows that share an id, of the benchmark or of the texts, count their own hits once each."""
+    docs, items = cases
+    items = [*items, (3, items[5][1]), items[5], (None, items[7][1]), (None, items[8][1])]
+    docs = [*docs, (900, items[5][1]), (901, items[7][1]), (1, items[3][1]), (None, items[5][1])]
+    found = oracle(d.DECONTAMINATE_SQL, docs, items)[1]
+    want = sorted({r for r in found}, key=str)
+    for most in (d.MAX_BROADCAST_SEEDS, 0):
+        got = table(d.decontaminate(*frames(spark, docs, items), max_broadcast_seeds=most), "doc_id", "contaminated", "n_items", "n_hits")
+        assert len(got) == len(docs) and sorted(set(got), key=str) == want
+
+
 def test_decontamination_empty_tables(spark, cases, none):
     docs, items = frames(spark, *cases)
     assert d.decontaminate(none, items).collect() == []
