@@ -13,7 +13,10 @@ from labelloop.llm.decontaminate import DECONTAMINATE_SQL, decontaminate
 from labelloop.llm.html_extract import extract_main_text
 from labelloop.llm.kneser_ney import quality_scores
 from labelloop.llm.language_id import identify_languages
+from labelloop.llm.merkle import merkle_manifest
+from labelloop.llm.periodic import periodic_runs
 from labelloop.llm.quality_rules import QUALITY_SQL, quality_rules
+from labelloop.llm.sharding import shard_documents
 from labelloop.llm.simhash import simhash_dedup
 from labelloop.llm.suffix_dedup import suffix_dedup
 from labelloop.llm.toxicity import toxicity
@@ -83,3 +86,38 @@ def op7_html_extraction(spark, sf_dir):
 @query
 def op1_language_id(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_sharding(spark, sf_dir):
+    return shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
+def _crc32_of_id():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = F.when(_crc32_of_id() % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle_manifest(table(spark, sf_dir, "documents"), {"n_chars": tampered}).drop("n_copied", "proof")
+
+
+def planted_runs(docs):
+    """``docs`` where every tenth id, by its checksum, repeats its own words from word a on, p words apart."""
+    words = F.coalesce(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.array().cast("array<string>"))
+    x = docs.withColumn("h", _crc32_of_id()).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    x = (x.withColumn("n", F.size("words").cast("long")).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("g % greatest(n, 1)"))
+         .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)")))
+    again = F.expr("concat_ws(' ', transform(sequence(0, n - 1), i -> element_at(words, cast(if(i < a, i, a + (i - a) % p) as int) + 1)))")
+    return x.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    x = periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    x = x.withColumn("best", F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))"))
+    lines = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')))")
+    return x.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.expr("-best.start").alias("start"), F.col("best.length").alias("length"),
+                    F.expr("-best.period").alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+                    F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
