@@ -95,11 +95,10 @@ def scale(a, factor) -> Column:
     return F.transform(_c(a), lambda x: x / F.lit(float(factor)))
 
 
-def linear_rampup(current, length: float) -> Column:
+def linear_rampup(current, length) -> Column:
     """``min(1, current / length)``; a zero length means 1."""
-    if length == 0:
-        return F.lit(1.0)
-    return F.least(F.lit(1.0), _c(current).cast("double") / F.lit(float(length)))
+    n = (length if isinstance(length, Column) else F.lit(length)).cast("double")
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.try_divide(_c(current).cast("double"), n)))
 
 
 def minmax_scale(x, lo, hi) -> Column:

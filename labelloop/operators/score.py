@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,21 @@ def centroid_head(df: DataFrame, num_classes: int, label_col: str = "anno",
     return LinearHead(w, b)
 
 
+def head_table(spark: SparkSession, head: LinearHead) -> DataFrame:
+    """The head as a table, one row per class: cls, weights (the bias last)."""
+    rows = [(c, [float(v) for v in w] + [float(b)]) for c, (w, b) in enumerate(zip(head.weights, head.bias, strict=True))]
+    return spark.createDataFrame(rows, "cls int, weights array<double>")
+
+
+def read_head(table: DataFrame) -> LinearHead:
+    """The head of ``head_table`` (C rows, checked)."""
+    rows = table.orderBy("cls").collect()
+    if [r["cls"] for r in rows] != list(range(len(rows))):
+        raise ValueError("a head has one row for each class")
+    m = np.array([r["weights"] for r in rows], np.float64)
+    return LinearHead(m[:, :-1].copy(), m[:, -1].copy())
+
+
 def score(df: DataFrame, head: LinearHead, vec_col: str = "embedding",
           out_col: str = "logits") -> DataFrame:
     """Append ``logits ARRAY<DOUBLE>`` = W x + b to every row."""

@@ -6,11 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelloop.functions import vectors as V
-from labelloop.operators.score import add_scores, centroid_head, scaled_loss, score
+from labelloop.operators.objective import Objective, descend, fit, training_table
+from labelloop.operators.score import add_scores, centroid_head, head_table, scaled_loss, score
 from labelloop.operators.select import clean_set
-from labelloop.operators.train import (BATCH, TEMP_U, consistency_kl, fit_head, grad_at_zero, minibatch_bucket,
+from labelloop.operators.train import (BATCH, RAMPUP, TEMP_U, consistency_kl, grad_at_zero, minibatch_bucket,
                                        mix_lambda, mixup_loss, mixup_pairs, nan_safe_mean, rampup_weight,
                                        softlabel_rows)
+from labelloop.session import scratch_dir, stored
+from labelloop.sources.commits import Commits
 from labelloop.plans import fixtures as fx
 from labelloop.plans.q_selection import SQL_GMM
 from labelloop.plans.registry import register
@@ -208,16 +211,82 @@ def q_nan_safe_mean(spark, sf_dir):
     return nan_safe_mean(s).select(F.round("mean_loss", 6).alias("mean_loss"), "n_finite")
 
 
+STEPS, RATE = 2, 0.002
+
+
+def sql_descent(steps: int, rate: float) -> str:
+    """``steps`` gradient steps from zero over the weighted rows: hw{steps} (cls, dim, w)."""
+    dims = f"(SELECT UNNEST(range(0, {fx.NUM_CLASSES})) AS cls), (SELECT UNNEST(range(0, len(features))) AS dim FROM (SELECT features FROM rows_w LIMIT 1))"
+    out = f""",
+rx AS (SELECT kind, id, any_value(features) AS features, sum(weight) AS mass FROM rows_w WHERE weight > 0 GROUP BY kind, id),
+rl AS (SELECT kind, id, mass, UNNEST(range(0, len(features))) AS dim, UNNEST(features) AS x FROM rx),
+tl AS (SELECT w.target AS cls, rl.dim, sum(w.weight * rl.x) AS g FROM rows_w w JOIN rl ON rl.kind = w.kind AND rl.id = w.id WHERE w.weight > 0 GROUP BY w.target, rl.dim),
+hw0 AS (SELECT cls, dim, 0.0::DOUBLE AS w FROM {dims})"""
+    for k in range(steps):
+        out += f""",
+hz{k} AS (SELECT rl.kind, rl.id, h.cls, sum(rl.x * h.w) AS z FROM rl JOIN hw{k} h ON h.dim = rl.dim GROUP BY rl.kind, rl.id, h.cls),
+hm{k} AS (SELECT kind, id, max(z) AS m FROM hz{k} GROUP BY kind, id),
+hs{k} AS (SELECT z.kind, z.id, sum(exp(z.z - m.m)) AS s, any_value(m.m) AS m FROM hz{k} z JOIN hm{k} m ON m.kind = z.kind AND m.id = z.id GROUP BY z.kind, z.id),
+hp{k} AS (SELECT z.kind, z.id, z.cls, exp(z.z - s.m) / s.s AS p FROM hz{k} z JOIN hs{k} s ON s.kind = z.kind AND s.id = z.id),
+hg{k} AS (SELECT p.cls, rl.dim, sum(rl.mass * p.p * rl.x) AS g FROM hp{k} p JOIN rl ON rl.kind = p.kind AND rl.id = p.id GROUP BY p.cls, rl.dim),
+hw{k + 1} AS (SELECT h.cls, h.dim, h.w - {rate} * (g.g - coalesce(tl.g, 0)) AS w FROM hw{k} h JOIN hg{k} g ON g.cls = h.cls AND g.dim = h.dim
+              LEFT JOIN tl ON tl.cls = h.cls AND tl.dim = h.dim)"""
+    return out
+
+
+def _objective(spark, sf_dir):
+    base = stored(training_base(spark, sf_dir), "base")
+    return base, Objective.of(training_table(base, epoch=EPOCH, seed=0), fx.NUM_CLASSES, base.count(), epoch=EPOCH)
+
+
+@register("q_head_descent", SQL_BASE + sql_descent(STEPS, RATE) + f"""
+SELECT CAST(cls AS INTEGER) AS cls, CAST(dim AS INTEGER) AS dim, round(w, 6) AS weight FROM hw{STEPS}""")
+def q_head_descent(spark, sf_dir):
+    """The head after a fixed number of gradient steps of the whole objective."""
+    _, objective = _objective(spark, sf_dir)
+    return head_table(spark, descend(objective, STEPS, RATE)).select("cls", F.posexplode("weights").alias("dim", "weight")).select(
+        "cls", "dim", F.round("weight", 6).alias("weight"))
+
+
+def sql_epoch_eval(k: int) -> str:
+    return f"""SELECT {k} AS epoch, CAST(arg_max(cls, (z, -cls)) AS INTEGER) = gold AS hit FROM (
+  SELECT a.id, a.gold, h.cls, sum(a.x * h.w) AS z FROM (SELECT id, gold, UNNEST(range(0, len(v) + 1)) AS dim, UNNEST(list_append(v, 1.0)) AS x FROM fx_anno) a
+  JOIN hw{k} h ON h.dim = a.dim GROUP BY a.id, a.gold, h.cls) GROUP BY id, gold"""
+
+
+@register("q_epoch_evaluation", SQL_BASE + sql_descent(STEPS, RATE) + f""",
+ev AS ({" UNION ALL ".join(sql_epoch_eval(k) for k in range(1, STEPS + 1))})
+SELECT 1 AS round, CAST(epoch AS INTEGER) AS epoch, 'eval_accuracy' AS key, printf('%.6f', avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END)) AS value FROM ev GROUP BY epoch
+UNION ALL SELECT 1, CAST(epoch AS INTEGER), 'eval_n', CAST(count(*) AS VARCHAR) FROM ev GROUP BY epoch""")
+def q_epoch_evaluation(spark, sf_dir):
+    """L7 after every epoch: the evaluation table of heads of one and two gradient steps,
+    keyed by (round, epoch) and committed like in the loop."""
+    from labelloop.plans.loop import evaluation
+    _, objective = _objective(spark, sf_dir)
+    gold = stored(fx.noisy_annotation(spark, sf_dir).select("gold", "embedding"), "gold")
+    commits = Commits(spark, scratch_dir(spark, "evaluations"))
+    for epoch in range(1, STEPS + 1):
+        commits.table(f"eval/1/{epoch}", lambda: evaluation(gold, descend(objective, epoch, RATE), 1, epoch))  # noqa: B023 - runs at once
+    return spark.read.parquet(*commits.steps().values())
+
+
+@register("q_rampup", f"""
+SELECT epoch, round(CASE WHEN length = 0 THEN 1.0 ELSE least(1.0, epoch / length) END, 6) AS weight, length, n FROM (
+  SELECT vec_id % 14 AS epoch, (CASE WHEN label = 0 THEN 0 ELSE {RAMPUP} END)::INTEGER AS length, count(*) AS n
+  FROM embeddings GROUP BY vec_id % 14, CASE WHEN label = 0 THEN 0 ELSE {RAMPUP} END)""")
+def q_rampup(spark, sf_dir):
+    """the ramp-up weight of each training row's epoch, also for length zero."""
+    x = fx.vectors(spark, sf_dir).select((F.col("id") % 14).alias("epoch"), F.when(F.col("label") == 0, 0).otherwise(RAMPUP).alias("length"))
+    return (x.withColumn("weight", F.round(V.linear_rampup("epoch", F.col("length")), 6)).groupBy("epoch", "weight", "length")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 @register("q_self_train")
 def q_self_train(spark, sf_dir):
-    """One self-training round - soft-label rows -> LogisticRegression ->
+    """One self-training round - training table -> L-BFGS over its objective ->
     new head -> predictions for every row (iterative fit: rows-only check)."""
-    from pyspark import StorageLevel
-    base = training_base(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = softlabel_rows(base, fx.NUM_CLASSES, epoch=EPOCH, seed=0).persist(StorageLevel.MEMORY_AND_DISK)
-    head = fit_head(rows, fx.NUM_CLASSES, max_iter=50)
-    rows.unpersist()
-    scored = add_scores(score(base.select("id", "label", "embedding"), head), label_col="label")
+    base, objective = _objective(spark, sf_dir)
+    scored = add_scores(score(base.select("id", "label", "embedding"), fit(objective, max_iter=50)), label_col="label")
     return scored.select("id", "pred", "label")
 
 
