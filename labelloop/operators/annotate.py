@@ -1,5 +1,5 @@
 """Annotation: the pluggable annotator (X1), the built-in similarity vote (X1b),
-retry wrapper (X2), answer parsing (P15, F13, F14), trusted-row override (J5),
+retry and rate ceiling (X2), answer parsing (P15, F13, F14), trusted-row override (J5),
 and the anti-join that keeps trusted rows away from the annotator (J5b)."""
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloop.functions.labels import parse_answer
+from labelloop.operators.answers import AnswerStore
 
 ANNOTATOR_BATCH = 100   # prompts per remote call (reference batch size)
 
@@ -59,10 +60,18 @@ def majority_answer_annotator(batch: Sequence[Sequence[dict]]) -> list[str]:
     return out
 
 
+class Retryable(Exception):
+    """A failed call that may work later: a rate limit, an overloaded service."""
+
+
+RETRYABLE = (Retryable, ConnectionError, TimeoutError)
+
+
 def with_retry(fn: Annotator, retries: int = 5, base_delay: float = 1.0,
-               retry_on: tuple = (Exception,)) -> Callable:
-    """Exponential back-off around an annotator call. After the last failure
-    the batch is answered with ``None`` and the error text is kept."""
+               retry_on: tuple = RETRYABLE) -> Callable:
+    """Exponential back-off around an annotator call. Errors in ``retry_on`` are
+    tried again, any other one is final at once. Returns the answers and None, or
+    no answers and the error."""
     def call(batch):
         delay = base_delay
         for attempt in range(retries + 1):
@@ -70,45 +79,90 @@ def with_retry(fn: Annotator, retries: int = 5, base_delay: float = 1.0,
                 return list(fn(batch)), None
             except retry_on as e:      # noqa: PERF203
                 if attempt == retries:
-                    return [None] * len(batch), f"{type(e).__name__}: {e}"
+                    return [None] * len(batch), e
                 time.sleep(delay)
                 delay *= 2
-        return [None] * len(batch), "unreachable"
+            except Exception as e:     # noqa: BLE001 - final: reported by the caller
+                return [None] * len(batch), e
+        raise ValueError("retries must not be negative")
     return call
 
 
+class RateCeiling:
+    """An annotator with at most ``calls`` calls in any ``seconds`` of a worker process (the
+    ceiling a remote service sets for a key): a call over it is not made but fails as
+    ``Retryable``, so that the back-off spaces the calls out."""
+
+    def __init__(self, inner: Annotator, calls: int, seconds: float = 60.0):
+        self.inner, self.calls, self.seconds, self.made = inner, calls, seconds, []
+
+    def __call__(self, batch):
+        now = time.monotonic()
+        self.made = [t for t in self.made if now - t < self.seconds]
+        if len(self.made) >= self.calls:
+            raise Retryable(f"over {self.calls} calls in {self.seconds} s")
+        self.made.append(now)
+        return self.inner(batch)
+
+
 def annotate(prompts: DataFrame, annotator: Annotator = majority_answer_annotator, *,
              id_col: str = "id", messages_col: str = "messages", batch_size: int = ANNOTATOR_BATCH,
-             retries: int = 0, base_delay: float = 1.0, on_error: str = "raise") -> DataFrame:
+             retries: int = 0, base_delay: float = 1.0, retry_on: tuple = RETRYABLE, on_error: str = "raise",
+             store: AnswerStore | None = None, keep: tuple = ()) -> DataFrame:
     """Run ``annotator`` over the message lists, ``batch_size`` prompts
     per call, inside ``mapInPandas`` (the only place a network client may live).
 
-    Returns ``(id, raw, error)``; ``raw`` is the answer text. The id travels with
+    Returns ``(id, *keep, raw, error)``; ``raw`` is the answer text. The id travels with
     the row (J6), so no positional zip is needed. The annotator is costly and
-    non-deterministic in general: write the result before reusing it
-    (``labelloop.session.cut_lineage``) so a second action does not call again.
-
-    A batch that still fails after ``retries`` fails the job; with
-    ``on_error="keep"`` its rows stay apart instead: no answer, the error text,
-    and (see ``parse_labels``) no label.
+    non-deterministic in general: with a ``store`` every answer is kept as soon as it
+    is there, and neither a retried task nor a later run asks for it again. Without
+    one, write the result before reusing it.
+
+    A batch that still fails after ``retries``, or at once by an error that is not in
+    ``retry_on``, fails the job; with ``on_error="keep"`` its rows stay apart
+    instead: no answer, the error text, no label (see ``parse_labels``), and nothing
+    in the store, so that the next run asks again.
     """
     if on_error not in ("raise", "keep"):
         raise ValueError(on_error)
-    call = with_retry(annotator, retries=retries, base_delay=base_delay)
+    call = with_retry(annotator, retries=retries, base_delay=base_delay, retry_on=retry_on)
+    paid = store.run() if store else None
+    rows = prompts.select(F.col(id_col).cast("bigint").alias(id_col), *keep, messages_col, F.sha2(F.to_json(messages_col), 256).alias("__prompt"))
+    answered = store.read(prompts.sparkSession) if store else None
+    if answered is not None:
+        answered = answered.select(F.col("id").alias(id_col), F.col("prompt").alias("__prompt"), F.col("raw").alias("__raw"))
+        rows = rows.join(answered, [id_col, "__prompt"], "left").select(*rows.columns, "__raw")
+    else:
+        rows = rows.withColumn("__raw", F.lit(None).cast("string"))
 
     def run(pdfs):
+        known = paid.known() if paid else {}
         for pdf in pdfs:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
-                batch = [[{"role": m["role"], "content": m["content"]} for m in msgs]
-                         for msgs in part[messages_col]]
-                answers, err = call(batch)
-                if err is not None and on_error == "raise":
-                    raise RuntimeError(f"annotator failed after {retries} retries: {err}")
-                yield pd.DataFrame({id_col: part[id_col].astype("int64").values,
-                                    "raw": answers, "error": [err] * len(part)})
-
-    return prompts.select(id_col, messages_col).mapInPandas(run, f"{id_col} bigint, raw string, error string")
+                ids, hashes = part[id_col].astype("int64").tolist(), part["__prompt"].tolist()
+                answers = [known.get(key) if raw is None else raw for key, raw in zip(zip(ids, hashes, strict=True), part["__raw"], strict=True)]
+                ask = [i for i, a in enumerate(answers) if a is None]
+                err = None
+                if ask:
+                    new, err = call([[{"role": m["role"], "content": m["content"]} for m in part[messages_col].iloc[i]] for i in ask])
+                    if err is None and len(new) != len(ask):
+                        err = ValueError(f"{len(ask)} prompts, {len(new)} answers")
+                    if err is not None and on_error == "raise":
+                        raise RuntimeError(f"annotator failed: {type(err).__name__}: {err}") from err
+                    if err is None:
+                        for i, a in zip(ask, new, strict=True):
+                            answers[i] = a
+                        if paid:
+                            paid.write([ids[i] for i in ask], [hashes[i] for i in ask], list(new))
+                failed = set(ask) if err is not None else ()
+                out = part[[id_col, *keep]].copy()
+                out["raw"] = answers
+                out["error"] = [f"{type(err).__name__}: {err}" if i in failed else None for i in range(len(part))]
+                yield out
+
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in prompts.select(*keep).schema.fields) if keep else ""
+    return rows.mapInPandas(run, f"{id_col} bigint, {kept}raw string, error string")
 
 
 def parse_labels(raw: DataFrame, words: Sequence[str], raw_col: str = "raw",
@@ -142,30 +196,6 @@ def batch_number(id_col: str = "id", size: int = ANNOTATOR_BATCH) -> Column:
     return F.floor(F.col(id_col) / F.lit(size)).cast("bigint")
 
 
-# The six answer shapes the parser must handle (plain word,
-# capitalised with one dot, two dots, leading space, empty, unknown word).
-STUB_ANSWERS = ("positive", "Negative.", "POSITIVE..", " negative", "", "neutral")
-
-
-def length_stub_annotator(batch: Sequence[Sequence[dict]]) -> list[str]:
-    """Deterministic test annotator: picks one of ``STUB_ANSWERS`` by the length
-    of the query sentence (the second-to-last message) modulo 6."""
-    return [STUB_ANSWERS[len(msgs[-2]["content"]) % len(STUB_ANSWERS)] for msgs in batch]
-
-
-class FlakyAnnotator:
-    """Wraps an annotator so that its first ``failures`` calls raise (X2 tests)."""
-
-    def __init__(self, inner: Annotator, failures: int = 1):
-        self.inner, self.failures, self.calls = inner, failures, 0
-
-    def __call__(self, batch):
-        self.calls += 1
-        if self.calls <= self.failures:
-            raise RuntimeError("rate limited")
-        return self.inner(batch)
-
-
 def completion_json(raw_col: str = "raw") -> Column:
     """Wrap an answer in the chat-completion response shape (for P15)."""
     msg = F.struct(F.struct(F.col(raw_col).alias("content")).alias("message"))

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloop.functions.vectors import as_double, hash_unit, l2_distance
@@ -24,35 +25,99 @@ from labelloop.session import stored
 Clusterer = Callable[[DataFrame, int], DataFrame]
 
 
+OVERSAMPLING = 2     # centres drawn in a seeding pass, in multiples of k
+PASSES = 5
+
+
+def _centre_table(spark, centres: dict, schema: str) -> DataFrame:
+    return spark.createDataFrame([(c, j, [float(x) for x in v]) for (c, j), v in sorted(centres.items())], schema)
+
+
+def seeded_centres(rows: DataFrame, k: int, *, cls: str = "pred", vec: str = "embedding", id_col: str = "id", seed: int = 0,
+                   passes: int = PASSES, over: int = OVERSAMPLING) -> dict[tuple, list[float]]:
+    """k-means|| for all classes at once: (class, cluster) -> vector, ``k`` or as many as a
+    class has distinct vectors among its draws.
+
+    One row of each class starts (the least seeded hash). In a pass every row is drawn
+    with probability ``over * k * d2 / sum of d2`` of its class, by a seeded hash of its
+    id, so about ``over * k`` of a class; after a few passes the rows are counted by
+    their nearest draw, and the weighted draws, classes x (1 + passes x over x k) vectors
+    at most in expectation, are cut to ``k`` on the driver: each time the one with the
+    largest weight times squared distance to those taken. Passes are aggregates over the
+    rows; no task holds a class."""
+    kind = dict(rows.dtypes)[cls]
+    schema = f"{cls} {kind}, cluster int, centroid array<double>"
+    first = rows.groupBy(cls).agg(F.min_by(as_double(vec), F.struct(hash_unit(id_col, seed), F.col(id_col))).alias("v")).collect()   # a row for each class
+    centres = {(r[cls], 0): list(r["v"]) for r in first}
+    if not centres:
+        return {}
+    taken = {r[cls]: 1 for r in first}
+    for p in range(1, passes + 1):
+        near = distance_to_centres(rows, _centre_table(rows.sparkSession, centres, schema), cls=cls, vec=vec)
+        total = near.groupBy(cls).agg(F.sum("d2").alias("phi"))
+        drawn = (near.join(F.broadcast(total), cls)            # one number for each class
+                 .filter((F.col("d2") > 0) & (hash_unit(id_col, seed + p) * F.col("phi") < F.lit(float(over * k)) * F.col("d2")))
+                 .select(cls, as_double(vec).alias("v"), id_col).orderBy(cls, id_col).collect())
+        for r in drawn:
+            centres[r[cls], taken[r[cls]]] = list(r["v"])
+            taken[r[cls]] += 1
+        if not drawn:
+            break
+    counts = {(r[cls], r["cluster"]): r["n"] for r in nearest_centre(rows, _centre_table(rows.sparkSession, centres, schema), cls=cls, vec=vec)
+              .groupBy(cls, "cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {}
+    for c in taken:
+        m = np.array([centres[c, j] for j in range(taken[c])])
+        w = np.array([float(counts.get((c, j), 0)) for j in range(taken[c])])
+        d2, at = np.full(len(m), np.inf), int(np.argmax(w))
+        for j in range(k):
+            out[c, j] = m[at].tolist()
+            d2 = np.minimum(d2, ((m - m[at]) ** 2).sum(axis=1))
+            gain = np.maximum(w, 1e-9) * d2
+            at = int(np.argmax(gain))
+            if gain[at] <= 0:
+                break
+    return out
+
+
 def kmeans_clusters(rows: DataFrame, k: int, *, cls: str = "pred", vec: str = "embedding", id_col: str = "id",
                     seed: int = 0, max_iter: int = 20, tol: float = 1e-4, start: DataFrame | None = None) -> DataFrame:
     """Cluster id per row, K-means inside each class, all classes in one loop.
 
     Every iteration is one aggregate keyed by (class, cluster) over the rows,
-    which are written once. Centres are classes x k vectors. The random start
-    takes k distinct vectors of a class by a seeded hash; ``start`` (cls, cluster,
-    centroid) fixes it. A class with fewer distinct vectors has fewer clusters,
+    which are written once. Centres are classes x k vectors. They start from
+    k-means|| (``seeded_centres``); ``start`` (cls, cluster,
+    centroid) fixes them. A class with fewer distinct vectors has fewer clusters,
     a centre that loses all rows is gone, no rows give no clusters."""
     rows = stored(rows, "kmeans-rows")
-    if start is None:
-        by_hash = Window.partitionBy(cls).orderBy(hash_unit("_first", seed), "_first")
-        start = (rows.groupBy(cls, vec).agg(F.min(id_col).alias("_first"))
-                 .withColumn("cluster", F.row_number().over(by_hash) - 1).filter(F.col("cluster") < k)
-                 .select(cls, F.col("cluster").cast("int").alias("cluster"), as_double(vec).alias("centroid")))
     schema = f"{cls} {dict(rows.dtypes)[cls]}, cluster int, centroid array<double>"
-    centres = {(r[cls], r["cluster"]): list(r["centroid"]) for r in start.collect()}      # classes x k vectors
+    if start is None:
+        centres = seeded_centres(rows, k, cls=cls, vec=vec, id_col=id_col, seed=seed)
+    else:
+        centres = {(r[cls], r["cluster"]): list(r["centroid"]) for r in start.collect()}      # classes x k vectors
     spark = rows.sparkSession
     for _ in range(max_iter):
-        table = spark.createDataFrame([(c, j, v) for (c, j), v in sorted(centres.items())], schema)
-        moved = nearest_centre(rows, table, cls=cls, vec=vec)
+        moved = nearest_centre(rows, _centre_table(spark, centres, schema), cls=cls, vec=vec)
         new = {(r[cls], r["cluster"]): list(r["centroid"]) for r in cluster_means(moved, cls=cls, vec=vec).collect()}
         shift = max((sum((a - b) ** 2 for a, b in zip(v, centres[key], strict=True)) for key, v in new.items()), default=0.0)
         same = new.keys() == centres.keys()
         centres = new
         if same and shift <= tol * tol:
             break
-    table = spark.createDataFrame([(c, j, v) for (c, j), v in sorted(centres.items())], schema)
-    return nearest_centre(rows, table, cls=cls, vec=vec)
+    return nearest_centre(rows, _centre_table(spark, centres, schema), cls=cls, vec=vec)
+
+
+def inertia(assigned: DataFrame, *, cls: str = "pred", vec: str = "embedding") -> DataFrame:
+    """(class, inertia): squared distances of the rows to the mean of their cluster."""
+    return (distance_to_centres(assigned.drop("cluster"), cluster_means(assigned, cls=cls, vec=vec), cls=cls, vec=vec)
+            .groupBy(cls).agg(F.sum("d2").alias("inertia")))
+
+
+def distance_to_centres(rows: DataFrame, centres: DataFrame, *, cls: str = "pred", vec: str = "embedding") -> DataFrame:
+    """``rows`` with ``d2``: the squared distance to the nearest centre of the row's class."""
+    per_class = centres.groupBy(cls).agg(F.collect_list("centroid").alias("_c"))
+    best = F.array_min(F.transform("_c", lambda c: l2_distance(as_double(vec), c)))
+    return rows.join(F.broadcast(per_class), cls).withColumn("d2", best * best).drop("_c")
 
 
 def nearest_centre(rows: DataFrame, centres: DataFrame, *, cls: str = "pred", vec: str = "embedding") -> DataFrame:

@@ -15,6 +15,8 @@ The result is exact either way.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloop.session import stored
+from labelloop.session import scratch_dir, stored
 
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 SALT = 8
@@ -177,26 +179,59 @@ def _topk_block(queries: DataFrame, bc, k: int, query_id: str, query_vec: str,
 
 
 class PreparedPool:
-    """A pool collected and broadcast once (size checked), for callers that
-    retrieve against the same pool many times - every micro-batch of a stream.
-    ``release()`` frees the broadcast."""
+    """A pool made ready once, for callers that retrieve against it many times - every
+    micro-batch of a stream. A pool within the budget is collected and broadcast; a larger
+    one is written once as a table of blocks that each fit, and every batch streams
+    through the blocks: each is broadcast, gives its top-k of the batch, and is freed, and
+    the lists are merged. Both give the same rows. ``release()`` frees the broadcast."""
 
     def __init__(self, pool: DataFrame, *, pool_id: str = "demo_id", pool_vec: str = "embedding",
                  pool_group: str | None = None, pool_label: str | None = None, pool_text: str | None = None,
                  max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES):
-        text_len = F.sum(F.length(pool_text)) if pool_text else F.lit(0)
-        st = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pool_vec)).alias("d"),
-                      text_len.alias("t")).first()
-        n, d, t = int(st["n"]), int(st["d"] or 0), int(st["t"] or 0)
-        if n * 8 * (d + 3) + 4 * t > max_broadcast_bytes:
-            raise ValueError("pool over the broadcast budget")
+        self.how = {"pool_id": pool_id, "pool_vec": pool_vec, "pool_group": pool_group, "pool_label": pool_label, "pool_text": pool_text}
         self.with_group = pool_group is not None
         self.group_name = pool_group or "grp"
-        self.bc = pool.sparkSession.sparkContext.broadcast(
-            _pool_arrays(pool, pool_id, pool_vec, pool_group, pool_label, pool_text))
+        n, d, t = _pool_size(pool, pool_vec, pool_text)
+        self.bc = self.blocks = None
+        if _fits(n, d, t, max_broadcast_bytes):
+            self.bc = pool.sparkSession.sparkContext.broadcast(
+                _pool_arrays(pool, pool_id, pool_vec, pool_group, pool_label, pool_text))
+        else:
+            self.blocks = pool_blocks(pool, n, d, max_broadcast_bytes, **self.how)
 
     def release(self) -> None:
-        self.bc.destroy()
+        if self.bc is not None:
+            self.bc.destroy()
+
+
+def _pool_size(pool: DataFrame, pool_vec: str, pool_text: str | None) -> tuple[int, int, int]:
+    text_len = F.sum(F.length(pool_text)) if pool_text else F.lit(0)
+    st = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pool_vec)).alias("d"), text_len.alias("t")).first()
+    return int(st["n"]), int(st["d"] or 0), int(st["t"] or 0)
+
+
+def _fits(n: int, d: int, t: int, budget: int) -> bool:
+    return n * 8 * (d + 3) + 4 * t <= budget
+
+
+@dataclass
+class PoolBlocks:
+    """A pool written in blocks by a hash of its id; ``n`` blocks of about the budget each."""
+
+    table: DataFrame
+    n: int
+
+
+def pool_blocks(pool: DataFrame, n: int, d: int, budget: int, *, pool_id: str, pool_vec: str, pool_group: str | None, pool_label: str | None,
+                pool_text: str | None) -> PoolBlocks:
+    """Write the pool's rows once, a folder for each block."""
+    n_blocks = max(1, int(np.ceil(n * 8 * (d + 3) / budget)))
+    cols = [c for c in dict.fromkeys((pool_id, pool_vec, pool_group, pool_label, pool_text)) if c]
+    block = F.pmod(F.xxhash64(F.col(pool_id)), F.lit(n_blocks)).cast("int").alias("__block")
+    path = scratch_dir(pool.sparkSession, "pool-blocks")
+    x = pool.select(*cols, block)
+    x.repartition("__block").write.partitionBy("__block").parquet(path)
+    return PoolBlocks(pool.sparkSession.read.schema(x.schema).parquet(path), n_blocks)
 
 
 def knn_topk(queries: DataFrame, pool, k: int, *, query_id: str = "id",
@@ -224,6 +259,8 @@ def knn_topk(queries: DataFrame, pool, k: int, *, query_id: str = "id",
     if isinstance(pool, PreparedPool):
         if not wide and keep:
             raise ValueError("keep needs the wide form")
+        if pool.blocks is not None:
+            return _knn_from_blocks(queries, pool.blocks, k, query_id=query_id, query_vec=query_vec, exclude_self=exclude_self, wide=wide, keep=keep, **pool.how)
         return _topk_block(queries, pool.bc, k, query_id, query_vec, exclude_self, pool.with_group,
                            pool.group_name, wide, keep)
     # the pool is read twice (size check, then collect): evaluate it once
@@ -240,28 +277,31 @@ def knn_topk(queries: DataFrame, pool, k: int, *, query_id: str = "id",
 def _knn_from_pool(queries: DataFrame, pool: DataFrame, k: int, *, query_id, query_vec, pool_id, pool_vec,
                    pool_group, pool_label, exclude_self, wide, keep, pool_text, max_broadcast_bytes) -> DataFrame:
     spark = queries.sparkSession
-    text_len = F.sum(F.length(pool_text)) if pool_text else F.lit(0)
-    stats = pool.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pool_vec)).alias("d"),
-                     text_len.alias("t")).first()
-    n, d, t = int(stats["n"]), int(stats["d"] or 0), int(stats["t"] or 0)
+    n, d, t = _pool_size(pool, pool_vec, pool_text)
     with_group = pool_group is not None
     group_name = pool_group or "grp"
     if (keep or pool_text) and not wide:
         raise ValueError("keep / pool_text need the wide form")
-    row_bytes = 8 * (d + 3)
-    if n * row_bytes + 4 * t <= max_broadcast_bytes:
+    if _fits(n, d, t, max_broadcast_bytes):
         # an empty pool is a pool of no columns: every query stays, with empty lists
         arrays = _pool_arrays(pool, pool_id, pool_vec, pool_group, pool_label, pool_text)
         return _topk_block(queries, spark.sparkContext.broadcast(arrays), k, query_id, query_vec, exclude_self,
                            with_group, group_name, wide, keep)
+    how = {"pool_id": pool_id, "pool_vec": pool_vec, "pool_group": pool_group, "pool_label": pool_label, "pool_text": pool_text}
+    return _knn_from_blocks(queries, pool_blocks(pool, n, d, max_broadcast_bytes, **how), k, query_id=query_id, query_vec=query_vec,
+                            exclude_self=exclude_self, wide=wide, keep=keep, **how)
 
-    # Pool over budget: exact merge of the top-k lists of blocks of the pool. Each
-    # block is broadcast, used and freed; ids and similarities travel, texts join at the end.
-    n_chunks = int(np.ceil(n * row_bytes / max_broadcast_bytes))
-    chunked = pool.withColumn("_chunk", F.pmod(F.xxhash64(F.col(pool_id)), F.lit(n_chunks)))
+
+def _knn_from_blocks(queries: DataFrame, blocks: PoolBlocks, k: int, *, query_id, query_vec, pool_id, pool_vec, pool_group, pool_label,
+                     exclude_self, wide, keep, pool_text) -> DataFrame:
+    """Exact merge of the top-k lists of the blocks of a pool. Each block is broadcast, used
+    and freed; ids and similarities travel, texts join at the end."""
+    spark, pool = queries.sparkSession, blocks.table
+    with_group = pool_group is not None
+    group_name = pool_group or "grp"
     merged = None
-    for c in range(n_chunks):
-        arrays = _pool_arrays(chunked.filter(F.col("_chunk") == c).drop("_chunk"), pool_id, pool_vec, pool_group, pool_label)
+    for c in range(blocks.n):
+        arrays = _pool_arrays(pool.filter(F.col("__block") == c), pool_id, pool_vec, pool_group, pool_label)
         if not len(arrays[0]):
             continue
         bc = spark.sparkContext.broadcast(arrays)

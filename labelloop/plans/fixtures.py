@@ -155,3 +155,14 @@ fx_scored AS (
          a.anno >= 0 AS valid, a.anno >= 0 AND fx_am.pred = a.anno AS matched
   FROM fx_anno a JOIN fx_mx ON a.id = fx_mx.id JOIN fx_am ON a.id = fx_am.id
   LEFT JOIN fx_logit g ON g.id = a.id AND g.cls = a.anno)"""
+
+
+# The six answer shapes the parser must handle (plain word,
+# capitalised with one dot, two dots, leading space, empty, unknown word).
+STUB_ANSWERS = ("positive", "Negative.", "POSITIVE..", " negative", "", "neutral")
+
+
+def length_annotator(batch) -> list[str]:
+    """Stand-in for a remote model whose answers have every shape: one of ``STUB_ANSWERS`` by the length
+    of the query sentence (the second-to-last message) modulo 6."""
+    return [STUB_ANSWERS[len(msgs[-2]["content"]) % len(STUB_ANSWERS)] for msgs in batch]

@@ -13,7 +13,7 @@ from labelloop.plans import fixtures as fx
 from labelloop.plans.q_selection import SQL_TOP
 from labelloop.plans.registry import register
 from labelloop.plans.rounds import Feedback, emit_feedback, read_feedback, write_feedback
-from labelloop.session import scratch_dir
+from labelloop.session import scratch_dir, stored
 
 K = 100 // fx.NUM_CLASSES          # clusters per class (select_demo_num // C)
 SHOTS_PER_CLASS = fx.SHOTS // fx.NUM_CLASSES
@@ -52,12 +52,31 @@ def _trusted_rows(spark, sf_dir):
 
 @register("q_kmeans_class")
 def q_kmeans_class(spark, sf_dir):
-    """K-means inside each predicted class over the trusted rows (seeded
-    seed 0, k capped by distinct vectors). Random seeding: rows-only check."""
+    """K-means inside each predicted class over the trusted rows from k-means|| starts
+    (seed 0, k capped by distinct vectors). Random seeding: rows-only check."""
     a = kmeans_clusters(_trusted_rows(spark, sf_dir), K, cls="pred")
     return a.select("id", "pred", "cluster")
 
 
+def sql_lloyd(k: int, means: str) -> str:
+    """mv{k}: rows at their nearest mean of ``means`` (pred, cluster, pos, m); mn{k}: the means of that."""
+    return f"""
+nr{k} AS (SELECT al.id, al.pred, cm.cluster, sqrt(sum((al.x - cm.m) * (al.x - cm.m))) AS d
+          FROM al JOIN {means} cm ON cm.pred = al.pred AND cm.pos = al.pos GROUP BY al.id, al.pred, cm.cluster),
+mv{k} AS (SELECT id, pred, cluster FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster) AS rn FROM nr{k}) WHERE rn = 1),
+mn{k} AS (SELECT al.pred, mv{k}.cluster, al.pos, avg(al.x) AS m FROM al JOIN mv{k} ON mv{k}.id = al.id GROUP BY al.pred, mv{k}.cluster, al.pos)"""
+
+
+@register("q_kmeans_fixed", SQL_ASSIGN + "," + sql_lloyd(1, "cm") + "," + sql_lloyd(2, "mn1") + "," + sql_lloyd(3, "mn2") + """
+SELECT id, pred, CAST(cluster AS INTEGER) AS cluster FROM mv3""")
+def q_kmeans_fixed(spark, sf_dir):
+    """A9 by value: the whole K-means loop from fixed centres (the means of the fixed
+    assignment), two iterations and the last assignment."""
+    rows = stored(_trusted_rows(spark, sf_dir), "trusted")
+    start = cluster_means(fixed_clusters(rows, K, cls="pred"))
+    return kmeans_clusters(rows, K, cls="pred", start=start, max_iter=2, tol=0.0).select("id", "pred", "cluster")
+
+
 @register("q_lloyd_step", SQL_ASSIGN + """,
 near AS (SELECT al.id, al.pred, cm.cluster, sqrt(sum((al.x - cm.m) * (al.x - cm.m))) AS d
          FROM al JOIN cm ON cm.pred = al.pred AND cm.pos = al.pos GROUP BY al.id, al.pred, cm.cluster),

@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelloop.functions.labels import cast_label, label_word, parse_answer, response_text
-from labelloop.operators.annotate import (FlakyAnnotator, annotate, batch_number, completion_json,
-                                          length_stub_annotator, majority_answer_annotator,
+from labelloop.operators.annotate import (RateCeiling, annotate, batch_number, completion_json, majority_answer_annotator,
                                           need_annotation, trusted_override)
+from labelloop.operators.answers import AnnotationLog, AnswerStore
 from labelloop.operators.demos import fixed_clusters
 from labelloop.operators.prompt import MOVIE_REVIEW, build_prompts, exploded_messages, generic_task
 from labelloop.operators.retrieve import knn_topk
@@ -81,10 +81,25 @@ def q_initial_round(spark, sf_dir):
 @register("q_annotate_retry", SQL_INITIAL + """
 SELECT id, CAST(anno AS INTEGER) AS label, CAST(NULL AS VARCHAR) AS error FROM ans""")
 def q_annotate_retry(spark, sf_dir):
-    """The round with an annotator whose first call in every task fails; the
-    back-off retry answers every row, so it equals the initial round."""
-    return initial_round(_corpus(spark, sf_dir), _pool(spark, sf_dir), TASK, FlakyAnnotator(majority_answer_annotator),
-                         retries=3, base_delay=0.01).select("id", "label", "error")
+    """The round under a rate ceiling of one call in 20 ms for each worker: calls over
+    it fail and are made again after the back-off, so it equals the initial round."""
+    return initial_round(_corpus(spark, sf_dir), _pool(spark, sf_dir), TASK, RateCeiling(majority_answer_annotator, 1, 0.02),
+                         retries=12, base_delay=0.01).select("id", "label", "error")
+
+
+@register("q_answer_store", SQL_INITIAL + """
+SELECT id, CASE WHEN anno < 0 THEN '' ELSE 'class' || CAST(anno AS VARCHAR) END AS raw, CAST(anno AS INTEGER) AS label FROM ans""")
+def q_answer_store(spark, sf_dir):
+    """X1 with paid answers: the round is run twice over one store; the second run finds
+    every answer and its annotator, which refuses, is not called."""
+    store = AnswerStore(scratch_dir(spark, "answers"), 1)
+    corpus, pool = _corpus(spark, sf_dir), _pool(spark, sf_dir)
+    initial_round(corpus, pool, TASK, store=store).write.format("noop").mode("overwrite").save()
+    return initial_round(corpus, pool, TASK, refuse, store=store).select("id", "raw", "label")
+
+
+def refuse(batch):
+    raise ValueError(f"{len(batch)} prompts without a stored answer")
 
 
 SQL_STUB = "WITH " + fx.SQL_CORPUS + f""",
@@ -100,7 +115,7 @@ def _stub_raw(spark, sf_dir):
                  F.concat(F.lit("Given a movie review: '"), F.regexp_replace("text", "\n", ""), F.lit("'"))
                  .alias("content")),
         F.struct(F.lit("user").alias("role"), F.lit(MOVIE_REVIEW.question).alias("content"))).alias("messages"))
-    return annotate(prompts, length_stub_annotator)
+    return annotate(prompts, fx.length_annotator)
 
 
 @register("q_annotate_stub", SQL_STUB + """
@@ -232,12 +247,16 @@ def q_union_batches(spark, sf_dir):
 @register("q_annotation_log", SQL_ROUNDS + """
 SELECT CAST(round AS INTEGER) AS round, id, raw FROM rounds WHERE raw IS NOT NULL""")
 def q_annotation_log(spark, sf_dir):
-    """Raw annotator answers appended to a running log, one append per round."""
-    r1, r2 = _both_rounds(spark, sf_dir)
-    path = scratch_dir(spark, "annotation_log")
-    for r in (r1, r2):
-        r.filter(F.col("raw").isNotNull()).select("round", "id", "raw").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    """Raw answers and sentences of both rounds in a log that the rounds write; the
+    first round is run again and leaves it as it is."""
+    log = AnnotationLog(spark, scratch_dir(spark, "annotation_log"))
+    corpus, pool = _corpus(spark, sf_dir), _pool(spark, sf_dir)
+    root = scratch_dir(spark, "feedback")
+    write_feedback(_feedback(spark, sf_dir), root, 1)
+    initial_round(corpus, pool, TASK, log=log, round_no=1)
+    refinery_round(corpus.select("id", "text"), read_feedback(spark, root, 1), TASK, log=log, round_no=2)
+    initial_round(corpus, pool, TASK, refuse, log=log, round_no=1)
+    return log.read().select("round", "id", "raw")
 
 
 @register("q_label_sink", SQL_INITIAL + """

@@ -118,9 +118,7 @@ def q_paraphrase(spark, sf_dir):
 SELECT id, text_bt FROM aug""")
 def q_attach_paraphrase(spark, sf_dir):
     """Existing paraphrases kept, missing ones attached (only those are generated)."""
-    p = para_table(spark, sf_dir)
-    need = p.filter(F.col("text_bt").isNull())
-    return attach_paraphrase(p, need.select("id", swap_pairs("text").alias("text_bt"))).select("id", "text_bt")
+    return attach_paraphrase(para_table(spark, sf_dir), swap_pairs("text")).select("id", "text_bt")
 
 
 @register("q_aug_presence", SQL_PARA + """
@@ -198,16 +196,16 @@ def q_unlabelled(spark, sf_dir):
 @register("q_feature_cache", SQL_ENC + """
 SELECT id, CAST(sum(token_id) AS BIGINT) AS ids_sum, CAST(sum(mask) AS BIGINT) AS n_real FROM enc GROUP BY id""")
 def q_feature_cache(spark, sf_dir):
-    """Encoded features cached by (mode, tokenizer, max_len, task); the
-    second call reads the stage table instead of re-encoding."""
+    """Encoded features cached by (mode, tokenizer, max_len, task) and the input's
+    files; the second call reads the stage table instead of re-encoding."""
     root = scratch_dir(spark, "features")
     corpus = fx.documents_text(spark, sf_dir)
     key = {"mode": "train", "tokenizer": "wordpiece", "max_len": 128, "task": "corpus"}
 
     def build():
         return TK.encode(corpus, TK.build_vocab(corpus), max_length=128)
-    cached(spark, root, key, build)
-    feats = cached(spark, root, key, build)
+    cached(spark, root, key, corpus, build)
+    feats = cached(spark, root, key, corpus, build)
     return feats.select("id", F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("ids_sum"),
                         F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n_real"))
 
@@ -335,6 +333,56 @@ def q_merge_labels(spark, sf_dir):
 
 @register("q_outer_loop")
 def q_outer_loop(spark, sf_dir):
-    """Two rounds of the outer loop (label -> train -> feedback -> refine)."""
+    """Two rounds of the outer loop (label -> augment -> train and evaluate ->
+    feedback -> refine)."""
     from labelloop.plans.loop import outer_loop
-    return outer_loop(spark, sf_dir, rounds=2, task=TASK)
+    corpus = fx.text_vectors(spark, sf_dir)
+    dev = corpus.filter(F.col("label").isNotNull()).select(F.col("label").alias("gold"), "text")
+    return outer_loop(spark, corpus, fx.text_demo_pool(spark, sf_dir), 2, TASK, dev=dev)
+
+
+SQL_SPLITS = f"""splits AS (SELECT *, {SQL_SPLIT} AS split FROM (
+  SELECT vec_id AS id, CAST(label AS INTEGER) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))"""
+
+
+@register("q_run_order", "WITH " + SQL_SPLITS + f""",
+sl AS (SELECT id, split, label, UNNEST(range(0, len(v))) AS pos, UNNEST(v) AS x FROM splits),
+cent AS (SELECT label AS cls, pos, avg(x) AS m FROM sl WHERE split = 'train' GROUP BY label, pos),
+z AS (SELECT sl.id, sl.split, sl.label, c.cls, sum(sl.x * c.m) AS z FROM sl JOIN cent c ON c.pos = sl.pos WHERE sl.split <> 'train' GROUP BY ALL),
+best AS (SELECT id, split, label, CAST(arg_max(cls, (z, -cls)) AS INTEGER) AS pred FROM z GROUP BY ALL),
+heads AS (SELECT 'trained' AS head, id, split, label, pred FROM best
+          UNION ALL SELECT 'initial', id, split, label, 0 FROM splits WHERE split <> 'train'),
+flags AS (SELECT UNNEST(range(1, 8)) AS f),
+sets AS (SELECT CASE WHEN f & 1 = 1 THEN 't' ELSE '' END || CASE WHEN f & 2 = 2 THEN 'e' ELSE '' END || CASE WHEN f & 4 = 4 THEN 'p' ELSE '' END AS flags,
+                f, CASE WHEN f & 1 = 1 THEN 'trained' ELSE 'initial' END AS head FROM flags)
+SELECT flags, 'train' AS stage, 'classes' AS key, '{fx.NUM_CLASSES}' AS value FROM sets WHERE f & 1 = 1
+UNION ALL SELECT flags, 'eval', 'eval_accuracy', printf('%.6f', avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END)) FROM sets JOIN heads USING (head)
+          WHERE f & 2 = 2 AND split = 'dev' GROUP BY flags
+UNION ALL SELECT flags, 'eval', 'eval_n', CAST(count(*) AS VARCHAR) FROM sets JOIN heads USING (head) WHERE f & 2 = 2 AND split = 'dev' GROUP BY flags
+UNION ALL SELECT flags, 'predict', 'class ' || CAST(pred AS VARCHAR), CAST(count(*) AS VARCHAR) FROM sets JOIN heads USING (head)
+          WHERE f & 4 = 4 AND split = 'test' GROUP BY flags, pred""")
+def q_run_order(spark, sf_dir):
+    """Every set of the flags train, eval, predict over a root of its own: what each
+    requested stage gives, with the trained head or, without training, the initial one."""
+    import numpy as np
+    from labelloop.operators.score import LinearHead
+    from labelloop.plans.run import Run
+    v = fx.vectors(spark, sf_dir)
+    splits = stored(v.withColumn("split", split_col()), "splits")
+    dims = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    initial = LinearHead(np.zeros((fx.NUM_CLASSES, dims)), np.zeros(fx.NUM_CLASSES))
+    out = []
+    for f in range(1, 8):
+        flags = "".join(name for i, name in enumerate("tep") if f >> i & 1)
+        run = Run(spark, scratch_dir(spark, f"run-{flags}"), splits, lambda rows: centroid_head(rows, fx.NUM_CLASSES, label_col="label"), initial)
+        got = run(do_train="t" in flags, do_eval="e" in flags, do_predict="p" in flags)
+        if "train" in got:
+            out.append(got["train"].agg(F.lit("classes").alias("key"), F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(flags).alias("flags"), F.lit("train").alias("stage"), "key", "value"))
+        if "eval" in got:
+            out.append(got["eval"].select(F.lit(flags).alias("flags"), F.lit("eval").alias("stage"), "key", "value"))
+        if "predict" in got:
+            out.append(got["predict"].groupBy("pred").count().select(F.lit(flags).alias("flags"), F.lit("predict").alias("stage"), F.concat(F.lit("class "), F.col("pred").cast("string")).alias("key"), F.col("count").cast("string").alias("value")))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelloop.operators.annotate import (Annotator, annotate, majority_answer_annotator,
                                           need_annotation, parse_labels)
+from labelloop.operators.answers import AnnotationLog
 from labelloop.operators.demos import demo_lists, kmeans_clusters, representatives
 from labelloop.operators.prompt import TaskSpec, prompts_from_wide
 from labelloop.operators.retrieve import attach_demos, knn_topk
@@ -38,19 +39,28 @@ def round_prompts(corpus: DataFrame, pool: DataFrame, task: TaskSpec, *, shots:
     return prompts_from_wide(wide, task, id_col=id_col)
 
 
+def _asked(prompts: DataFrame, annotator: Annotator, task: TaskSpec, id_col: str, log: AnnotationLog | None, round_no: int, **how) -> DataFrame:
+    """(id, raw, error, label) of the prompts; with a log they are the rows of the round in it."""
+    if log is None:
+        return parse_labels(annotate(prompts, annotator, id_col=id_col, **how), task.words)
+    sentence = F.element_at("messages", -2)["content"].alias("sentence")
+    rows = log.append(round_no, lambda: parse_labels(annotate(prompts.select(id_col, "messages", sentence), annotator, id_col=id_col, keep=("sentence",), **how), task.words))
+    return rows.select(id_col, "raw", "error", "label")
+
+
 def initial_round(corpus: DataFrame, pool: DataFrame, task: TaskSpec,
                   annotator: Annotator = majority_answer_annotator, *, shots: int = DEFAULT_SHOTS,
-                  exclude_self: bool = False, id_col: str = "id", retries: int = 0, base_delay: float = 1.0,
-                  on_error: str = "raise") -> DataFrame:
+                  exclude_self: bool = False, id_col: str = "id", log: AnnotationLog | None = None, round_no: int = 0, **how) -> DataFrame:
     """L1: retrieve the ``shots`` most similar demonstrations from the pool for
     every corpus row, build the few-shot prompt, annotate, parse.
 
     corpus: (id, text, embedding); pool: (demo_id, anno, embedding, text), small
-    by design. Every corpus row gets a label. Returns (id, raw, error, label);
-    ``retries``, ``base_delay`` and ``on_error`` as in ``annotate``."""
+    by design. Every corpus row gets a label. Returns (id, raw, error, label). With
+    ``log`` the sentences and answers are its rows for ``round_no``, written once: a
+    round that is in the log is not run again. ``how``: as in ``annotate`` (retries,
+    base_delay, retry_on, on_error, store)."""
     prompts = round_prompts(corpus, pool, task, shots=shots, exclude_self=exclude_self, id_col=id_col)
-    return parse_labels(annotate(prompts, annotator, id_col=id_col, retries=retries, base_delay=base_delay,
-                                 on_error=on_error), task.words)
+    return _asked(prompts, annotator, task, id_col, log, round_no, **how)
 
 
 @dataclass
@@ -95,20 +105,24 @@ def read_feedback(spark: SparkSession, root: str, round_no: int) -> Feedback:
 
 
 def refinery_round(corpus: DataFrame, fb: Feedback, task: TaskSpec,
-                   annotator: Annotator = majority_answer_annotator, *, id_col: str = "id", retries: int = 0,
-                   base_delay: float = 1.0, on_error: str = "raise") -> DataFrame:
+                   annotator: Annotator = majority_answer_annotator, *, id_col: str = "id",
+                   log: AnnotationLog | None = None, round_no: int = 0, **how) -> DataFrame:
     """L2: rows of the trusted set keep the small model's pseudo-label (J5); only
     the other rows are sent to the annotator (J5b), with demonstrations fetched
     by the feedback lists (J3) and answered with the demos' pseudo-labels (J4).
-    Returns (id, raw, error, label) for every corpus row."""
+    Returns (id, raw, error, label) for every corpus row; ``log`` and ``how`` as in
+    ``initial_round`` (the log has the rows that were asked).
+
+    The lists name about 100 representatives: the named ids come first, and the
+    corpus and the pseudo-labels are cut down to them before texts and labels meet."""
     need = need_annotation(corpus.select(id_col, "text"), fb.trusted, id_col)
     rows = need.join(fb.demos, id_col, "left").withColumn(
         "demo_ids", F.coalesce("demo_ids", F.array().cast("array<bigint>")))
-    side = fb.pseudo.select(id_col, F.col("pred").cast("bigint").alias("label")).join(
-        corpus.select(id_col, "text"), id_col, "left")
-    prompts = prompts_from_wide(attach_demos(rows, side, ("text", "label"), id_col=id_col), task, id_col=id_col)
-    asked = parse_labels(annotate(prompts, annotator, id_col=id_col, retries=retries, base_delay=base_delay,
-                                  on_error=on_error), task.words)
+    named = stored(fb.demos.select(F.explode("demo_ids").alias(id_col)).distinct(), "named")
+    side = (fb.pseudo.select(id_col, F.col("pred").cast("bigint").alias("label")).join(named, id_col, "left_semi")
+            .join(corpus.select(id_col, "text").join(named, id_col, "left_semi"), id_col, "left"))
+    prompts = prompts_from_wide(attach_demos(rows, stored(side, "demo-rows"), ("text", "label"), id_col=id_col), task, id_col=id_col)
+    asked = _asked(prompts, annotator, task, id_col, log, round_no, **how)
     kept = (corpus.select(id_col).join(fb.trusted, id_col).join(fb.pseudo, id_col)
             .select(id_col, F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("error"),
                     F.col("pred").cast("int").alias("label")))
@@ -132,8 +146,10 @@ def write_labels(labels: DataFrame, path: str, text_export: str | None = None) -
 def merge_labels(table: DataFrame, labels: DataFrame, out: str = "round_label", id_col: str = "id") -> DataFrame:
     """The labels of a round as a column of the training table. Every row must
     have exactly one label: other counts raise instead of losing rows."""
-    n, m = table.count(), labels.count()
-    merged = table.join(labels.select(id_col, F.col("label").alias(out)), id_col)
-    if not n == m == merged.count():
-        raise ValueError(f"{n} rows, {m} labels, {merged.count()} rows with a label")
-    return merged
+    marked = (table.withColumn("__row", F.lit(True)).join(labels.select(id_col, F.col("label").alias(out), F.lit(True).alias("__label")), id_col, "full"))
+    marked = stored(marked, "merged")
+    c = marked.agg(F.count(F.lit(1)), F.count_if(F.col("__label").isNull()), F.count_if(F.col("__row").isNull())).first()
+    n = table.count()
+    if c[1] or c[2] or c[0] != n:
+        raise ValueError(f"{n} rows, {c[1]} rows without a label, {c[2]} labels without a row, {c[0]} rows with both")
+    return marked.drop("__row", "__label")

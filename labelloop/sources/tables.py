@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from labelloop.functions.labels import cast_label
 from labelloop.session import stored
+from labelloop.sources.commits import Commits, fingerprint
 
 RAGGED_SCHEMA = "c0 string, c1 string, c2 string"
 SPLITS = ("train", "train_chat", "dev", "test")
@@ -97,22 +98,15 @@ def parse_vector(col) -> F.Column:
     return F.from_json(c, "array<double>")
 
 
-def cached(spark: SparkSession, root: str, key: dict, build, overwrite: bool = False) -> DataFrame:
-    """Stage table keyed by its parameters; built once and reused unless
-    ``overwrite``. The Spark job writing it is the single writer."""
-    name = "_".join(f"{k}={key[k]}" for k in sorted(key)).replace("/", "-")
-    path = f"{root.rstrip('/')}/{name}"
-    exists = _exists(spark, path)
-    if overwrite or not exists:
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def cached(spark: SparkSession, root: str, key: dict, source: DataFrame, build, overwrite: bool = False) -> DataFrame:
+    """Stage table keyed by its parameters and by what the files that ``source``
+    reads look like now (names, sizes, times, schema): changed input is built anew.
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return p.getFileSystem(conf).exists(p)
+    The rows are written first and then published by one record that points at them,
+    so a reader never sees half a table; ``overwrite`` builds again and publishes the
+    new rows. Two writers at once leave one table that counts, and both rows are whole."""
+    name = "_".join(f"{k}={key[k]}" for k in sorted(key))
+    return Commits(spark, root).table(f"{name}_input={fingerprint(source)}", build, again=overwrite)
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:

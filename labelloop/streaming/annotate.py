@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelloop.operators.annotate import annotate, majority_answer_annotator, parse_labels
 from labelloop.operators.prompt import TaskSpec, prompts_from_wide
-from labelloop.operators.retrieve import PreparedPool, attach_demos
+from labelloop.operators.retrieve import DEFAULT_BROADCAST_BYTES, PreparedPool, attach_demos
 from labelloop.plans.rounds import Feedback, initial_round
 from labelloop.session import stored
 
@@ -34,16 +34,15 @@ def _run(stream: DataFrame, handle, out_dir: str, checkpoint: str, processing_ti
 
 def stream_annotate(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint: str,
                     pool: DataFrame, task: TaskSpec,
-                    annotator=majority_answer_annotator, max_files_per_trigger: int = 1, retries: int = 0,
-                    base_delay: float = 1.0) -> DataFrame:
+                    annotator=majority_answer_annotator, max_files_per_trigger: int = 1,
+                    max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, **how) -> DataFrame:
     """ST1: (id, text, embedding) files -> labels, one folder per micro-batch.
-    The pool (vectors, labels, texts) is collected and broadcast once for the
-    whole stream, not once per micro-batch."""
+    The pool (vectors, labels, texts) is made ready once for the whole stream: broadcast
+    if it fits, else written in blocks that each micro-batch streams through."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
-    prepared = PreparedPool(pool, pool_label="anno", pool_text="text")
+    prepared = PreparedPool(pool, pool_label="anno", pool_text="text", max_broadcast_bytes=max_broadcast_bytes)
     try:
-        _run(stream, lambda df: initial_round(df, prepared, task, annotator, retries=retries,
-                                               base_delay=base_delay).select("id", "raw", "label"),
+        _run(stream, lambda df: initial_round(df, prepared, task, annotator, **how).select("id", "raw", "label"),
              out_dir, checkpoint)
     finally:
         prepared.release()
@@ -52,8 +51,7 @@ def stream_annotate(spark: SparkSession, source_dir: str, schema, out_dir: str,
 
 def stream_refine(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint: str,
                   fb: Feedback, corpus_text: DataFrame, task: TaskSpec,
-                  annotator=majority_answer_annotator, max_files_per_trigger: int = 1, retries: int = 0,
-                  base_delay: float = 1.0) -> DataFrame:
+                  annotator=majority_answer_annotator, max_files_per_trigger: int = 1, **how) -> DataFrame:
     """ST2: arriving rows joined to the feedback tables (trusted flag,
     pseudo-label, demo list); trusted rows keep the pseudo-label, the rest are
     annotated with the demonstrations of their feedback list.
@@ -83,7 +81,7 @@ def stream_refine(spark: SparkSession, source_dir: str, schema, out_dir: str, ch
         named = need.select(F.explode("demo_ids").alias("id")).distinct()
         demos = of(side, named).join(of(corpus_text.select("id", "text"), named), "id", "left")
         prompts = prompts_from_wide(attach_demos(need, demos, ("text", "label")), task)
-        asked = parse_labels(annotate(prompts, annotator, retries=retries, base_delay=base_delay), task.words)
+        asked = parse_labels(annotate(prompts, annotator, **how), task.words)
         return asked.select("id", "raw", "label").unionByName(kept)
 
     _run(stream, handle, out_dir, checkpoint)

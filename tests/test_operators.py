@@ -165,13 +165,30 @@ def test_model_input_arrays(spark):
 
 
 def test_annotator_retry_and_failure(spark):
+    from tests.doubles import FlakyAnnotator
     msgs = [[{"role": "assistant", "content": "class1"}, {"role": "user", "content": "x"}]]
-    flaky = A.FlakyAnnotator(A.majority_answer_annotator, failures=2)
+    flaky = FlakyAnnotator(A.majority_answer_annotator, failures=2)
     answers, err = A.with_retry(flaky, retries=3, base_delay=0.0)(msgs)
     assert answers == ["class1"] and err is None
-    always = A.FlakyAnnotator(A.majority_answer_annotator, failures=99)
+    always = FlakyAnnotator(A.majority_answer_annotator, failures=99)
     answers, err = A.with_retry(always, retries=1, base_delay=0.0)(msgs)
-    assert answers == [None] and "rate limited" in err
+    assert answers == [None] and "rate limited" in str(err) and always.calls == 2
+    final = FlakyAnnotator(A.majority_answer_annotator, failures=99, error=ValueError)   # not retryable: one call
+    answers, err = A.with_retry(final, retries=5, base_delay=0.0)(msgs)
+    assert answers == [None] and isinstance(err, ValueError) and final.calls == 1
+
+
+def test_rate_ceiling_spaces_calls():
+    import time
+    times = []
+
+    def noted(batch):
+        times.append(time.monotonic())
+        return [""] * len(batch)
+    call = A.with_retry(A.RateCeiling(noted, 2, 0.2), retries=20, base_delay=0.01)
+    for _ in range(6):
+        assert call([[]])[1] is None
+    assert all(b - a >= 0.19 for a, b in zip(times, times[2:], strict=False))
 
 
 def test_majority_annotator_tie_goes_to_first_demo():
