@@ -2,7 +2,7 @@
 
 A block of texts is cut into pre-tokens, and the distinct new ones are merged together. An
 inverted index leads from each pair of adjacent tokens to its places in all words; merges are
-replayed in rank order, each at all its places at once, and only the two neighbours of a merged
+replayed in rank order, many places at once, and only the two neighbours of a merged
 place are looked at again. A word that was merged before comes from a bounded cache.
 
 Counting (operator 4) needs fewer merges: the strings of the vocabulary that encode alone as one
@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import json
 import re
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from labelloop.llm.common import blocks, documents, held, text_bytes, tidied
 MAX_VOCABULARY_BYTES = 64 << 20
 MAX_CACHED_WORDS = 200_000
 _SHIFT = 20
+NO_RANK = 1 << 40
 
 # Characters on which the classes of ``re`` (word, digit, space) and the Unicode
 # properties L, N and White_Space agree.
@@ -56,15 +56,23 @@ class Merges:
     def __init__(self, strings: list[bytes], pairs: dict[int, int], made: np.ndarray | range):
         if len(strings) >= 1 << _SHIFT:
             raise ValueError("the vocabulary is too large")
-        self.strings, self.pairs, self.made = strings, pairs, made
-        self.ids = {s: i for i, s in enumerate(strings)}
-        self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        first = np.full((256, 256), -1, np.int64)
-        for key, rank in pairs.items():
-            a, b = strings[key >> _SHIFT], strings[key & (1 << _SHIFT) - 1]
-            if len(a) == len(b) == 1:
-                first[a[0], b[0]] = rank
-        self.first = first
+        self.strings, self.made = strings, np.asarray(made, np.int64)
+        ids = {s: i for i, s in enumerate(strings)}
+        self.of_byte = np.array([ids[bytes([b])] for b in range(256)], np.int64)
+        keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
+        ranks = np.fromiter(pairs.values(), np.int64, len(pairs))
+        order = np.argsort(keys)
+        # one key above all others, so that a search always ends at a key
+        self.keys, self.ranks = np.append(keys[order], np.int64(1) << 62), np.append(ranks[order], NO_RANK)
+        both = self.of_byte[:, None] << _SHIFT | self.of_byte[None, :]
+        self.first = self.rank_of(both.ravel()).reshape(256, 256)
+        top = max(1, len(self.made) - 1)
+        self.bounds = np.array([*(1 << i for i in range(8, top.bit_length())), NO_RANK], np.int64)
+
+    def rank_of(self, keys: np.ndarray) -> np.ndarray:
+        """The rank at which pairs merge, ``NO_RANK`` if they don't."""
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.ranks[at], NO_RANK)
 
     @classmethod
     def from_ranks(cls, ranks: dict[bytes, int]) -> Merges:
@@ -82,75 +90,99 @@ class Merges:
 
     def replay(self, words: list[bytes]) -> list[np.ndarray]:
         """The tokens of each word."""
+        tokens, offsets = self.replay_flat(words)
+        return np.split(tokens, offsets[1:-1])
+
+    def replay_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words one after the other, and where each word starts (n + 1 offsets).
+
+        The inverted index leads from the rank of a pair to its places in all words, in
+        buckets of ranks. A bucket is worked off in rounds: each word applies its lowest
+        rank at all its places (of overlapping ones every second), and the pairs of a
+        merged place with its two neighbours are looked up and go into their bucket. Words
+        don't meet, so this is every merge in rank order."""
         data = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        # one more place after each word, so that no pair spans two words
-        at = np.arange(len(data)) + np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(words)), sizes)
+        at = np.arange(len(data)) + word  # one more place after each word, so that no pair spans two
         total = len(data) + len(words)
-        start = np.full(total + 1, -1, np.int64)
-        start[at] = self.of_byte[data]
-        rank = np.full(total + 1, -1, np.int64)
+        token = np.full(total + 1, -1, np.int64)
+        token[at] = self.of_byte[data]
+        rank = np.full(total + 1, NO_RANK, np.int64)
         if len(data) > 1:
-            pair = self.first[data[:-1], data[1:]]
-            inside = np.ones(len(data) - 1, bool)
-            inside[(ends[:-1] - 1)[(ends[:-1] > 0) & (ends[:-1] < len(data))]] = False
-            rank[at[:-1]] = np.where(inside, pair, -1)
-        places = np.flatnonzero(rank >= 0)
-        places = places[np.argsort(rank[places], kind="stable")]
-        ranks, cuts = np.unique(rank[places], return_index=True)
-        index = {int(r): p.tolist() for r, p in zip(ranks, np.split(places, cuts[1:]), strict=True)} if len(ranks) else {}
-        token, after, before = start.tolist(), list(range(1, total + 2)), list(range(-1, total))
-        heap, pairs, made, early = list(index), self.pairs, self.made, set()
-        heapify(heap)
-        while heap:
-            r = heappop(heap)
-            new = int(made[r])
-            spots = index.pop(r)
-            spots.sort()
-            for i in spots:
+            rank[at[:-1]] = np.where(word[1:] == word[:-1], self.first[data[:-1], data[1:]], NO_RANK)
+        owner = np.full(total + 1, -1, np.int64)
+        owner[at] = word
+        after, before = np.arange(1, total + 2), np.arange(-1, total)
+        early: list[np.ndarray] = []
+        buckets: list[list[np.ndarray]] = [[] for _ in self.bounds]
+
+        def enter(places: np.ndarray) -> None:
+            number = np.searchsorted(self.bounds, rank[places], side="right")
+            order = np.argsort(number, kind="stable")
+            cuts = np.searchsorted(number[order], np.arange(len(self.bounds) + 1))
+            for b in np.flatnonzero(np.diff(cuts)):
+                buckets[b].append(places[order[cuts[b]:cuts[b + 1]]])
+        enter(np.flatnonzero(rank < NO_RANK))
+        low = 0
+        for b, high in enumerate(self.bounds):
+            while buckets[b]:
+                places = np.sort(np.concatenate(buckets[b]))
+                buckets[b] = []
+                own = rank[places]
+                places = places[(own >= low) & (own < high) & np.append(places[1:] != places[:-1], True)]
+                if not len(places):
+                    break
+                own, r = owner[places], rank[places]
+                starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                lowest = r == np.repeat(np.minimum.reduceat(r, starts), np.diff(np.append(starts, len(r))))
+                later, i = places[~lowest], places[lowest]
+                follows = np.append(False, after[i[:-1]] == i[1:])
+                runs = np.flatnonzero(~follows)
+                nth = np.arange(len(i)) - np.repeat(runs, np.diff(np.append(runs, len(i))))
+                i = i[nth % 2 == 0]
+                was = rank[i]
                 j = after[i]
-                a, b = token[i], token[j]
-                if a < 0 or b < 0 or pairs.get(a << _SHIFT | b) != r:
-                    continue
                 k = after[j]
-                token[i], token[j], after[i], before[k] = new, -2, k, i
-                h, right = before[i], token[k]
-                left = token[h]
-                if left >= 0 and (q := pairs.get(left << _SHIFT | new)) is not None:
-                    if q in index:
-                        index[q].append(h)
-                    else:
-                        index[q] = [h]
-                        heappush(heap, q)
-                    if q < r:
-                        early.add(h)
-                if right >= 0 and (q := pairs.get(new << _SHIFT | right)) is not None:
-                    if q in index:
-                        index[q].append(i)
-                    else:
-                        index[q] = [i]
-                        heappush(heap, q)
-                    if q < r:
-                        early.add(i)
-        token = np.array(token)
+                made = self.made[was]
+                # left to right, the place before has a new left side while this one is still unmerged
+                near = np.flatnonzero(k[:-1] == i[1:])
+                early.append(owner[i[near[self.rank_of(made[near] << _SHIFT | token[k[near]]) < was[near]]]])
+                token[i], token[j], rank[j] = made, -2, NO_RANK
+                after[i], before[k] = k, i
+                left, right = before[i], token[k] >= 0
+                rank[i] = np.where(right, self.rank_of(token[i] << _SHIFT | np.maximum(token[k], 0)), NO_RANK)
+                inner = left >= 0
+                inner[inner] = token[left[inner]] >= 0
+                left, was_left = left[inner], was[inner]
+                rank[left] = self.rank_of(token[left] << _SHIFT | token[i[inner]])
+                early += [owner[i[rank[i] < was]], owner[left[rank[left] < was_left]]]
+                buckets[b].append(later)
+                enter(np.concatenate([x[rank[x] < NO_RANK] for x in (i, left)]))
+            low = high
         found = np.flatnonzero(token >= 0)
-        word_ends = ends + np.arange(len(words))
-        out = np.split(token[found], np.searchsorted(found, word_ends)[:-1])
+        offsets = np.append(0, np.searchsorted(found, ends + np.arange(len(words))))
+        out = token[found]
         # A pair of lower rank that comes up later must go before further places of this rank in
         # its word; vocabularies made by merging never have one, and such a word is done alone.
-        for w in {int(np.searchsorted(word_ends, i)) for i in early}:
-            out[w] = self._alone(words[w])
-        return out
+        again = np.unique(np.concatenate(early)) if early else []
+        if len(again):
+            parts = np.split(out, offsets[1:-1])
+            for w in again:
+                parts[w] = self._alone(words[w])
+            out, offsets = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+        return out, offsets
 
     def _alone(self, word: bytes) -> np.ndarray:
-        seq = self.of_byte[list(word)].tolist()
-        while True:
-            ranks = [self.pairs.get(a << _SHIFT | b, 1 << 62) for a, b in zip(seq, seq[1:], strict=False)]
-            if not ranks or min(ranks) == 1 << 62:
-                return np.array(seq)
-            i = ranks.index(min(ranks))
-            seq[i:i + 2] = [int(self.made[ranks[i]])]
+        seq = self.of_byte[np.frombuffer(word, np.uint8)]
+        while len(seq) > 1:
+            ranks = self.rank_of(seq[:-1] << _SHIFT | seq[1:])
+            i = int(np.argmin(ranks))
+            if ranks[i] == NO_RANK:
+                break
+            seq = np.concatenate([seq[:i], [self.made[ranks[i]]], seq[i + 2:]])
+        return seq
 
 
 def read_small(path: str) -> bytes:
@@ -192,8 +224,9 @@ def merges_of(data: bytes) -> tuple[Merges, list[str]]:
     return Merges(strings, pairs, np.array(made)), [t["content"] for t in spec["added_tokens"]]
 
 
-def _fill(cache: dict, words: set, whole: dict, merges: Merges, value) -> None:
-    """Add ``words`` to the cache: whole tokens directly, the others merged together."""
+def _fill(cache: dict, words: set, whole: dict, merges: Merges, values) -> None:
+    """Add ``words`` to the cache: whole tokens directly, the others merged together;
+    ``values`` makes what is kept of each from all tokens and offsets."""
     rest = []
     for w in words:
         hit = whole.get(w)
@@ -201,8 +234,13 @@ def _fill(cache: dict, words: set, whole: dict, merges: Merges, value) -> None:
             rest.append(w)
         else:
             cache[w] = hit
-    for w, ids in zip(rest, merges.replay([w.encode() for w in rest]) if rest else [], strict=True):
-        cache[w] = value(ids)
+    if rest:
+        cache.update(zip(rest, values(*merges.replay_flat([w.encode() for w in rest])), strict=True))
+
+
+def _id_bytes(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    data, cuts = tokens.astype("<u4").tobytes(), (4 * offsets).tolist()
+    return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _decodable(strings: list[bytes]) -> dict[str, int]:
@@ -234,7 +272,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 new = set().union(*words)
                 if len(cache) + len(new) > MAX_CACHED_WORDS:
                     cache.clear()
-                _fill(cache, new.difference(cache), whole, merges, lambda ids: ids.astype("<u4").tobytes())
+                _fill(cache, new.difference(cache), whole, merges, _id_bytes)
                 ids = [b"".join(map(get, w)) for w in words]
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                                                  ["doc_id", "n_tokens", "ids"])
@@ -279,7 +317,7 @@ def token_counts(df: DataFrame, path: str, pattern: str, limit: int, id_col: str
 
     def load():
         merges, special = merges_of(shared.value)
-        proven = {merges.strings[i] for i, ids in enumerate(merges.replay(merges.strings)) if len(ids) == 1}
+        proven = {s for s, n in zip(merges.strings, np.diff(merges.replay_flat(merges.strings)[1]).tolist(), strict=True) if n == 1}
         whole = {w: 1 for w in _decodable(merges.strings) if w.encode() in proven}
         split = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))).split if special else lambda t: [t]
         return merges, whole, PreTokenizer(pattern), split, {}
@@ -295,7 +333,7 @@ def token_counts(df: DataFrame, path: str, pattern: str, limit: int, id_col: str
                 new = set().union(*words)
                 if len(cache) + len(new) > MAX_CACHED_WORDS:
                     cache.clear()
-                _fill(cache, new.difference(cache), whole, merges, len)
+                _fill(cache, new.difference(cache), whole, merges, lambda _, offsets: np.diff(offsets).tolist())
                 n = [sum(map(get, w)) + len(p) - 1 for w, p in zip(words, parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(text_bytes(block)[1])), pa.array(n, pa.int64()), pa.array([x > limit for x in n])],
                                                  ["doc_id", "n_bytes", "n_tokens", "over_limit"])
