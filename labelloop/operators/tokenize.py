@@ -5,10 +5,11 @@ Vocabulary build is a word count with partial aggregation (hot pieces such as
 partition). Every piece of the corpus is kept; ids follow the global order of
 the counts and are numbered by partition offsets.
 
-Encoding and decoding are joins on the piece or the id, for any vocabulary
-size: the vocabulary side is small rows, a frequent piece is dealt over
-``SALT`` parts by its text, and Spark broadcasts the vocabulary by itself when
-its measured size allows it.
+Encoding and decoding look pieces up where they are: a vocabulary within the
+byte budget is broadcast, the distinct pieces (or ids) of an Arrow batch are looked
+up once, and nothing is shuffled. Beyond the budget they are joins on the piece or
+the id, a frequent piece dealt over ``SALT`` parts by its text. Both give the same
+rows.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloop.session import ensure_parallelism
+from labelloop.session import ensure_parallelism, stored
 from labelloop.sources.tables import numbered
 from labelloop.functions.text import (CLS_ID, PAD_ID, SEP_ID, SPECIAL_TOKENS, UNK_ID, WORD_MARK,
                                       arrow_pieces, normalise, word_pieces)
 
 SALT = 8
+VOCAB_BUDGET = 64 << 20      # bytes of a vocabulary (texts, and 16 for each entry) that may be broadcast
 
 
 def pieces(df: DataFrame, text_col: str = "text", out: str = "pieces", lower: bool = False) -> DataFrame:
@@ -72,37 +74,88 @@ def _salted_join(long: DataFrame, vocab: DataFrame, on: str, spread: str) -> Dat
     return long.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(v, [on, "__salt"], "left").drop("__salt")
 
 
-def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", max_length: int = 128,
-           lower: bool = False, id_col: str = "id", prefix: str = "") -> DataFrame:
+def _broadcast_vocab(vocab: DataFrame, budget: int):
+    """(tokens, ids) in id order as a broadcast if they fit the budget, else None."""
+    size = vocab.agg(F.sum(F.octet_length("token") + 16).alias("n")).first()["n"] or 0
+    if size > budget:
+        return None
+    t = vocab.select(F.col("token_id").cast("int").alias("token_id"), "token").orderBy("token_id").toArrow()
+    return vocab.sparkSession.sparkContext.broadcast((t.column("token").combine_chunks(), t.column("token_id").to_numpy()))
+
+
+def _cut(batch: pa.RecordBatch, lower: bool, most: int | None):
+    """(pieces of all rows that fit ``most``, how many of each row, pieces of each whole row)."""
+    toks = arrow_pieces(batch.column(1), lower=lower)
+    offs = np.asarray(toks.offsets)
+    lens = np.diff(offs)
+    keep = lens if most is None else np.minimum(lens, most)
+    at = np.repeat(offs[:-1] - (np.cumsum(keep) - keep), keep) + np.arange(keep.sum())
+    return toks.flatten().take(pa.array(at - offs[0])), keep, lens
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", max_length: int | None = 128,
+           lower: bool = False, id_col: str = "id", prefix: str = "", budget: int = VOCAB_BUDGET) -> DataFrame:
     """Normalise -> pieces -> ids (UNK default) -> [CLS] ids [SEP] -> truncate /
-    pad to ``max_length`` with an attention mask. Also returns ``n_tokens``, the
-    piece count of the whole text before truncation. Whole texts are cut into
-    pieces; those that truncation drops need no id and do not travel."""
-    m = max_length
+    pad to ``max_length`` with an attention mask (None: whole texts, no padding). Also
+    returns ``n_tokens``, the piece count of the whole text before truncation. Whole
+    texts are cut into pieces; those that truncation drops need no id and do not travel."""
+    shared = _broadcast_vocab(vocab, budget)
+    if shared is None:
+        return _encode_joined(df, vocab, text_col, max_length, lower, id_col, prefix)
+    most = None if max_length is None else max_length - 2
 
+    def run(batches):
+        tokens, ids = shared.value
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            flat, keep, lens = _cut(b, lower, most)
+            coded = flat.dictionary_encode()
+            if isinstance(coded, pa.ChunkedArray):
+                coded = coded.combine_chunks()
+            found = pc.index_in(coded.dictionary, value_set=tokens)
+            known = np.asarray(found.is_valid())
+            of_piece = np.full(len(found), UNK_ID, np.int64)
+            of_piece[known] = ids[found.drop_null().to_numpy()]
+            n = keep + 2
+            width = n if max_length is None else np.full(len(n), max_length)
+            start = np.cumsum(width) - width
+            row, mask = np.full(int(width.sum()), PAD_ID, np.int64), np.zeros(int(width.sum()), np.int64)
+            row[start], row[start + n - 1] = CLS_ID, SEP_ID
+            row[np.repeat(start + 1 - (np.cumsum(keep) - keep), keep) + np.arange(keep.sum())] = of_piece[coded.indices.to_numpy()] if len(flat) else 0
+            mask[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())] = 1
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(row, width), _lists(mask, width), pa.array(lens.astype(np.int64))],
+                                             names=[id_col, f"{prefix}input_ids", f"{prefix}attention_mask", f"{prefix}n_tokens"])
+    return ensure_parallelism(df.select(F.col(id_col).cast("bigint").alias(id_col), F.coalesce(F.col(text_col), F.lit("")))).mapInArrow(
+        run, f"{id_col} bigint, {prefix}input_ids array<int>, {prefix}attention_mask array<int>, {prefix}n_tokens bigint")
+
+
+def _encode_joined(df: DataFrame, vocab: DataFrame, text_col: str, max_length: int | None, lower: bool, id_col: str, prefix: str) -> DataFrame:
+    """``encode`` by a join on the piece. Each row of ``df`` is a text of its own."""
     def run(batches):
         for b in batches:
             if b.num_rows == 0:
                 continue
-            toks = arrow_pieces(b.column(1), lower=lower)
-            offs = np.asarray(toks.offsets)
-            lens = np.diff(offs)
-            keep = np.minimum(lens, m - 2)
-            at = np.repeat(offs[:-1] - (np.cumsum(keep) - keep), keep) + np.arange(keep.sum())
-            cut = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)),
-                                           toks.flatten().take(pa.array(at - offs[0])))
-            yield pa.RecordBatch.from_arrays([b.column(0), cut, pa.array(lens.astype(np.int64))],
-                                             names=[id_col, "pieces", "n"])
-
-    p = ensure_parallelism(df.select(id_col, text_col)).mapInArrow(run, f"{id_col} bigint, pieces array<string>, n bigint")
+            flat, keep, lens = _cut(b, lower, None if max_length is None else max_length - 2)
+            cut = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), cut, pa.array(lens.astype(np.int64))],
+                                             names=[id_col, "__row", "pieces", "n"])
+
+    p = stored(ensure_parallelism(df.select(F.col(id_col).cast("bigint").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
+               .withColumn("__row", F.monotonically_increasing_id()).mapInArrow(run, f"{id_col} bigint, __row bigint, pieces array<string>, n bigint"), "pieces")
     # a text without pieces keeps one row with a NULL token
-    long = p.select(id_col, "n", F.posexplode_outer("pieces").alias("pos", "token"))
-    ids = (_salted_join(long, vocab.select("token", "token_id"), "token", id_col)
-           .groupBy(id_col).agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.when(
+    long = p.select(id_col, "__row", "n", F.posexplode_outer("pieces").alias("pos", "token"))
+    ids = (_salted_join(long, vocab.select("token", "token_id"), "token", "__row")
+           .groupBy("__row").agg(F.max(id_col).alias(id_col), F.max("n").alias("n"), F.sort_array(F.collect_set(F.when(
                F.col("token").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))))).alias("x")))
     body = F.concat(F.array(F.lit(CLS_ID)), F.col("x.token_id"), F.array(F.lit(SEP_ID)))
-    pad = F.array_repeat(F.lit(PAD_ID), m - 2 - F.size("x"))
-    mask = F.concat(F.array_repeat(F.lit(1), F.size("x") + 2), F.array_repeat(F.lit(0), m - 2 - F.size("x")))
+    gap = F.lit(0) if max_length is None else max_length - 2 - F.size("x")
+    pad = F.array_repeat(F.lit(PAD_ID), gap)
+    mask = F.concat(F.array_repeat(F.lit(1), F.size("x") + 2), F.array_repeat(F.lit(0), gap))
     return ids.select(id_col, F.concat(body, pad).alias(f"{prefix}input_ids"), mask.alias(f"{prefix}attention_mask"),
                       F.col("n").alias(f"{prefix}n_tokens"))
 
@@ -120,13 +173,35 @@ def id_to_token(ids_long: DataFrame, vocab: DataFrame, id_col: str = "token_id",
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "id", ids_col: str = "input_ids",
-           skip_special: bool = True) -> DataFrame:
-    """Ids -> pieces -> text (F20), special ids dropped."""
+           skip_special: bool = True, budget: int = VOCAB_BUDGET) -> DataFrame:
+    """Ids -> pieces -> text (F20), special ids dropped, unknown ids skipped."""
     first = len(SPECIAL_TOKENS) if skip_special else 0
+    shared = _broadcast_vocab(vocab, budget)
+    if shared is None:
+        return _decode_joined(encoded, vocab, id_col, ids_col, first)
+
+    def run(batches):
+        tokens, ids = shared.value
+        for b in batches:
+            lists = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, flat), max(len(ids) - 1, 0))
+            good = (flat >= first) & (ids[at] == flat) if len(ids) else np.zeros(len(flat), bool)
+            owner = np.repeat(np.arange(len(sizes)), sizes)[good]
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))]).astype(np.int32)), tokens.take(pa.array(at[good])))
+            text = pc.utf8_trim(pc.replace_substring(pc.binary_join(kept, ""), WORD_MARK, " "), " ")
+            yield pa.RecordBatch.from_arrays([b.column(0), text], names=[id_col, "text"])
+    return encoded.select(F.col(id_col).cast("bigint").alias(id_col), F.col(ids_col).cast("array<int>")).mapInArrow(run, f"{id_col} bigint, text string")
+
+
+def _decode_joined(encoded: DataFrame, vocab: DataFrame, id_col: str, ids_col: str, first: int) -> DataFrame:
+    """``decode`` by a join on the id. Each row of ``encoded`` is a text of its own."""
     kept = F.filter(ids_col, lambda i: i >= first)
-    long = encoded.select(id_col, F.posexplode_outer(kept).alias("pos", "token_id"))
-    text = (id_to_token(long, vocab, spread=id_col).groupBy(id_col)
-            .agg(F.sort_array(F.collect_set(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("x")))
+    rows = stored(encoded.select(F.col(id_col).cast("bigint").alias(id_col), kept.alias("ids")).withColumn("__row", F.monotonically_increasing_id()), "ids")
+    long = rows.select(id_col, "__row", F.posexplode_outer("ids").alias("pos", "token_id"))
+    text = (id_to_token(long, vocab, spread="__row").groupBy("__row")
+            .agg(F.max(id_col).alias(id_col), F.sort_array(F.collect_set(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))).alias("x")))
     return text.select(id_col, F.trim(F.replace(F.array_join("x.token", ""), F.lit(WORD_MARK), F.lit(" "))).alias("text"))
 
 

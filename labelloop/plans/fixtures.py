@@ -74,12 +74,6 @@ def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(vectors(spark, sf_dir), "id", "left")
 
 
-def split_of(id_col) -> F.Column:
-    """fx_split: train / dev / test by id (8:1:1)."""
-    r = F.col(id_col) % 10
-    return F.when(r < 8, F.lit("train")).when(r == 8, F.lit("dev")).otherwise(F.lit("test"))
-
-
 # ---------------------------------------------------------------------------
 # DuckDB forms of the same fixtures, used by the oracle SQL strings.
 

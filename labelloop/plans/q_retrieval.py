@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from labelloop.operators.annotate import knn_vote
 from labelloop.operators.metrics import accuracy
+from labelloop.operators.pruned import pruned_topk
 from labelloop.operators.retrieve import knn_topk
 from labelloop.plans import fixtures as fx
 from labelloop.plans.registry import register
@@ -33,6 +34,19 @@ def q_knn_demos(spark, sf_dir):
                        F.col("demo_label").alias("anno"), F.round("sim", 6).alias("sim"))
 
 
+@register("q_knn_pruned", "WITH " + fx.SQL_VECTORS + f""",
+sims AS (SELECT a.id, b.id AS demo_id, b.label, list_cosine_similarity(a.v, b.v) AS sim FROM e a, e b WHERE a.id <> b.id),
+knn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, demo_id) AS rank FROM sims WHERE NOT isnan(sim))
+SELECT id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS sim FROM knn WHERE rank <= {fx.SHOTS}""")
+def q_knn_pruned(spark, sf_dir):
+    """J1 + W1 over a large pool: the nearest of all other vectors for every vector, by clusters
+    that are ruled out by a bound on the cosine (exact)."""
+    v = fx.vectors(spark, sf_dir)
+    pool = v.select(F.col("id").alias("demo_id"), F.col("label").alias("anno"), "embedding")
+    found = pruned_topk(v, pool, fx.SHOTS, pool_label="anno", exclude_self=True)
+    return found.rows.select("id", "rank", F.round("sim", 6).alias("sim"))
+
+
 SQL_VOTE = "WITH " + fx.SQL_KNN + """,
 votes AS (SELECT id, anno, sum(sim) AS score FROM knn GROUP BY id, anno),
 vote AS (SELECT id, anno AS pred FROM

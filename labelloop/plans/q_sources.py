@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from labelloop.functions.vectors import hash_unit
 from labelloop.operators import tokenize as TK
 from labelloop.operators.augment import attach_paraphrase, augment, collate, has_paraphrase, swap_pairs
-from labelloop.operators.metrics import eval_report
+from labelloop.operators.metrics import eval_report, write_report
 from labelloop.operators.score import centroid_head, score
 from labelloop.plans import fixtures as fx
 from labelloop.plans.q_labelling import SQL_INITIAL, TASK
-from labelloop.plans.q_text import SQL_ENC, W_VOCAB
+from labelloop.plans.q_text import SQL_ENC, SQL_PIECES, W_VOCAB, sql_norm
 from labelloop.plans.q_training import sql_u
 from labelloop.plans.registry import register
 from labelloop.session import scratch_dir, stored
@@ -138,21 +138,32 @@ def q_examples(spark, sf_dir):
     return good.select("id", "label", F.col("text_bt").isNotNull().alias("has_bt"))
 
 
-@register("q_collate", W_VOCAB + """,
-""" + SQL_PARA.split("WITH ", 1)[1].split(",\n", 1)[1] + """
-SELECT a.id, CAST(least(len(p.pieces), 126) + 2 AS BIGINT) AS n_real, CAST(6 AS BIGINT) AS n_fields
-FROM aug a JOIN pc p ON p.id = a.id""")
+SQL_COLLATE = SQL_ENC + ",\n" + SQL_PARA.split("WITH ", 1)[1].split(",\n", 1)[1] + ",\n" + \
+    sql_norm("(SELECT id, text_bt AS text FROM aug)").replace("norm AS", "norm_bt AS", 1) + ",\n" + \
+    SQL_PIECES.replace("pc AS", "pc_bt AS", 1).replace("FROM norm)", "FROM norm_bt)") + """,
+lp_bt AS (SELECT id, UNNEST(range(0, len(pieces))) AS pos, UNNEST(pieces) AS token FROM pc_bt),
+n_bt AS (SELECT id, least(len(pieces), 126) AS k FROM pc_bt),
+enc_bt AS (
+  SELECT id, 0 AS pos, 2 AS token_id, 1 AS mask FROM n_bt
+  UNION ALL SELECT l.id, l.pos + 1, coalesce(v.token_id, 1), 1 FROM lp_bt l LEFT JOIN vocab v ON v.token = l.token WHERE l.pos < 126
+  UNION ALL SELECT id, k + 1, 3, 1 FROM n_bt
+  UNION ALL SELECT n_bt.id, r.p, 0, 0 FROM n_bt CROSS JOIN range(0, 128) r(p) WHERE r.p > n_bt.k + 1)"""
+
+
+@register("q_collate", SQL_COLLATE + """
+SELECT a.id, CAST(a.pos AS BIGINT) AS pos, CAST(a.token_id AS INTEGER) AS input_id, CAST(a.mask AS INTEGER) AS mask,
+       CAST(b.token_id AS INTEGER) AS input_id_bt, CAST(b.mask AS INTEGER) AS mask_bt, g.label
+FROM enc a JOIN enc_bt b ON b.id = a.id AND b.pos = a.pos JOIN aug g ON g.id = a.id""")
 def q_collate(spark, sf_dir):
-    """P10: batch columns with paraphrase inputs (6 fields) for the augmented split."""
+    """P10: the batch columns of the augmented split, both texts' inputs position by position."""
     vocab = TK.build_vocab(fx.documents_text(spark, sf_dir))
-    aug = augment(para_table(spark, sf_dir))
+    aug = stored(augment(para_table(spark, sf_dir)), "augmented")
     a = TK.encode(aug, vocab, "text")
-    b = TK.encode(aug.select("id", F.col("text_bt").alias("text")), vocab, "text", prefix="")
-    b = b.select("id", F.col("input_ids").alias("input_ids_bt"), F.col("attention_mask").alias("attention_mask_bt"))
-    enc = a.join(b, "id").join(aug.select("id", "label"), "id")
-    c = collate(enc, with_bt=True)
-    return c.select("id", F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n_real"),
-                    F.lit(len(c.columns)).cast("bigint").alias("n_fields"))
+    b = TK.encode(aug, vocab, "text_bt").select("id", F.col("input_ids").alias("input_ids_bt"), F.col("attention_mask").alias("attention_mask_bt"))
+    c = collate(a.join(b, "id").join(aug.select("id", "label"), "id"), with_bt=True)
+    z = c.select("id", "label", F.posexplode(F.arrays_zip("input_ids", "attention_mask", "input_ids_bt", "attention_mask_bt")).alias("pos", "z"))
+    return z.select("id", F.col("pos").cast("bigint").alias("pos"), F.col("z.input_ids").alias("input_id"), F.col("z.attention_mask").alias("mask"),
+                    F.col("z.input_ids_bt").alias("input_id_bt"), F.col("z.attention_mask_bt").alias("mask_bt"), "label")
 
 
 @register("q_split_scan", "WITH " + fx.SQL_CORPUS + f"""
@@ -251,8 +262,10 @@ def q_predictions(spark, sf_dir):
 SELECT 'eval_accuracy' AS key, printf('%.6f', avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END)) AS value FROM fx_scored
 UNION ALL SELECT 'eval_n', CAST(count(*) AS VARCHAR) FROM fx_scored""")
 def q_eval_report(spark, sf_dir):
-    """Accuracy report as key = value rows."""
-    return eval_report(_predictions(spark, sf_dir)).select("key", "value")
+    """Accuracy report as key = value rows, written and read back."""
+    path = scratch_dir(spark, "report")
+    write_report(eval_report(_predictions(spark, sf_dir)), path)
+    return spark.read.schema("key string, value string, line string").json(path).select("key", "value")
 
 
 def evaluation_target(rows, setting: str):

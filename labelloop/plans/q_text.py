@@ -162,28 +162,25 @@ def q_pad_truncate(spark, sf_dir):
                       F.size("input_ids").cast("bigint").alias("n_pos"))
 
 
-@register("q_decode_corpus", SQL_ENC + """
-SELECT e.id, trim(replace(coalesce(string_agg(v.token, '' ORDER BY e.pos), ''), '▁', ' ')) AS text
-FROM (SELECT id FROM pc) d LEFT JOIN enc e ON e.id = d.id AND e.token_id >= 5
-LEFT JOIN vocab v ON v.token_id = e.token_id GROUP BY e.id HAVING e.id IS NOT NULL
-UNION ALL SELECT id, '' FROM n WHERE k = 0""")
+@register("q_decode_corpus", W_VOCAB + SQL_LONG_IDS + f"""
+SELECT d.id, trim(replace(coalesce(string_agg(v.token, '' ORDER BY l.pos), ''), '▁', ' ')) AS text
+FROM pc d LEFT JOIN lid l ON l.id = d.id AND l.token_id >= {len(TX.SPECIAL_TOKENS)}
+LEFT JOIN vocab v ON v.token_id = l.token_id GROUP BY d.id""")
 def q_decode_corpus(spark, sf_dir):
-    """Encoded ids back to text (special ids dropped)."""
+    """The encoded whole texts back to text (special ids dropped)."""
     vocab = vocab_of(spark, sf_dir)
-    enc = TK.encode(corpus(spark, sf_dir), vocab, max_length=MAX_LEN)
-    return TK.decode(enc, vocab)
+    return TK.decode(TK.encode(corpus(spark, sf_dir), vocab, max_length=None), vocab)
 
 
-@register("q_id_to_token", SQL_ENC + """
-SELECT e.id, CAST(e.pos AS BIGINT) AS pos, v.token FROM enc e JOIN vocab v ON v.token_id = e.token_id
-WHERE e.mask = 1""")
+@register("q_id_to_token", W_VOCAB + SQL_LONG_IDS + f""",
+whole AS (SELECT id, 0 AS pos, {TX.CLS_ID} AS token_id FROM pc UNION ALL SELECT id, pos + 1, token_id FROM lid
+          UNION ALL SELECT id, len(pieces) + 1, {TX.SEP_ID} FROM pc)
+SELECT w.id, CAST(w.pos AS BIGINT) AS pos, v.token FROM whole w JOIN vocab v ON v.token_id = w.token_id""")
 def q_id_to_token(spark, sf_dir):
-    """Id -> token for every real position of the encoded corpus."""
+    """Id -> token for every position of the encoded whole texts."""
     vocab = vocab_of(spark, sf_dir)
-    enc = TK.encode(corpus(spark, sf_dir), vocab, max_length=MAX_LEN)
-    long = enc.select("id", F.posexplode(F.arrays_zip("input_ids", "attention_mask")).alias("pos", "z")) \
-              .filter("z.attention_mask = 1").select("id", F.col("pos").cast("bigint").alias("pos"),
-                                                     F.col("z.input_ids").alias("token_id"))
+    enc = TK.encode(corpus(spark, sf_dir), vocab, max_length=None)
+    long = enc.select("id", F.posexplode("input_ids").alias("pos", "token_id")).select("id", F.col("pos").cast("bigint").alias("pos"), "token_id")
     return TK.id_to_token(long, vocab).select("id", "pos", "token")
 
 
@@ -258,23 +255,36 @@ def _pairs(spark, sf_dir):
     return a.join(b, ["conv_id", "turn"])
 
 
-@register("q_special_tokens", SQL_PAIRS + """
-SELECT conv_id, turn, CAST(na + nb + 3 AS BIGINT) AS n, CAST(na + 1 AS BIGINT) AS first_sep FROM pairs""")
+# every position of [CLS] a [SEP] b [SEP]
+SQL_PAIR_IDS = SQL_PAIRS + f""",
+cl AS (SELECT id, UNNEST(range(0, len(pieces))) AS pos, UNNEST(pieces) AS token FROM cpc),
+clid AS (SELECT cl.id, cl.pos, coalesce(v.token_id, {TX.UNK_ID}) AS token_id FROM cl LEFT JOIN vocab v ON v.token = cl.token),
+joined AS (
+  SELECT conv_id, turn, 0 AS pos, {TX.CLS_ID} AS token_id, 1 AS special FROM pairs
+  UNION ALL SELECT p.conv_id, p.turn, 1 + c.pos, c.token_id, 0 FROM pairs p JOIN clid c ON c.id = [p.conv_id, p.turn]
+  UNION ALL SELECT conv_id, turn, na + 1, {TX.SEP_ID}, 1 FROM pairs
+  UNION ALL SELECT p.conv_id, p.turn, p.na + 2 + c.pos, c.token_id, 0 FROM pairs p JOIN clid c ON c.id = [p.conv_id, p.turn + 1]
+  UNION ALL SELECT conv_id, turn, na + nb + 2, {TX.SEP_ID}, 1 FROM pairs)"""
+
+
+@register("q_special_tokens", SQL_PAIR_IDS + """
+SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, CAST(token_id AS INTEGER) AS token_id FROM joined""")
 def q_special_tokens(spark, sf_dir):
-    """[CLS] a [SEP] b [SEP] for consecutive turns: length and first [SEP] position."""
-    s = _pairs(spark, sf_dir).withColumn("x", TX.with_special_tokens("a", "b"))
-    return s.select("conv_id", "turn", F.size("x").cast("bigint").alias("n"),
-                    (F.array_position(F.slice("x", 2, 1 << 30), TX.SEP_ID)).cast("bigint").alias("first_sep"))
+    """[CLS] a [SEP] b [SEP] for consecutive turns, position by position."""
+    s = _pairs(spark, sf_dir).select("conv_id", "turn", F.posexplode(TX.with_special_tokens("a", "b")).alias("pos", "token_id"))
+    return s.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "token_id")
 
 
-@register("q_special_mask", SQL_PAIRS + """
-SELECT conv_id, turn, CAST(3 AS BIGINT) AS n_special, CAST(na + nb + 3 AS BIGINT) AS n FROM pairs""")
+@register("q_special_mask", SQL_PAIR_IDS + f"""
+SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, special AS mask, CASE WHEN token_id IN ({TX.CLS_ID}, {TX.SEP_ID}) THEN 1 ELSE 0 END AS formatted
+FROM joined""")
 def q_special_mask(spark, sf_dir):
-    """special-token mask of the pair form (sum of ones and length)."""
-    s = _pairs(spark, sf_dir).withColumn("m", TX.special_tokens_mask("a", "b"))
-    return s.select("conv_id", "turn",
-                    F.aggregate("m", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("n_special"),
-                    F.size("m").cast("bigint").alias("n"))
+    """special-token mask of the pair form, position by position, made from the two
+    sequences and, ``formatted``, from the sequence that already has its special tokens."""
+    both = F.arrays_zip(TX.special_tokens_mask("a", "b").alias("mask"),
+                        TX.special_tokens_mask(TX.with_special_tokens("a", "b"), already_formatted=True).alias("formatted"))
+    s = _pairs(spark, sf_dir).select("conv_id", "turn", F.posexplode(both).alias("pos", "m"))
+    return s.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "m.mask", "m.formatted")
 
 
 @register("q_segment_ids", SQL_PAIRS + """

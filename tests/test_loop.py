@@ -235,3 +235,39 @@ def test_prepared_pool_of_any_size(spark, wide):
     a, b = (sorted(map(str, RE.knn_topk(corpus, p, 4, **how).collect())) for p in (small, large))
     assert a == b
     small.release(), large.release()
+
+
+def full_scan(spark, queries, pool, k, **kw):
+    return sorted(map(tuple, RE.knn_topk(queries, pool, k, **kw).select("id", "rank", "demo_id", "demo_label", "sim").collect()), key=str)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_pruned_search_equals_the_full_scan(spark, monkeypatch, small):
+    """Clusters and ties, NULL and zero vectors on both sides, blocks and parts of a few rows."""
+    from labelloop.operators import pruned as PR
+    if small:
+        monkeypatch.setattr(PR, "BLOCK_ROWS", 7)
+        monkeypatch.setattr(PR, "BLOCK_QUERIES", 5)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 6)) * 3
+    def rows(n, at):
+        out = []
+        for i in range(n):
+            v = (centres[rng.integers(9)] + 0.2 * rng.normal(size=6)).tolist()
+            out.append((at + i, i % 4, None if i % 17 == 3 else [0.0] * 6 if i % 19 == 4 else v))
+        return out + [(at + n + i, 1, list(out[0][2])) for i in range(12)]      # ties
+    schema = "id bigint, label int, embedding array<double>"
+    pool = spark.createDataFrame(rows(160, 0), schema).withColumnRenamed("id", "demo_id").withColumnRenamed("label", "anno").repartition(3)
+    queries = spark.createDataFrame(rows(60, 100), schema).repartition(3)
+    for k, own in ((1, False), (5, True), (200, False)):
+        kw = {"pool_label": "anno", "exclude_self": own}
+        got = PR.pruned_topk(queries, pool, k, **kw)
+        assert sorted(map(tuple, got.rows.collect()), key=str) == full_scan(spark, queries, pool, k, **kw)
+        r = got.report.first()
+        assert r["queries"] == 72 and 0 < r["scored"] <= 72 * 172
+        if k == 1:
+            assert r["share"] < 0.5
+    assert PR.pruned_topk(queries, pool.filter("demo_id < 0"), 3).rows.count() == 0
+    assert PR.pruned_topk(queries.filter("id < 0"), pool, 3).rows.count() == 0
+    twice = queries.limit(3).union(queries.limit(3))
+    assert sorted(map(tuple, PR.pruned_topk(twice, pool, 2).rows.collect()), key=str) == full_scan(spark, twice, pool, 2)

@@ -306,3 +306,20 @@ def test_paraphraser_callable_batches_of_32(spark):
     df = spark.createDataFrame(rows, "id bigint, text string, text_bt string").coalesce(1)
     out = {r["id"]: r["text_bt"] for r in augment(df, paraphraser=upper).collect()}
     assert out[0] == "kept 0" and out[1] == "TEXT 1" and len(out) == 100
+
+
+def test_encode_and_decode_by_broadcast_and_by_join(spark):
+    """A vocabulary over the budget is joined: the same rows, also for repeated ids, empty and
+    NULL texts, unknown pieces and a token that the vocabulary skips."""
+    from labelloop.operators import tokenize as TK
+    rows = [(1, "the cat, sat on 12, the mat"), (1, "the dog"), (2, ""), (3, None), (4, "zebra " * 40), (None, "the end"), (5, "1, 2, 3")]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    vocab = TK.build_vocab(docs.filter("id < 4")).filter("token_id <> 7")
+    for most in (8, 16, None):
+        here, there = (TK.encode(docs, vocab, max_length=most, budget=b) for b in (1 << 20, 0))
+        assert here.columns == there.columns
+        assert sorted(map(str, here.collect())) == sorted(map(str, there.collect()))
+        texts = [sorted(map(str, TK.decode(e, vocab, budget=b).collect())) for e in (here, there) for b in (1 << 20, 0)]
+        assert texts[0] == texts[1] == texts[2] == texts[3] and len(texts[0]) == 7
+    assert TK.encode(docs.filter("id > 9"), vocab).count() == 0
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
