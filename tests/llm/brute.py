@@ -102,7 +102,7 @@ def contaminated(text, items, window=15, percent=80):
     for item in items:
         v = words(item)
         size = min(window, len(v))
-        if len(v) < 5:
+        if len(v) < 3:
             continue
         for s in range(len(v) - size + 1):
             for at in range(-size + 1, len(w)):

@@ -77,14 +77,35 @@ def test_decontamination_finds_what_all_alignments_find(spark, cases):
 
 
 def test_masks_leave_a_hit_in_every_window_that_agrees():
-    masks = [[i for i, c in enumerate(m) if c == "1"] for m in d.MASKS]
-    missed = []
-    for n in range(5, d.WINDOW + 1):
+    for n in range(d.LEAST, d.WINDOW + 1):
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m, least, most in d.MASKS if least <= n <= (most or n)]
         replaced = n - -(-d.MATCH_PERCENT * n // 100)
         for gone in itertools.combinations(range(n), replaced):
-            if not any(all(p + k not in gone for k in m) for m in masks for p in range(n - m[-1])):
-                missed.append((n, gone))
-    assert {n for n, _ in missed} == {5, 6, 7, 10}  # of which 10: three ways of 45
+            assert any(all(p + k not in gone for k in m) for m in masks for p in range(n - m[-1])), (n, gone)
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 7, 8, 10, 11, 14, 15, 22])
+def test_recall_by_length_is_one(spark, n):
+    """Items of n words with as many replaced as the comparison allows, at every place; and with one more."""
+    rng = random.Random(n)
+    size = min(n, d.WINDOW)
+    most = size - -(-d.MATCH_PERCENT * size // 100)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for i in range(3)]
+    docs, want = [], {}
+    for i, t in items:
+        for at, gone in enumerate(list(itertools.combinations(range(size), most))[:60] + [tuple(range(size))[:most + 1]]):
+            w = t.split()
+            for g in gone:
+                w[g] = "zz"
+            docs.append((1000 * i + at, f"before it {' '.join(w)} and after"))
+            want[1000 * i + at] = brute.contaminated(docs[-1][1], [x for _, x in items])
+    got = {r["doc_id"]: r["contaminated"] for r in d.decontaminate(*frames(spark, docs, items)).collect()}
+    assert got == want and sum(want.values()) >= len(want) - (3 if n <= d.WINDOW else 0)
+
+
+def test_one_and_two_words_are_no_evidence(spark):
+    docs = [(1, "the cat sat on the mat"), (2, "a dog")]
+    assert [r["contaminated"] for r in d.decontaminate(*frames(spark, docs, [(1, "the"), (2, "the cat"), (3, "Cat sat,  on")])).orderBy("doc_id").collect()] == [True, False]
 
 
 def test_decontamination_as_sql_both_ways(spark, cases):
