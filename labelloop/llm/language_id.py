@@ -6,12 +6,13 @@ Four kinds of evidence are added as log probabilities for each language:
   counted over all labelled ``documents``; neighbouring trigrams are not independent, so the sum is
   scaled down to ``TEXT_WEIGHT`` of its size;
 - the language declared in the mark-up, and the address suffix: how often each value comes with a
-  language, by grouped counts over the pages (language by text alone), with smoothing;
+  language, by grouped counts over the pages (language by text alone), smoothed over all its values;
 - the host: its pages' languages, smoothed towards those of the registered domain, and these
   towards those of all pages (``HOST_WEIGHT`` pages each). A page's own vote is taken out.
 
 Trigrams fall into ``CELLS`` cells, which bounds the broadcast model for any corpus: ``CELLS`` numbers
-a language. Counts of a large host come from partial sums, and host tables join salted.
+a language. Counts of a large host come from partial sums, and the tables of hosts, domains, suffixes
+and mark-up join salted.
 
 Nulls: a null html is an empty text, a null url has an empty host; without text the other evidence
 decides, without any labelled document lang and probability are null. Ties go to the language that
@@ -89,8 +90,23 @@ def _suffix(host: str) -> str:
     return host.rpartition(".")[2]
 
 
+# Second levels under which countries register names, and domains whose
+# subdomains belong to different owners.
+SECOND_LEVELS = frozenset("ac co com edu gob gouv gov govt gub go mil ne net nom or org sch".split())
+SHARED_DOMAINS = frozenset("""amazonaws.com appspot.com azurewebsites.net blogspot.com cloudfront.net fandom.com github.io gitlab.io herokuapp.com netlify.app
+    pages.dev substack.com tumblr.com vercel.app web.app weebly.com wixsite.com wordpress.com workers.dev""".split())
+
+
 def _domain(host: str) -> str:
-    return ".".join(host.split(".")[-2:])
+    """The registered domain of a host: one label below the suffix under which names are registered;
+    an address of numbers is its own."""
+    labels = host.split(".")
+    if all(x.isdigit() for x in labels) or ":" in host:
+        return host
+    suffix = 1
+    if len(labels) > 2 and (len(labels[-1]) == 2 and labels[-2] in SECOND_LEVELS or ".".join(labels[-2:]) in SHARED_DOMAINS):
+        suffix = 2
+    return ".".join(labels[-suffix - 1:])
 
 
 _EVIDENCE = "page_id long, url string, host string, domain string, suffix string, markup string, score array<double>"
@@ -128,6 +144,13 @@ def _votes(rows: DataFrame, key: str, langs: list[str]) -> DataFrame:
     return rows.groupBy(F.col(key).alias(f"v_{key}")).agg(F.array(*n).alias(f"n_{key}"))
 
 
+def _met(rows: DataFrame, votes: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` with the votes of their value of ``key``; the rows of one value are dealt over ``SALT`` parts."""
+    parts = votes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int"))
+    return salted.join(parts, (F.col(key) == F.col(f"v_{key}")) & (F.col("salt") == F.col("part"))).drop(f"v_{key}", "salt", "part")
+
+
 def identify_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lang_col: str = "lang") -> DataFrame:
     """One row for each row of ``pages``: page_id, url, lang, probability, text_lang (by text alone;
     null without text), markup_lang (as declared, may be empty)."""
@@ -143,12 +166,13 @@ def identify_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id
     everything = x.agg(*(F.count_if(F.col("text_lang") == lang) for lang in langs)).first()
     domain, host = (_votes(x, key, langs) for key in ("domain", "host"))
     # the domain of a host is a function of its name; counts of both go along with the host
-    hosts = (x.select("host", "domain").distinct().join(host, F.col("host") == F.col("v_host")).join(domain, F.col("domain") == F.col("v_domain"))
-             .select(F.col("host").alias("h"), "n_host", "n_domain", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part")))
-    x = x.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(hosts, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("part"))).drop("h", "part", "salt")
+    hosts = _met(x.select("host", "domain").distinct().join(host, F.col("host") == F.col("v_host")).drop("v_host"), domain, "domain", F.col("host"))
+    x = _met(x, hosts.select(F.col("host").alias("v_host"), "n_host", "n_domain"), "host", F.struct("page_id", "url"))
+    values = {}
     for key in ("markup", "suffix"):
         votes = _votes(x, key, langs)
-        x = x.join(votes, F.col(key).eqNullSafe(F.col(f"v_{key}")), "left").drop(f"v_{key}")
+        values[key] = votes.count()
+        x = _met(x, votes, key, F.struct("page_id", "url"))
     out, voted = [], F.when(F.col("text_lang").isNotNull(), 1).otherwise(0)
     for i, lang in enumerate(langs):
         own = F.when(F.col("text_lang") == lang, 1).otherwise(0)
@@ -157,8 +181,7 @@ def identify_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id
         prior = (everything[i] - own + SMOOTH) / (sum(everything) - voted + SMOOTH * k)
         for key in ("domain", "host"):
             prior = (n[key] + HOST_WEIGHT * prior) / (size[key] + HOST_WEIGHT)
-        with_lang = everything[i] + SMOOTH * k
-        evidence = [F.log((n[key] + SMOOTH) / with_lang) for key in ("markup", "suffix")]
+        evidence = [F.log((n[key] + SMOOTH) / (everything[i] - own + SMOOTH * values[key])) for key in ("markup", "suffix")]
         out.append(F.col("score")[i] * TEXT_WEIGHT + F.log(prior) + evidence[0] + evidence[1])
     x = x.withColumn("fused", F.array(*out)).withColumn("most", F.array_max("fused"))
     weight = F.aggregate(F.transform("fused", lambda v: F.exp(v - F.col("most"))), F.lit(0.0), lambda a, b: a + b)

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,74 @@ def test_text_model_counts_all_documents(spark, odd):
     langs, model = language_id.text_model(odd)
     assert langs == ["de", "en"] and model.shape == (2, language_id.CELLS)
     assert table(odd.select(F.lit(1).alias("a")).limit(1), "a") == [(1,)] and SCHEMA
+
+
+def brute_languages(pages, langs, model):
+    """Fused by dictionaries, page by page, the page's own vote taken out of all counts."""
+    import math
+    import re
+    from collections import Counter
+
+    from labelloop.llm.common import mixed
+    from labelloop.llm.html_extract import host_of, page_blocks
+
+    facts = []
+    for _, url, html in pages:
+        parts, mark = page_blocks(html or "")
+        main = [t for chrome, m, _, t in parts if m and not chrome] or [t for chrome, _, _, t in parts if not chrome]
+        b = " ".join(main).encode().lower()
+        cells = [int(mixed(np.array([b[i] << 16 | b[i + 1] << 8 | b[i + 2]], np.uint64))[0] >> np.uint64(48)) for i in range(len(b) - 2)]
+        score = [sum(float(model[k, c]) for c in cells) for k in range(len(langs))]
+        host = host_of(url)
+        facts.append({"score": score, "text": langs[int(np.argmax(score))] if cells else None, "host": host, "domain": language_id._domain(host),
+                      "suffix": host.rpartition(".")[2], "markup": re.split("[-_]", mark.strip().lower())[0]})
+    count = {key: Counter((f[key], f["text"]) for f in facts) for key in ("host", "domain", "suffix", "markup")}
+    total = Counter(f["text"] for f in facts)
+    out = []
+    for (page, _, _), f in zip(pages, facts, strict=True):
+        fused = []
+        for k, lang in enumerate(langs):
+            own, voted = int(f["text"] == lang), int(f["text"] is not None)
+            seen = lambda key, x: count[key][f[key], x]  # noqa: B023, E731
+            all_seen = {key: sum(seen(key, x) for x in langs) for key in ("host", "domain")}
+            prior = (total[lang] - own + 0.5) / (sum(total[x] for x in langs) - voted + 0.5 * len(langs))
+            for key in ("domain", "host"):
+                prior = (seen(key, lang) - own + 20 * prior) / (all_seen[key] - voted + 20)
+            value = 0.25 * f["score"][k] + math.log(prior)
+            for key in ("markup", "suffix"):
+                value += math.log((seen(key, lang) - own + 0.5) / (total[lang] - own + 0.5 * len({g[key] for g in facts})))
+            fused.append(value)
+        weight = sum(math.exp(v - max(fused)) for v in fused)
+        out.append((page, langs[int(np.argmax(fused))], round(1 / weight, 6), f["text"], f["markup"]))
+    return out
+
+
+def test_languages_equal_a_plain_fusion(spark):
+    rng = random.Random(21)
+    words = {"en": "the and of to with from".split(), "de": "und der das nicht von mit".split(), "fr": "les des avec pour dans une".split()}
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[k]) for _ in range(40)), k) for i, k in enumerate("en de fr".split() * 8)], "doc_id long, text string, lang string")
+    hosts = ["a.example.com", "b.example.com", "x.co.uk", "y.co.uk", "10.0.0.1", "n.github.io", "m.github.io", "z.de"]
+    pages = []
+    for i in range(60):
+        k = rng.choice(list(words))
+        mark = rng.choice(["", f' lang="{k}"', ' lang="en-US"'])
+        pages.append((i, rng.choice([f"http://{rng.choice(hosts)}/{i}", None]), rng.choice([None, "<p></p>"]) if i % 15 == 0 else f"<html{mark}><p>{' '.join(rng.choice(words[k]) for _ in range(rng.randint(1, 9)))}</p>"))
+    pages += [pages[3], (None, *pages[4][1:])]
+    langs, model = language_id.text_model(docs)
+    got = [(r["page_id"], r["lang"], round(r["probability"], 6), r["text_lang"], r["markup_lang"])
+           for r in language_id.identify_languages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), docs).collect()]
+    assert sorted(got, key=str) == sorted(brute_languages(pages, langs, model), key=str)
+
+
+def test_languages_of_a_few_clear_pages(spark):
+    """A page's own vote is out of both sides; a tie goes to the language that sorts first."""
+    docs = spark.createDataFrame([(1, "the cat and the dog with the house of the man " * 9, "en"), (2, "der hund und die katze von dem haus nicht mit dem mann " * 9, "de")], "doc_id long, text string, lang string")
+    pages = [(1, "http://a/", "<p>the cat and the dog with the house</p>"), (2, "http://b/", "<p>der hund und die katze von dem haus</p>"), (3, "http://c/", "")]
+    got = {r["page_id"]: (r["lang"], r["text_lang"]) for r in language_id.identify_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert got[1] == ("en", "en") and got[2] == ("de", "de") and got[3] == ("de", None)
+
+
+def test_registered_domains():
+    for host, want in (("www.bbc.co.uk", "bbc.co.uk"), ("co.uk", "co.uk"), ("a.github.io", "a.github.io"), ("x.a.github.io", "a.github.io"), ("10.0.0.1", "10.0.0.1"),
+                       ("a.b.example.com", "example.com"), ("com", "com"), ("", ""), ("co.de", "co.de"), ("a.t.co", "t.co")):
+        assert language_id._domain(host) == want
