@@ -127,3 +127,14 @@ def tidied(run):
 
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of the UTF-8 bytes of the string ``text``."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ 0xEDB88320 * (i & 1)
+        table.append(str(i))
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({text}), '..'), lambda x: CAST('0x' || x AS BIGINT))), "
+            f"lambda c, b: xor(c >> 8, ([{', '.join(table)}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)")

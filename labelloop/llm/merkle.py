@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloop.llm.common import stored
+from labelloop.llm.common import sql_crc32, stored
 from labelloop.llm.components import SALT
 from labelloop.session import ship_package
 from labelloop.sources.tables import numbered
@@ -218,3 +218,40 @@ def merkle_manifest(df: DataFrame, presented: dict[str, Column] | None = None, f
     paths = blocks.lowered(levels[1:], tops)
     rows = blocks.of(nodes).cogroup(paths.groupBy("tree", F.col("at").alias("block"))).applyInArrow(blocks.verify(), _ROWS)
     return rows.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", F.col("folded_root").eqNullSafe(root).alias("verified"), "n_copied", "proof")
+
+
+def _sql_field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _sql_leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_sql_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+# Whole levels of the trees and of the forest of their roots, and every leaf's siblings.
+MERKLE_SQL = f"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_sql_leaf("n_chars")} AS leaf,
+    CASE WHEN {sql_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_sql_leaf("(n_chars + 1)")} END AS tampered FROM documents),
+leaves AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, tree, leaf, coalesce(tampered, leaf) AS shown,
+  row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM raw),
+up AS (SELECT 0 AS level, tree, pos, leaf AS digest, n FROM leaves
+  UNION ALL SELECT level + 1, tree, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY level, tree, pos // 2, n),
+subroots AS MATERIALIZED (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, pos, digest, n FROM subroots
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (
+  SELECT l.k, m.level, CASE WHEN m.other % 2 = 1 THEN 'R' ELSE 'L' END || coalesce(o.digest, '') AS step
+  FROM leaves l JOIN (SELECT level, tree, pos, pos + 1 - 2 * (pos % 2) AS other FROM up WHERE n > 1) m ON m.tree = l.tree AND m.pos = l.pos >> m.level
+  LEFT JOIN up o ON o.tree = l.tree AND o.level = m.level AND o.pos = m.other
+  UNION ALL
+  SELECT l.k, 1000 + m.level, CASE WHEN m.other % 2 = 1 THEN 'R' ELSE 'L' END || coalesce(o.digest, '')
+  FROM leaves l JOIN subroots r ON r.tree = l.tree JOIN (SELECT level, pos, pos + 1 - 2 * (pos % 2) AS other FROM top WHERE n > 1) m ON m.pos = r.pos >> m.level
+  LEFT JOIN top o ON o.level = m.level AND o.pos = m.other),
+path AS (SELECT k, list(step ORDER BY level) AS steps FROM steps GROUP BY k),
+done AS (SELECT l.doc_id, l.leaf, r.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root,
+    sha256(coalesce(array_to_string(list_transform(p.steps, lambda s: s[2:]), ''), '')) AS proof_sha256,
+    list_reduce(list_prepend(l.shown, coalesce(p.steps, [])), lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+  FROM leaves l JOIN subroots r ON r.tree = l.tree LEFT JOIN path p ON p.k = l.k)
+SELECT *, folded_root = root AS verified FROM done
+"""

@@ -13,10 +13,10 @@ from labelloop.llm.decontaminate import DECONTAMINATE_SQL, decontaminate
 from labelloop.llm.html_extract import extract_main_text
 from labelloop.llm.kneser_ney import quality_scores
 from labelloop.llm.language_id import identify_languages
-from labelloop.llm.merkle import merkle_manifest
+from labelloop.llm.merkle import MERKLE_SQL, merkle_manifest
 from labelloop.llm.periodic import periodic_runs
 from labelloop.llm.quality_rules import QUALITY_SQL, quality_rules
-from labelloop.llm.sharding import shard_documents
+from labelloop.llm.sharding import SHARDING_SQL, shard_documents
 from labelloop.llm.simhash import simhash_dedup
 from labelloop.llm.suffix_dedup import suffix_dedup
 from labelloop.llm.toxicity import toxicity
@@ -93,6 +93,9 @@ def op11_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
+ORACLES["op11_sharding"] = SHARDING_SQL
+
+
 def _crc32_of_id():
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
@@ -103,6 +106,9 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle_manifest(table(spark, sf_dir, "documents"), {"n_chars": tampered}).drop("n_copied", "proof")
 
 
+ORACLES["op12_merkle_manifest"] = MERKLE_SQL
+
+
 def planted_runs(docs):
     """``docs`` where every tenth id, by its checksum, repeats its own words from word a on, p words apart."""
     words = F.coalesce(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.array().cast("array<string>"))

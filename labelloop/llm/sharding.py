@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloop.llm.common import documents, stored, tidied, unused
+from labelloop.llm.common import documents, sql_crc32, stored, tidied, unused
 from labelloop.llm.components import SALT
 from labelloop.sources.tables import numbered
 
@@ -103,7 +103,7 @@ def _met(rows: DataFrame, groups: DataFrame, spread: str) -> DataFrame:
 def shard_documents(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: doc_id, size, text_crc32, law (``bytes``), shard, slot (0, 1,
     ... within the shard by id, null first, then by text), grown_shard (null: only laws by key have
-    one), group_rows (rows with this text)."""
+    one)."""
     rows = stored(_keyed(df, id_col, text_col), "shard-rows")
     groups = stored(placed_groups(rows, n_shards), "shard-placed")
     columns = ["doc_id", "size", "text_crc32", "key", "row", "shard"]
@@ -130,3 +130,19 @@ def write_shards(df: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc
     out = (df.withColumns({held[0]: F.unhex(F.sha2(text, 256)), held[1]: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALT)).cast("int")})
            .join(keys, (F.col(held[0]) == F.col(held[3])) & (F.col(held[1]) == F.col(held[2]))).drop(*held))
     out.repartitionByRange(F.col(shard), F.col(id_col), F.xxhash64(text_col)).sortWithinPartitions(shard, id_col).write.partitionBy(shard).parquet(path)
+
+
+# One group after the other, each to the first of the least loaded of eight shards.
+SHARDING_SQL = f"""
+WITH RECURSIVE g AS MATERIALIZED (
+  SELECT t, n * (strlen(t) + 1) AS weight, row_number() OVER (ORDER BY n * (strlen(t) + 1) DESC, sha256(t)) AS r, {sql_crc32("t")} AS crc
+  FROM (SELECT coalesce(text, '') AS t, count(*) AS n FROM documents GROUP BY 1)),
+lpt(r, loads, shard) AS (
+  SELECT 0::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], NULL::BIGINT
+  UNION ALL
+  SELECT g.r, list_transform(loads, lambda l, i: CASE WHEN i = first THEN l + g.weight ELSE l END), first - 1
+  FROM (SELECT r, loads, list_position(loads, list_min(loads)) AS first FROM lpt) x JOIN g ON g.r = x.r + 1)
+SELECT d.doc_id, CAST(strlen(g.t) + 1 AS BIGINT) AS size, g.crc AS text_crc32, 'bytes' AS law, CAST(lpt.shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY lpt.shard ORDER BY d.doc_id NULLS FIRST, sha256(g.t)) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM documents d JOIN g ON g.t = coalesce(d.text, '') JOIN lpt ON lpt.r = g.r
+"""
