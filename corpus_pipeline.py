@@ -3,7 +3,10 @@
 Every stage works on all rows that the one before it kept. Rows are matched by doc_id, null ids with
 each other: rows that share an id share the verdict of a filtering stage (they stay if one of them
 is kept by the classifier, they go if one of them is contaminated), and one row of an id stays
-after near-dedup; rows with a null id are no near-duplicates of anything.
+after near-dedup, that of the least hash of its text, then of all its columns, so a task that runs
+again keeps the same one; rows with a null id are no near-duplicates of anything. Near-duplicates
+with equal fingerprints are a tie that the smallest id wins. Empty tables give empty stages, and
+without trusted labels the classifier keeps every text with a byte.
 """
 
 from __future__ import annotations
@@ -42,7 +45,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
         return kept
-    return _matched(kept, repeated, "left_anti").union(_matched(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    one = _matched(kept, repeated, "left_semi").groupBy(F.col("doc_id").alias("of_id")).agg(F.min_by(F.struct(*docs.columns), order).alias("kept"))
+    return _matched(kept, repeated, "left_anti").union(one.select("kept.*"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
