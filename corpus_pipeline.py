@@ -26,6 +26,8 @@ from labelloop.llm.suffix_dedup import without_duplicates
 # stages.
 ORACLE_SQL = None
 
+MAX_BROADCAST_IDS = 1_000_000   # ids of removed documents that may be sent to every task (8 MB)
+
 
 def _matched(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     key = unused(docs, "matched_id")
@@ -33,15 +35,25 @@ def _matched(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), how)
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but those of ``ids``. The ids are written and counted: within the bound they go to all
+    tasks and the texts stay where they are, beyond it both sides are shuffled; the rows are the same."""
+    key = unused(docs, "removed_id")
+    keys = stored(ids.select(F.col("doc_id").alias(key)).distinct(), "removed")
+    if keys.count() <= MAX_BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return _matched(docs, quality_scores(docs, table(spark, sf_dir, "labels")).filter("kept"), "left_semi")
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scores.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group."""
-    first = simhash_dedup(docs).filter("component_id is null or component_id = doc_id")
-    kept = _matched(docs, first, "left_semi")
+    kept = _without(docs, simhash_dedup(docs).filter("component_id <> doc_id"))
     repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
         return kept
@@ -60,7 +72,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    return _matched(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"), "left_anti")
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
