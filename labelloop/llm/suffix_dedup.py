@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloop.llm.common import blocks, documents, mixed, stored, text_bytes, tidied, total_bytes, unused
+from labelloop.llm.common import blocks, documents, give_back, mixed, stored, text_bytes, tidied, total_bytes, unused
 
 LENGTH, SAMPLE = 50, 20
 BUCKET, SALT = 1 << 20, 8
@@ -259,7 +259,7 @@ def _sorted_bucket(leave_open: bool):
         answer = np.empty(len(doc), np.uint8)
         answer[order] = state
         del doc, k1, k2, order, d, rank, mine, settled, state
-        pa.default_memory_pool().release_unused()
+        give_back()
         out, at = [], 0
         s, w = get("s", np.uint32), get("w", np.uint8)
         for i, size in enumerate(sizes):

@@ -85,6 +85,23 @@ def test_clean_documents_stay_and_bad_ones_go(spark, folder):
     assert len({r[0] for r in rows}) - len(clean) == 5 and clean >= {r[0] for r in rows[:351]}
 
 
+def test_one_row_of_an_id_stays_whatever_the_partitions(spark):
+    rows = [(i % 5, f"text number {i} of its own kind with words {i * i} {i + 7}", "en", f"s{i}", i) for i in range(40)] + [(None, "x y z", None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs.repartition(n), "").collect()), key=str) for n in (1, 7)]
+    assert kept[0] == kept[1] and len(kept[0]) == 7 and {r[0] for r in kept[0]} == {0, 1, 2, 3, 4, None}
+    assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "").columns == docs.columns
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_removed_ids_by_broadcast_and_by_shuffle(spark, monkeypatch, bound):
+    monkeypatch.setattr(corpus_pipeline, "MAX_BROADCAST_IDS", bound)
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e"), (None, "f")], "doc_id int, removed_id string")
+    for gone, left in (([1], "cdef"), ([None, 2], "abe"), ([], "abcdef"), ([7, 1, 1], "cdef")):
+        ids = spark.createDataFrame([(i,) for i in gone], "doc_id long")
+        assert sorted(r["removed_id"] for r in corpus_pipeline._without(docs, ids).collect()) == sorted(left)
+
+
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
