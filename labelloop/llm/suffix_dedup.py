@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from labelloop.llm.common import blocks, documents, give_back, mixed, stored, text_bytes, tidied, total_bytes, unused
 
 LENGTH, SAMPLE = 50, 20
-BUCKET, SALT = 1 << 20, 8
+BUCKET, SALT = 1 << 19, 8
 MULT = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
