@@ -9,10 +9,13 @@ rules out every cluster whose bound is lower, and the query meets the rest. The
 are those of a full scan, ties and all, whatever the clusters are; how much of the
 pool is read depends on them and is reported.
 
-Queries and clusters meet by block: a cluster of more than ``BLOCK_ROWS`` rows is
-several blocks, the queries of a block are dealt over as many parts as keep a part
-under ``BLOCK_QUERIES``, so a task holds one block and one part of its queries. Only
-the centres are broadcast (``MAX_CENTRES`` vectors).
+Queries and clusters meet by block. Clusters that lie next to each other share a block
+of ``BLOCK_ROWS`` rows, a larger cluster is several blocks. The queries of a block (by
+their best cluster) are dealt over parts of ``BLOCK_QUERIES``. Which part meets which
+block is a small table of pairs; a task holds one part and one block and scores, cluster
+by cluster, only the queries whose bound allows it. A vector thus travels once for each
+block that its part meets, not once for each cluster. From 32 blocks on they grow with
+the table up to ``BLOCK_MOST`` rows. Only centres and pairs are broadcast.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from labelloop.session import stored
 MAX_CENTRES = 2048
 BLOCK_ROWS = 20_000
 BLOCK_QUERIES = 20_000
+BLOCK_MOST = 65_536
+STEP = 4_000_000     # bounds or similarities held at once
 SLACK = 1e-9          # of the bounds, for rounding
 _FOUND = "row bigint, demo_id bigint, demo_label bigint, sim double, scored bigint"
 
@@ -66,68 +71,131 @@ def _clustered(pool: DataFrame, centres: np.ndarray) -> DataFrame:
     return pool.mapInArrow(run, "pid bigint, plab bigint, pvec array<double>, cluster int, cosine double")
 
 
-def _visits(queries: DataFrame, centres: np.ndarray, clusters: np.ndarray, blocks: np.ndarray, radius: np.ndarray, first: bool) -> DataFrame:
-    """(row, qid, qvec, block): the blocks each query meets - ``first``: those of its cluster of
-    the highest bound, else those of all others whose bound reaches its ``kth``."""
-    shared = queries.sparkSession.sparkContext.broadcast((centres, clusters, blocks, radius))
-    dim = centres.shape[1]
+def _chain(centres: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions of ``ids`` in an order where each centre follows the nearest one that was left."""
+    left, order = centres[ids], []
+    open_, at = np.ones(len(ids), bool), 0
+    while len(order) < len(ids):
+        open_[at] = False
+        order.append(at)
+        at = int(np.where(open_, left @ left[at], -np.inf).argmax())
+    return np.array(order, np.int64)
 
+
+@dataclass
+class Layout:
+    """Clusters (``ids``, ``radius``) with the group each belongs to; ``first`` and ``n_blocks`` of each group."""
+
+    centres: np.ndarray
+    ids: np.ndarray
+    radius: np.ndarray
+    group: np.ndarray
+    first: np.ndarray
+    n_blocks: np.ndarray
+
+    def bounds(self, vectors: np.ndarray, which=slice(None)) -> np.ndarray:
+        """Of the cosine between unit ``vectors`` and any member of the clusters."""
+        cos = np.clip(np.einsum("ij,kj->ik", vectors, self.centres[self.ids[which]], optimize=False), -1, 1)
+        return np.cos(np.maximum(0.0, np.arccos(cos) - self.radius[which])) + SLACK
+
+
+def _layout(centres: np.ndarray, sizes: list, block_rows: int) -> Layout:
+    """``sizes``: (cluster, rows, least cosine). Groups: neighbours while they fit a block, or one large cluster."""
+    ids = np.array([c for c, _, _ in sizes], np.int64)
+    order = _chain(centres, ids) if len(ids) else ids
+    rows = np.array([m for _, m, _ in sizes], np.int64)
+    group, blocks, held = np.zeros(len(ids), np.int64), [], block_rows + 1
+    for c in order:
+        if held + rows[c] > block_rows:
+            blocks.append(-(-int(rows[c]) // block_rows))
+            held = 0
+        held += int(rows[c])
+        group[c] = len(blocks) - 1
+    n_blocks = np.array(blocks, np.int64)
+    return Layout(centres, ids, np.arccos(np.clip(np.array([x for *_, x in sizes], np.float64), -1, 1)), group, np.cumsum(n_blocks) - n_blocks, n_blocks)
+
+
+def _slices(batches, rows: int):
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _located(queries: DataFrame, shared) -> DataFrame:
+    """(row, qid, qvec, best, home): the cluster of the highest bound and its group, of queries that have a direction."""
     def run(batches):
-        centre, ids, n_blocks, angle = shared.value
-        start = np.concatenate([[0], np.cumsum(n_blocks)])
-        for b in batches:
-            q = _normalise(_list_matrix(b.column("qvec"), dim))
-            ok = np.flatnonzero(~np.isnan(q).any(axis=1))
-            cos = np.clip(np.einsum("ij,kj->ik", q[ok], centre[ids], optimize=False), -1, 1)
-            bound = np.cos(np.maximum(0.0, np.arccos(cos) - angle)) + SLACK
-            best = bound.argmax(axis=1) if len(ok) and len(ids) else np.zeros(0, np.int64)
-            if not len(ids):
-                meet = np.zeros((len(ok), 0), bool)
-            elif first:
-                meet = np.zeros(bound.shape, bool)
-                meet[np.arange(len(ok)), best] = True
-            else:
-                kth = b.column("kth").take(pa.array(ok)).to_numpy(zero_copy_only=False)
-                meet = ~(bound < kth[:, None])     # no k-th yet (NaN): all of them
-                meet[np.arange(len(ok)), best] = False
+        lay = shared.value
+        for b in _slices(batches, STEP // max(1, len(lay.ids))):
+            q = _normalise(_list_matrix(b.column("qvec"), lay.centres.shape[1]))
+            ok = np.flatnonzero(~np.isnan(q).any(axis=1)) if len(lay.ids) else np.zeros(0, np.int64)
+            best = lay.bounds(q[ok]).argmax(axis=1) if len(ok) else np.zeros(0, np.int64)
+            rows = b.take(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(best), pa.array(lay.group[best])], ["row", "qid", "qvec", "best", "home"])
+    return queries.select("row", "qid", "qvec").mapInArrow(run, "row bigint, qid bigint, qvec array<double>, best bigint, home bigint")
+
+
+def _meetings(rest: DataFrame, shared) -> DataFrame:
+    """(home, part, grp): the groups in which some query of the part has a cluster, not its best, whose bound reaches its ``kth``."""
+    def run(batches):
+        lay = shared.value
+        seen: set = set()
+        for b in _slices(batches, STEP // max(1, len(lay.ids))):
+            meet = _meets(lay.bounds(_normalise(_list_matrix(b.column("qvec"), lay.centres.shape[1]))), b)
+            meet[np.arange(b.num_rows), b.column("best").to_numpy()] = False
             who, which = np.nonzero(meet)
-            n = n_blocks[which]
-            who, block = np.repeat(who, n), np.repeat(start[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            rows = b.take(pa.array(ok[who]))
-            yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("qid"), rows.column("qvec"), pa.array(block.astype(np.int64))], ["row", "qid", "qvec", "block"])
-    return queries.mapInArrow(run, "row bigint, qid bigint, qvec array<double>, block bigint")
+            key = np.unique(np.stack([b.column("home").to_numpy()[who], b.column("part").to_numpy()[who], lay.group[which]], axis=1), axis=0)
+            new = [k for k in map(tuple, key.tolist()) if k not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in new], pa.int64()) for i in range(3)], ["home", "part", "grp"])
+    return rest.select("qvec", "best", "home", "part", "kth").mapInArrow(run, "home bigint, part bigint, grp bigint").distinct()
 
 
-def _met(visits: DataFrame, pool: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """The top-k of every visited block for every query, and how many rows it scored (on one row)."""
-    visits = stored(visits, "visits")
-    parts = (visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("parts")))   # a row for each block
-    left = visits.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
-    right = pool.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+def _meets(bound: np.ndarray, q) -> np.ndarray:
+    kth = np.asarray(q.column("kth").to_numpy(), np.float64)
+    return ~(bound < kth[:, None])     # no k-th yet (NaN): all of them
+
+
+def _met(queries: DataFrame, pool: DataFrame, pairs: DataFrame, n_pairs: int, shared, k: int, exclude_self: bool, first: bool) -> DataFrame:
+    """The top-k of every block that a query's part meets, and how many rows it scored (on one row).
+    ``first``: only the best cluster of each query, else all others whose bound reaches its ``kth``."""
+    keys = ["home", "part", "block"]
+    parts = max(1, min(2 * n_pairs, 4_000))
+    left = queries.join(F.broadcast(pairs), ["home", "part"]).repartition(parts, *keys)
+    right = pool.join(F.broadcast(pairs), "block").repartition(parts, *keys)
 
     def run(q: pa.Table, p: pa.Table) -> pa.Table:
+        names = ("row", "demo_id", "demo_label", "sim", "scored")
         if not q.num_rows or not p.num_rows:
-            return pa.table({"row": pa.array([], pa.int64()), "demo_id": pa.array([], pa.int64()), "demo_label": pa.array([], pa.int64()), "sim": pa.array([], pa.float64()), "scored": pa.array([], pa.int64())})
-        p = p.sort_by("pid")
-        ids, labels = p.column("pid").to_numpy(), p.column("plab").to_numpy()
+            return pa.table({n: pa.array([], pa.float64() if n == "sim" else pa.int64()) for n in names})
+        lay = shared.value
+        p, q = p.sort_by("pid"), q.sort_by("best")
+        ids, labels, cluster = (p.column(c).to_numpy() for c in ("pid", "plab", "at"))
         m = _normalise(_list_matrix(p.column("pvec")))
-        rows, qid = q.column("row").to_numpy(), q.column("qid").to_numpy()
+        members = [(c, np.flatnonzero(cluster == c)) for c in np.unique(cluster)]
+        which = np.array([c for c, _ in members])
+        rows, qid, own = (q.column(c).to_numpy() for c in ("row", "qid", "best"))
         v = _normalise(_list_matrix(q.column("qvec"), m.shape[1]))
         out: list = []
-        step = max(1, 4_000_000 // len(ids))          # similarities held at once
+        step = max(1, STEP // len(ids))          # similarities held at once
         for a in range(0, len(v), step):
-            sim = np.einsum("ij,kj->ik", v[a:a + step], m, optimize=False)
+            part = slice(a, a + step)
+            mine = own[part, None] == which[None, :]
+            meet = mine if first else _meets(lay.bounds(v[part], which), q.slice(a, step)) & ~mine
+            sim = np.full((len(meet), len(ids)), np.nan)
+            for i, (_, cols) in enumerate(members):
+                who = np.flatnonzero(meet[:, i])
+                if len(who):
+                    sim[np.ix_(who, cols)] = np.einsum("ij,kj->ik", v[a + who], m[cols], optimize=False)
             if exclude_self:
-                sim[qid[a:a + step, None] == ids[None, :]] = np.nan
+                sim[qid[part, None] == ids[None, :]] = np.nan
             top = _topk_rows(sim, k)
             best = np.take_along_axis(sim, top, axis=1)
             keep = ~np.isnan(best)
             scored = np.zeros(best.shape, np.int64)
-            scored[:, 0] = len(ids)
-            out.append((np.repeat(rows[a:a + step], top.shape[1])[keep.ravel()], ids[top][keep], labels[top][keep], best[keep], scored[keep]))
-        cat = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.table(dict(zip(("row", "demo_id", "demo_label", "sim", "scored"), cat, strict=True)))
-    return stored(left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, _FOUND), "met")
+            scored[:, 0] = meet @ np.array([len(cols) for _, cols in members])
+            out.append((np.repeat(rows[part], top.shape[1])[keep.ravel()], ids[top][keep], labels[top][keep], best[keep], scored[keep]))
+        return pa.table(dict(zip(names, (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+    return stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _FOUND), "met")
 
 
 def pruned_topk(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "id", query_vec: str = "embedding", pool_id: str = "demo_id",
@@ -144,20 +212,28 @@ def pruned_topk(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str =
         centres = np.zeros((1, 1))
     members = stored(_clustered(pool, centres), "clusters")
     sizes = sorted((r["cluster"], r["n"], r["least"]) for r in members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least")).collect())  # a row for each centre
-    ids = np.array([c for c, _, _ in sizes], np.int64)
-    blocks = np.array([-(-m // BLOCK_ROWS) for _, m, _ in sizes], np.int64)
-    radius = np.arccos(np.clip(np.array([x for *_, x in sizes], np.float64), -1, 1))
-    starts = np.concatenate([[0], np.cumsum(blocks)])
-    where = pool.sparkSession.createDataFrame([(int(c), int(s), int(b)) for c, s, b in zip(ids, starts, blocks, strict=False)], "cluster int, first bigint, n_blocks bigint")
-    cut = stored(members.join(F.broadcast(where), "cluster").select("pid", "plab", "pvec", (F.col("first") + F.pmod(F.xxhash64("pid"), F.col("n_blocks"))).alias("block")), "pool-clusters")
+    spark = pool.sparkSession
+    lay = _layout(centres, sizes, min(max(BLOCK_ROWS, n // 32), max(BLOCK_MOST, BLOCK_ROWS)))
+    shared = spark.sparkContext.broadcast(lay)
+    where = spark.createDataFrame([(int(c), i, int(lay.first[g]), int(lay.n_blocks[g])) for i, (c, g) in enumerate(zip(lay.ids, lay.group, strict=True))], "cluster int, at bigint, first bigint, n_blocks bigint")
+    cut = stored(members.join(F.broadcast(where), "cluster").select("pid", "plab", "pvec", "at", (F.col("first") + F.pmod(F.xxhash64("pid"), F.col("n_blocks"))).alias("block")), "pool-clusters")
+    located = stored(_located(queries, shared), "located")
+    homes = {r["home"]: r["n"] for r in located.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each group
+    each = min(max(BLOCK_QUERIES, sum(homes.values()) // 32), max(BLOCK_MOST, BLOCK_QUERIES))
+    parts = {g: -(-m // each) for g, m in homes.items()}
+    dealt = spark.createDataFrame(list(parts.items()), "home bigint, parts bigint")
+    located = located.join(F.broadcast(dealt), "home").select(*located.columns, F.pmod(F.xxhash64("row"), F.col("parts")).alias("part"))
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("row").orderBy(F.desc("sim"), "demo_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    near = _met(_visits(queries, centres, ids, blocks, radius, True), cut, k, exclude_self)
+    own = [(g, p, int(lay.first[g] + b)) for g, m in parts.items() for p in range(m) for b in range(lay.n_blocks[g])]
+    near = _met(located, cut, spark.createDataFrame(own, "home bigint, part bigint, block bigint"), len(own), shared, k, exclude_self, True)
     kth = best(near).filter(F.col("rank") == k).select(F.col("row").alias("of_row"), F.col("sim").alias("kth"))
-    rest = queries.join(kth, F.col("row") == F.col("of_row"), "left").select("row", "qid", "qvec", F.coalesce("kth", F.lit(float("nan"))).alias("kth"))
-    found = near.unionByName(_met(_visits(rest, centres, ids, blocks, radius, False), cut, k, exclude_self))
+    rest = stored(located.join(kth, F.col("row") == F.col("of_row"), "left").select(*located.columns, F.coalesce("kth", F.lit(float("nan"))).alias("kth")), "rest")
+    blocks = spark.createDataFrame([(g, int(lay.first[g] + b)) for g in range(len(lay.n_blocks)) for b in range(lay.n_blocks[g])], "grp bigint, block bigint")
+    pairs = stored(_meetings(rest, shared).join(F.broadcast(blocks), "grp").select("home", "part", "block"), "pairs")
+    found = near.unionByName(_met(rest, cut, pairs, pairs.count(), shared, k, exclude_self, False))
     rows = (best(found).join(queries.select(F.col("row").alias("of_row"), F.col("qid").alias(query_id)), F.col("row") == F.col("of_row"))
             .select(query_id, F.col("rank").cast("int"), "demo_id", "demo_label", "sim"))
     report = (queries.agg(F.count(F.lit(1)).alias("queries")).crossJoin(found.agg(F.coalesce(F.sum("scored"), F.lit(0)).alias("scored")))   # one row each

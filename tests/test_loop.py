@@ -271,3 +271,26 @@ def test_pruned_search_equals_the_full_scan(spark, monkeypatch, small):
     assert PR.pruned_topk(queries.filter("id < 0"), pool, 3).rows.count() == 0
     twice = queries.limit(3).union(queries.limit(3))
     assert sorted(map(tuple, PR.pruned_topk(twice, pool, 2).rows.collect()), key=str) == full_scan(spark, twice, pool, 2)
+
+
+def test_pruned_search_moves_vectors_by_block(spark, tmp_path):
+    """Vectors without a cluster structure rule nothing out: a query travels once for each block,
+    not once for each of the 33 clusters, and the rows are those of the full scan."""
+    from labelloop.operators import pruned as PR
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 3, rng.normal(size=24).tolist()) for i in range(1_050)]
+    pool = spark.createDataFrame(rows, "demo_id bigint, anno int, embedding array<double>")
+    queries = pool.select(F.col("demo_id").alias("id"), "embedding")
+    moved = []
+    keep = PR.stored
+
+    def spy(df, name):
+        out = keep(df, name)
+        if name in ("visits", "pairs"):
+            moved.append(out.count())
+        return out
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(PR, "stored", spy)
+        got = PR.pruned_topk(queries, pool, 5, pool_label="anno", exclude_self=True)
+    assert sorted(map(tuple, got.rows.collect()), key=str) == full_scan(spark, queries, pool, 5, pool_label="anno", exclude_self=True)
+    assert got.report.first()["share"] > 0.9 and max(moved) <= 2 * 1_050
