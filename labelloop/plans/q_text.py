@@ -9,6 +9,7 @@ from labelloop.functions import text as TX
 from labelloop.operators import tokenize as TK
 from labelloop.plans import fixtures as fx
 from labelloop.plans.registry import register
+from labelloop.session import stored
 
 MAX_LEN = 128
 SENTENCE_TEMPLATE = "Given a movie review: '{}'"
@@ -179,7 +180,7 @@ SELECT w.id, CAST(w.pos AS BIGINT) AS pos, v.token FROM whole w JOIN vocab v ON
 def q_id_to_token(spark, sf_dir):
     """Id -> token for every position of the encoded whole texts."""
     vocab = vocab_of(spark, sf_dir)
-    enc = TK.encode(corpus(spark, sf_dir), vocab, max_length=None)
+    enc = stored(TK.encode(corpus(spark, sf_dir), vocab, max_length=None).select("id", "input_ids"), "encoded")
     long = enc.select("id", F.posexplode("input_ids").alias("pos", "token_id")).select("id", F.col("pos").cast("bigint").alias("pos"), "token_id")
     return TK.id_to_token(long, vocab).select("id", "pos", "token")
 

@@ -323,3 +323,28 @@ def test_encode_and_decode_by_broadcast_and_by_join(spark):
         assert texts[0] == texts[1] == texts[2] == texts[3] and len(texts[0]) == 7
     assert TK.encode(docs.filter("id > 9"), vocab).count() == 0
     assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+
+
+def test_large_vocabulary_moves_rare_pieces_only(spark):
+    """Beyond the budget the frequent pieces are broadcast: the joins of encode, decode and id_to_token see
+    the others, once for each batch, and the rows are those of a broadcast vocabulary."""
+    from labelloop.operators import tokenize as TK
+    rows = [(i, "the cat sat, on 12, mats " * 5 + f"rare{i} rare{i} {'new' if i % 7 else 'gone'}{i}") for i in range(300)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(2)
+    vocab = TK.build_vocab(docs).filter("token not like '%gone%'").localCheckpoint()
+    seen, kept = [], TK.stored
+
+    def spy(df, name):
+        out = kept(df, name)
+        seen.append(out.agg(F.sum(F.size("tail")).alias("n")).first()["n"])
+        return out
+    for most in (16, None):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(TK, "stored", spy)
+            here, there = (TK.encode(docs, vocab, max_length=most, budget=b).localCheckpoint() for b in (1 << 20, 2_000))
+            texts = [sorted(map(str, TK.decode(here, vocab, budget=b).collect())) for b in (1 << 20, 2_000, 0)]
+        assert sorted(map(str, here.collect())) == sorted(map(str, there.collect()))
+        assert texts[0] == texts[1] == texts[2]
+    assert 0 < max(seen[:2] + seen[3:5]) < 700
+    long = here.select("id", F.posexplode("input_ids").alias("pos", "token_id")).unionByName(spark.createDataFrame([(1, 0, None), (2, 0, 999_999)], "id bigint, pos int, token_id int"))
+    assert len({tuple(sorted(map(str, TK.id_to_token(long, vocab, budget=b).select("id", "pos", "token_id", "token").collect()))) for b in (1 << 20, 2_000, 0)}) == 1
