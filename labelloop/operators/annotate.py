@@ -7,14 +7,16 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloop.functions.labels import parse_answer
 from labelloop.operators.answers import AnswerStore
+from labelloop.session import stored
 
 ANNOTATOR_BATCH = 100   # prompts per remote call (reference batch size)
+MAX_BROADCAST_KEYS = 200_000   # keys of prompts without an answer that may go to all tasks
 
 
 def similarity_vote(labels_col: str = "demo_labels", sims_col: str = "sims") -> Column:
@@ -110,7 +112,7 @@ def annotate(prompts: DataFrame, annotator: Annotator = majority_answer_annotato
              retries: int = 0, base_delay: float = 1.0, retry_on: tuple = RETRYABLE, on_error: str = "raise",
              store: AnswerStore | None = None, keep: tuple = ()) -> DataFrame:
     """Run ``annotator`` over the message lists, ``batch_size`` prompts
-    per call, inside ``mapInPandas`` (the only place a network client may live).
+    per call, inside ``mapInArrow`` (the only place a network client may live).
 
     Returns ``(id, *keep, raw, error)``; ``raw`` is the answer text. The id travels with
     the row (J6), so no positional zip is needed. The annotator is costly and
@@ -127,42 +129,47 @@ def annotate(prompts: DataFrame, annotator: Annotator = majority_answer_annotato
         raise ValueError(on_error)
     call = with_retry(annotator, retries=retries, base_delay=base_delay, retry_on=retry_on)
     paid = store.run() if store else None
-    rows = prompts.select(F.col(id_col).cast("bigint").alias(id_col), *keep, messages_col, F.sha2(F.to_json(messages_col), 256).alias("__prompt"))
+    asked = F.sha2(F.to_json(messages_col), 256) if store else F.lit(None).cast("string")
+    rows = prompts.select(F.col(id_col).cast("bigint").alias(id_col), *keep, messages_col, asked.alias("__prompt"))
     answered = store.read(prompts.sparkSession) if store else None
+    done = None
     if answered is not None:
-        answered = answered.select(F.col("id").alias(id_col), F.col("prompt").alias("__prompt"), F.col("raw").alias("__raw"))
-        rows = rows.join(answered, [id_col, "__prompt"], "left").select(*rows.columns, "__raw")
-    else:
-        rows = rows.withColumn("__raw", F.lit(None).cast("string"))
-
-    def run(pdfs):
+        # a prompt is a hundred times its answer: its key meets the answers, and only what has none is asked for
+        answered = answered.select(F.col("id").alias(id_col), F.col("prompt").alias("__prompt"), "raw")
+        keys = stored(rows.drop(messages_col), "prompt-keys")
+        done = keys.join(answered, [id_col, "__prompt"]).select(id_col, *keep, "raw", F.lit(None).cast("string").alias("error"))
+        missing = stored(keys.join(answered, [id_col, "__prompt"], "left_anti").select(F.col(id_col).alias("__id"), F.col("__prompt").alias("__of")).distinct(), "unanswered")
+        n = missing.count()
+        if not n:
+            return done
+        rows = rows.join(F.broadcast(missing) if n <= MAX_BROADCAST_KEYS else missing, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__prompt") == F.col("__of")), "left_semi")
+
+    def run(batches):
         known = paid.known() if paid else {}
-        for pdf in pdfs:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                ids, hashes = part[id_col].astype("int64").tolist(), part["__prompt"].tolist()
-                answers = [known.get(key) if raw is None else raw for key, raw in zip(zip(ids, hashes, strict=True), part["__raw"], strict=True)]
-                ask = [i for i, a in enumerate(answers) if a is None]
-                err = None
-                if ask:
-                    new, err = call([[{"role": m["role"], "content": m["content"]} for m in part[messages_col].iloc[i]] for i in ask])
-                    if err is None and len(new) != len(ask):
-                        err = ValueError(f"{len(ask)} prompts, {len(new)} answers")
-                    if err is not None and on_error == "raise":
-                        raise RuntimeError(f"annotator failed: {type(err).__name__}: {err}") from err
-                    if err is None:
-                        for i, a in zip(ask, new, strict=True):
-                            answers[i] = a
-                        if paid:
-                            paid.write([ids[i] for i in ask], [hashes[i] for i in ask], list(new))
-                failed = set(ask) if err is not None else ()
-                out = part[[id_col, *keep]].copy()
-                out["raw"] = answers
-                out["error"] = [f"{type(err).__name__}: {err}" if i in failed else None for i in range(len(part))]
-                yield out
+        for part in (b.slice(start, batch_size) for b in batches for start in range(0, b.num_rows, batch_size)):
+            ids, hashes = part.column(id_col).to_pylist(), part.column("__prompt").to_pylist()
+            answers = [known.get(key) for key in zip(ids, hashes, strict=True)]
+            ask = [i for i, a in enumerate(answers) if a is None]
+            err = None
+            if ask:
+                new, err = call(part.column(messages_col).take(pa.array(ask)).to_pylist())
+                if err is None and len(new) != len(ask):
+                    err = ValueError(f"{len(ask)} prompts, {len(new)} answers")
+                if err is not None and on_error == "raise":
+                    raise RuntimeError(f"annotator failed: {type(err).__name__}: {err}") from err
+                if err is None:
+                    for i, a in zip(ask, new, strict=True):
+                        answers[i] = a
+                    if paid:
+                        paid.write([ids[i] for i in ask], [hashes[i] for i in ask], list(new))
+            failed = set(ask) if err is not None else ()
+            errors = [f"{type(err).__name__}: {err}" if i in failed else None for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (id_col, *keep)), pa.array(answers, pa.string()), pa.array(errors, pa.string())],
+                                             names=[id_col, *keep, "raw", "error"])
 
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in prompts.select(*keep).schema.fields) if keep else ""
-    return rows.mapInPandas(run, f"{id_col} bigint, {kept}raw string, error string")
+    new = rows.mapInArrow(run, f"{id_col} bigint, {kept}raw string, error string")
+    return new if done is None else done.unionByName(new)
 
 
 def parse_labels(raw: DataFrame, words: Sequence[str], raw_col: str = "raw",

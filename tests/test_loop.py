@@ -294,3 +294,21 @@ def test_pruned_search_moves_vectors_by_block(spark, tmp_path):
         got = PR.pruned_topk(queries, pool, 5, pool_label="anno", exclude_self=True)
     assert sorted(map(tuple, got.rows.collect()), key=str) == full_scan(spark, queries, pool, 5, pool_label="anno", exclude_self=True)
     assert got.report.first()["share"] > 0.9 and max(moved) <= 2 * 1_050
+
+
+def test_stored_answers_meet_keys_not_prompts(spark, tmp_path):
+    """A run over a full store moves no prompt and calls nobody; new prompts and repeated rows are asked for or found."""
+    text = F.concat(F.lit("text "), F.col("id") % 7)
+    prompts = spark.range(40).select("id", F.array(F.struct(F.lit("user").alias("role"), text.alias("content")), F.struct(F.lit("user").alias("role"), F.lit("?").alias("content"))).alias("messages"))
+    echo = lambda batch: [m[0]["content"] for m in batch]
+    store = AnswerStore(str(tmp_path), 0)
+    first = sorted(map(tuple, A.annotate(prompts, echo, store=store).collect()))
+    again = A.annotate(prompts, lambda batch: 1 / 0, store=store)
+    assert "MapInArrow" not in again._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, again.collect())) == first and len(first) == 40
+    more = prompts.union(prompts.limit(3)).union(prompts.limit(5).withColumn("id", F.col("id") + 100))
+    def new_only(batch):
+        assert len(batch) <= 5
+        return echo(batch)
+    got = sorted(map(tuple, A.annotate(more, new_only, store=store).collect()))
+    assert len(got) == 48 and all(raw.startswith("text ") for _, raw, _ in got)
