@@ -80,7 +80,7 @@ def stream_refine(spark: SparkSession, source_dir: str, schema, out_dir: str, ch
             "id", "text", F.coalesce("demo_ids", F.array().cast("array<bigint>")).alias("demo_ids"))
         named = need.select(F.explode("demo_ids").alias("id")).distinct()
         demos = of(side, named).join(of(corpus_text.select("id", "text"), named), "id", "left")
-        prompts = prompts_from_wide(attach_demos(need, demos, ("text", "label")), task)
+        prompts = prompts_from_wide(attach_demos(need, stored(demos, "demo-rows"), ("text", "label")), task)
         asked = parse_labels(annotate(prompts, annotator, **how), task.words)
         return asked.select("id", "raw", "label").unionByName(kept)
 

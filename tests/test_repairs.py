@@ -59,6 +59,33 @@ def test_attach_demos_keeps_order_and_unknown_ids(spark):
     assert got == {1: ("a", ["five", None, "seven"]), 2: ("b", []), 3: ("c", ["five", "five"])}
 
 
+def test_attach_demos_near_and_far_are_the_same_rows(spark):
+    """Representatives within the budget are not shuffled; NULL lists, ids and texts, repeated corpus ids."""
+    rows = spark.createDataFrame([(1, [5, 9, 7], "a"), (2, [], "b"), (3, [5, None, 5], "c"), (4, None, None)], "id bigint, demo_ids array<bigint>, text string")
+    corpus = spark.createDataFrame([(5, "five" * 50, 1), (7, None, 2), (8, "eight", None)], "id bigint, text string, label bigint")
+    for side in (corpus, corpus.limit(0)):
+        near, far = (RE.attach_demos(rows, side, ("text", "label"), budget=b) for b in (1 << 20, -1))
+        assert near.columns == far.columns and "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, near.collect())) == sorted(map(str, far.collect()))
+    twice = corpus.union(corpus.filter("id = 8"))
+    assert len(RE.attach_demos(rows, twice, ("text",)).collect()) == 4
+
+
+def test_demo_texts_leave_in_small_batches(spark):
+    """A batch of 10,000 rows with ten long demos each is given back in pieces of a few megabytes."""
+    pool = spark.createDataFrame([(i, 0, [1.0, i / 10], "x" * 60_000) for i in range(10)], "demo_id bigint, anno int, embedding array<double>, text string")
+    queries = spark.range(120).select("id", F.array(F.lit(1.0), F.rand(3)).alias("embedding")).coalesce(1)
+    sizes, make = [], type(queries).mapInArrow
+
+    def spy(df, run, schema, *a, **kw):
+        sizes.extend((x.num_rows, x.nbytes) for x in run(iter(df.toArrow().combine_chunks().to_batches())))
+        return make(df, run, schema, *a, **kw)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(queries), "mapInArrow", spy)
+        RE.knn_topk(queries, pool, 10, pool_label="anno", pool_text="text", wide=True)
+    assert sum(n for n, _ in sizes) == 120 and max(n for _, n in sizes) <= 8 << 20
+
+
 def test_feedback_rounds_do_not_delete_each_other(spark, tmp_path):
     def fb(n):
         return RO.Feedback(spark.range(n), spark.range(n).select("id", F.array("id").alias("demo_ids")), spark.range(n).select("id", F.lit(1).alias("pred")))
