@@ -76,9 +76,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and digests of the ids and of the decoded bytes."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and digests of the ids and of the decoded bytes.
+    The ids are written in between: two Python functions in one stage are two workers for each core."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    x = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
+    x = bpe_decode(stored(bpe_encode(docs, path, public_tokenizers.PATTERN), "ids"), path)
     return x.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -106,3 +106,20 @@ def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def test_the_last_stage_runs_one_python_function_at_a_time(spark, odd):
+    """Encode and decode in one stage kept two Python workers for each core of an executor."""
+    out = corpus_pipeline.byte_bpe_stage(spark, odd, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    ids = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    strings = {i: s for s, i in ranks_of(open(ids, "rb").read()).items()}
+    rows = out.collect()
+    got = sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows)
+    want = []
+    for r in odd.collect():
+        text = (r["text"] or "").encode()
+        row = next(x for x in rows if x["decoded_sha256"] == hashlib.sha256(text).hexdigest())
+        assert b"".join(strings[i] for i in np.frombuffer(row["ids"], "<u4").tolist()) == text
+        want.append((row["n_tokens"], row["ids_sha256"], row["decoded_sha256"]))
+    assert got == sorted(want)
