@@ -5,16 +5,27 @@ styles, forms, navigation, page headers and footers, side bars, notices, adverts
 element, role, or a word of class or id) are chrome, and ``article`` or ``main`` declares the main
 text, which is kept whole: an article that others copy is still the article.
 
-Everything else is decided by the host. The token streams of a host's pages, without declared main
-text but with chrome, are taken together; their suffixes are sorted by the first ``RUN`` tokens,
-which brings every substring of that length or more that is repeated across pages together. A
-suffix seen in ``MIN_PAGES`` different streams marks its tokens; on pages without a declared main
-text the marked tokens of blocks that are not chrome are removed and the unique runs are kept.
-Copies of a page are one stream, so a copied page is not taken for boilerplate.
-
-A large host is no group: suffixes are counted by (host, suffix) after the tasks have dropped
-repeats, and the join back to the pages is salted. Only positions travel, not texts, except for
-pages that lose something.
+Everything else is decided by the host, by a suffix array over the token streams of its pages
+(without declared main text but with chrome; copies of a page are one stream, so a copied page is
+not taken for boilerplate):
+
+1. A suffix can begin a repeat only if its first ``RUN`` tokens are in ``MIN_PAGES`` different
+   streams. Such places form runs, and no repeat goes beyond its run, so there the suffix is cut.
+   It is also cut at ``DEPTH`` tokens: longer repeats go on in the suffixes that start inside them.
+2. Equal suffixes become one row with a weight: one for each stream and, where a stream holds two
+   neighbours in the order, less one at what they share. So the weights below any prefix add up to
+   the number of different streams that hold it, however often each does.
+3. Spark deals these rows by host and first ``RUN`` tokens and sorts them. Neighbours are compared
+   one after the other; what they share is the tree of all repeats, each at its full length, with
+   its number of streams.
+4. A repeat is boilerplate if at least ``MIN_PAGES`` streams hold it and it is either on one in
+   ``SHARE`` streams of the host, or long: ``RUN`` tokens and one more for each doubling of the
+   host's streams, since repeats by chance grow like the logarithm of the text. The longest such
+   repeat at every place goes; the unique runs of blocks that are not chrome are the main text.
+
+A large host is no group: a bucket holds different continuations of one prefix, not pages, and is
+read as a sorted stream; joins back to the pages are salted. Texts of a page move once, when it
+meets its places.
 
 Nulls: a null html is an empty page, a null url an empty host. Broken mark-up never raises: open
 elements end with their parent, unknown ones are inline. Repeated rows are extracted each.
@@ -34,7 +45,7 @@ from pyspark.sql import functions as F
 from labelloop.llm.common import blocks, stored
 from labelloop.session import ship_package
 
-RUN, MIN_PAGES, SALT = 6, 3, 8
+RUN, MIN_PAGES, SHARE, DEPTH, SALT = 6, 3, 8, 64, 8
 
 # Element names and the words of class and id that mark chrome.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "canvas")
@@ -245,45 +256,200 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
-_PARSED = "page_id long, url string, uid long, host long, declared boolean, text string, tokens array<string>, places array<int>, suffixes array<long>, stream long"
+def _table(schema: str, rows) -> pa.RecordBatch:
+    """Rows as a batch of the columns of ``schema``."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
-def _parse(batches):
-    """Each page once: its main text if it is declared; else the tokens that may be main text. In
-    any case the suffixes of its stream, by their first tokens."""
-    names = [x.split()[0] for x in _PARSED.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64()]
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+_PARSED = "page_id long, url string, uid long, host long, declared boolean, text string, stream long, words string, places array<int>"
+_COUNTED = "prefix long, stream long"
+_PLACED = "uid long, place int, prefix long"
+_WEIGHED = "host long, prefix long, tail string, weight long"
+_REPEATS = "key long, length int"
+_KEYED = "uid long, place int, key long"
+
+
+def _rows(batches, by: str):
+    """The rows of each block of texts."""
     for batch in batches:
-        for block in blocks(batch, "html"):
-            rows = []
-            for page, url, source in zip(*(block.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                parts, _ = page_blocks(source)
-                declared = any(main and not chrome for chrome, main, _, _ in parts)
-                text = " ".join(t for chrome, main, _, t in parts if main and not chrome) if declared else None
-                tokens, places, stream = [], [], []
-                for chrome, main, only_links, t in parts:
-                    if declared and main and not chrome:
-                        continue
-                    words = t.split(" ")
-                    if not declared and not chrome and not only_links:
-                        tokens += words
-                        places += range(len(stream), len(stream) + len(words))
-                    stream += words
-                suffixes = [_hash(" ".join(stream[i:i + RUN])) for i in range(len(stream) - RUN + 1)]
-                rows.append((page, url, _hash(f"{page}\0{url}\0{source}"), _hash(host_of(url)), declared, text, tokens, places, suffixes, _hash(" ".join(stream))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        for block in blocks(batch, by):
+            yield zip(*(c.to_pylist() for c in block.columns), strict=True)
+
+
+def _parse(batches):
+    """Each page once: its main text if it is declared; else where in its stream main text may be."""
+    for rows in _rows(batches, "html"):
+        out = []
+        for page, url, source in rows:
+            parts, _ = page_blocks(source)
+            declared = any(main and not chrome for chrome, main, _, _ in parts)
+            text = " ".join(t for chrome, main, _, t in parts if main and not chrome) if declared else None
+            places, stream = [], []
+            for chrome, main, only_links, t in parts:
+                if declared and main and not chrome:
+                    continue
+                words = t.split(" ")
+                if not declared and not chrome and not only_links:
+                    places += range(len(stream), len(stream) + len(words))
+                stream += words
+            words = " ".join(stream)
+            out.append((page, url, _hash(f"{page}\0{url}\0{source}"), _hash(host_of(url)), declared, text, _hash(words), words, places))
+        yield _table(_PARSED, out)
+
+
+def _prefixes(host: int, words: list[str]) -> list[int]:
+    return [_hash(f"{host} {' '.join(words[i:i + RUN])}") for i in range(len(words) - RUN + 1)]
+
+
+def _counted(batches):
+    """The prefixes of the suffixes of each stream."""
+    for rows in _rows(batches, "words"):
+        yield _table(_COUNTED, list({(p, stream) for host, stream, words in rows for p in _prefixes(host, words.split())}))
+
+
+def _placed(batches):
+    for rows in _rows(batches, "words"):
+        yield _table(_PLACED, [(uid, i, p) for uid, host, words in rows for i, p in enumerate(_prefixes(host, words.split()))])
+
+
+def _tails(words: list[str], hits: list[int]) -> list[tuple[int, list[str]]]:
+    """(place, suffix) for each repeated prefix; the suffix ends with the run of places it is in."""
+    at = np.sort(np.array(hits, np.int64))
+    last = at[np.append(np.diff(at) != 1, True)]
+    ends = np.minimum(last[np.searchsorted(last, at)] + RUN, at + DEPTH)
+    return [(i, words[i:e]) for i, e in zip(at.tolist(), ends.tolist(), strict=True)]
+
+
+def _shared(one: list[str], two: list[str]) -> int:
+    n = 0
+    for a, b in zip(one, two, strict=False):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
+def _tail(words: list[str]) -> str:
+    """The suffix as text; every word ends with a space, so that suffixes that share words are neighbours."""
+    return " ".join(words) + " "
+
+
+def _weighed(batches):
+    """The suffixes of each stream, less what neighbours of one stream share."""
+    for rows in _rows(batches, "words"):
+        weights: dict = {}
+        for host, words, hits in rows:
+            before: list[str] = []
+            for tail in sorted(t for _, t in _tails(words.split(), hits)):
+                both = _shared(before, tail)
+                for part, weight in ((tail, 1), (tail[:both], -1 if both >= RUN else 0)):
+                    if weight:
+                        key = (host, _tail(part))
+                        weights[key] = weights.get(key, 0) + weight
+                before = tail
+        yield _table(_WEIGHED, [(host, _hash(f"{host} {' '.join(tail.split(' ', RUN)[:RUN])}"), tail, w) for (host, tail), w in weights.items()])
+
+
+class Bucket:
+    """The sorted suffixes of one host and prefix, as the tree of what neighbours share. Texts do not stay."""
+
+    def __init__(self, prefix: int | None, streams: int):
+        self.prefix, self.streams, self.before = prefix, streams, []
+        self.depth, self.total, self.parent = [0], [0], [0]     # of each node; the root is 0
+        self.open, self.keys, self.leaf = [0], [], []
+
+    def _close(self, shared: int):
+        """Nodes deeper than ``shared`` have all their suffixes."""
+        while self.depth[self.open[-1]] > shared:
+            node = self.open.pop()
+            if self.depth[self.open[-1]] < shared:
+                self._open(shared)
+            self.parent[node] = self.open[-1]
+            self.total[self.open[-1]] += self.total[node]
+
+    def _open(self, depth: int):
+        self.open.append(len(self.depth))
+        self.depth.append(depth)
+        self.total.append(0)
+        self.parent.append(0)
+
+    def add(self, key: int, words: list[str], weight: int):
+        self._close(_shared(self.before, words))
+        if self.depth[self.open[-1]] < len(words):
+            self._open(len(words))
+        self.total[self.open[-1]] += weight
+        self.keys.append(key)
+        self.leaf.append(self.open[-1])
+        self.before = words
+
+    def repeats(self) -> list[tuple[int, int]]:
+        """(key, length of its longest prefix that is boilerplate) of each suffix that has one."""
+        self._close(0)
+        long = RUN + self.streams.bit_length()
+        best = [0] * len(self.depth)
+        for node in sorted(range(1, len(best)), key=self.depth.__getitem__):
+            n = self.total[node]
+            good = n >= MIN_PAGES and self.depth[node] >= RUN and (n * SHARE >= self.streams or self.depth[node] >= long)
+            best[node] = self.depth[node] if good else best[self.parent[node]]
+        return [(key, best[node]) for key, node in zip(self.keys, self.leaf, strict=True) if best[node]]
+
+
+def _compared(batches):
+    """The boilerplate among suffixes that come sorted, bucket after bucket."""
+    bucket = Bucket(None, 0)
+    for rows in _rows(batches, "tail"):
+        out = []
+        for host, streams, prefix, tail, weight in rows:
+            if prefix != bucket.prefix:
+                out += bucket.repeats()
+                bucket = Bucket(prefix, streams)
+            bucket.add(_hash(f"{host} {tail}"), tail.split(), weight)
+        yield _table(_REPEATS, out)
+    yield _table(_REPEATS, bucket.repeats())
+
+
+def _keyed(batches):
+    for rows in _rows(batches, "words"):
+        yield _table(_KEYED, [(uid, i, _hash(f"{host} {_tail(t)}")) for uid, host, words, hits in rows for i, t in _tails(words.split(), hits)])
 
 
 def _unique_runs(batches):
-    """The tokens that no repeated suffix covers."""
-    for batch in batches:
-        texts = []
-        for tokens, places, hits in zip(*(batch.column(c).to_pylist() for c in ("tokens", "places", "hits")), strict=True):
-            covered = np.zeros((max(places) if places else 0) + RUN + 1, bool)
-            for h in hits or ():
-                covered[h:h + RUN] = True
-            texts.append(" ".join(t for t, p in zip(tokens, places, strict=True) if not covered[p]))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    """The tokens that no boilerplate covers."""
+    for rows in _rows(batches, "words"):
+        out = []
+        for page, url, words, places, starts, lengths in rows:
+            words = words.split()
+            covered = np.zeros(len(words), bool)
+            for start, length in zip(starts or (), lengths or (), strict=True):
+                covered[start:start + length] = True
+            out.append((page, url, " ".join(words[p] for p in places if not covered[p])))
+        yield _table("page_id long, url string, text string", out)
+
+
+def _salted(rows: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join; rows of one key are dealt over ``SALT`` parts, ``small`` is repeated as often."""
+    parts = small.withColumnRenamed(key, "_key").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    x = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    return x.join(parts, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part"))).drop("_key", "_salt", "_part")
+
+
+def host_repeats(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, hits: places of repeated prefixes), and the suffix array's (key, length): the longest
+    boilerplate that begins a suffix."""
+    seen = parsed.select("host", "stream", "words").mapInArrow(_counted, _COUNTED).distinct()
+    repeated = stored(seen.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES).select("prefix"), "prefixes")
+    places = parsed.select("uid", "host", "words").mapInArrow(_placed, _PLACED)
+    hits = stored(_salted(places, repeated, "prefix", "uid").groupBy("uid").agg(F.collect_set("place").alias("hits")), "places")
+    streams = parsed.groupBy("host", "stream").agg(F.min("uid").alias("uid"))
+    once = hits.join(streams.select("uid").distinct(), "uid")
+    pages = parsed.select("uid", "host", "words").join(once, "uid").dropDuplicates(["uid"]).select("host", "words", "hits")
+    weighed = stored(pages.mapInArrow(_weighed, _WEIGHED).groupBy("host", "prefix", "tail").agg(F.sum("weight").alias("weight")), "suffixes")
+    array = _salted(weighed, streams.groupBy("host").agg(F.count(F.lit(1)).alias("streams")), "host", "tail")
+    array = array.select("host", "streams", "prefix", "tail", "weight").repartition("prefix").sortWithinPartitions("prefix", "host", "tail")
+    return hits, stored(array.mapInArrow(_compared, _REPEATS), "suffix-array")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -291,13 +457,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     ship_package(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     parsed = stored(rows.mapInArrow(_parse, _PARSED), "pages")
-    each = parsed.select("host", "stream", F.explode(F.array_distinct("suffixes")).alias("suffix")).distinct()
-    repeated = each.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
-    repeated = repeated.select(F.col("host").alias("r_host"), F.col("suffix").alias("r_suffix"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
+    hits, repeats = host_repeats(parsed)
     undeclared = parsed.filter("not declared")
-    places = undeclared.select("uid", "host", F.posexplode("suffixes").alias("place", "suffix")).withColumn("salt", F.pmod("uid", F.lit(SALT)).cast("int"))
-    hits = (places.join(repeated, (F.col("host") == F.col("r_host")) & (F.col("suffix") == F.col("r_suffix")) & (F.col("salt") == F.col("part")))
-            .groupBy(F.col("uid").alias("hit_uid")).agg(F.collect_set("place").alias("hits")))
-    decided = undeclared.join(hits, F.col("uid") == F.col("hit_uid"), "left").select("page_id", "url", "tokens", "places", "hits")
+    keyed = undeclared.select("uid", "host", "words").join(hits, "uid").select("uid", "host", "words", "hits").mapInArrow(_keyed, _KEYED)
+    found = (_salted(keyed, repeats, "key", "uid").groupBy(F.col("uid").alias("of")).agg(F.collect_set(F.struct("place", "length")).alias("found"))
+             .select("of", F.col("found.place").alias("starts"), F.col("found.length").alias("lengths")))
+    decided = undeclared.join(found, F.col("uid") == F.col("of"), "left").select("page_id", "url", "words", "places", "starts", "lengths")
     text = parsed.filter("declared").select("page_id", "url", "text").union(decided.mapInArrow(_unique_runs, "page_id long, url string, text string"))
     return text.withColumn("n_chars", F.length("text").cast("long"))

@@ -1,6 +1,8 @@
 import random
 
-from labelloop.llm.html_extract import RUN, extract_main_text, host_of, page_blocks
+import pyarrow as pa
+
+from labelloop.llm.html_extract import DEPTH, MIN_PAGES, RUN, SHARE, _compared, _hash, _tail, _weighed, extract_main_text, host_of, page_blocks
 from tests.llm.conftest import prose, table
 
 SCHEMA = "page_id long, url string, html string, host string, tokens string, n_chars string"
@@ -95,3 +97,67 @@ def test_undeclared_pages_keep_unique_runs(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in extract(spark, rows).collect())
     assert extract(spark, rows[:1]).limit(0).count() == 0
     assert extract_main_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def brute_boilerplate(streams):
+    """For each stream the tokens of every repeat, of any length, that is boilerplate on the host."""
+    different = set(map(tuple, streams))
+    held = {}
+    for s in different:
+        for g in {s[i:j] for i in range(len(s)) for j in range(i + RUN, len(s) + 1)}:
+            held[g] = held.get(g, 0) + 1
+    long = RUN + len(different).bit_length()
+    gone = {g for g, n in held.items() if n >= MIN_PAGES and (n * SHARE >= len(different) or len(g) >= long)}
+    for s in streams:
+        lost = set()
+        for i in range(len(s)):
+            for j in range(i + RUN, len(s) + 1):
+                if tuple(s[i:j]) in gone:
+                    lost |= set(range(i, j))
+        yield [w for i, w in enumerate(s) if i not in lost]
+
+
+def test_only_long_or_frequent_repeats_of_a_large_host_go(spark):
+    rng = random.Random(3)
+    phrase, chorus, notice, line, deep = (prose(rng, n) for n in (7, 6, 22, 8, 2 * DEPTH + 9))
+    own = [prose(rng, 12) for _ in range(60)]
+    texts = [f"{t} {line}" if i < 10 else t for i, t in enumerate(own)]             # on a share of the host
+    for i in (20, 21, 22):
+        texts[i] = f"a{i} {phrase} b{i}"                                            # an ordinary phrase stays
+    for i in (30, 31, 32):
+        texts[i] = f"c{i} {notice} d{i}"                                            # long, on three pages
+    for i in (40, 41, 42):
+        texts[i] = f"e{i} {deep} f{i}"                                              # longer than suffixes are compared
+    for i in (50, 51):
+        texts[i] = " x ".join([own[i], notice[:60], chorus, notice[:60], chorus, chorus, notice]) + f" y{i}"   # often, but on two pages
+    texts += ["the the the the the the the the the the the the the"] * 2 + [texts[30]]
+    rows = [(i, f"http://large.org/{i}", f"<p>{t}</p>") for i, t in enumerate(texts)]
+    got = dict(table(extract(spark, rows), "page_id", "text"))
+    want = [" ".join(x) for x in brute_boilerplate([t.split() for t in texts])]
+    assert [got[i] for i in range(len(texts))] == want
+    assert got[20] == texts[20] and got[0] == own[0] and got[30] == "c30 d30" and got[40] == "e40 f40" and chorus in got[50]
+
+
+def test_suffix_tree_counts_streams_once():
+    rng = random.Random(8)
+    for _ in range(60):
+        streams = [[rng.choice("ab") for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(1, 9))]
+        streams = [list(s) for s in sorted(set(map(tuple, streams)))]
+        held, sums = {}, {}
+        for s in streams:
+            for g in {tuple(s[i:j]) for i in range(len(s)) for j in range(i + RUN, min(len(s), i + DEPTH) + 1)}:
+                held[g] = held.get(g, 0) + 1
+            hits = list(range(len(s) - RUN + 1))
+            if hits:
+                for row in next(_weighed([pa.RecordBatch.from_pylist([{"host": 1, "words": " ".join(s), "hits": hits}])])).to_pylist():
+                    sums[row["prefix"], row["tail"]] = sums.get((row["prefix"], row["tail"]), 0) + row["weight"]
+        n = len(streams)
+        long = RUN + n.bit_length()
+        rows = [{"host": 1, "streams": n, "prefix": p, "tail": t, "weight": w} for (p, t), w in sorted(sums.items())]
+        batches = [pa.RecordBatch.from_pylist(rows[i:i + 7]) for i in range(0, len(rows), 7)]
+        got = {r["key"]: r["length"] for b in _compared(batches) for r in b.to_pylist()}
+        for s in streams:
+            for i in range(len(s) - RUN + 1):
+                best = max((j - i for j in range(i + RUN, len(s) + 1)
+                            if (c := held[tuple(s[i:j])]) >= MIN_PAGES and (c * SHARE >= n or j - i >= long)), default=None)
+                assert got.get(_hash(f"1 {_tail(s[i:])}")) == best
