@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloop.functions.batches import give_back
 from labelloop.session import scratch_dir, ship_package
 
 # Text handled at once inside a task; a single longer document is one block of its own.
@@ -112,15 +112,6 @@ def held(key, make):
     return _HELD[key]
 
 
-def give_back() -> None:
-    """Return freed memory of this process to the machine: Arrow's buffers, and the heap where the
-    C library can (glibc)."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def tidied(run):
     """``run`` for mapInArrow, leaving little behind in a worker process that waits for its next
     task: what another operator held goes first, and freed memory goes back at the end."""

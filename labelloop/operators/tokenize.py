@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloop.functions.batches import runs, small
-from labelloop.session import ensure_parallelism, stored
+from labelloop.functions.batches import ROWS, runs, small, tidy
+from labelloop.session import arrow_rows, ensure_parallelism, stored
 from labelloop.sources.tables import numbered
 from labelloop.functions.text import (CLS_ID, PAD_ID, SEP_ID, SPECIAL_TOKENS, UNK_ID, WORD_MARK,
                                       arrow_pieces, normalise, word_pieces)
@@ -31,6 +31,8 @@ from labelloop.functions.text import (CLS_ID, PAD_ID, SEP_ID, SPECIAL_TOKENS, UN
 SALT = 8
 VOCAB_BUDGET = 64 << 20      # bytes of a vocabulary (texts, and 16 for each entry) that may be broadcast
 JOIN_BUDGET = 16 << 20       # the same for a broadcast join
+CODED_BYTES = 8 << 20        # of texts whose distinct pieces are looked up at once
+PROBED = 1 << 18             # entries of a vocabulary that are compared at once
 
 
 def pieces(df: DataFrame, text_col: str = "text", out: str = "pieces", lower: bool = False) -> DataFrame:
@@ -45,9 +47,10 @@ def build_vocab(texts: DataFrame, text_col: str = "text", lower: bool = False, s
     counts = (piece_counts(texts.select(text_col), text_col, lower=lower)
               .filter(~F.col("token").isin(*specials))
               .groupBy("token").agg(F.sum("n").alias("count")))
-    ranked = numbered(counts.orderBy(F.col("count").desc(), F.col("token").asc()), "token_id", len(specials), "vocab")
-    special = texts.sparkSession.createDataFrame([(t, i, 0) for i, t in enumerate(specials)],
-                                                 "token string, token_id int, count bigint")
+    with arrow_rows(texts.sparkSession, ROWS):
+        ranked = numbered(counts.orderBy(F.col("count").desc(), F.col("token").asc()), "token_id", len(specials), "vocab")
+    special = texts.sparkSession.createDataFrame(pa.table([pa.array(specials, pa.string()), pa.array(range(len(specials)), pa.int32()), pa.array([0] * len(specials), pa.int64())],
+                                                          ["token", "token_id", "count"]))
     return special.unionByName(ranked.select("token", F.col("token_id").cast("int").alias("token_id"), "count"))
 
 
@@ -63,7 +66,7 @@ def piece_counts(texts: DataFrame, text_col: str = "text", lower: bool = False)
                 continue
             vc = pc.value_counts(flat)
             yield pa.RecordBatch.from_arrays([vc.field("values"), vc.field("counts")], names=["token", "n"])
-    return ensure_parallelism(texts.select(text_col)).mapInArrow(run, "token string, n bigint")
+    return ensure_parallelism(texts.select(text_col)).mapInArrow(tidy(run), "token string, n bigint")
 
 
 def vocab_size(vocab: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", max_length:
         for b, ids, codes, _, keep, lens in _coded(batches, shared.value, lower, max_length):
             yield pa.RecordBatch.from_arrays([ids, *_framed(codes, keep, max_length), pa.array(lens)], names=names)
     if rest is None:
-        return texts.mapInArrow(run, schema)
+        return texts.mapInArrow(tidy(run), schema)
 
     def cut(batches):
         last = None
@@ -151,7 +154,8 @@ def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", max_length:
             c[beyond] = slots[-c[beyond] - 1]
             out.append(_framed(c, sizes[part], max_length))
         return pa.table([rows.column("id"), *(pa.chunked_array(x, pa.list_(pa.int32())) for x in zip(*out, strict=True)), rows.column("n")], names=names)
-    rows = stored(texts.mapInArrow(cut, _PART.format("string")), "pieces")
+    with arrow_rows(df.sparkSession, 4 * ROWS):
+        rows = stored(texts.mapInArrow(tidy(cut), _PART.format("string")), "pieces")
     found = _beyond(rows, "token").join(rest.select("token", F.col("token_id").cast("bigint").alias("token_id")), "token").select("of_batch", "slot", "token_id")
     return rows.select("id", "codes", "n", "batch").groupBy("batch").cogroup(found.groupBy("of_batch")).applyInArrow(fill, schema)
 
@@ -180,11 +184,12 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
 
 def _coded(batches, vocab: tuple, lower: bool, max_length: int | None):
     """(number of the batch, ids, codes, unknown pieces, how many codes of each row, pieces of each whole
-    row) for slices of every batch of (id, text); the distinct pieces of a batch are looked up once."""
+    row) for slices of every batch of (id, text), which has ``CODED_BYTES`` at most; the distinct pieces of
+    a batch are looked up once."""
     tokens, token_ids = vocab
     most = None if max_length is None else max_length - 2
     at = TaskContext.get().partitionId() << 33
-    for batch in batches:
+    for batch in (x for whole in batches for x in small(whole, CODED_BYTES)):
         if batch.num_rows == 0:
             continue
         parts = []
@@ -194,10 +199,8 @@ def _coded(batches, vocab: tuple, lower: bool, max_length: int | None):
             parts.append((b.column(0), flat.dictionary_encode(), keep, lens))
         coded = pa.chunked_array([x[1] for x in parts]).unify_dictionaries()
         distinct = coded.chunk(0).dictionary
-        found = pc.index_in(distinct, value_set=tokens)
-        known = np.asarray(found.is_valid())
-        of_piece = np.empty(len(found), np.int64)
-        of_piece[known] = token_ids[found.drop_null().to_numpy()]
+        of_piece = _looked_up(distinct, tokens, token_ids)
+        known = of_piece >= 0
         of_piece[~known] = -1 - np.arange((~known).sum())
         unknown = distinct.filter(pa.array(~known))
         for (ids, _, keep, lens), chunk in zip(parts, coded.chunks, strict=True):
@@ -205,6 +208,16 @@ def _coded(batches, vocab: tuple, lower: bool, max_length: int | None):
         at += 1
 
 
+def _looked_up(distinct: pa.Array, tokens: pa.Array, token_ids: np.ndarray) -> np.ndarray:
+    """The id of each of ``distinct``, -1 without one. The vocabulary is compared with the pieces, part by
+    part: the table that is built for it has the size of a batch, not of the vocabulary."""
+    out = np.full(len(distinct), -1, np.int64)
+    for at in range(0, len(tokens), PROBED):
+        where = pc.index_in(tokens.slice(at, PROBED), value_set=distinct)
+        out[where.drop_null().to_numpy()] = token_ids[at:at + PROBED][np.asarray(where.is_valid())]
+    return out
+
+
 def _framed(codes: np.ndarray, keep: np.ndarray, max_length: int | None) -> tuple[pa.Array, pa.Array]:
     """[CLS] ids [SEP], padded, and the mask; a code below 0 is unknown."""
     n = keep + 2

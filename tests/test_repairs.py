@@ -4,9 +4,11 @@ failing annotators, pools over the budget, several feedback rounds, independent
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from labelloop.functions.batches import small
 from labelloop.functions.vectors import hash_unit
 from labelloop.operators import annotate as AN
 from labelloop.operators import demos as DE
@@ -203,3 +205,42 @@ def test_merge_labels_asserts_counts(spark):
     assert RO.merge_labels(table, labels).count() == 4
     with pytest.raises(ValueError):
         RO.merge_labels(table, labels.filter("id > 0"))
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Vocabulary: 1,000 rows at once, whatever the session says, which keeps its setting."""
+    def checked(batch, *limit):
+        assert batch.num_rows <= 1000, batch.num_rows
+        return small(batch, *limit)
+    monkeypatch.setattr(TK, "small", checked)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    texts = spark.range(0, 2500 * spark.sparkContext.defaultParallelism, 1).selectExpr("'a b' AS text")
+    assert sorted((r["token"], r["count"]) for r in TK.build_vocab(texts).collect() if r["count"]) == [("▁a", texts.count()), ("▁b", texts.count())]
+    assert spark.conf.get(key) == old
+
+
+def test_pieces_of_long_texts_are_looked_up_in_parts(spark):
+    """A batch of long texts is cut by bytes, so that what one look-up holds has a bound."""
+    vocab = (pa.array(["▁a", "▁b"]), np.array([7, 9]))
+
+    def numbers(batches):
+        for at, ids, codes, unknown, keep, lens in TK._coded(batches, vocab, False, None):
+            assert codes.tolist() == [7, 9, -1] * (len(codes) // 3) and unknown.to_pylist() == ["▁c"] and keep.sum() == len(codes)
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([len(ids)])], ["at", "n"])
+    rows = spark.range(0, 6, 1, 1).selectExpr("id", "repeat('a b c ', 700000) AS text").mapInArrow(numbers, "at bigint, n bigint").collect()
+    assert sum(r["n"] for r in rows) == 6 and len({r["at"] for r in rows}) > 2
+
+
+def test_a_lookup_holds_no_table_of_the_vocabulary():
+    tokens = pa.array([f"piece{i}" for i in range(1_000_000)])
+    some = pa.array(["piece999999", "none", "piece0", "piece524288"])
+    ids = np.arange(1_000_000) * 3
+    default = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(default)
+    pa.set_memory_pool(pool)
+    try:
+        got = TK._looked_up(some, tokens, ids)
+    finally:
+        pa.set_memory_pool(default)
+    assert got.tolist() == [999_999 * 3, -1, 0, 524_288 * 3] and pool.max_memory() < tokens.nbytes / 4
