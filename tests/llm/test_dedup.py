@@ -43,6 +43,36 @@ def test_suffix_dedup_of_a_passage_in_many_documents(spark, monkeypatch):
     assert table(suffix_dedup.suffix_dedup(docs), *FIELDS) == sorted(brute.suffix_dedup(rows), key=str)
 
 
+def test_suffix_entries_take_the_same_room_in_any_number_of_buckets(spark):
+    """What goes to the buckets follows the texts, not the number of buckets that a large input has."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i * 7, "".join(rng.choice("abcdefgh ") for _ in range(2_000))) for i in range(2_000)], "doc_id long, text string")
+    rows = suffix_dedup.documents(docs.coalesce(1)).selectExpr("*", "xxhash64(text) as th")
+
+    def room(n_buckets):
+        made = [rows.mapInArrow(suffix_dedup._entries(suffix_dedup._sampled(50, 20), n_buckets, wave, 2, np.zeros(0, np.uint64)), suffix_dedup._ENTRIES)
+                .selectExpr("count(*) as rows", *(f"sum(octet_length({c})) as {c}" for c in ("pos", "doc", "w", "k1"))).first() for wave in range(2)]
+        return tuple(sum(r[c] or 0 for r in made) for c in ("rows", "pos", "doc", "w", "k1"))
+    few, many = room(4), room(400)
+    assert few[1:] == many[1:] and few[4] == 8 * few[3] and few[3] > 200_000
+    assert many[0] <= 3 * 402
+    bytes_of = np.frombuffer(suffix_dedup._packed(np.arange(300, dtype=np.int64) * 1000 + 2**40), np.uint8).reshape(8, -1)
+    assert (bytes_of[2:, 1:] == 0).all()
+
+
+def test_suffixes_open_only_where_35_bytes_agree(spark):
+    """A string of 20 to 34 bytes that texts share by chance sends none of their suffixes to the second sort."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, long = word(30), word(70)
+    rows = [(i, word(200) + common + word(200)) for i in range(60)]
+    edge = [(100 + i, word(100) + long + word(100)) for i in range(2)]
+    found = lambda rows: suffix_dedup._settle(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "xxhash64(text) as th"),
+                                              suffix_dedup._sampled(50, 20), 1, 1, True, 50, "ranks").filter("open is not null").select("doc_id").distinct()
+    assert found(rows).count() == 0
+    assert sorted(r["doc_id"] for r in found(edge).collect()) == [100, 101]
+
+
 def test_without_duplicates_keeps_columns(spark, odd):
     out = suffix_dedup.without_duplicates(odd)
     assert out.columns == odd.columns
