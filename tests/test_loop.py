@@ -296,6 +296,27 @@ def test_pruned_search_moves_vectors_by_block(spark, tmp_path):
     assert got.report.first()["share"] > 0.9 and max(moved) <= 2 * 1_050
 
 
+def test_only_pairs_that_can_win_are_scored_in_double_precision(monkeypatch):
+    """Single precision picks the candidates; none of a query's k best is lost, equal vectors and close calls included."""
+    from labelloop.operators import pruned as PR
+    monkeypatch.setattr(PR, "TILE", (16, 50))
+    rng = np.random.default_rng(2)
+    for d in (1, 3, 7, 24, 64, 65):
+        m = PR._normalise(rng.normal(size=(600, d)))
+        m[300:310] = m[5]
+        m[310:330] = PR._normalise(m[6] + 1e-7 * rng.normal(size=(20, d)))
+        v = np.concatenate([m[:40], PR._normalise(rng.normal(size=(30, d)))])
+        exact = np.einsum("ij,kj->ik", v, m, optimize=False)
+        odd = lambda i, j: (i + j) % 3 > 0
+        exact[~odd(*np.indices(exact.shape))] = np.nan
+        least = np.where(np.arange(len(v)) % 2, np.nan, np.nanquantile(exact, 0.9, axis=1))
+        who, cols = (np.concatenate(x) for x in zip(*PR._best_pairs(v, m, least, 5, odd), strict=True))
+        assert (np.einsum("ij,ij->i", v[who], m[cols], optimize=False) == exact[who, cols]).all()
+        want = {(i, j) for i, js in enumerate(PR._topk_rows(exact, 5)) for j in js if not exact[i, j] < least[i]}
+        assert want <= set(zip(who.tolist(), cols.tolist(), strict=True))
+        assert d < 24 or len(who) < 30 * len(v)
+
+
 def test_stored_answers_meet_keys_not_prompts(spark, tmp_path):
     """A run over a full store moves no prompt and calls nobody; new prompts and repeated rows are asked for or found."""
     text = F.concat(F.lit("text "), F.col("id") % 7)
